@@ -8,15 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, rules
+from . import bpe, license, mixing, quality, rules, url_filter
 from .common import table
 
 
+def op1_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -26,13 +35,25 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", "|").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bloom_cascade": op1_bloom_cascade,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_factorisation_machine": op4_factorisation_machine,
         "op7_quality_rules": op7_quality_rules,
         "op8_source_mix": op8_source_mix,
+        "op9_license_rules": op9_license_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_bloom_cascade": url_filter.oracle_sql(),
+        "op7_quality_rules": rules.oracle_sql(),
+        "op9_license_rules": license.oracle_sql(),
+    }

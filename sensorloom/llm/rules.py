@@ -23,7 +23,7 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("symbol_ratio", None, 0.10),
     ("stop_words", 2, None),
     ("dup_line_share", None, 0.50),
-    ("shout_share", None, 0.60),
+    ("capital_share", None, 0.40),
 )
 
 
@@ -67,12 +67,12 @@ def text_statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     read.
     """
     text = F.col("text")
-    stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
+    stop = sorted({v for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())})
     base = docs.select("doc_id", whole_text(text).alias("text")).select(
         "doc_id",
         "text",
         F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0).alias("lines"),
+        F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("lines"),
     )
     return base.select(
         "doc_id",
@@ -82,8 +82,8 @@ def text_statistics(docs: DataFrame, window: int = 8) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("words"), window).alias("n_repeat_words"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(stop))).cast("long").alias("stop_words"),
-        F.size(F.filter("words", lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("long").alias("n_shout"),
+        F.size(F.filter("words", lambda w: w.isin(stop))).cast("long").alias("stop_words"),
+        (F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))).cast("long").alias("n_capitals"),
     )
 
 
@@ -96,7 +96,7 @@ def judged(stats: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
         "symbol_ratio": _share(F.col("n_symbols"), F.col("n_words")),
         "stop_words": F.col("stop_words").cast("double"),
         "dup_line_share": _share(F.col("n_dup_lines"), F.col("n_lines")),
-        "shout_share": _share(F.col("n_shout"), F.col("n_words")),
+        "capital_share": _share(F.col("n_capitals"), F.col("word_chars")),
     }
     tests = []
     for name, least, most in thresholds:
@@ -113,3 +113,40 @@ def judged(stats: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 def apply_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     return judged(text_statistics(docs), thresholds)
+
+
+def oracle_sql(thresholds=THRESHOLDS) -> str:
+    stop = sorted({v for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())})
+    value = {
+        "n_words": "n_words",
+        "repeat_share": "coalesce(n_repeat_words / nullif(n_words, 0), 0)",
+        "mean_word_chars": "coalesce(word_chars / nullif(n_words, 0), 0)",
+        "symbol_ratio": "coalesce(n_symbols / nullif(n_words, 0), 0)",
+        "stop_words": "n_stop",
+        "dup_line_share": "coalesce(n_dup_lines / nullif(n_lines, 0), 0)",
+        "capital_share": "coalesce(n_capitals / nullif(word_chars, 0), 0)",
+    }
+    tests = [f"{value[n]} >= {a}" for n, a, _ in thresholds if a is not None] + [f"{value[n]} <= {b}" for n, _, b in thresholds if b is not None]
+    return f"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+      FROM documents),
+    grams AS (
+      SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
+    stats AS (
+      SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(words, lambda w: w IN ({', '.join(f"'{w}'" for w in stop)}))) AS n_stop,
+             length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+      FROM docs d LEFT JOIN covered c USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {' AND '.join(tests)} AS kept
+    FROM stats"""
