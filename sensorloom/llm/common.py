@@ -25,10 +25,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here and any executor can be lost."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends here and any executor can be lost.
+
+    The shuffle files of the write are removed when it is done, so steps don't add up on disk.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,31 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .passages import NO_ID, Passages, covered, filed, spread_windows
+from .common import staged
+from .passages import NO_ID, Passages, covered, encoded, filed, listed, pieces, places_of, spans_of, windows_of, word_units
 
 #: Words of a window, and of the grams that anchors are chosen from.
 WINDOW, GRAM = 20, 6
 #: Different runs of one key that stay together; beyond, runs are cut into windows and dealt by their hash.
 SHARD_RUNS = 2000
-_CACHE: dict[bytes, int] = {}
-
-
-def word_units(text: str) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if len(_CACHE) > 300_000:  # a cache only
-        _CACHE.clear()
-    out = []
-    for word in text.encode("utf-8", "replace").split():
-        h = _CACHE.get(word)
-        if h is None:
-            h = _CACHE[word] = xxhash.xxh3_64_intdigest(word)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
 
 
 class SuffixAutomaton:
@@ -103,13 +91,13 @@ def first_windows(runs: list[tuple[int, int, list]], window: int) -> list[list[i
     return out
 
 
-def cut_out(raw: bytes, spans: list[dict]) -> bytes:
+def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """A text without the given spans of words and the white space after them."""
     at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
     out, last = [], 0
-    for span in spans:
-        out.append(raw[last : at[span["start"]][0]])
-        last = at[span["end"]][0] if span["end"] < len(at) else len(raw)
+    for start, end in spans:
+        out.append(raw[last : at[start][0]])
+        last = at[end][0] if end < len(at) else len(raw)
     return b"".join([*out, raw[last:]])
 
 
@@ -126,27 +114,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
     rows = filed(docs, carry)
     carried = [f for f in docs.schema.fields if f.name in carry]
     keyed = passages.repeated_keys(rows)
-    texts = rows.join(keyed, "doc", "left")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 128):
-                out = []
-                for doc, text, keys in pdf.iloc[at : at + 128][["doc", "text", "keys"]].itertuples(index=False):
-                    words, seen = text.encode("utf-8", "replace").split(), set()
-                    for key, first, count in zip(*(a.tolist() for a in passages.chosen_runs(text, keys)), strict=True):
-                        run = b" ".join(words[first : first + count + window - 1]).decode()
-                        if (key, run) not in seen:  # the first of equals in a row stands for all
-                            seen.add((key, run))
-                            out.append((key, run, doc, first))
-                yield pd.DataFrame(out, columns=["key", "run", "doc", "start"])
-
-    found = texts.filter(F.col("keys").isNotNull()).mapInPandas(cut, "key long, run string, doc long, start int")
-    # Copies of a run go map-side; min_by takes the start in the least document.
-    known = found.groupBy("key", "run").agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for raws, at in pieces(encoded(batch.column(1))):
+                _, found = passages.runs(raws)
+                found = found.among(listed(batch.column(2).slice(at, len(raws))))
+                words, last, least = [], -1, {}
+                for text, key, first, count in zip(found.text.tolist(), found.key.tolist(), found.first.tolist(), found.count.tolist(), strict=True):
+                    if text != last:
+                        words, last = raws[text].split(), text
+                    run, place = (key, b" ".join(words[first : first + count + window - 1])), (ids[at + text], first)
+                    if run not in least or place < least[run]:  # the first of equals stands for all
+                        least[run] = place
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in least], pa.int64()), pa.array([r for _, r in least], pa.binary()), pa.array([d for d, _ in least.values()], pa.int64()), pa.array([s for _, s in least.values()], pa.int32())], names=["key", "run", "doc", "start"])
+
+    found = rows.select("doc", "text").join(keyed, "doc").mapInArrow(cut, "key long, run binary, doc long, start int")
+    # Copies of a run go map-side. min_by takes the start in the least document.
+    known = staged(found.groupBy("key", "run").agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start")))
     sizes = known.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     shared = known.join(sizes, "key", "left")
-    alone = shared.filter(F.col("n").isNull()).select("doc", "start", F.sequence(F.lit(0), F.regexp_count("run", F.lit(" ")) - (window - 1)).alias("windows"))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = [list(range(r.count(b" ") - window + 2)) for r in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.int32()))], names=["doc", "start", "windows"])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,9 +148,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
                 if n <= SHARD_RUNS:
                     out.append((key, 0, run, doc, start))
                     continue
-                words, parts = run.split(" "), -(-n // SHARD_RUNS)
+                words, parts = run.split(), -(-n // SHARD_RUNS)
                 for i in range(len(words) - window + 1):
-                    one = " ".join(words[i : i + window])
+                    one = b" ".join(words[i : i + window])
                     out.append((key, xxhash.xxh3_64_intdigest(one) % parts, one, doc, start + i))
             yield pd.DataFrame(out, columns=["key", "part", "run", "doc", "start"])
 
@@ -173,45 +166,43 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
                 if (key, part) != shard:
                     out += settle()
                     shard, held = (key, part), []
-                held.append((doc, start, run.split(" ")))
+                held.append((doc, start, run.split()))
             yield pd.DataFrame(out, columns=["doc", "start", "windows"])
         yield pd.DataFrame(settle(), columns=["doc", "start", "windows"])
 
-    dealt = shared.filter(F.col("n").isNotNull()).select("key", "run", "doc", "start", "n").mapInPandas(deal, "key long, part int, run string, doc long, start int")
-    firsts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start").mapInPandas(stream, "doc long, start int, windows array<int>")
-    firsts = firsts.unionByName(alone.select("doc", "start", F.col("windows").cast("array<int>")))
-    kept = firsts.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("firsts"))
-
-    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                out = []
-                for doc, text, keys, firsts in pdf.iloc[at : at + 256][["doc", "text", "keys", "firsts"]].itertuples(index=False):
-                    words = text.encode("utf-8", "replace").split()
-                    gone = np.zeros(len(words), dtype=bool)
-                    if keys is not None and len(keys):
-                        _, first, count = passages.chosen_runs(text, keys)
-                        again = np.zeros(max(0, len(words) - window + 1), dtype=bool)
-                        again[spread_windows(first, count)] = True
-                        for f in firsts if firsts is not None else ():
-                            at_ = f["start"] + np.asarray(f["windows"], dtype=np.int64)
-                            again[at_[at_ < len(again)]] = False
-                        gone = covered(np.nonzero(again)[0], window, len(words))
-                    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                    spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], strict=True)]
+    place = "doc long, start int, windows array<int>"
+    single = shared.filter(F.col("n").isNull()).select("doc", "start", "run").mapInArrow(alone, place)
+    dealt = shared.filter(F.col("n").isNotNull()).select("key", "run", "doc", "start", "n").mapInPandas(deal, "key long, part int, run binary, doc long, start int")
+    firsts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start").mapInPandas(stream, place)
+    kept = staged(firsts.union(single).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("firsts")))
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raws, at in pieces(encoded(batch.column(1))):
+                part = batch.slice(at, len(raws))
+                units, found = passages.runs(raws)
+                found = found.among(listed(part.column(2)))
+                again = np.zeros(len(units.units), dtype=bool)
+                again[windows_of(found, units.start)] = True
+                again[places_of(part.column(3), "windows", units.start)] = False
+                gone = covered(again, window)
+                removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), units.start[:-1]) * (np.diff(units.start) > 0)
+                left, spans = [], []
+                for i, raw in enumerate(raws):
+                    cuts = spans_of(gone[units.start[i] : units.start[i + 1]]) if removed[i] else []
+                    spans.append([{"start": a, "end": b} for a, b in cuts])
                     if layout:
-                        raw = text.encode("utf-8", "replace")
-                        out.append((None if doc == NO_ID else doc, len(words), int(gone.sum()), (cut_out(raw, spans) if spans else raw).decode(), spans))
+                        left.append(cut_out(raw, cuts) if cuts else raw)
                         continue
-                    left = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode() if spans else b" ".join(words).decode()
-                    out.append((None if doc == NO_ID else doc, len(words), int(gone.sum()), left, spans))
-                made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"])
-                for f in carried:
-                    made[f.name] = pdf[f"carry_{f.name}"].iloc[at : at + 256].to_numpy()
-                yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+                    words, ends = raw.split(), [0, *(x for c in cuts for x in c), None]
+                    left.append(b" ".join(words if not cuts else [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]))
+                ids = pa.array([None if d == NO_ID else d for d in part.column(0).to_pylist()], pa.int64())
+                place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()).cast(pa.string()), pa.array(spans, place), *part.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept", "removed", *(f.name for f in carried)])
 
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: int, end: int>>")
-    return texts.join(kept, "doc", "left").mapInPandas(clear, T.StructType(schema.fields + carried))
+    done = rows.join(keyed, "doc", "left").join(kept, "doc", "left").select("doc", "text", "keys", "firsts", *[f"carry_{f.name}" for f in carried])
+    return done.mapInArrow(clear, T.StructType(schema.fields + carried))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
