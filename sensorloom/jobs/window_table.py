@@ -1,0 +1,49 @@
+"""A small feature table from readings: the slice that the alert and baseline jobs work on."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.baseline import add_personal_baseline
+from ..operators.decision import alert_state
+from ..operators.survey import label_by_overlap, labelled_only, map_field_labels
+from ..operators.windows import assign_windows
+
+KEYS = ["source", "subject_id", "session_id", "window_id"]
+FEATURES = ["hr_mean", "eda_mean", "acc_activity"]
+
+
+def window_table(readings: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
+    """One row for each window: the mean stands for heart rate, the deviation for conductance, the maximum for motion."""
+    placed = assign_windows(readings, window_sec, step_sec)
+    times = ["window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts"]
+    return placed.groupBy(*KEYS, *times).agg(
+        F.lit(float(window_sec)).alias("window_duration_sec"),
+        F.count("*").alias("n_samples"),
+        F.avg("value").alias("hr_mean"),
+        (F.stddev_pop("value") / 100).alias("eda_mean"),
+        F.max("value").alias("acc_activity"),
+    )
+
+
+def personal_table(readings: DataFrame, window_sec: float, step_sec: float, minutes: float) -> DataFrame:
+    rows = window_table(readings, window_sec, step_sec)
+    rows = rows.withColumn("protocol_label", F.when(F.col("source") == "lab", F.when(F.col("window_id") % 3 == 1, 1).otherwise(2)))
+    return add_personal_baseline(rows, FEATURES, minutes)
+
+
+def alerts(readings: DataFrame, window_sec: float, step_sec: float, minutes: float) -> DataFrame:
+    """Alert states of all windows, from a rule in place of a model: label and confidence follow the sample count."""
+    rows = personal_table(readings, window_sec, step_sec, minutes)
+    scored = rows.withColumns({"pred_label": (F.col("n_samples") % 3).cast("int"), "confidence": (F.col("n_samples") % 11) / 10.0})
+    return alert_state(scored, ["source"])
+
+
+def labelled_table(readings: DataFrame, intervals: DataFrame, window_sec: float, step_sec: float, minutes: float, min_overlap: float = 0.5, baseline_before_filter: bool = False) -> DataFrame:
+    """Windows, labels by overlap, and personal features. By default the baseline takes the first labelled windows."""
+    rows = label_by_overlap(window_table(readings, window_sec, step_sec), intervals, min_overlap, bucket_sec=window_sec)
+    rows = map_field_labels(rows)
+    if baseline_before_filter:
+        return labelled_only(add_personal_baseline(rows, FEATURES, minutes))
+    return add_personal_baseline(labelled_only(rows), FEATURES, minutes)
