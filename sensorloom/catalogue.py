@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import TrainConfig
 from .functions import columns as C
 from .jobs import audit, models, window_table
 from .operators import acc, baseline, decision, eda, hrv, metrics, prep, splits, stats, survey, thresholds, windows
 from .sources import driver_tables as D
+from .streaming import streams
 
 DAY3, DAY, HALF = 259_200.0, 86_400.0, 43_200.0
 KEYS = ["source", "subject_id", "session_id", "window_id"]
@@ -715,7 +718,8 @@ def top_k_features(spark, d):
 
 @query(
     f"""WITH {win(HALF, HALF)}, s1 AS (SELECT source, signal, count(*) AS n, min(value) AS low, max(value) AS high, max(ts_sec) - min(ts_sec) AS span FROM r GROUP BY ALL),
-    lag1 AS (SELECT source, signal, avg(a - b) AS lag FROM (SELECT source, subject_id, signal, min(ts_sec) AS a, min(min(ts_sec)) OVER (PARTITION BY source, subject_id) AS b FROM r GROUP BY ALL) GROUP BY ALL)
+    fs AS (SELECT source, subject_id, signal, min(ts_sec) AS a FROM r GROUP BY ALL), fu AS (SELECT source, subject_id, min(ts_sec) AS b FROM r GROUP BY ALL),
+    lag1 AS (SELECT source, signal, avg(a - b) AS lag FROM fs JOIN fu USING (source, subject_id) GROUP BY ALL)
     SELECT source, signal, n, {r('low', 'low')}, {r('high', 'high')}, {r('span', 'span', 3)}, {r('lag', 'mean_start_lag', 3)} FROM s1 JOIN lag1 USING (source, signal)"""
 )
 def audit_checks(spark, d):
@@ -751,9 +755,59 @@ def feature_selector(spark, d):
 
 @query()
 def evaluate(spark, d):
-    return models.evaluate(D.vectors(spark, d))
+    return models.evaluate(D.vectors(spark, d), TrainConfig(models=("rf",), folds=2, trees=5, max_depth=4))
 
 
 @query()
 def train_and_score(spark, d):
     return models.train_and_score(D.vectors(spark, d))
+
+
+# Streams -------------------------------------------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorloom-")
+
+
+WEEK = "7 days"
+
+
+@query()
+def stream_window_stats(spark, d):
+    return streams.run_to_table(streams.stream_window_stats(streams.stream_readings(spark, d), WEEK, None, "1 day"), _scratch(spark))
+
+
+@query(
+    f"""WITH {READ}, q AS (SELECT *, to_timestamp(floor(ts_sec / 604800) * 604800)::TIMESTAMP AS window_start FROM r)
+    SELECT source, subject_id, signal, count(*) AS n, {stats_sql('value', 'value')}, strftime(window_start, '%Y-%m-%d') AS day FROM q GROUP BY source, subject_id, signal, window_start"""
+)
+def batch_window_stats(spark, d):
+    rows = D.readings(spark, d).withColumn("ts", F.timestamp_micros((F.col("ts_sec") * 1e6).cast("long")))
+    out = streams.stream_window_stats(rows, WEEK)
+    return tidy(out.select("source", "subject_id", "signal", "n", *[c for c in out.columns if c.startswith("value_")], F.substring(C.iso_utc(F.unix_micros("window_start") / 1e6), 1, 10).alias("day")))
+
+
+def _stream_scored(spark, d):
+    rows = streams.stream_readings(spark, d).filter("signal = 'view'")
+    known = D.readings(spark, d).filter("signal = 'view'").groupBy("source", "subject_id").agg(F.percentile("value", F.lit(0.5)).alias("hr_mean_med"), F.stddev_samp("value").alias("hr_mean_scale"))
+    personal = streams.stream_personalise(rows.withColumnRenamed("value", "hr_mean"), known, ["hr_mean"])
+    return personal.withColumns({"window_start_ts": F.unix_micros("ts") / 1e6, "acc_activity": F.col("hr_mean"), "pred_label": (F.col("event_id") % 3).cast("int"), "confidence": (F.col("event_id") % 11) / 10.0})
+
+
+@query()
+def stream_personalise(spark, d):
+    return streams.run_to_table(_stream_scored(spark, d), _scratch(spark))
+
+
+@query(
+    f"""WITH {READ}, v AS (SELECT *, (event_id % 3)::INT AS pred_label, (event_id % 11) / 10.0 AS confidence, value AS x FROM r WHERE signal = 'view'),
+    b AS (SELECT source, subject_id, quantile_cont(x, 0.5) AS m, stddev_samp(x) AS s FROM v GROUP BY ALL),
+    f AS (SELECT v.*, coalesce(x - m >= 10, false) OR coalesce((x - m) / (s + 1e-8) >= 1, false) AS hr_high, coalesce(x >= 80, false) AS active, pred_label >= 2 OR (pred_label >= 1 AND confidence >= 0.65) AS stress FROM v JOIN b USING (source, subject_id)),
+    g AS (SELECT *, sum((NOT stress)::INT) OVER (PARTITION BY source, subject_id ORDER BY ts_sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
+    h AS (SELECT *, (sum(stress::INT) OVER (PARTITION BY source, subject_id, island ORDER BY ts_sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INT AS streak FROM g)
+    SELECT event_id, streak, CASE WHEN stress AND active AND hr_high THEN 'physical_activity_delay' WHEN pred_label >= 2 AND streak >= 3 AND confidence >= 0.7 THEN 'critical_alert'
+      WHEN pred_label >= 2 AND confidence >= 0.55 THEN CASE WHEN streak >= 2 THEN 'persistent_stress' ELSE 'rising_stress' END WHEN pred_label >= 1 THEN 'monitor_more' WHEN confidence < 0.45 THEN 'low_confidence_normal' ELSE 'normal' END AS alert_state FROM h"""
+)
+def stream_alerts(spark, d):
+    return streams.run_to_table(streams.stream_alerts(_stream_scored(spark, d), 80.0), _scratch(spark)).select("event_id", "streak", "alert_state")

@@ -140,7 +140,7 @@ def prepared(train: DataFrame, config: TrainConfig) -> DataFrame:
 
 def predict_fold(train: DataFrame, test: DataFrame, name: str, config: TrainConfig) -> DataFrame:
     """Test rows with proba_1, decision_threshold and pred_label. The threshold is tuned on a held-out part of the training set."""
-    split = splits.calibration_split(train, "y", "id", "group_id", config.seed)
+    split = splits.calibration_split(train, "y", "id", "group_id", config.seed).cache()  # read by each of the steps below
     fit, held = prepared(split.filter(~F.col("calibration")), config), split.filter("calibration")
     if config.top_k:
         chosen = fit_feature_selector(fit, "y", config.top_k)
