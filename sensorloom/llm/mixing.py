@@ -46,7 +46,7 @@ def source_targets(sizes: dict, weights: tuple[float, ...], share: float, most:
 
 
 def fit_counts(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, so that their words come as near under the budget as can be found."""
+    """How many documents of each size to take, so that their words come as near the budget as can be found."""
     total = int((size * count).sum())
     if budget >= total:
         return count.copy()
@@ -66,17 +66,21 @@ def fit_counts(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
         take[i] += more
         left -= more * int(size[i])
     # Bounded knapsack over what is left: bit w of `reach` is set if w words can be made exactly.
-    bound = min(left, FIT_WORDS)
+    goal = min(left, FIT_WORDS)
+    bound = goal + min(int(size.max()), FIT_WORDS)
     mask, reach, steps = (1 << (bound + 1)) - 1, 1, []
     for i in np.argsort(-size, kind="stable"):
         free, piece = min(int(count[i] - take[i]), bound // int(size[i])), 1
-        while free > 0 and not reach >> bound & 1:
+        while free > 0 and not reach >> goal & 1:
             n = min(piece, free)
             steps.append((int(i), n, reach))
             reach |= reach << (n * int(size[i])) & mask
             free -= n
             piece *= 2
-    at = reach.bit_length() - 1
+    at = (reach & (1 << (goal + 1)) - 1).bit_length() - 1  # the most words up to the goal
+    if over := reach >> (goal + 1):
+        more = goal + (over & -over).bit_length()  # the fewest beyond it
+        at = more if more - goal < goal - at else at
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             take[i] += n
