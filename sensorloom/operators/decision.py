@@ -72,7 +72,7 @@ def streak(df: DataFrame, flag: str, keys: list[str] | None = None, order: list[
 
     It runs on over the sessions of a person.
     """
-    keys, order = keys or ["source", "subject_id"], order or list(TIME)
+    keys, order = keys or ["source", "subject_id"], order or [c for c in TIME if c in df.columns]
     time = [F.col(c).asc_nulls_last() for c in order]
     island = F.sum((~F.col(flag)).cast("int")).over(Window.partitionBy(*keys).orderBy(*time).rowsBetween(Window.unboundedPreceding, 0))
     count = F.sum(F.col(flag).cast("int")).over(Window.partitionBy(*keys, "_island").orderBy(*time).rowsBetween(Window.unboundedPreceding, 0))
