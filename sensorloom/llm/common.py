@@ -44,6 +44,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of staged() that nothing reads any more."""
+    spark = table.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/staged-" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; Spark deletes it when nothing refers to it."""
     scratch_dir(df.sparkSession)

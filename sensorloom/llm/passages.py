@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import discard, staged, whole_text
 
 #: Odd multipliers of the rolling and the finishing step.
 _ROLL, _FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -105,22 +105,23 @@ def word_units(raws: list[bytes]) -> Units:
 
 @dataclass(frozen=True)
 class Runs:
-    """Runs of several texts: the text's place, the key, the first window in the text and how many windows."""
+    """Runs of several texts: the text's place, the key, the first window in the text, how many windows, and how far behind the first window's start the anchor is."""
 
     text: np.ndarray
     key: np.ndarray
     first: np.ndarray
     count: np.ndarray
+    anchor: np.ndarray
 
     def among(self, keys: np.ndarray) -> Runs:
         keep = np.isin(self.key, keys)
-        return Runs(self.text[keep], self.key[keep], self.first[keep], self.count[keep])
+        return Runs(self.text[keep], self.key[keep], self.first[keep], self.count[keep], self.anchor[keep])
 
 
 def runs(cut: Units, window: int, k: int) -> Runs:
     n = len(cut.units) - window + 1
     empty = np.zeros(0, dtype=np.int64)
-    keys, firsts, counts = [empty], [empty], [empty]
+    keys, firsts, counts, anchors = [empty], [empty], [empty], [empty]
     if n > 0:
         # Windows that reach over the end of their text are none.
         edge = np.zeros(n + 1, dtype=np.int64)
@@ -142,9 +143,10 @@ def runs(cut: Units, window: int, k: int) -> Runs:
             keys.append(part[place[first]].view(np.int64))
             firsts.append(here[first] + at)
             counts.append(np.diff(np.concatenate([first, [len(place)]])))
+            anchors.append(place[first] - here[first])
     key, first, count = np.concatenate(keys), np.concatenate(firsts), np.concatenate(counts)
     text = np.searchsorted(cut.start, first, side="right") - 1
-    return Runs(text, key, first - cut.start[text], count)
+    return Runs(text, key, first - cut.start[text], count, np.concatenate(anchors))
 
 
 class Passages:
@@ -177,7 +179,9 @@ class Passages:
         """doc and the list of its keys that occur more than once in all texts together."""
         found = staged(self.anchors(docs.select("doc", "text")))
         twice = found.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("key")
-        return staged(found.join(twice, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")))
+        keyed = staged(found.join(twice, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")))
+        discard(found)
+        return keyed
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -215,6 +219,17 @@ def places_of(column: pa.Array, name: str, start: np.ndarray) -> np.ndarray:
     return at[at < start[text[owner] + 1]]
 
 
+def ranges_of(column: pa.Array, start: np.ndarray) -> np.ndarray:
+    """For lists of (start, count) of each text: the windows meant, counted over all texts; what lies beyond a text is left out."""
+    held = column.flatten()
+    if not len(held):
+        return np.zeros(0, dtype=np.int64)
+    text = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    first, count = (held.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "count"))
+    at = windows_of(Runs(text, text, first, count, text), start)
+    return at[at < np.repeat(start[text + 1], count)]
+
+
 def filed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc (the id, NO_ID for null), text (empty for null), and the columns to carry along under names of their own."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole_text(F.col("text")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])

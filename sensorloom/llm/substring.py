@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import discard, staged
 from .passages import NO_ID, Passages, covered, encoded, filed, listed, pieces, places_of, spans_of, windows_of, word_units
 
 #: Words of a window, and of the grams that anchors are chosen from.
@@ -175,6 +175,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
     dealt = shared.filter(F.col("n").isNotNull()).select("key", "run", "doc", "start", "n").mapInPandas(deal, "key long, part int, run binary, doc long, start int")
     firsts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start").mapInPandas(stream, place)
     kept = staged(firsts.union(single).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("firsts")))
+    discard(known)
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

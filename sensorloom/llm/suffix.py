@@ -1,163 +1,173 @@
 """Suffix-array dedup of byte strings by a logarithmic family of indexes.
 
-Batches of candidate runs (see passages) get suffix arrays. A new batch is merge-scanned against
-each existing level, which finds the windows that both have, and levels of equal size merge, so
-there are about log2(batches) levels and a suffix is rewritten as often at most. A level is a table
-in the shared folder with one row for each anchor key: its runs, and their suffixes in the order of
-their first `window` bytes.
+Batches of candidate runs (see passages) get sparse suffix arrays: for each anchor key, its runs in
+the order of what follows the anchor. A new batch is merge-scanned against each existing level,
+which finds the strings that both have, and levels of equal size merge, so there are about
+log2(batches) levels and a run is rewritten as often at most. A level is a table in the shared
+folder, one row for each run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-from .passages import NO_ID, Passages, covered, filed, spread_windows
+from .common import discard, staged
+from .passages import NO_ID, Passages, byte_units, covered, encoded, filed, listed, pieces, ranges_of, spans_of, windows_of
 
 #: Bytes of a window, and of the grams that anchors are chosen from.
-WINDOW, GRAM = 200, 24
+WINDOW, GRAM = 200, 16
 #: Different runs of one key that stay together; beyond, runs are cut into windows and dealt by their hash.
-SHARD_RUNS = 2000
-_ENTRY = "key long, part int, runs array<struct<run: binary, n: int, doc: long, start: int>>, suffixes array<int>, matched array<struct<doc: long, start: int, at: array<int>>>"
-_TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint64)
-
-
-def byte_units(text: str) -> np.ndarray:
-    return _TABLE[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
-
-
-class SuffixArray:
-    """Runs and the places of their windows, in the order of the windows' bytes. A place is an offset into all runs together."""
-
-    def __init__(self, runs: list[dict], window: int, order: list[int] | None = None):
-        self.runs, self.window = runs, window
-        self.blob = b"".join(r["run"] for r in runs)
-        self.begin = np.concatenate([[0], np.cumsum([len(r["run"]) for r in runs])]).astype(np.int64)
-        if order is None:
-            order = [p for r, b in zip(runs, self.begin.tolist(), strict=False) for p in range(b, b + len(r["run"]) - window + 1)]
-            order.sort(key=lambda p: self.blob[p : p + window])
-        self.order = order
-
-    def repeats(self) -> set[int]:
-        """Places whose window stands next to an equal one."""
-        found, blob, w = set(), self.blob, self.window
-        last, at = None, -1
-        for p in self.order:
-            text = blob[p : p + w]
-            if text == last:
-                found.add(at)
-                found.add(p)
-            last, at = text, p
-        return found
-
-    def merged(self, other: SuffixArray) -> tuple[SuffixArray, set[int]]:
-        """Both arrays as one, by one scan of each, and the places of the windows that both have."""
-        w, shift = self.window, len(self.blob)
-        a, b, ta, tb = self.order, other.order, self.blob, other.blob
-        order, found, i, j = [], set(), 0, 0
-        while i < len(a) and j < len(b):
-            x, y = ta[a[i] : a[i] + w], tb[b[j] : b[j] + w]
-            if x < y:
-                order.append(a[i])
-                i += 1
-            elif y < x:
-                order.append(b[j] + shift)
-                j += 1
-            else:  # all places of this window on both sides
-                while i < len(a) and ta[a[i] : a[i] + w] == x:
-                    order.append(a[i])
-                    found.add(a[i])
-                    i += 1
-                while j < len(b) and tb[b[j] : b[j] + w] == x:
-                    order.append(b[j] + shift)
-                    found.add(b[j] + shift)
-                    j += 1
-        order += a[i:]
-        order += [p + shift for p in b[j:]]
-        return SuffixArray(self.runs + other.runs, w, order), found
-
-    def entry(self, key: int, part: int, found: set[int], whole: bool = True) -> tuple:
-        """A row of a level. matched lists the found windows of runs that occur once."""
-        places = np.array(sorted(found), dtype=np.int64)
-        owner = np.searchsorted(self.begin, places, side="right") - 1
-        matched = [{"doc": self.runs[r]["doc"], "start": self.runs[r]["start"], "at": (places[owner == r] - self.begin[r]).tolist()} for r in np.unique(owner).tolist() if self.runs[r]["n"] == 1]
-        return (key, part, self.runs, self.order, matched) if whole else (key, part, [], [], matched)
-
-
-def _groups(batches: Iterator[pd.DataFrame], settle: Callable) -> Iterator[pd.DataFrame]:
-    """Call settle(key, part, rows) for the rows of each key and part, which come in order."""
-    now, held = None, []
-    names = ["key", "part", "runs", "suffixes", "matched"]
-    for pdf in batches:
-        out = []
-        for row in pdf.to_dict("records"):
-            if (row["key"], row["part"]) != now:
-                if held:
-                    out.append(settle(*now, held))
-                now, held = (row["key"], row["part"]), []
-            held.append(row)
-        yield pd.DataFrame(out, columns=names)
-    yield pd.DataFrame([settle(*now, held)] if held else [], columns=names)
+SHARD_RUNS = 300
+_RUN = "key long, part int, run binary, anchor int, n int, doc long, start int"
+_LEVEL = _RUN + ", matched array<struct<start: int, count: int>>"
 
 
-class IndexFamily:
-    """The levels of the family: (batches in it, table), the newest last."""
+def common_start(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.levels, self.matched = window, [], []
 
-    def _keyed(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "part").sortWithinPartitions("key", "part")
+def common_end(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[len(a) - n :], "little") ^ int.from_bytes(b[len(b) - n :], "little")
+    return n - (differ.bit_length() + 7) // 8
 
-    def _index(self, batch: DataFrame) -> DataFrame:
-        window = self.window
 
-        def build(key, part, rows):
-            array = SuffixArray([{k: r[k] for k in ("run", "n", "doc", "start")} for r in rows], window)
-            return array.entry(key, part, array.repeats())
+@dataclass
+class Run:
+    """A run's bytes on both sides of its anchor's start, and the window ranges (first, last) found elsewhere."""
 
-        return staged(self._keyed(batch).mapInPandas(lambda it: _groups(it, build), _ENTRY))
+    left: bytes
+    right: bytes
+    n: int
+    doc: int
+    start: int
+    new: bool
+    found: list[tuple[int, int]] = field(default_factory=list)
 
-    def _scan(self, level: DataFrame, new: DataFrame, merge: bool) -> DataFrame:
-        window = self.window
+    def mark(self, before: int, after: int, window: int) -> None:
+        """Windows in the `before` bytes ahead of the anchor and the `after` bytes from it are found elsewhere."""
+        at = len(self.left)
+        first, last = max(0, at - before), min(at + after, at + len(self.right)) - window
+        if self.n == 1 and first <= last and (first, last) not in self.found:
+            self.found.append((first, last))
 
-        def scan(key, part, rows):
-            arrays = [SuffixArray(list(r["runs"]), window, list(r["suffixes"])) for r in rows]
-            if len(arrays) == 1:
-                return arrays[0].entry(key, part, set(), merge)
-            both, found = arrays[0].merged(arrays[1])
-            return both.entry(key, part, found, merge)
 
-        both = level.select("key", "part", "runs", "suffixes").union(new.select("key", "part", "runs", "suffixes"))
-        return staged(self._keyed(both).mapInPandas(lambda it: _groups(it, scan), _ENTRY))
+def _walk(runs: list[Run], part, common, other_part, other_common, window: int, across: bool, tie: bool) -> None:
+    """Compare each run with those after it in order for as long as they share half a window on this side.
 
-    def add(self, batch: DataFrame) -> None:
-        """Index a batch (key, part, run, n, doc, start), scan it against all levels and merge equal ones."""
-        size, new = 1, self._index(batch)
-        self.matched.append(new)
+    Two runs with a window in common share half of it on one side of the anchor at least: a walk in
+    the order of each side meets every such pair. With tie, pairs that the other walk meets are left
+    to it.
+    """
+    half = window // 2
+    near = [common(part(a), part(b)) for a, b in zip(runs, runs[1:], strict=False)]
+    for i, a in enumerate(runs):
+        shared = window * 4
+        for j in range(i + 1, len(runs)):
+            shared = min(shared, near[j - 1])
+            if shared < half:
+                break
+            b = runs[j]
+            if across and a.new == b.new or a.n > 1 and b.n > 1:
+                continue
+            other = other_common(other_part(a), other_part(b))
+            if other + shared < window or tie and other >= half:
+                continue
+            before, after = (other, shared) if part(a) is a.right else (shared, other)
+            a.mark(before, after, window)
+            b.mark(before, after, window)
+
+
+def scan_runs(runs: list[Run], window: int, across: bool = False) -> list[Run]:
+    """Mark the windows that two runs of a key share (across: one of them new), and give the runs in suffix order."""
+    if all(len(r.left) + len(r.right) == window for r in runs):  # single windows: equal ones are neighbours
+        order = sorted(runs, key=lambda r: (r.right, r.left))
+        for a, b in zip(order, order[1:], strict=False):
+            if a.right == b.right and a.left == b.left:
+                a.mark(window, window, window)
+                b.mark(window, window, window)
+        return order
+    order = sorted(runs, key=lambda r: r.right)
+    _walk(order, lambda r: r.right, common_start, lambda r: r.left, common_end, window, across, False)
+    back = sorted(runs, key=lambda r: r.left[::-1])
+    _walk(back, lambda r: r.left, common_end, lambda r: r.right, common_start, window, across, True)
+    return order
+
+
+class IndexFamily:
+    """The levels of the family: (batches in it, table), the newest last."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window, self.levels, self.matched = window, [], []
+
+    def _scanned(self, rows: DataFrame, across: bool, whole: bool) -> DataFrame:
+        """Scan the runs of each key. The rows of a level come back in suffix order; without whole, only what was found."""
+        window = self.window
+
+        def settle(key: int, part: int, runs: list[Run]) -> list[tuple]:
+            fresh = {r.new for r in runs}
+            order = runs if across and len(fresh) == 1 else scan_runs(runs, window, across)
+            out = []
+            for r in order:
+                if whole or r.found:
+                    matched = [{"start": r.start + a, "count": b - a + 1} for a, b in r.found]
+                    out.append((key, part, r.left + r.right if whole else None, len(r.left), r.n, r.doc, r.start, matched))
+            return out
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, held = None, []
+            names = ["key", "part", "run", "anchor", "n", "doc", "start", "matched"]
+            for pdf in batches:
+                out = []
+                for key, part, run, anchor, n, doc, start, new in pdf.itertuples(index=False):
+                    if (key, part) != now:
+                        out += settle(*now, held) if held else []
+                        now, held = (key, part), []
+                    held.append(Run(run[:anchor], run[anchor:], n, doc, start, new))
+                yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(settle(*now, held) if held else [], columns=names)
+
+        keyed = rows.select("key", "part", "run", "anchor", "n", "doc", "start", "new").repartition("key", "part").sortWithinPartitions("key", "part")
+        return staged(keyed.mapInPandas(scan, _LEVEL))
+
+    def add(self, batch: DataFrame, last: bool = False) -> None:
+        """Index a batch, scan it against all levels and merge equal ones. After the last batch no merged level is written."""
+        size, new = 1, self._scanned(batch.withColumn("new", F.lit(True)), False, True)
+        self._note(new)
         for held, level in reversed(self.levels[:]):
             merge = held == size
-            scanned = self._scan(level, new, merge)
-            self.matched.append(scanned)
+            both = level.withColumn("new", F.lit(False)).union(new.withColumn("new", F.lit(True)))
+            more = any(x is not level for _, x in self.levels)
+            scanned = self._scanned(both, True, merge and (more or not last))
+            self._note(scanned)
             if merge:
-                self.levels.remove((held, level))
+                self.levels = [x for x in self.levels if x[1] is not level]
+                discard(level)
+                discard(new)
                 size, new = 2 * size, scanned
         self.levels.append((size, new))
 
     def repeated(self) -> DataFrame:
-        """doc, start and window offsets of what was found twice, of runs that occur once."""
-        found = [m.select(F.explode("matched").alias("m")).select("m.*") for m in self.matched]
-        out = found[0]
-        for f in found[1:]:
-            out = out.union(f)
+        """doc, start and count of windows that were found twice, of runs that occur once."""
+        out = self.matched[0]
+        for m in self.matched[1:]:
+            out = out.union(m)
         return out
 
+    def _note(self, scanned: DataFrame) -> None:
+        """Keep what a scan found in a table of its own, so that levels can go when they are merged."""
+        self.matched.append(staged(scanned.filter(F.size("matched") > 0).select("doc", F.explode("matched").alias("m")).select("doc", "m.*")))
+
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (the bytes left) and removed (spans of bytes) of every row.
@@ -170,70 +180,77 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     passages = Passages(byte_units, window, gram)
     rows = filed(docs)
     keyed = passages.repeated_keys(rows)
-    texts = rows.join(keyed, "doc", "left")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                out = []
-                for doc, text, keys in pdf.iloc[at : at + 64][["doc", "text", "keys"]].itertuples(index=False):
-                    raw, seen = text.encode("utf-8", "replace"), {}
-                    for key, first, count in zip(*(a.tolist() for a in passages.chosen_runs(text, keys)), strict=True):
-                        run = raw[first : first + count + window - 1]
-                        seen.setdefault((key, run), []).append(first)
-                    out += [(key, run, len(at_), doc, at_[0]) for (key, run), at_ in seen.items()]
-                yield pd.DataFrame(out, columns=["key", "run", "n", "doc", "start"])
-
-    found = texts.filter(F.col("keys").isNotNull()).mapInPandas(cut, "key long, run binary, n long, doc long, start int")
-    # Copies of a run go map-side. A key with one run needs no comparison: the run occurs twice or more.
-    known = found.groupBy("key", "run").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"))
-    sizes = known.groupBy("key").agg(F.count("*").alias("different")).filter(F.col("different") > 1)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for raws, at in pieces(encoded(batch.column(1))):
+                _, found = passages.runs(raws)
+                found = found.among(listed(batch.column(2).slice(at, len(raws))))
+                seen: dict = {}
+                for text, key, first, count, anchor in zip(found.text.tolist(), found.key.tolist(), found.first.tolist(), found.count.tolist(), found.anchor.tolist(), strict=True):
+                    run = raws[text][first : first + count + window - 1]
+                    held = seen.get((key, run, anchor))
+                    if held is None:
+                        seen[key, run, anchor] = [1, ids[at + text], first]
+                    else:
+                        held[0] += 1
+                columns = [*([k[i] for k in seen] for i in range(3)), *([h[i] for h in seen.values()] for i in range(3))]
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "run", "anchor", "n", "doc", "start"])
+
+    found = rows.join(keyed, "doc").mapInArrow(cut, "key long, run binary, anchor int, n long, doc long, start int")
+    # Copies of a run go map-side. doc and start are read only where n is 1.
+    known = staged(found.groupBy("key", "run", "anchor").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min("start").alias("start")))
+    # Only keys with several runs, one of them single, need a comparison.
+    sizes = known.groupBy("key").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter((F.col("different") > 1) & (F.col("least") == 1)).drop("least")
     open_ = staged(known.join(sizes, "key").withColumn("n", F.least("n", F.lit(2)).cast("int")))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, run, n, doc, start, different in pdf[["key", "run", "n", "doc", "start", "different"]].itertuples(index=False):
+            for key, run, anchor, n, doc, start, different in pdf[["key", "run", "anchor", "n", "doc", "start", "different"]].itertuples(index=False):
                 if different <= SHARD_RUNS:
-                    out.append((key, 0, run, n, doc, start))
+                    out.append((key, 0, run, anchor, n, doc, start))
                     continue
-                parts = -(-different // SHARD_RUNS)
+                parts = -(-different // 100)
                 for i in range(len(run) - window + 1):
                     one = run[i : i + window]
-                    out.append((key, xxhash.xxh3_64_intdigest(one) % parts, one, n, doc, start + i))
-            yield pd.DataFrame(out, columns=["key", "part", "run", "n", "doc", "start"])
+                    out.append((key, xxhash.xxh3_64_intdigest(one) % parts, one, anchor - i, n, doc, start + i))
+            yield pd.DataFrame(out, columns=["key", "part", "run", "anchor", "n", "doc", "start"])
 
     family = IndexFamily(window)
     for b in range(batches):
         batch = open_.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
-        family.add(batch.mapInPandas(deal, "key long, part int, run binary, n int, doc long, start int"))
-    once = open_.filter("n = 1").select("doc", "start", (F.length("run") - (window - 1)).alias("count"))
+        family.add(batch.mapInPandas(deal, _RUN), b == batches - 1)
+    discard(open_)
+    once = known.filter("n = 1").select("doc", "start", (F.length("run") - (window - 1)).cast("int").alias("count"))
     once = once.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("once"))
-    again = family.repeated().groupBy("doc").agg(F.collect_list(F.struct("start", "at")).alias("again"))
-
-    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                out = []
-                for doc, text, keys, once, again in pdf.iloc[at : at + 256][["doc", "text", "keys", "once", "again"]].itertuples(index=False):
-                    raw = text.encode("utf-8", "replace")
-                    gone = np.zeros(len(raw), dtype=bool)
-                    if keys is not None and len(keys):
-                        _, first, count = passages.chosen_runs(text, keys)
-                        twice = np.zeros(max(0, len(raw) - window + 1), dtype=bool)
-                        twice[spread_windows(first, count)] = True
-                        for o in once if once is not None else ():
-                            twice[o["start"] : o["start"] + o["count"]] = False
-                        for o in again if again is not None else ():
-                            places = o["start"] + np.asarray(o["at"], dtype=np.int64)
-                            twice[places[places < len(twice)]] = True
-                        gone = covered(np.nonzero(twice)[0], window, len(raw))
-                    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                    spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], strict=True)]
-                    left = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes() if spans else raw
-                    out.append((None if doc == NO_ID else doc, len(raw), int(gone.sum()), left, spans))
-                made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
-                yield made.assign(doc_id=made["doc_id"].astype("Int64"))
-
-    done = texts.join(once, "doc", "left").join(again, "doc", "left")
-    return done.mapInPandas(clear, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start: int, end: int>>")
+    again = family.repeated().groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("again"))
+    settled = staged(once.join(again, "doc", "full").select("doc", "once", "again"))
+    discard(known)
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raws, at in pieces(encoded(batch.column(1))):
+                part = batch.slice(at, len(raws))
+                units, found = passages.runs(raws)
+                found = found.among(listed(part.column(2)))
+                twice = np.zeros(len(units.units), dtype=bool)
+                twice[windows_of(found, units.start)] = True
+                twice[ranges_of(part.column(3), units.start)] = False
+                twice[ranges_of(part.column(4), units.start)] = True
+                gone = covered(twice, window)
+                removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), units.start[:-1]) * (np.diff(units.start) > 0)
+                left, spans = [], []
+                for i, raw in enumerate(raws):
+                    cuts = spans_of(gone[units.start[i] : units.start[i + 1]]) if removed[i] else []
+                    ends = [0, *(x for c in cuts for x in c), None]
+                    spans.append([{"start": a, "end": b} for a, b in cuts])
+                    left.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw)
+                ids = pa.array([None if d == NO_ID else d for d in part.column(0).to_pylist()], pa.int64())
+                place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()), pa.array(spans, place)], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
+
+    done = rows.join(keyed, "doc", "left").join(settled, "doc", "left").select("doc", "text", "keys", "once", "again")
+    return done.mapInArrow(clear, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start: int, end: int>>")
