@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, whole_text
 from .components import components
+from .jaccard import prefixes, similar_groups
 
 #: Fingerprints that trees are learned from, and that a shard and a block of a crowded shard hold about.
 SAMPLE, SHARD, BLOCK = 8192, 8192, 16_384
@@ -254,21 +255,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, words: int = 1, mos
     return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", *names, "component_id")
 
 
-#: Sixteen chunks of 16 bits for 256-bit fingerprints.
-SIXTEENTHS = tuple(Chunk(w, s, 16) for w in range(4) for s in range(0, 64, 16))
-#: Bits of 256 by which fingerprints of sets of five-word shingles differ at a similarity of 0.8:
-#: 256 * acos(2 * 0.8 / 1.8) / pi = 39 on average.
-SIMILAR_BITS = 39
-
-
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of about 0.8 or more).
+    """One document of each group of near-duplicates (sets of five-word shingles, Jaccard of 0.8 or more).
 
-    The document with the smallest id stays. Links are fingerprint pairs of at most SIMILAR_BITS of
-    256 bits that differ in at most one bit in one of 16 chunks: all pairs up to 31 bits, and over
-    99 % of those at 39, where the bits spread by chance. Rows whose id is null, and rows that
-    repeat an id, stay with or go with their group's id.
+    Groups are the components of all pairs of rows at 0.8 or more, decided by the whole sets (see
+    jaccard); texts without words are alike. The document with the smallest id stays. Rows whose id
+    is null, and rows that repeat an id, stay with or go with their group's id.
     """
-    found = near_duplicates(docs, shingle_words=5, words=4, most_bits=SIMILAR_BITS, chunks=SIXTEENTHS, reach=1)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    text = whole_text(F.col("text"))
+    texts = docs.select(F.unhex(F.md5(text)).alias("copy"), text.alias("text"))
+    rows = staged(prefixes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("copy"), text.alias("text")), 5))
+    found = rows.select("doc_id", "node").join(similar_groups(rows, texts, 5), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("first_id"))
+    gone = found.join(least, "root").filter("doc_id != first_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

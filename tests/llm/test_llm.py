@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from oracle import check  # noqa: E402
-from sensorloom.llm import ann, bpe, license, mixing, passages, quality, queries, rules, simhash, substring, suffix, url_filter  # noqa: E402
+from sensorloom.llm import ann, bpe, jaccard, license, mixing, passages, quality, queries, rules, simhash, substring, suffix, url_filter  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, key long, doc string, run int, node string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +226,42 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_kept(texts, ids):
+    """Rows that one_of_each_group keeps, by all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or "")):
+        least.setdefault(root[i], i)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("last", [400_000, 0])
+def test_near_copies_by_all_pairs(spark, sf_dir, docs, monkeypatch, last):
+    """Copies on either side of 0.8, of texts with and without repeated lines, and short ones."""
+    monkeypatch.setattr(jaccard, "LAST", max(1, last))
+    rng = np.random.default_rng(8)
+    texts = list(docs.values())
+    for n in (6, 12, 60, 61, 200, 480):
+        for repeats in (0, 3):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, n)] + [f"line{x}" for x in range(12)] * (repeats * n // 12)
+            texts.append(" ".join(words))
+            for share in (0.005, 0.01, 0.02, 0.022, 0.025, 0.03, 0.04, 0.1):
+                other = list(words)
+                for at in rng.choice(len(words), max(1, int(share * len(words))), replace=False):
+                    other[at] = f"x{rng.integers(0, 10**6)}"
+                texts += [" ".join(other), " ".join(words[: int(len(words) * (1 - 4 * share))])]
+    got = sorted(r["doc_id"] for r in simhash.one_of_each_group(frame(spark, texts)).collect())
+    assert got == brute_kept(texts, list(range(len(texts))))
+
+
 # 6 and 10 Repeated passages ------------------------------------------------------------------------
 
 
