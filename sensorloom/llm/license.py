@@ -44,30 +44,40 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", "permissive", ("bsd_redistribute", "bsd_source", "bsd_binary")),
 )
 
-#: A sentence ends at a line feed, or at . ! ? ; : before white space or the end.
+#: A sentence ends at a line feed, or at . ! ? ; : before white space or the end. A known sentence may
+#: also run over line feeds, ; and : (SOFT), as wrapped notices do, but not over . ! ? or a blank line (HARD).
+HARD = r"[.!?](?=[\x20\x09-\x0D]|\z)|\n[\x20\x09\x0B-\x0D]*(?=\n)"
+SOFT = r"\n|[;:](?=[\x20\x09-\x0D]|\z)"
 SENTENCE_END = r"\n|[.!?;:](?=[\x20\x09-\x0D]|\z)"
 
 
-def normal_form(sentence: Column) -> Column:
-    """A-Z in lower case; every run of anything but a-z and 0-9 is one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+def marked_form(text: Column) -> Column:
+    """The normal form of a whole text, with | where a sentence must end and ~ where one may."""
+    text = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|~", "abcdefghijklmnopqrstuvwxyz  ")
+    for pattern, mark in ((HARD, "|"), (SOFT, "~"), ("[^a-z0-9|~]+", " "), (r"[ ~]*\|[ |~]*", "|"), (" ?~[ ~]*", "~")):
+        text = F.regexp_replace(text, pattern, mark)
+    return F.concat(F.lit("|"), F.trim(text), F.lit("|"))
 
 
 def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (in text order), licenses (sorted) and kind of every row.
 
     A rule matches where its identifiers stand next to each other in the sequence of known sentences;
-    unknown sentences between them don't count. kind is the strictest of the licenses found
+    unknown sentences between them don't count. A known sentence starts and ends where a sentence may,
+    and may be wrapped over lines (n_sentences counts every line and part by itself). kind is the strictest of the licenses found
     (non-commercial, copyleft, permissive), or none. Null and empty texts have no sentences. Rows
     that repeat are scanned each; columns other than doc_id and text are not read.
     """
-    # Only sentences that start with the first word of a known one are put in normal form.
-    first = "|".join(sorted({s.split()[0] for s in sentences.values()}))
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
-    cut = docs.select("doc_id", F.filter(F.split(whole_text(F.col("text")), SENTENCE_END), lambda s: F.trim(s) != "").alias("parts"))
-    likely = F.filter("parts", lambda s: F.rlike(s, F.lit(f"(?i)^[^a-z0-9]*(?:{first})(?![a-z0-9])")))
-    ids = F.array_compact(F.transform(likely, lambda s: F.element_at(known, normal_form(s))))
-    found = cut.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
+    # Only texts that hold the first two words of a known sentence are put in marked form.
+    first = "|".join(sorted({"[^a-z0-9]+".join(s.split()[:2]) for s in sentences.values()}))
+    text = whole_text(F.col("text"))
+    likely = F.when(F.rlike(text, F.lit(f"(?i)(?<![a-z0-9])(?:{first})(?![a-z0-9])")), text).otherwise("")
+    one = "|".join(s.replace(" ", "[ ~]") for s in sorted(sentences.values(), key=len, reverse=True))
+    spans = F.regexp_extract_all(marked_form(likely), F.lit(f"(?<=[|~])(?:{one})(?=[|~])"), F.lit(0))
+    ids = F.transform(spans, lambda s: F.element_at(known, F.translate(s, "~", " ")))
+    parts = F.filter(F.split(text, SENTENCE_END), lambda s: F.trim(s) != "")
+    found = docs.select("doc_id", F.size(parts).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
     hit = lambda r: line.contains("|" + "|".join(r[2]) + "|")
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(hit(r), F.lit(r[0])) for r in rules]))))
