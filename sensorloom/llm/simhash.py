@@ -259,13 +259,21 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates (sets of five-word shingles, Jaccard of 0.8 or more).
 
     Groups are the components of all pairs of rows at 0.8 or more, decided by the whole sets (see
-    jaccard); texts without words are alike. The document with the smallest id stays. Rows whose id
-    is null, and rows that repeat an id, stay with or go with their group's id.
+    jaccard); texts without words are alike. The row with the smallest id stays, nulls last; among
+    rows that repeat an id, one by the digest of the text. Every row is judged by its own text.
     """
-    text = whole_text(F.col("text"))
-    texts = docs.select(F.unhex(F.md5(text)).alias("copy"), text.alias("text"))
-    rows = staged(prefixes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("copy"), text.alias("text")), 5))
-    found = rows.select("doc_id", "node").join(similar_groups(rows, texts, 5), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("first_id"))
-    gone = found.join(least, "root").filter("doc_id != first_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    copy = F.unhex(F.md5(whole_text(F.col("text"))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), whole_text(F.col("text")).alias("text"))
+    rows = staged(prefixes(texts, 5))
+    found = rows.select("doc_id", "copy", "node").join(similar_groups(rows, texts, 5), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells = found.groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
+    first = cells.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
+    judged = staged(cells.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "n", stays.alias("stays")).filter("not stays or n > 1"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (copy == F.col("_copy"))
+    if judged.filter("stays").isEmpty():
+        return docs.join(judged, same, "left_anti")
+    # One of the rows that are equal in id and text, by their other columns.
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(judged.filter("stays"), same).groupBy("_id", "_copy").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return docs.join(judged, same, "left_anti").unionByName(again)

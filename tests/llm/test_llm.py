@@ -262,6 +262,15 @@ def test_near_copies_by_all_pairs(spark, sf_dir, docs, monkeypatch, last):
     assert got == brute_kept(texts, list(range(len(texts))))
 
 
+def test_near_copies_row_by_row(spark):
+    """Rows without an id, rows that share one, and equal rows."""
+    near, clean = BASE.replace("alpha89", "other"), [" ".join(f"{w}{i}" for i in range(40)) for w in ("b", "c", "d")]
+    rows = [(1, BASE), (1, BASE), (1, clean[0]), (2, near), (2, clean[1]), (None, near), (None, clean[2]), (None, clean[2]), (None, None), (None, "")]
+    texts, ids = [t for _, t in rows], [i for i, _ in rows]
+    got = simhash.one_of_each_group(frame(spark, texts, ids))
+    assert Counter((r["doc_id"], r["text"] or "") for r in got.collect()) == Counter((ids[i], texts[i] or "") for i in brute_kept(texts, ids))
+
+
 # 6 and 10 Repeated passages ------------------------------------------------------------------------
 
 
