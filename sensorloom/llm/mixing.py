@@ -106,8 +106,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     fitted in one task: n different lengths need n * n / 2 words, so 10^13 words have under
     5 million. Other columns are not read.
     """
+    return _drawn(docs, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int, **keys: Column) -> DataFrame:
+    """The draw of mix(), with further columns that tell rows apart (and settle ties)."""
     spark = docs.sparkSession
-    rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[c.alias(k) for k, c in keys.items()]))
     totals = {r["source"]: r["words"] for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     targets = source_targets(totals, weights, share, most)
     plan = spark.createDataFrame(
@@ -116,20 +121,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = rows.alias("r").join(F.broadcast(plan.alias("p")), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
-        "doc_id", "size", "source_no", "source_size", "target", order.alias("draw"), F.pmod(order, F.lit(PARTS)).cast("int").alias("part")
+        "doc_id", "size", "source_no", "source_size", "target", order.alias("draw"), F.pmod(order, F.lit(PARTS)).cast("int").alias("part"), *keys
     )
     cells = rows.filter("size > 0").groupBy("source_no", "size", "part").agg(F.count("*").alias("n"), F.first("target").alias("target"))
     quotas = cells.groupBy("source_no", "size").agg(F.sum("n").alias("n"), F.first("target").alias("target")).groupBy("source_no").applyInPandas(_fit_source, "source_no int, size long, base long, extra long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_no", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("source_no", "size", "part", before.alias("before")).join(quotas, ["source_no", "size"])
-    place = F.col("before") + F.row_number().over(Window.partitionBy("source_no", "size", "part").orderBy("draw", "doc_id"))
-    taken = rows.join(cells, ["source_no", "size", "part"], "left").withColumn("copies", F.when(F.col("base").isNull(), 0).otherwise(F.col("base") + (place <= F.col("extra")).cast("long")))
-    return taken.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as many times as it is taken."""
-    counts = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    once = counts.groupBy("_mix_id").agg(F.max("_mix_copies").alias("_mix_copies"))
-    joined = docs.join(once, docs["doc_id"].eqNullSafe(once["_mix_id"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("source_no", "size", "part").orderBy("draw", "doc_id", *keys))
+    return rows.join(cells, ["source_no", "size", "part"], "left").withColumn("copies", F.when(F.col("base").isNull(), 0).otherwise(F.col("base") + (place <= F.col("extra")).cast("long")))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
+    """The documents of the mix with all their columns, each row as many times as it is taken by itself."""
+    source, text = F.col("source").cast("string"), F.md5(whole_text(F.col("text")))
+    drawn = _drawn(docs, weights, share, most, seed, _mix_source=source, _mix_text=F.unhex(text))
+    # Rows equal in id, source and text have the same base, so that their copies differ by one at most.
+    cells = drawn.groupBy(F.col("doc_id").alias("_mix_id"), "_mix_source", "_mix_text").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_n")).filter("_mix_copies > 0")
+    cells = staged(cells)
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & source.eqNullSafe(F.col("_mix_source")) & (F.unhex(text) == F.col("_mix_text"))
+    out = docs.join(cells.filter("_mix_n = 1"), same)
+    repeated = cells.filter("_mix_n > 1")
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source", "_mix_text").orderBy(F.to_json(F.struct(*[docs[c] for c in docs.columns]))))
+        own = F.expr("_mix_copies div _mix_n") + (nth <= F.expr("_mix_copies % _mix_n")).cast("long")
+        out = out.unionByName(docs.join(repeated, same).withColumn("_mix_copies", own).filter("_mix_copies > 0"))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -435,6 +435,18 @@ def test_mix_of_the_driver_table(spark, sf_dir):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max() / 2 + 1
 
 
+def test_mix_takes_each_row_by_itself(spark):
+    """Rows without an id or that repeat one, of other texts and sources, and equal rows."""
+    rng = np.random.default_rng(4)
+    texts = [None, "", *[f"t{i} " * int(n) for i, n in enumerate(rng.integers(1, 40, 60))], *["same text here"] * 7]
+    df = frame(spark, texts, [None if i % 3 == 0 else i % 4 for i in range(len(texts))])
+    want = mixing.mix(df).toPandas()
+    got = mixing.mixed_documents(df).toPandas()
+    size = got["text"].map(lambda t: len(WORD.findall(t or "")))
+    assert (size > 0).all() and size.sum() == want["taken"].sum()
+    assert Counter(size) == Counter({n: c for n, c in want.groupby("size")["copies"].sum().items() if c})
+
+
 # 9 License rules -----------------------------------------------------------------------------------
 
 
