@@ -26,8 +26,6 @@ _ROLL, _FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _STEP = 1 << 16
 #: Bytes of texts that are handled at once, and that are hashed at once.
 _BATCH, _HASHED = 4 << 20, 1 << 17
-#: The id under which rows without one are filed: the smallest.
-NO_ID = -(1 << 63)
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint64)
 _PLACE = np.array([pow(_ROLL, i, 1 << 64) for i in range(64)], dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
@@ -159,8 +157,8 @@ class Passages:
         cut = self.cut(raws)
         return cut, runs(cut, self.window, self.k)
 
-    def anchors(self, docs: DataFrame) -> DataFrame:
-        """key, doc and n (runs with that key in the row): one row for each key of a row."""
+    def anchors(self, rows: DataFrame) -> DataFrame:
+        """key, place and n (runs with that key in the row): one row for each key of a row."""
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -171,15 +169,18 @@ class Passages:
                     first = np.nonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(key) != 0)]))[0] if len(key) else np.zeros(0, dtype=np.int64)
                     n = np.diff(np.concatenate([first, [len(key)]])).astype(np.int32)
                     ids = batch.column(0).slice(at, len(raws)).to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(ids[text[first]]), pa.array(n)], names=["key", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(ids[text[first]]), pa.array(n)], names=["key", "place", "n"])
 
-        return docs.mapInArrow(find, "key long, doc long, n int")
+        return rows.select("place", "text").mapInArrow(find, "key long, place long, n int")
 
-    def repeated_keys(self, docs: DataFrame) -> DataFrame:
-        """doc and the list of its keys that occur more than once in all texts together."""
-        found = staged(self.anchors(docs.select("doc", "text")))
+    def repeated_keys(self, rows: DataFrame) -> DataFrame:
+        """place and the list of its keys that occur more than once in all texts together.
+
+        Rows whose places are equal by chance share their lists: keys more, which cost time only.
+        """
+        found = staged(self.anchors(rows))
         twice = found.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("key")
-        keyed = staged(found.join(twice, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")))
+        keyed = staged(found.join(twice, "key").groupBy("place").agg(F.collect_set("key").alias("keys")))
         discard(found)
         return keyed
 
@@ -219,20 +220,17 @@ def places_of(column: pa.Array, name: str, start: np.ndarray) -> np.ndarray:
     return at[at < start[text[owner] + 1]]
 
 
-def ranges_of(column: pa.Array, start: np.ndarray) -> np.ndarray:
-    """For lists of (start, count) of each text: the windows meant, counted over all texts; what lies beyond a text is left out."""
-    held = column.flatten()
-    if not len(held):
-        return np.zeros(0, dtype=np.int64)
-    text = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
-    first, count = (held.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "count"))
-    at = windows_of(Runs(text, text, first, count, text), start)
-    return at[at < np.repeat(start[text + 1], count)]
-
-
 def filed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc (the id, NO_ID for null), text (empty for null), and the columns to carry along under names of their own."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole_text(F.col("text")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    """Rows that are told apart by what they hold, never by doc_id alone.
+
+    id (as it is), doc (the id, the smallest long for null) and copy (a hash of the text) name a row;
+    place is one hash of both. Rows equal in id and text have equal names and get equal results.
+    text is empty for null; columns to carry along get names of their own.
+    """
+    text = whole_text(F.col("text"))
+    id_ = F.col("doc_id").cast("long")
+    named = docs.select(id_.alias("id"), F.coalesce(id_, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    return named.withColumn("place", F.xxhash64("doc", "copy"))
 
 
 def windows_of(found: Runs, start: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, staged
-from .passages import NO_ID, Passages, covered, encoded, filed, listed, pieces, places_of, spans_of, windows_of, word_units
+from .passages import Passages, covered, encoded, filed, listed, pieces, places_of, spans_of, windows_of, word_units
 
 #: Words of a window, and of the grams that anchors are chosen from.
 WINDOW, GRAM = 20, 6
@@ -80,10 +80,10 @@ class SuffixAutomaton:
         return out
 
 
-def first_windows(runs: list[tuple[int, int, list]], window: int) -> list[list[int]]:
-    """For runs in (doc, start) order: the windows of each that no earlier run has."""
+def first_windows(runs: list[list], window: int) -> list[list[int]]:
+    """For the tokens of runs, the earliest first: the windows of each that no earlier run has."""
     automaton, out = SuffixAutomaton(), []
-    for i, (_, _, tokens) in enumerate(runs):
+    for i, tokens in enumerate(runs):
         size = automaton.matches(tokens) if i else [0] * len(tokens)
         out.append([w for w in range(len(tokens) - window + 1) if size[w + window - 1] < window])
         if i + 1 < len(runs):
@@ -105,10 +105,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) and removed (spans of words) of every row.
 
     A word goes if a window of `window` words covers it whose words also start earlier: in a smaller
-    doc_id, or earlier in the document. Null and empty texts have no words. Null ids come first and
-    count as one document, as do rows that repeat an id: a window that is kept at a place in one of
-    them is kept there in all. With layout, kept is the text itself without the spans, white space and
-    all. Columns named in carry come along unchanged; others are not read.
+    doc_id, or earlier in the document. Null and empty texts have no words. Null ids come first. Every
+    row is judged by itself, whatever its id: rows that share one, or have none, and differ in their
+    texts come in the order of a hash of these. Rows equal in id and text count as one document and
+    get equal results. With layout, kept is the text itself without the spans, white space and all.
+    Columns named in carry come along unchanged; others are not read.
     """
     passages = Passages(word_units, window, gram)
     rows = filed(docs, carry)
@@ -117,64 +118,69 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for raws, at in pieces(encoded(batch.column(1))):
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for raws, at in pieces(encoded(batch.column(2))):
                 _, found = passages.runs(raws)
-                found = found.among(listed(batch.column(2).slice(at, len(raws))))
+                found = found.among(listed(batch.column(3).slice(at, len(raws))))
                 words, last, least = [], -1, {}
                 for text, key, first, count in zip(found.text.tolist(), found.key.tolist(), found.first.tolist(), found.count.tolist(), strict=True):
                     if text != last:
                         words, last = raws[text].split(), text
-                    run, place = (key, b" ".join(words[first : first + count + window - 1])), (ids[at + text], first)
+                    run, place = (key, b" ".join(words[first : first + count + window - 1])), (*names[at + text], first)
                     if run not in least or place < least[run]:  # the first of equals stands for all
                         least[run] = place
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in least], pa.int64()), pa.array([r for _, r in least], pa.binary()), pa.array([d for d, _ in least.values()], pa.int64()), pa.array([s for _, s in least.values()], pa.int32())], names=["key", "run", "doc", "start"])
+                columns = [*([k[i] for k in least] for i in range(2)), *([p[i] for p in least.values()] for i in range(3))]
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "run", "doc", "copy", "start"])
+
+    def first_of(runs: DataFrame, *keys: str) -> DataFrame:
+        """The earliest place of equal runs, map-side first."""
+        return runs.groupBy(*keys).agg(F.min(F.struct("doc", "copy", "start")).alias("at")).select(*keys, "at.*")
 
-    found = rows.select("doc", "text").join(keyed, "doc").mapInArrow(cut, "key long, run binary, doc long, start int")
-    # Copies of a run go map-side. min_by takes the start in the least document.
-    known = staged(found.groupBy("key", "run").agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start")))
+    found = rows.join(keyed, "place").select("doc", "copy", "text", "keys").mapInArrow(cut, "key long, run binary, doc long, copy long, start int")
+    known = staged(first_of(found, "key", "run"))
     sizes = known.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     shared = known.join(sizes, "key", "left")
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows = [list(range(r.count(b" ") - window + 2)) for r in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.int32()))], names=["doc", "start", "windows"])
+            windows = [list(range(r.count(b" ") - window + 2)) for r in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows, pa.list_(pa.int32()))], names=["doc", "copy", "start", "windows"])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, run, doc, start, n in pdf[["key", "run", "doc", "start", "n"]].itertuples(index=False):
-                if n <= SHARD_RUNS:
-                    out.append((key, 0, run, doc, start))
-                    continue
+            for key, run, doc, copy, start, n in pdf[["key", "run", "doc", "copy", "start", "n"]].itertuples(index=False):
                 words, parts = run.split(), -(-n // SHARD_RUNS)
                 for i in range(len(words) - window + 1):
                     one = b" ".join(words[i : i + window])
-                    out.append((key, xxhash.xxh3_64_intdigest(one) % parts, one, doc, start + i))
-            yield pd.DataFrame(out, columns=["key", "part", "run", "doc", "start"])
+                    out.append((key, xxhash.xxh3_64_intdigest(one) % parts, one, doc, copy, start + i))
+            yield pd.DataFrame(out, columns=["key", "part", "run", "doc", "copy", "start"])
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, held = None, []
+        names = ["doc", "copy", "start", "windows"]
 
         def settle():
-            return [(doc, start, w) for (doc, start, _), w in zip(held, first_windows(held, window), strict=True) if w]
+            return [(*at, w) for (at, _), w in zip(held, first_windows([tokens for _, tokens in held], window), strict=True) if w]
 
         for pdf in batches:
             out = []
-            for key, part, run, doc, start in pdf[["key", "part", "run", "doc", "start"]].itertuples(index=False):
+            for key, part, run, *at in pdf[["key", "part", "run", "doc", "copy", "start"]].itertuples(index=False):
                 if (key, part) != shard:
                     out += settle()
                     shard, held = (key, part), []
-                held.append((doc, start, run.split()))
-            yield pd.DataFrame(out, columns=["doc", "start", "windows"])
-        yield pd.DataFrame(settle(), columns=["doc", "start", "windows"])
-
-    place = "doc long, start int, windows array<int>"
-    single = shared.filter(F.col("n").isNull()).select("doc", "start", "run").mapInArrow(alone, place)
-    dealt = shared.filter(F.col("n").isNotNull()).select("key", "run", "doc", "start", "n").mapInPandas(deal, "key long, part int, run binary, doc long, start int")
-    firsts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "start").mapInPandas(stream, place)
-    kept = staged(firsts.union(single).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("firsts")))
+                held.append((at, run.split()))
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(settle(), columns=names)
+
+    place, of_shard = "doc long, copy long, start int, windows array<int>", ["key", "part", "run", "doc", "copy", "start"]
+    single = shared.filter(F.col("n").isNull()).select("doc", "copy", "start", "run").mapInArrow(alone, place)
+    small = shared.filter(F.col("n") <= SHARD_RUNS).withColumn("part", F.lit(0)).select(*of_shard)
+    crowded = shared.filter(F.col("n") > SHARD_RUNS).mapInPandas(deal, "key long, part int, run binary, doc long, copy long, start int")
+    dealt = small.union(first_of(crowded, "key", "part", "run").select(*of_shard))  # equal windows meet before a shard gathers them
+    firsts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "copy", "start").mapInPandas(stream, place)
+    kept = staged(firsts.union(single).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "windows")).alias("firsts")))
     discard(known)
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +203,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
                         continue
                     words, ends = raw.split(), [0, *(x for c in cuts for x in c), None]
                     left.append(b" ".join(words if not cuts else [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]))
-                ids = pa.array([None if d == NO_ID else d for d in part.column(0).to_pylist()], pa.int64())
                 place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()).cast(pa.string()), pa.array(spans, place), *part.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept", "removed", *(f.name for f in carried)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()).cast(pa.string()), pa.array(spans, place), *part.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept", "removed", *(f.name for f in carried)])
 
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: int, end: int>>")
-    done = rows.join(keyed, "doc", "left").join(kept, "doc", "left").select("doc", "text", "keys", "firsts", *[f"carry_{f.name}" for f in carried])
+    done = rows.join(keyed, "place", "left").join(kept, ["doc", "copy"], "left").select("id", "text", "keys", "firsts", *[f"carry_{f.name}" for f in carried])
     return done.mapInArrow(clear, T.StructType(schema.fields + carried))
 
 

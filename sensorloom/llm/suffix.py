@@ -1,181 +1,218 @@
 """Suffix-array dedup of byte strings by a logarithmic family of indexes.
 
 Batches of candidate runs (see passages) get sparse suffix arrays: for each anchor key, its runs in
-the order of what follows the anchor. A new batch is merge-scanned against each existing level,
-which finds the strings that both have, and levels of equal size merge, so there are about
-log2(batches) levels and a run is rewritten as often at most. A level is a table in the shared
-folder, one row for each run.
+the order of the bytes that follow the anchor, and of those before it. A new batch is merge-scanned
+against each existing level, which finds the strings that both have, and levels of equal size merge,
+so there are about log2(batches) levels and a run is rewritten as often at most. A level is a table
+in the shared folder, one row for each different run, with one bit for each of its windows.
+
+Neighbours in both orders tell how many bytes a run shares with any other on either side, so for a
+given distance of window and anchor, equal windows are runs in one group of both orders: groups are
+numbered, never compared in pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, staged
-from .passages import NO_ID, Passages, byte_units, covered, encoded, filed, listed, pieces, ranges_of, spans_of, windows_of
+from .passages import Passages, Runs, byte_units, covered, encoded, filed, listed, pieces, spans_of, windows_of
 
 #: Bytes of a window, and of the grams that anchors are chosen from.
 WINDOW, GRAM = 200, 16
-#: Different runs of one key that stay together; beyond, runs are cut into windows and dealt by their hash.
-SHARD_RUNS = 300
-_RUN = "key long, part int, run binary, anchor int, n int, doc long, start int"
-_LEVEL = _RUN + ", matched array<struct<start: int, count: int>>"
+#: Different runs of one key that stay together; the runs of a larger key are cut by what their windows share.
+CROWD = 32_768
+#: Rows that a task scans at once, about; keys are never cut.
+_ROWS = 16_384
+_LEVEL = "key long, run binary, anchor int, n int, doc long, copy long, start int, found binary"
+_NAMES = [f.split()[0] for f in _LEVEL.split(", ")]
+
+
+def _groups(sides: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by (key, side), and what each shares with the one before it: -1 for another key."""
+    wide = np.concatenate([key.astype(">u4").view(np.uint8).reshape(-1, 4), sides], axis=1)
+    wide = np.concatenate([wide, np.zeros((len(wide), -wide.shape[1] % 8), dtype=np.uint8)], axis=1)
+    order = np.lexsort(np.ascontiguousarray(wide).view(">u8").astype(np.uint64).T[::-1])
+    sides, key = sides[order], key[order]
+    differ = sides[1:] != sides[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), sides.shape[1])
+    return order, np.where(key[1:] == key[:-1], shared, -1)
+
+
+def shared_windows(key: np.ndarray, runs: list[bytes], anchor: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For rows in order of their key: a flag for each window of each run that another row's run has too."""
+    length = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+    count, reach = length - window + 1, window - gram
+    flags = np.zeros((len(runs), reach + 1), dtype=bool)
+    if len(runs) < 2:
+        return flags
+    data = np.frombuffer(b"".join([bytes(window), *runs, bytes(window)]), dtype=np.uint8)
+    at = window + np.cumsum(length) - length + anchor
+    number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    # Bytes beyond a run's ends stand behind those that its windows have, so no window reads them.
+    right, right_shared = _groups(data[at[:, None] + np.arange(window)], number)
+    left, left_shared = _groups(data[at[:, None] - 1 - np.arange(reach)], number)
+    rank_right, rank_left = np.empty_like(right), np.empty_like(left)
+    rank_right[right], rank_left[left] = np.arange(len(runs)), np.arange(len(runs))
+    for before in range(reach + 1):
+        rows = np.nonzero((before <= anchor) & (before > anchor - count))[0]
+        if len(rows) < 2:
+            continue
+        same_right = np.concatenate([[0], np.cumsum(right_shared < window - before)])[rank_right[rows]]
+        same_left = np.concatenate([[0], np.cumsum(left_shared < before)])[rank_left[rows]]
+        both = same_right * len(runs) + same_left
+        order = np.argsort(both)
+        equal = both[order[1:]] == both[order[:-1]]
+        rows = rows[order]
+        flags[rows[1:][equal], anchor[rows[1:][equal]] - before] = True
+        flags[rows[:-1][equal], anchor[rows[:-1][equal]] - before] = True
+    return flags
+
+
+class Level:
+    """A table of runs, and the stored table that it is a part of."""
+
+    def __init__(self, size: int, rows: DataFrame, stored: list):
+        self.size, self.rows, self.stored = size, rows, stored
+        stored[1] += 1
+
+    def drop(self) -> None:
+        self.stored[1] -= 1
+        if not self.stored[1]:
+            discard(self.stored[0])
 
 
-def common_start(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (differ.bit_length() + 7) // 8
-
+class IndexFamily:
+    """The levels of the family, the newest last. Batches have the columns of a level, without found."""
 
-def common_end(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    differ = int.from_bytes(a[len(a) - n :], "little") ^ int.from_bytes(b[len(b) - n :], "little")
-    return n - (differ.bit_length() + 7) // 8
+    def __init__(self, window: int = WINDOW, gram: int = GRAM):
+        self.window, self.gram, self.levels = window, gram, []
 
+    def _scanned(self, rows: DataFrame, merge: bool) -> list:
+        """Flag windows that several runs of a key have. With merge, equal runs become one row."""
+        window, gram = self.window, self.gram
 
-@dataclass
-class Run:
-    """A run's bytes on both sides of its anchor's start, and the window ranges (first, last) found elsewhere."""
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            key = table.column("key").to_numpy()
+            runs, anchor = table.column("run").to_pylist(), table.column("anchor").to_numpy().astype(np.int64)
+            flags = np.packbits(shared_windows(key, runs, anchor, window, gram), axis=1)
+            flags |= np.frombuffer(b"".join(table.column("found").to_pylist()), dtype=np.uint8).reshape(flags.shape)
+            table = table.set_column(table.schema.get_field_index("found"), "found", pa.array([f.tobytes() for f in flags], pa.binary()))
+            if merge:
+                first, n = {}, table.column("n").to_numpy().copy()
+                for i, name in enumerate(zip(key.tolist(), anchor.tolist(), runs, strict=True)):
+                    j = first.setdefault(name, i)
+                    if i != j:
+                        n[j] = 2
+                if len(first) < len(runs):
+                    table = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n, pa.int32())).take(pa.array(list(first.values())))
+            return table.combine_chunks()
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < _ROWS:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = table.column("key").to_numpy()
+                cut = int(np.nonzero(key != key[-1])[0][-1]) + 1 if key[0] != key[-1] else 0  # the last key may go on
+                if cut:
+                    yield from settle(table.slice(0, cut)).to_batches()
+                held = table.slice(cut).to_batches()
+            if held:
+                yield from settle(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+        names = [*_NAMES, "fresh"]
+        keyed = rows.select(*names).repartition("key").sortWithinPartitions("key")
+        return [staged(keyed.mapInArrow(scan, f"{_LEVEL}, fresh boolean")), 0]
+
+    def _union(self, level: Level, new: Level) -> DataFrame:
+        return level.rows.select(*_NAMES, F.lit(False).alias("fresh")).union(new.rows.select(*_NAMES, F.lit(True).alias("fresh")))
+
+    def add(self, batch: DataFrame) -> None:
+        """Index a batch, scan it against all levels and merge equal ones."""
+        empty = F.lit(bytes(-(-(self.window - self.gram + 1) // 8)))
+        stored = self._scanned(batch.select(*_NAMES[:-1], empty.alias("found"), F.lit(True).alias("fresh")), False)
+        new = Level(1, stored[0], stored)
+        for at in reversed(range(len(self.levels))):
+            level = self.levels[at]
+            merge = level.size == new.size
+            stored = self._scanned(self._union(level, new), merge)
+            level.drop()
+            new.drop()
+            if merge:
+                self.levels.pop(at)
+                new = Level(2 * level.size, stored[0], stored)
+            else:  # both go on, with what was found
+                self.levels[at] = Level(level.size, stored[0].filter("not fresh"), stored)
+                new = Level(new.size, stored[0].filter("fresh"), stored)
+        self.levels.append(new)
+
+    def rows(self) -> DataFrame:
+        """The runs of all levels."""
+        out = self.levels[0].rows.select(*_NAMES)
+        for level in self.levels[1:]:
+            out = out.union(level.rows.select(*_NAMES))
+        return out
 
-    left: bytes
-    right: bytes
-    n: int
-    doc: int
-    start: int
-    new: bool
-    found: list[tuple[int, int]] = field(default_factory=list)
 
-    def mark(self, before: int, after: int, window: int) -> None:
-        """Windows in the `before` bytes ahead of the anchor and the `after` bytes from it are found elsewhere."""
-        at = len(self.left)
-        first, last = max(0, at - before), min(at + after, at + len(self.right)) - window
-        if self.n == 1 and first <= last and (first, last) not in self.found:
-            self.found.append((first, last))
+def _collapsed(runs: DataFrame) -> DataFrame:
+    """One row for each different run of a batch and key; copies go map-side. A run's row is read only where n is 1."""
+    least = [F.min(c).alias(c) for c in ("doc", "copy", "start")]
+    return runs.groupBy("batch", "depth", "key", "run", "anchor").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), *least)
 
 
-def _walk(runs: list[Run], part, common, other_part, other_common, window: int, across: bool, tie: bool) -> None:
-    """Compare each run with those after it in order for as long as they share half a window on this side.
+def refined(runs: DataFrame, window: int, gram: int, crowd: int) -> DataFrame:
+    """The same windows with at most about `crowd` different runs for a key.
 
-    Two runs with a window in common share half of it on one side of the anchor at least: a walk in
-    the order of each side meets every such pair. With tie, pairs that the other walk meets are left
-    to it.
+    Windows of a crowded key are cut by their distance to the anchor, into cells of a quarter of the
+    width at each step, and the bytes that all windows of a cell share go into the key. Equal windows
+    stay together. A cell of width one holds equal windows only, which are one row of each batch.
     """
-    half = window // 2
-    near = [common(part(a), part(b)) for a, b in zip(runs, runs[1:], strict=False)]
-    for i, a in enumerate(runs):
-        shared = window * 4
-        for j in range(i + 1, len(runs)):
-            shared = min(shared, near[j - 1])
-            if shared < half:
-                break
-            b = runs[j]
-            if across and a.new == b.new or a.n > 1 and b.n > 1:
-                continue
-            other = other_common(other_part(a), other_part(b))
-            if other + shared < window or tie and other >= half:
-                continue
-            before, after = (other, shared) if part(a) is a.right else (shared, other)
-            a.mark(before, after, window)
-            b.mark(before, after, window)
-
-
-def scan_runs(runs: list[Run], window: int, across: bool = False) -> list[Run]:
-    """Mark the windows that two runs of a key share (across: one of them new), and give the runs in suffix order."""
-    if all(len(r.left) + len(r.right) == window for r in runs):  # single windows: equal ones are neighbours
-        order = sorted(runs, key=lambda r: (r.right, r.left))
-        for a, b in zip(order, order[1:], strict=False):
-            if a.right == b.right and a.left == b.left:
-                a.mark(window, window, window)
-                b.mark(window, window, window)
-        return order
-    order = sorted(runs, key=lambda r: r.right)
-    _walk(order, lambda r: r.right, common_start, lambda r: r.left, common_end, window, across, False)
-    back = sorted(runs, key=lambda r: r.left[::-1])
-    _walk(back, lambda r: r.left, common_end, lambda r: r.right, common_start, window, across, True)
-    return order
-
-
-class IndexFamily:
-    """The levels of the family: (batches in it, table), the newest last."""
-
-    def __init__(self, window: int = WINDOW):
-        self.window, self.levels, self.matched = window, [], []
-
-    def _scanned(self, rows: DataFrame, across: bool, whole: bool) -> DataFrame:
-        """Scan the runs of each key. The rows of a level come back in suffix order; without whole, only what was found."""
-        window = self.window
-
-        def settle(key: int, part: int, runs: list[Run]) -> list[tuple]:
-            fresh = {r.new for r in runs}
-            order = runs if across and len(fresh) == 1 else scan_runs(runs, window, across)
-            out = []
-            for r in order:
-                if whole or r.found:
-                    matched = [{"start": r.start + a, "count": b - a + 1} for a, b in r.found]
-                    out.append((key, part, r.left + r.right if whole else None, len(r.left), r.n, r.doc, r.start, matched))
-            return out
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now, held = None, []
-            names = ["key", "part", "run", "anchor", "n", "doc", "start", "matched"]
-            for pdf in batches:
+    done, depth, width = None, 0, window - gram + 1
+    while True:
+        sizes = runs.groupBy("key").agg(F.count("*").alias("different")).filter(F.col("different") > crowd).drop("different")
+        if width == 1 or sizes.isEmpty():
+            return runs if done is None else done.union(runs)
+        depth, width = depth + 1, -(-width // 4)
+
+        def cut(batches: Iterator[pa.RecordBatch], width=width, depth=depth) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 out = []
-                for key, part, run, anchor, n, doc, start, new in pdf.itertuples(index=False):
-                    if (key, part) != now:
-                        out += settle(*now, held) if held else []
-                        now, held = (key, part), []
-                    held.append(Run(run[:anchor], run[anchor:], n, doc, start, new))
-                yield pd.DataFrame(out, columns=names)
-            yield pd.DataFrame(settle(*now, held) if held else [], columns=names)
-
-        keyed = rows.select("key", "part", "run", "anchor", "n", "doc", "start", "new").repartition("key", "part").sortWithinPartitions("key", "part")
-        return staged(keyed.mapInPandas(scan, _LEVEL))
-
-    def add(self, batch: DataFrame, last: bool = False) -> None:
-        """Index a batch, scan it against all levels and merge equal ones. After the last batch no merged level is written."""
-        size, new = 1, self._scanned(batch.withColumn("new", F.lit(True)), False, True)
-        self._note(new)
-        for held, level in reversed(self.levels[:]):
-            merge = held == size
-            both = level.withColumn("new", F.lit(False)).union(new.withColumn("new", F.lit(True)))
-            more = any(x is not level for _, x in self.levels)
-            scanned = self._scanned(both, True, merge and (more or not last))
-            self._note(scanned)
-            if merge:
-                self.levels = [x for x in self.levels if x[1] is not level]
-                discard(level)
-                discard(new)
-                size, new = 2 * size, scanned
-        self.levels.append((size, new))
-
-    def repeated(self) -> DataFrame:
-        """doc, start and count of windows that were found twice, of runs that occur once."""
-        out = self.matched[0]
-        for m in self.matched[1:]:
-            out = out.union(m)
-        return out
-
-    def _note(self, scanned: DataFrame) -> None:
-        """Keep what a scan found in a table of its own, so that levels can go when they are merged."""
-        self.matched.append(staged(scanned.filter(F.size("matched") > 0).select("doc", F.explode("matched").alias("m")).select("doc", "m.*")))
+                for key, run, anchor, n, doc, copy, start, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    least = anchor - (len(run) - window)
+                    for cell in range(least // width, anchor // width + 1):
+                        low, high = max(least, cell * width), min(anchor, (cell + 1) * width - 1)
+                        core = run[anchor - cell * width : anchor + window + 1 - (cell + 1) * width]
+                        hashed = xxhash.xxh64_intdigest(b"%d %d %b" % (key, cell, core)) - (1 << 63)
+                        out.append((hashed, run[anchor - high : anchor - low + window], high, n, doc, copy, start + anchor - high, number, depth))
+                columns = list(zip(*out, strict=True)) or [[]] * 9
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        names = ["key", "run", "anchor", "n", "doc", "copy", "start", "batch", "depth"]
+        rest = runs.join(sizes, "key", "left_anti").select(*names)
+        done = rest if done is None else done.union(rest)
+        parts = runs.join(sizes, "key", "left_semi").select(*names[:-1])
+        schema = "key long, run binary, anchor int, n int, doc long, copy long, start int, batch int, depth int"
+        runs = staged(_collapsed(parts.mapInArrow(cut, schema))).select(*names)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (the bytes left) and removed (spans of bytes) of every row.
 
     A byte goes if a string of `window` bytes covers it that also starts anywhere else, in the same
-    or another text. Null texts count as empty. Rows that repeat count each, so both lose what they
-    share; rows that repeat an id with other texts count as one document and lose what either loses
-    at a place, and so do rows without an id. Columns other than doc_id and text are not read.
+    or another row. Null texts count as empty. Every row is judged by itself, whatever its id: rows
+    that repeat count each, so both lose what they share; rows without an id and rows that repeat an
+    id with other texts are documents of their own. Columns other than doc_id and text are not read.
     """
     passages = Passages(byte_units, window, gram)
     rows = filed(docs)
@@ -183,52 +220,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for raws, at in pieces(encoded(batch.column(1))):
+            docs_, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for raws, at in pieces(encoded(batch.column(2))):
                 _, found = passages.runs(raws)
-                found = found.among(listed(batch.column(2).slice(at, len(raws))))
+                found = found.among(listed(batch.column(3).slice(at, len(raws))))
                 seen: dict = {}
                 for text, key, first, count, anchor in zip(found.text.tolist(), found.key.tolist(), found.first.tolist(), found.count.tolist(), found.anchor.tolist(), strict=True):
                     run = raws[text][first : first + count + window - 1]
                     held = seen.get((key, run, anchor))
                     if held is None:
-                        seen[key, run, anchor] = [1, ids[at + text], first]
+                        seen[key, run, anchor] = [1, docs_[at + text], copies[at + text], first]
                     else:
                         held[0] += 1
-                columns = [*([k[i] for k in seen] for i in range(3)), *([h[i] for h in seen.values()] for i in range(3))]
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "run", "anchor", "n", "doc", "start"])
-
-    found = rows.join(keyed, "doc").mapInArrow(cut, "key long, run binary, anchor int, n long, doc long, start int")
-    # Copies of a run go map-side. doc and start are read only where n is 1.
-    known = staged(found.groupBy("key", "run", "anchor").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min("start").alias("start")))
-    # Only keys with several runs, one of them single, need a comparison.
-    sizes = known.groupBy("key").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter((F.col("different") > 1) & (F.col("least") == 1)).drop("least")
-    open_ = staged(known.join(sizes, "key").withColumn("n", F.least("n", F.lit(2)).cast("int")))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, run, anchor, n, doc, start, different in pdf[["key", "run", "anchor", "n", "doc", "start", "different"]].itertuples(index=False):
-                if different <= SHARD_RUNS:
-                    out.append((key, 0, run, anchor, n, doc, start))
-                    continue
-                parts = -(-different // 100)
-                for i in range(len(run) - window + 1):
-                    one = run[i : i + window]
-                    out.append((key, xxhash.xxh3_64_intdigest(one) % parts, one, anchor - i, n, doc, start + i))
-            yield pd.DataFrame(out, columns=["key", "part", "run", "anchor", "n", "doc", "start"])
-
-    family = IndexFamily(window)
+                columns = [*([k[i] for k in seen] for i in range(3)), *([h[i] for h in seen.values()] for i in range(4))]
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "run", "anchor", "n", "doc", "copy", "start"])
+
+    found = rows.join(keyed, "place").select("doc", "copy", "text", "keys").mapInArrow(cut, "key long, run binary, anchor int, n int, doc long, copy long, start int")
+    dealt = found.withColumn("batch", F.pmod(F.xxhash64("doc", "copy", F.lit(5)), F.lit(batches)).cast("int")).withColumn("depth", F.lit(0))
+    known = staged(_collapsed(dealt))
+    open_ = refined(known, window, gram, CROWD)
+    family = IndexFamily(window, gram)
     for b in range(batches):
-        batch = open_.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
-        family.add(batch.mapInPandas(deal, _RUN), b == batches - 1)
-    discard(open_)
-    once = known.filter("n = 1").select("doc", "start", (F.length("run") - (window - 1)).cast("int").alias("count"))
-    once = once.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("once"))
-    again = family.repeated().groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("again"))
-    settled = staged(once.join(again, "doc", "full").select("doc", "once", "again"))
+        family.add(open_.filter(F.col("batch") == b))
     discard(known)
+    alone = family.rows().filter("n = 1").select("doc", "copy", F.struct("start", (F.length("run") - (window - 1)).cast("int").alias("count"), "found").alias("run"))
+    settled = alone.groupBy("doc", "copy").agg(F.collect_list("run").alias("alone"))
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                 found = found.among(listed(part.column(2)))
                 twice = np.zeros(len(units.units), dtype=bool)
                 twice[windows_of(found, units.start)] = True
-                twice[ranges_of(part.column(3), units.start)] = False
-                twice[ranges_of(part.column(4), units.start)] = True
+                twice[_alone(part.column(3), units.start)] = False
                 gone = covered(twice, window)
                 removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), units.start[:-1]) * (np.diff(units.start) > 0)
                 left, spans = [], []
@@ -248,9 +264,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                     ends = [0, *(x for c in cuts for x in c), None]
                     spans.append([{"start": a, "end": b} for a, b in cuts])
                     left.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw)
-                ids = pa.array([None if d == NO_ID else d for d in part.column(0).to_pylist()], pa.int64())
                 place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()), pa.array(spans, place)], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()), pa.array(spans, place)], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
 
-    done = rows.join(keyed, "doc", "left").join(settled, "doc", "left").select("doc", "text", "keys", "once", "again")
+    done = rows.join(keyed, "place", "left").join(settled, ["doc", "copy"], "left").select("id", "text", "keys", "alone")
     return done.mapInArrow(clear, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start: int, end: int>>")
+
+
+def _alone(column: pa.Array, start: np.ndarray) -> np.ndarray:
+    """For lists of (start, count, found) of each text: the windows without a flag, counted over all texts."""
+    held = column.flatten()
+    if not len(held):
+        return np.zeros(0, dtype=np.int64)
+    text = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    first, count = (held.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "count"))
+    at = windows_of(Runs(text, text, first, count, text), start)
+    flags = np.unpackbits(np.frombuffer(b"".join(held.field("found").to_pylist()), dtype=np.uint8).reshape(len(held), -1), axis=1)
+    return at[flags[np.arange(flags.shape[1]) < count[:, None]] == 0]

@@ -312,11 +312,12 @@ def mixed_texts():
     return [*texts, *texts[:8], "z " * 200, "", None, "ab" * 400, "ab" * 400, LONG, LONG[200:]]
 
 
-@pytest.mark.parametrize("most", [300, 2])
-def test_bytes_that_repeat(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix, "SHARD_RUNS", most)
+@pytest.mark.parametrize("most, rows, batches", [(32_768, 16_384, 4), (2, 5, 4), (40, 16_384, 3), (32_768, 50, 1)])
+def test_bytes_that_repeat(spark, monkeypatch, most, rows, batches):
+    monkeypatch.setattr(suffix, "CROWD", most)
+    monkeypatch.setattr(suffix, "_ROWS", rows)
     texts = mixed_texts()
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(frame(spark, texts), batches=batches).collect()}
     for i, (n, gone, kept) in enumerate(brute_bytes(texts)):
         assert (got[i]["n_bytes"], got[i]["n_removed"], bytes(got[i]["kept"])) == (n, gone, kept), i
         assert sum(s["end"] - s["start"] for s in got[i]["removed"]) == gone
@@ -331,6 +332,25 @@ def test_words_that_repeat(spark, monkeypatch, most):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == want, i
 
 
+def named_rows():
+    """Rows that repeat an id with equal and with other texts, and rows without one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    return [(1, b), (5, a), (5, b), (5, b), (None, c), (None, c + " end"), (None, a[:150]), (7, c), (7, "x"), (None, None), (8, "d " + b), (5, None)]
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = named_rows()
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = Counter((i, *w) for (i, _), w in zip(rows, brute_bytes([t for _, t in rows]), strict=True))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffix.remove_repeats(df).collect()) == want
+    # Words: different rows in the order of id (null first) and the hash of the text; equal rows are one document.
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    told = dict(zip(order, brute_words([t for _, t in order]), strict=True))
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(df).collect())
+    assert got == Counter((i, *told[i, t]) for i, t in rows)
+
+
 def test_passages_of_the_driver_table(spark, sf_dir, docs):
     ids = sorted(docs)
     words = {r["doc_id"]: r for r in queries.op10_suffix_automata(spark, sf_dir).collect()}
