@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import TrainConfig
+from .config import TrainConfig, WindowConfig
 from .functions import columns as C
-from .jobs import audit, models, window_table
+from .jobs import audit, features, models
 from .operators import acc, baseline, decision, eda, hrv, metrics, prep, splits, stats, survey, thresholds, windows
 from .sources import driver_tables as D
+from .sources.scratch import shared_dir
 from .streaming import streams
 
 DAY3, DAY, HALF = 259_200.0, 86_400.0, 43_200.0
@@ -280,8 +281,10 @@ def hrv_freq(spark, d):
 
 @query()
 def beats_greedy(spark, d):
-    found = hrv.beats(D.readings(spark, d), PERSON, "value", "ts_sec", 1.0)
-    return hrv.hrv_time(hrv.beat_intervals(found, PERSON, 4.0), PERSON, "rr", ["place"])
+    """Beats of whole sessions; at 16 samples a second a beat keeps others off for five."""
+    keys = ["source", "subject_id", "session_id"]
+    found = hrv.beats(D.recordings(spark, d).filter("signal = 'bvp'"), keys, "value", "sample_idx", 16.0)
+    return hrv.hrv_time(hrv.beat_intervals(found, keys), keys, "rr", ["place"])
 
 
 # Survey and labels -------------------------------------------------------------------------------
@@ -381,6 +384,63 @@ def session_index(spark, d):
     return found.select("event_id", "subject_id", "session_name", "start_ts", C.group_id((F.col("user_id") % 2).cast("string"), F.col("subject_id")).alias("group_id"), C.iso_utc(C.epoch_seconds(F.col("ts"))).alias("start_utc"))
 
 
+# The feature table ---------------------------------------------------------------------------------
+
+RECORDED = WindowConfig(window_sec=20.0, step_sec=20.0, baseline_minutes=0.5)
+SERIES = {"eda": "quantity / 10", "temp": "30 + tax * 10", "hr": "60 + quantity", "ibi": "0.4 + discount * 10"}
+#: Windows of 20 s with their series, from samples at 4 Hz (i = n) and 1 Hz (every fourth); hr of the field is 10 s late.
+RECORDS = f"""n AS (
+  SELECT l_suppkey AS supp, l_linestatus AS st, l_suppkey % 2 = 0 AS lab, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
+         row_number() OVER (PARTITION BY l_suppkey, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS n
+  FROM lineitem WHERE l_suppkey % 2 = 1 OR l_linestatus = 'F'),
+sig AS (
+  SELECT supp, st, lab, 'bvp' AS signal, 4.0::DOUBLE AS fs, n AS i, price / 1000 AS value FROM n
+  {' '.join(f"UNION ALL SELECT supp, st, lab, '{s}', 1.0, n // 4 + {'CASE WHEN lab THEN 0 ELSE 10 END' if s == 'hr' else '0'}, {e} FROM n WHERE n % 4 = 0" for s, e in SERIES.items())}),
+dur AS (SELECT supp, st, lab, CASE WHEN lab THEN max(CASE WHEN signal = 'bvp' THEN (i + 1) / fs END) ELSE max((i + 1) / fs) END AS dur FROM sig GROUP BY supp, st, lab),
+win AS (SELECT supp, st, lab, unnest(range(0, floor((dur + 1e-6 - 20) / 20)::INT + 1))::INT AS window_id FROM dur),
+lc AS (SELECT supp, n // 80 AS window_id, n // 120 % 3 + 1 AS label, count(*) AS c FROM n WHERE lab GROUP BY ALL),
+pl AS (SELECT supp, window_id, arg_max(label, c) AS label, max(c) / sum(c) AS purity FROM lc GROUP BY supp, window_id),
+held AS (
+  SELECT win.*, CASE WHEN lab THEN CASE WHEN label = 2 THEN 2 ELSE 0 END ELSE win.supp % 3 END AS target3, CASE WHEN lab THEN NULL ELSE 1.0 END AS overlap
+  FROM win LEFT JOIN pl ON lab AND win.supp = pl.supp AND win.window_id = pl.window_id WHERE CASE WHEN lab THEN purity >= 0.8 ELSE win.window_id < 2 END),
+o AS (SELECT h.*, signal, fs, i, value FROM held h LEFT JOIN sig ON h.supp = sig.supp AND h.st = sig.st AND i >= h.window_id * 20 * fs AND i < (h.window_id + 1) * 20 * fs),
+m AS (
+  SELECT supp, st, lab, window_id, target3, overlap, signal, avg(value) AS mean, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max,
+         quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, max(value) - min(value) AS range, avg(value * value) AS energy,
+         CASE WHEN count(*) >= 2 THEN (arg_max(value, i) - arg_min(value, i)) / ((count(*) - 1) / max(fs)) END AS slope
+  FROM o GROUP BY supp, st, lab, window_id, target3, overlap, signal)"""
+SERIES_COLS = [(f"{s}_{x}", f"max(CASE WHEN signal = '{s}' THEN {x} END)") for s in features.SERIES for x in ("mean", "std", "median", "min", "max", "iqr", "range", "energy", "slope")]
+
+
+def _extracted(spark, d):
+    readings = D.recordings(spark, d)
+    field = features.field_table(readings.filter("source = 'field'"), D.recording_survey(spark, d), RECORDED)
+    lab = features.lab_table(readings.filter("source = 'lab'"), D.recording_labels(spark, d), RECORDED)
+    return features.extract(field, lab, config=RECORDED)
+
+
+@query(
+    f"""WITH {RECORDS} SELECT CASE WHEN lab THEN 'lab' ELSE 'field' END AS source, supp::VARCHAR AS subject_id, CASE WHEN lab THEN supp::VARCHAR ELSE supp || '_' || st END AS session_id, window_id, target3::INT AS target3,
+    {r('overlap', 'label_overlap_ratio')}, CASE WHEN lab THEN NULL ELSE -4.0 END AS survey_offset_hours, {', '.join(r(e, c, 5) for c, e in SERIES_COLS)} FROM m GROUP BY supp, st, lab, window_id, target3, overlap"""
+)
+def extract_series(spark, d):
+    """Labels of both sources, the offset that the scan finds, and the statistics of the plain signals."""
+    rows = _extracted(spark, d)
+    return tidy(rows.select(*KEYS, "target3", "label_overlap_ratio", "survey_offset_hours", *[c for c, _ in SERIES_COLS]), 5).withColumn("label_overlap_ratio", C.tidy(F.col("label_overlap_ratio")))
+
+
+@query()
+def extract_table(spark, d):
+    """The whole feature table: every family of features, with personal columns."""
+    return _extracted(spark, d)
+
+
+@query(f"WITH {RECORDS} SELECT (count(*) FILTER (NOT lab))::BIGINT AS labelled, 1.0 AS mean_overlap, 0::BIGINT AS below_least FROM held")
+def label_checks(spark, d):
+    field = features.field_table(D.recordings(spark, d).filter("source = 'field'"), D.recording_survey(spark, d), RECORDED, keep_unlabelled=True)
+    return audit.label_audit(field)
+
+
 # Baselines ---------------------------------------------------------------------------------------
 
 TABLE = f"""{win(DAY3, DAY3)}, t AS (SELECT source, subject_id, session_id, window_id, window_start_sec, window_start_ts, {DAY3} AS window_duration_sec, count(*) AS n_samples,
@@ -390,7 +450,7 @@ base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, subjec
 
 
 def _features(spark, d):
-    rows = window_table.window_table(D.readings(spark, d), DAY3, DAY3)
+    rows = D.window_rows(D.readings(spark, d), DAY3, DAY3)
     return rows.withColumn("protocol_label", F.when(F.col("source") == "lab", F.when(F.col("window_id") % 3 == 1, 1).otherwise(2)))
 
 
@@ -403,22 +463,22 @@ def _scale(f: str) -> str:
     return f"coalesce(nullif(quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25), 0), nullif(stddev_samp({f}), 0), 1)"
 
 
-BASE_COLS = ", ".join(f"quantile_cont({f}, 0.5) AS {f}_med, {_scale(f)} AS {f}_scale" for f in window_table.FEATURES)
+BASE_COLS = ", ".join(f"quantile_cont({f}, 0.5) AS {f}_med, {_scale(f)} AS {f}_scale" for f in D.FEATURES)
 
 
-@query(f"WITH {TABLE}, b AS (SELECT source, subject_id, {BASE_COLS}, count(*)::INT AS baseline_quality_n FROM base GROUP BY ALL) SELECT source, subject_id, baseline_quality_n, " + ", ".join(r(f"{f}_{x}", f"{f}_{x}") for f in window_table.FEATURES for x in ("med", "scale")) + " FROM b")
+@query(f"WITH {TABLE}, b AS (SELECT source, subject_id, {BASE_COLS}, count(*)::INT AS baseline_quality_n FROM base GROUP BY ALL) SELECT source, subject_id, baseline_quality_n, " + ", ".join(r(f"{f}_{x}", f"{f}_{x}") for f in D.FEATURES for x in ("med", "scale")) + " FROM b")
 def baseline_stats(spark, d):
-    return tidy(baseline.baseline_stats(baseline.baseline_rows(_features(spark, d), MINUTES), window_table.FEATURES))
+    return tidy(baseline.baseline_stats(baseline.baseline_rows(_features(spark, d), MINUTES), D.FEATURES))
 
 
 Z = f"""{TABLE}, b AS (SELECT source, subject_id, {BASE_COLS}, count(*)::INT AS baseline_quality_n FROM base GROUP BY ALL),
-z AS (SELECT t.*, baseline_quality_n, {', '.join(f'{f} - {f}_med AS {f}_delta_base, ({f} + 1e-8) / ({f}_med + 1e-8) AS {f}_ratio_base, ({f} - {f}_med) / ({f}_scale + 1e-8) AS {f}_z_personal' for f in window_table.FEATURES)} FROM t LEFT JOIN b USING (source, subject_id))"""
-Z_COLS = [f"{f}_{x}" for f in window_table.FEATURES for x in ("delta_base", "z_personal")]
+z AS (SELECT t.*, baseline_quality_n, {', '.join(f'{f} - {f}_med AS {f}_delta_base, ({f} + 1e-8) / ({f}_med + 1e-8) AS {f}_ratio_base, ({f} - {f}_med) / ({f}_scale + 1e-8) AS {f}_z_personal' for f in D.FEATURES)} FROM t LEFT JOIN b USING (source, subject_id))"""
+Z_COLS = [f"{f}_{x}" for f in D.FEATURES for x in ("delta_base", "z_personal")]
 
 
 @query(f"WITH {Z} SELECT source, subject_id, session_id, window_id, baseline_quality_n, {', '.join(r(c, c, 4) for c in Z_COLS)}, {r('hr_mean_ratio_base', 'hr_mean_ratio_base', 4)} FROM z")
 def personal_zscores(spark, d):
-    rows = window_table.personal_table(D.readings(spark, d), DAY3, DAY3, MINUTES)
+    rows = D.personal_rows(D.readings(spark, d), DAY3, DAY3, MINUTES)
     return tidy(rows.select(*KEYS, "baseline_quality_n", *Z_COLS, "hr_mean_ratio_base"), 4)
 
 
@@ -427,15 +487,20 @@ def task_rows(spark, d):
     return prep.task_rows(_features(spark, d), "protocol_label", "lab").select("source", "subject_id", "window_id", "target")
 
 
-@query(f"WITH {TABLE} SELECT {r('window_duration_sec', 'window_duration_sec')}, n_samples, {', '.join(r(f, f) for f in window_table.FEATURES)} FROM t" .replace(f"{r('window_duration_sec', 'window_duration_sec')}, ", ""))
+def _with_names(spark, d):
+    """Columns that the two rules of names treat differently."""
+    return _features(spark, d).withColumns({"hour": F.col("window_id") % 24, "hour_of_peak": F.col("window_id") % 7, "subject_age": F.col("window_id") % 90})
+
+
+@query(f"WITH {TABLE} SELECT n_samples, {', '.join(r(f, f) for f in D.FEATURES)}, (window_id % 7)::INT AS hour_of_peak FROM t")
 def feature_select_columns(spark, d):
-    rows = _features(spark, d)
+    rows = _with_names(spark, d)
     return tidy(rows.select(*prep.feature_columns(rows)))
 
 
-@query(f"WITH {TABLE} SELECT {r('window_duration_sec', 'window_duration_sec')}, n_samples, {', '.join(r(f, f) for f in window_table.FEATURES)} FROM t")
+@query(f"WITH {TABLE} SELECT {r('window_duration_sec', 'window_duration_sec')}, n_samples, {', '.join(r(f, f) for f in D.FEATURES)}, (window_id % 24)::INT AS hour, (window_id % 7)::INT AS hour_of_peak FROM t")
 def baseline_select_columns(spark, d):
-    rows = _features(spark, d)
+    rows = _with_names(spark, d)
     return tidy(rows.select(*prep.baseline_columns(rows)))
 
 
@@ -461,12 +526,12 @@ W4 = "source, subject_id, session_id, window_id"
 
 
 def _alerts(spark, d):
-    return window_table.alerts(D.readings(spark, d), DAY3, DAY3, MINUTES)
+    return D.alert_rows(D.readings(spark, d), DAY3, DAY3, MINUTES)
 
 
 @query(f"WITH {ALERT} SELECT {W4}, hr_high, eda_high, active FROM g4")
 def context_flags(spark, d):
-    rows = window_table.personal_table(D.readings(spark, d), DAY3, DAY3, MINUTES)
+    rows = D.personal_rows(D.readings(spark, d), DAY3, DAY3, MINUTES)
     return decision.context_flags(rows, ["source"]).select(*KEYS, "hr_high", "eda_high", "active")
 
 
@@ -734,70 +799,100 @@ def decision_audit(spark, d):
 
 # Models: no SQL can say them -----------------------------------------------------------------------
 
+PUBLISHED = TrainConfig()
+
 
 def _model_query(name):
-    return lambda spark, d: models.holdout(D.vectors(spark, d), name)
+    def run(spark, d):
+        rows = D.feature_rows(spark, d)
+        return models.holdout(rows, prep.feature_columns(rows), "target3", name, PUBLISHED)
+
+    return run
 
 
-for _name in ("rf", "balanced_rf", "extra_trees", "gbt", "gnb", "knn"):
+for _name in models.MODELS:
     QUERIES[f"model_{_name}"] = _model_query(_name)
 
 
 @query()
 def calibrate(spark, d):
-    return models.calibrated_holdout(D.vectors(spark, d), "sigmoid")
+    """Two classes, isotonic calibration, and no oversampling."""
+    rows = D.feature_rows(spark, d)
+    return models.holdout(rows, prep.feature_columns(rows), "target_binary", "rf", TrainConfig(calibration="isotonic", smote=False))
 
 
 @query()
 def feature_selector(spark, d):
-    return models.fit_feature_selector(models.with_vector(D.vectors(spark, d)), "target_binary", 16)
+    return models.fit_feature_selector(models.with_vector(D.vectors(spark, d)), "target_binary", 16, PUBLISHED.selector_trees)
 
 
 @query()
 def evaluate(spark, d):
-    return models.evaluate(D.vectors(spark, d), TrainConfig(models=("rf",), folds=2, trees=5, max_depth=4))
+    """Metrics of five folds, with the threshold tuned for two goals and the better kept."""
+    rows = D.feature_rows(spark, d)
+    config = TrainConfig(models=("rf", "gnb"), threshold_metric_grid=("balanced_accuracy", "macro_f1"))
+    return models.evaluate(rows, prep.feature_columns(rows), "target_binary", config)[0]
+
+
+@query()
+def evaluate_predictions(spark, d):
+    """Row predictions with alert states, of three classes."""
+    rows = D.feature_rows(spark, d)
+    preds = models.evaluate(rows, prep.feature_columns(rows), "target3", TrainConfig(models=("gnb",)))[1]
+    return preds.select("id", "model", "fold", "y_true", "pred_label", "confidence", "proba_0", "proba_1", "proba_2", "alert_state", "recommendation", "decision_adjusted_label")
 
 
 @query()
 def train_and_score(spark, d):
-    return models.train_and_score(D.vectors(spark, d))
+    """A saved bundle, loaded again to score all rows, up to alert states."""
+    rows = D.feature_rows(spark, d)
+    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    models.train_final(rows, prep.feature_columns(rows), "target_binary", path, TrainConfig(models=("rf",)))
+    return models.score(f"{path}/rf", rows).select("id", "pred_label", "proba_0", "proba_1", "confidence", "alert_state")
 
 
 # Streams -------------------------------------------------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorloom-")
+WEEK = "7 days"
+
 
+#: Windows of a week from 1970 on; a stream closes those that end a day before the last event.
+WEEKS = f"""{READ}, q AS (SELECT *, floor(ts_sec / 604800) * 604800 AS start FROM r)"""
+WEEK_SQL = f"SELECT source, subject_id, signal, count(*) AS n, {stats_sql('value', 'value')}, strftime(to_timestamp(start)::TIMESTAMP, '%Y-%m-%d') AS day FROM q GROUP BY source, subject_id, signal, start"
 
-WEEK = "7 days"
 
+def _weeks(out):
+    return tidy(out.select("source", "subject_id", "signal", "n", *[c for c in out.columns if c.startswith("value_")], F.substring(C.iso_utc(F.unix_micros("window_start") / 1e6), 1, 10).alias("day")))
 
-@query()
+
+@query(f"WITH {WEEKS} {WEEK_SQL} HAVING start + 604800 <= (SELECT max(ts_sec) FROM r) - 86400")
 def stream_window_stats(spark, d):
-    return streams.run_to_table(streams.stream_window_stats(streams.stream_readings(spark, d), WEEK, None, "1 day"), _scratch(spark))
+    """The windows that the watermark has closed at the end of the input; open ones stay in the state."""
+    stream = streams.stream_readings(spark, D.event_files(spark, d))
+    return _weeks(streams.run_to_table(streams.stream_window_stats(stream, WEEK, None, "1 day"), shared_dir(spark)))
 
 
-@query(
-    f"""WITH {READ}, q AS (SELECT *, to_timestamp(floor(ts_sec / 604800) * 604800)::TIMESTAMP AS window_start FROM r)
-    SELECT source, subject_id, signal, count(*) AS n, {stats_sql('value', 'value')}, strftime(window_start, '%Y-%m-%d') AS day FROM q GROUP BY source, subject_id, signal, window_start"""
-)
+@query(f"WITH {WEEKS} {WEEK_SQL}")
 def batch_window_stats(spark, d):
     rows = D.readings(spark, d).withColumn("ts", F.timestamp_micros((F.col("ts_sec") * 1e6).cast("long")))
-    out = streams.stream_window_stats(rows, WEEK)
-    return tidy(out.select("source", "subject_id", "signal", "n", *[c for c in out.columns if c.startswith("value_")], F.substring(C.iso_utc(F.unix_micros("window_start") / 1e6), 1, 10).alias("day")))
+    return _weeks(streams.stream_window_stats(rows, WEEK))
 
 
 def _stream_scored(spark, d):
-    rows = streams.stream_readings(spark, d).filter("signal = 'view'")
+    rows = streams.stream_readings(spark, D.event_files(spark, d)).filter("signal = 'view'")
     known = D.readings(spark, d).filter("signal = 'view'").groupBy("source", "subject_id").agg(F.percentile("value", F.lit(0.5)).alias("hr_mean_med"), F.stddev_samp("value").alias("hr_mean_scale"))
     personal = streams.stream_personalise(rows.withColumnRenamed("value", "hr_mean"), known, ["hr_mean"])
     return personal.withColumns({"window_start_ts": F.unix_micros("ts") / 1e6, "acc_activity": F.col("hr_mean"), "pred_label": (F.col("event_id") % 3).cast("int"), "confidence": (F.col("event_id") % 11) / 10.0})
 
 
-@query()
+@query(
+    f"""WITH {READ}, v AS (SELECT * FROM r WHERE signal = 'view'), b AS (SELECT source, subject_id, quantile_cont(value, 0.5) AS m, stddev_samp(value) AS s FROM v GROUP BY ALL)
+    SELECT event_id, {r('value - m', 'hr_mean_delta_base')}, {r('(value + 1e-8) / (m + 1e-8)', 'hr_mean_ratio_base')}, {r('(value - m) / (s + 1e-8)', 'hr_mean_z_personal', 4)} FROM v JOIN b USING (source, subject_id)"""
+)
 def stream_personalise(spark, d):
-    return streams.run_to_table(_stream_scored(spark, d), _scratch(spark))
+    out = streams.run_to_table(_stream_scored(spark, d), shared_dir(spark))
+    return tidy(out.select("event_id", "hr_mean_delta_base", "hr_mean_ratio_base")).join(tidy(out.select("event_id", "hr_mean_z_personal"), 4), "event_id")
 
 
 @query(
@@ -810,4 +905,4 @@ def stream_personalise(spark, d):
       WHEN pred_label >= 2 AND confidence >= 0.55 THEN CASE WHEN streak >= 2 THEN 'persistent_stress' ELSE 'rising_stress' END WHEN pred_label >= 1 THEN 'monitor_more' WHEN confidence < 0.45 THEN 'low_confidence_normal' ELSE 'normal' END AS alert_state FROM h"""
 )
 def stream_alerts(spark, d):
-    return streams.run_to_table(streams.stream_alerts(_stream_scored(spark, d), 80.0), _scratch(spark)).select("event_id", "streak", "alert_state")
+    return streams.run_to_table(streams.stream_alerts(_stream_scored(spark, d), 80.0), shared_dir(spark)).select("event_id", "streak", "alert_state")

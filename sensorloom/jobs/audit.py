@@ -28,10 +28,11 @@ def decision_audit(preds: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def label_audit(windows: DataFrame) -> DataFrame:
-    """Mean overlap of labelled windows, and windows that have a label below the least overlap."""
+def label_audit(windows: DataFrame, min_overlap: float = 0.5) -> DataFrame:
+    """Labelled windows, their mean overlap, and those of them that overlap less than they should."""
     held = F.col("nurse_label").isNotNull()
-    return windows.agg(F.avg(F.when(held, F.col("label_overlap_ratio"))).alias("mean_overlap"), F.sum(held.cast("long")).alias("labelled"))
+    below = held & (F.col("label_overlap_ratio") < min_overlap)
+    return windows.agg(F.sum(held.cast("long")).alias("labelled"), F.avg(F.when(held, F.col("label_overlap_ratio"))).alias("mean_overlap"), F.sum(below.cast("long")).alias("below_least"))
 
 
 def forbidden_columns(names: list[str]) -> list[str]:

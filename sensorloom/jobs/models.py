@@ -1,209 +1,416 @@
-"""Training, tuning, evaluating and scoring classifiers on subject-grouped folds."""
+"""Training, tuning, evaluating and scoring classifiers on subject-grouped folds.
+
+Rows are: id (string), y (the place of the class among the sorted classes), vec (features, null where
+missing), group_id and source. The driver goes through models, folds and candidates; every step of
+one runs on Spark.
+"""
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TrainConfig
-from ..operators import metrics, prep, splits, thresholds
+from ..operators import decision, metrics, prep, splits, thresholds
+from ..sources.scratch import staged
 
-SEED = 42
+MODELS = ("rf", "balanced_rf", "extra_trees", "gbt", "gnb", "knn")
+#: Models that balance classes by themselves, and those that need scaled features.
+INTERNAL, SCALED = ("balanced_rf",), ("knn",)
+ROW = ["id", "y", "vec", "group_id", "source"]
 
 
 def with_vector(df: DataFrame, column: str = "vec") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column)))
 
 
-def forest(trees: int = 100, depth: int = 10, seed: int = SEED) -> RandomForestClassifier:
-    """Entropy, two rows a leaf, balanced weights."""
-    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, impurity="entropy", minInstancesPerNode=2, seed=seed)
+# Models ------------------------------------------------------------------------------------------
+
+
+def forest(trees: int, depth: int, seed: int, extra: bool = False) -> RandomForestClassifier:
+    """Entropy, two rows a leaf, balanced weights. extra is the nearest built-in to extra trees: no bootstrap and few bins, from which the best split is taken, not a drawn one."""
+    model = RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, impurity="entropy", minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
+    return model.setBootstrap(False).setMaxBins(8) if extra else model
+
+
+class Forests:
+    """One forest or several, whose probabilities are averaged."""
+
+    loader = RandomForestClassificationModel
+
+    def __init__(self, models: list):
+        self.models = models
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        out = with_vector(df)
+        for i, m in enumerate(self.models):
+            out = m.transform(out).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+        total = F.col("_p0")
+        for i in range(1, len(self.models)):
+            total = F.zip_with(total, F.col(f"_p{i}"), lambda a, b: a + b)
+        return out.withColumn("prob", normalised(total)).drop("features", *[f"_p{i}" for i in range(len(self.models))])
+
+
+class Boosted(Forests):
+    """Boosted trees: one model for two classes, else one for each class against the rest."""
+
+    loader = GBTClassificationModel
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        out = with_vector(df)
+        for i, m in enumerate(self.models):
+            out = m.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        each = [F.col(f"_p{i}") for i in range(len(self.models))]
+        prob = F.array(1 - each[0], each[0]) if len(each) == 1 else normalised(F.array(*each))
+        return out.withColumn("prob", prob).drop("features", *[f"_p{i}" for i in range(len(self.models))])
 
 
-def extra_trees(trees: int = 100, depth: int = 10, seed: int = SEED) -> RandomForestClassifier:
-    """The nearest built-in: no bootstrap, few candidate splits. Splits are the best of few bins, not drawn at random."""
-    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, impurity="entropy", minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=8, seed=seed)
+class Bayes:
+    """Gaussian naive Bayes, from one row for each class."""
 
+    def __init__(self, classes: list[dict]):
+        self.classes = classes
 
-def boosting(rounds: int = 20, classes: int = 2, seed: int = SEED):
-    """Boosted trees of depth 3; more than two classes one against the rest."""
-    gbt = GBTClassifier(labelCol="y", featuresCol="features", maxIter=rounds, stepSize=0.05 if rounds > 100 else 0.2, maxDepth=3, seed=seed)
-    return gbt if classes == 2 else OneVsRest(classifier=gbt, labelCol="y", featuresCol="features")
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        terms = F.array(*[t for _, t in prep.gnb_log_likelihoods(self.classes, F.col("vec"))])
+        out = df.withColumn("_l", terms)
+        return out.withColumn("prob", normalised(F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))).drop("_l")
 
 
-def balanced_sample(train: DataFrame, key: str = "id", seed: int = SEED) -> DataFrame:
-    """Every class cut to the smallest, by draw."""
-    return splits.balance_sources(train, "source", "y", "y", key, seed)
+class Neighbours:
+    """k nearest training rows, weighted by inverse distance."""
 
+    def __init__(self, train: DataFrame, k: int, classes: int):
+        self.train, self.k, self.classes = train, k, classes
 
-def fit_model(train: DataFrame, name: str, config: TrainConfig):
-    """A fitted pipeline on columns y, features and id."""
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        found = prep.knn_probabilities(self.train, df.select("id", "vec"), self.k, self.classes)
+        return df.join(found.select(F.col("q_id").alias("id"), "prob"), "id")
+
+
+def normalised(weights: Column) -> Column:
+    """Weights as shares; equal ones where all are 0."""
+    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(weights, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(weights)))
+
+
+def fit_model(train: DataFrame, name: str, classes: int, config: TrainConfig):
+    """A fitted model of the given name. train: id, y, vec without nulls."""
+    if name in ("rf", "extra_trees"):
+        trees = config.forest_trees if name == "rf" else config.extra_trees
+        return Forests([forest(trees, config.max_depth, config.seed, name == "extra_trees").fit(prep.balanced_weights(with_vector(train), "y"))])
     if name == "balanced_rf":
-        train = balanced_sample(train, seed=config.seed)
-    weighted = prep.balanced_weights(train, "y")
-    classes = weighted.select("y").distinct().count()
-    stage = {"rf": forest, "balanced_rf": forest, "extra_trees": extra_trees}.get(name)
-    model = stage(config.trees, config.max_depth, config.seed) if stage else boosting(config.trees, classes, config.seed)
-    return Pipeline(stages=[model]).fit(weighted)
-
-
-def fit_calibrator(raw: DataFrame, method: str):
-    """Sigmoid (logistic regression on the raw score, without target smoothing) or isotonic. raw: y, p."""
-    rows = raw.withColumn("features", array_to_vector(F.array("p")))
-    if method == "sigmoid":
-        return LogisticRegression(labelCol="y", featuresCol="features", regParam=0.0).fit(rows)
-    return IsotonicRegression(labelCol="y", featuresCol="features").fit(rows)
-
-
-def calibrated(df: DataFrame, model, method: str) -> DataFrame:
-    """Replaces p by the calibrated probability."""
-    made = model.transform(df.drop("features").withColumn("features", array_to_vector(F.array("p"))))
-    p = vector_to_array("probability")[1] if method == "sigmoid" else F.col("prediction")
-    return made.withColumn("p", p).select(*df.columns)
-
-
-def positive(df: DataFrame, name: str, train: DataFrame, config: TrainConfig) -> DataFrame:
-    """df (id, y, vec, features) with p, the probability of class 1, from a model of the given name fitted on train."""
-    if train.select("y").distinct().count() < 2:  # one class: that is the prediction
-        only = train.select("y").limit(1).first()
-        return df.withColumn("p", F.lit(float(only["y"]) if only else 0.0))
+        each = max(1, config.balanced_trees // config.balanced_draws)
+        draws = [splits.balance_sources(with_vector(train), "source", "y", "y", "id", config.seed + d).withColumn("weight", F.lit(1.0)) for d in range(config.balanced_draws)]
+        return Forests([forest(each, config.max_depth, config.seed + d).fit(rows) for d, rows in enumerate(draws)])
+    if name == "gbt":
+        gbt = GBTClassifier(labelCol="y", featuresCol="features", maxIter=config.boosting_rounds, stepSize=config.boosting_step, maxDepth=3, seed=config.seed)
+        rows = with_vector(train)
+        return Boosted([gbt.fit(rows)] if classes == 2 else [gbt.fit(rows.withColumn("y", (F.col("y") == c).cast("double"))) for c in range(classes)])
     if name == "gnb":
-        width = len(train.select("vec").first()["vec"])
+        width = train.select(F.max(F.size("vec"))).first()[0]
         cols = [f"x{i}" for i in range(width)]
-        wide = lambda d: d.select("id", "y", *[F.col("vec")[i].alias(c) for i, c in enumerate(cols)])
-        found = prep.gnb_predict(prep.gnb_fit(wide(train), cols, "y"), wide(df), "id", cols)
-        return df.join(found.select("id", F.col("pred").cast("double").alias("p")), "id")
+        wide = train.select("y", *[F.col("vec")[i].alias(c) for i, c in enumerate(cols)])
+        return Bayes([r.asDict() for r in prep.gnb_fit(wide, cols, "y").orderBy("label").collect()])  # one row for each class
     if name == "knn":
-        vectors = [f"x{i}" for i in range(len(train.select("vec").first()["vec"]))]
-        wide = lambda d: d.select("id", "y", *[F.col("vec")[i].alias(c) for i, c in enumerate(vectors)])
-        scaler = prep.fit_scaler(wide(train), vectors)
-        back = lambda d: prep.apply_scaler(wide(d), scaler).select("id", F.col("y").alias("label"), F.array(*vectors).alias("vec"))
-        found = prep.knn_predict(back(train), back(df), 9)
-        return df.join(found.select(F.col("q_id").alias("id"), F.col("pred").cast("double").alias("p")), "id")
-    out = fit_model(train, name, config).transform(df)
-    if "probability" not in out.columns:
-        return out.withColumn("p", F.col("prediction")).select(*df.columns, "p")
-    return out.withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "p")
-
-
-def _binary(vectors: DataFrame) -> DataFrame:
-    return with_vector(vectors.select("id", "vec", "group_id", F.col("target_binary").cast("double").alias("y")))
-
-
-def holdout(vectors: DataFrame, name: str, config: TrainConfig | None = None) -> DataFrame:
-    """Predictions for the fifth of rows whose id divides by 5, by a model of the rest: id, y_true, pred_label, proba_1."""
-    config = config or TrainConfig(trees=20, max_depth=5)
-    rows = _binary(vectors)
-    scored = positive(rows.filter("id % 5 = 0"), name, rows.filter("id % 5 <> 0"), config)
-    return scored.select("id", F.col("y").cast("int").alias("y_true"), (F.col("p") >= 0.5).cast("int").alias("pred_label"), F.round("p", 9).alias("proba_1"))
-
-
-def calibrated_holdout(vectors: DataFrame, method: str) -> DataFrame:
-    config = TrainConfig(trees=20, max_depth=5)
-    rows = _binary(vectors)
-    train = splits.calibration_split(rows.filter("id % 5 <> 0"), "y", "id", "group_id")
-    fit, held = train.filter(~F.col("calibration")), train.filter("calibration")
-    raw = positive(held, "rf", fit, config).select("y", "p")
-    scored = positive(rows.filter("id % 5 = 0"), "rf", fit, config).select("id", "y", "p")
-    return calibrated(scored, fit_calibrator(raw, method), method).select("id", F.col("y").cast("int").alias("y_true"), F.round("p", 9).alias("proba_1"))
-
-
-def fit_feature_selector(rows: DataFrame, label: str, k: int) -> DataFrame:
-    """idx and importance of the k features that count most in a forest."""
+        return Neighbours(staged(train.select("id", "vec", F.col("y").cast("int").alias("label"))), config.neighbours, classes)
+    raise ValueError(f"unknown model: {name} (known: {', '.join(MODELS)})")
+
+
+# Calibration ---------------------------------------------------------------------------------------
+
+
+def fit_calibrators(raw: DataFrame, classes: int, method: str) -> list:
+    """One model for each class against the rest (two classes: for the second), on held-out rows with y and prob.
+
+    Sigmoid is a logistic regression on the probability, without target smoothing.
+    """
+    out = []
+    for c in range(classes) if classes > 2 else [1]:
+        rows = raw.select((F.col("y") == c).cast("double").alias("y"), array_to_vector(F.array(F.col("prob")[c])).alias("features"))
+        kind = LogisticRegression(labelCol="y", featuresCol="features", regParam=0.0) if method == "sigmoid" else IsotonicRegression(labelCol="y", featuresCol="features")
+        out.append(kind.fit(rows))
+    return out
+
+
+def calibrated(df: DataFrame, models: list) -> DataFrame:
+    """Replaces prob by calibrated probabilities, which are shares again."""
+    out, two = df, len(models) == 1
+    for i, m in enumerate(models):
+        out = m.transform(out.withColumn("features", array_to_vector(F.array(F.col("prob")[1 if two else i]))))
+        p = vector_to_array("probability")[1] if isinstance(m, LogisticRegressionModel) else F.col("prediction")
+        out = out.withColumn(f"_c{i}", p).drop("features", "rawPrediction", "probability", "prediction")
+    prob = F.array(1 - F.col("_c0"), F.col("_c0")) if two else normalised(F.array(*[F.col(f"_c{i}") for i in range(len(models))]))
+    return out.withColumn("prob", prob).select(*df.columns)
+
+
+# Preparing a training set --------------------------------------------------------------------------
+
+
+def vector_medians(rows: DataFrame) -> list[float]:
+    """Exact median of each feature; one without values gets 0, so that names and places stay together."""
+    width = rows.select(F.max(F.size("vec"))).first()[0] or 0
+    cells = rows.select(F.posexplode("vec").alias("idx", "v"))
+    found = {r["idx"]: r["q"] for r in prep.percentiles(cells, ["idx"], "v", 0.5).collect()}  # one row for each feature
+    return [0.0 if found.get(i) is None else float(found[i]) for i in range(width)]
+
+
+def vector_scaler(rows: DataFrame) -> list[tuple[float, float]]:
+    found = rows.select(F.posexplode("vec").alias("idx", "v")).groupBy("idx").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("idx").collect()  # one row for each feature
+    return [(float(r["m"]), float(r["s"] or 0.0) or 1.0) for r in found]
+
+
+def fit_feature_selector(rows: DataFrame, label: str, k: int, trees: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
+    """idx and importance of the k features that count most in extra trees."""
     train = prep.balanced_weights(rows.withColumn("y", F.col(label).cast("double")), "y")
-    found = forest(30, 5).fit(train).featureImportances
+    found = forest(trees, depth, seed, extra=True).fit(train).featureImportances
     table = rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(found.toArray())], "idx int, importance double")
     return prep.select_top_k(table, k)
 
 
-def sliced(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    idx = [r["idx"] for r in chosen.orderBy("idx").collect()]  # one row for each feature kept
-    return VectorSlicer(inputCol="features", outputCol="_f", indices=idx).transform(rows).drop("features").withColumnRenamed("_f", "features").withColumn("vec", vector_to_array("features"))
+def oversampled(train: DataFrame, seed: int) -> DataFrame:
+    made = prep.smote(train.select("id", F.col("y").cast("int").alias("label"), "vec"), seed=seed)
+    new = made.select(F.concat_ws("|", F.lit("made"), F.col("base_id").cast("string"), F.col("copy").cast("string")).alias("id"), F.col("label").cast("double").alias("y"), "vec")
+    return train.select("id", "y", "vec").unionByName(new)
+
+
+# A fitted candidate --------------------------------------------------------------------------------
+
+
+@dataclass
+class Bundle:
+    """All that scoring needs: classes, imputing, selection, scaling, the model, its calibration and threshold."""
+
+    name: str
+    classes: list[int]
+    medians: list[float] = field(default_factory=list)
+    selected: list[int] | None = None
+    scaler: list | None = None
+    model: object = None
+    calibrators: list = field(default_factory=list)
+    threshold: float | None = None
+    score: float | None = None
+    notes: dict = field(default_factory=dict)
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        vec = F.zip_with("vec", F.array(*[F.lit(m) for m in self.medians]), lambda x, m: F.coalesce(x, m))
+        out = rows.withColumn("vec", vec)
+        if self.selected is not None:
+            out = out.withColumn("vec", F.transform(F.array(*[F.lit(i) for i in self.selected]), lambda i: F.get("vec", i)))
+        if self.scaler is not None:
+            limits = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in self.scaler])
+            out = out.withColumn("vec", F.zip_with("vec", limits, lambda x, l: (x - l["m"]) / l["s"]))  # noqa: E741
+        return out
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (id, vec, ...) with prob, pred (the class), and confidence, the probability of the class decided on."""
+        if len(self.classes) == 1:  # one class in training: that is the prediction
+            out = rows.withColumn("prob", F.array(F.lit(1.0)))
+        else:
+            out = self.model.probabilities(self.features(rows))
+            if self.calibrators:
+                out = calibrated(out, self.calibrators)
+        return self.decided(out)
+
+    def decided(self, df: DataFrame) -> DataFrame:
+        place = F.when(F.col("prob")[1] >= self.threshold, 1).otherwise(0) if self.threshold is not None else F.array_position("prob", F.array_max("prob")).cast("int") - 1
+        out = df.withColumn("_i", place)
+        label = F.array(*[F.lit(c) for c in self.classes])
+        return out.withColumns({"pred": F.get(label, F.col("_i")), "confidence": F.get("prob", F.col("_i"))}).drop("_i")
+
+
+def _score(held: DataFrame, metric: str) -> float:
+    """held: y_true, pred_label."""
+    row = metrics.score_metrics(held.withColumn("g", F.lit(0)), ["g"]).first()
+    return float(row[metric]) if row else float("nan")
+
+
+def fit_candidate(fit: DataFrame, held: DataFrame | None, name: str, classes: list[int], config: TrainConfig, cap: int | None, k: int | None) -> Bundle:
+    """One model on one setting: cap, balance, impute, select, scale, oversample, fit; then calibrate and tune on held."""
+    two = len(classes) == 2
+    train = splits.cap_per_group_class(fit, cap, "group_id", "y", "id", config.seed) if two else fit
+    train = splits.balance_sources(train, config.source_balance, "source", "y", "id", config.seed) if two else train
+    train = staged(train.select(*ROW))
+    out = Bundle(name, classes, vector_medians(train))
+    if k:
+        chosen = fit_feature_selector(with_vector(out.features(train)), "y", k, config.selector_trees, config.max_depth, config.seed)
+        out.selected = [r["idx"] for r in chosen.orderBy("idx").collect()]  # one row for each feature kept
+    if name in SCALED:
+        out.scaler = vector_scaler(out.features(train))
+    ready = out.features(train)
+    resampling = "model_internal_balancing" if name in INTERNAL else "smote" if config.smote else "none"
+    ready = staged(oversampled(ready, config.seed) if resampling == "smote" else ready)
+    out.model = fit_model(ready, name, len(classes), config)
+    calibration, tuning = ("skipped_no_calibration_split" if held is None and config.calibration != "none" else "none"), "none"
+    if held is not None:
+        raw = staged(out.model.probabilities(out.features(held)).select("id", "y", "prob"))
+        if config.calibration != "none":
+            out.calibrators = fit_calibrators(raw, len(classes), config.calibration)
+            raw, calibration = staged(calibrated(raw, out.calibrators)), f"{config.calibration}_holdout"
+        truth = F.get(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("int")).alias("y_true")
+        judge = lambda: _score(out.decided(raw).select(truth, F.col("pred").alias("pred_label")), config.selection_metric)
+        if two and config.tune_threshold:
+            swept = thresholds.sweep(raw.select(F.lit(0).alias("g"), F.col("y").cast("int").alias("y_true"), F.col("prob")[1].alias("proba_1")), ["g"]).persist()
+            best = (float("-inf"), None, "none")
+            for goal in config.threshold_metric_grid or (config.threshold_metric,):
+                row = thresholds.tune(swept, ["g"], goal, config.recall_floor).first()
+                out.threshold = row["threshold"]
+                best = max(best, (judge(), out.threshold, goal), key=lambda x: x[0])
+            swept.unpersist()
+            out.score, out.threshold, tuning = best
+        else:
+            out.score = judge()
+    out.notes = {
+        "resampling": resampling,
+        "calibration": calibration,
+        "class_cap": str(cap) if two and cap else "none",
+        "source_balance": config.source_balance if two else "none",
+        "feature_selection": f"top_{k}" if k else "none",
+        "n_selected_features": len(out.selected) if out.selected is not None else len(out.medians),
+        "threshold_tuning": tuning,
+        "tuning_selection": "none" if out.score is None else f"{config.selection_metric}:{out.score:.6f}",
+    }
+    return out
+
 
+def fit_best(train: DataFrame, name: str, config: TrainConfig, grouped: bool = True) -> Bundle:
+    """The best of the candidates (caps by numbers of features; the first of equals). train: as ROW, with the class itself as y."""
+    classes = [int(r["y"]) for r in train.select("y").distinct().orderBy("y").collect()]  # one row for each class
+    if name not in MODELS:
+        raise ValueError(f"unknown model: {name} (known: {', '.join(MODELS)})")
+    if len(classes) < 2:
+        return Bundle(name, classes, notes={"resampling": "skipped_single_class_train", "calibration": "none", "class_cap": "none", "source_balance": "none", "feature_selection": "none", "n_selected_features": None, "threshold_tuning": "skipped_single_class_train", "tuning_selection": "none"})
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("int")) - 1
+    rows = train.withColumn("y", place.cast("double"))
+    if config.calibration == "none":
+        fit, held = rows, None
+    else:
+        split = staged(splits.calibration_split(rows, "y", "id", "group_id" if grouped else None, config.seed))
+        fit, held = split.filter(~F.col("calibration")), split.filter("calibration")
+        held = None if held.isEmpty() else held
+    best = None
+    for cap in config.class_cap_grid or (config.class_cap,):
+        for k in config.top_k_grid or (config.top_k,):
+            one = fit_candidate(fit, held, name, classes, config, cap, k)
+            if best is None or (one.score is not None and one.score > (best.score if best.score is not None else float("-inf"))):
+                best = one
+    return best
+
+
+# Jobs ----------------------------------------------------------------------------------------------
+
+
+def model_rows(table: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """Rows for models from a feature table with id; rows without the target are left out."""
+    vec = F.array(*[F.col(c).cast("double") for c in columns])
+    return prep.task_rows(table, target).withColumns({"y": F.col("target"), "vec": vec, "id": F.col("id").cast("string")}).drop("target")
 
-def prepared(train: DataFrame, config: TrainConfig) -> DataFrame:
-    """Cap and oversample a training set, where the settings ask for it."""
-    out = splits.cap_per_group_class(train, config.class_cap, "group_id", "y", "id", config.seed)
-    if config.smote:
-        made = prep.smote(out.select("id", F.col("y").cast("int").alias("label"), "vec"), seed=config.seed)
-        new = made.select((-1 - F.xxhash64("base_id", "copy")).alias("id"), F.col("label").cast("double").alias("y"), "vec", F.lit("made").alias("group_id"))
-        out = with_vector(out.select("id", "y", "vec", "group_id").unionByName(new))
-    return out
 
+def with_folds(rows: DataFrame, config: TrainConfig) -> DataFrame:
+    if config.cv == "loso":
+        return splits.folds_loso(rows, "group_id")
+    if config.cv == "rows":
+        return splits.folds_stratified(rows, config.folds, "y", "id", config.seed)
+    return splits.folds_group(rows, config.folds, "group_id", "y", config.seed)
 
-def predict_fold(train: DataFrame, test: DataFrame, name: str, config: TrainConfig) -> DataFrame:
-    """Test rows with proba_1, decision_threshold and pred_label. The threshold is tuned on a held-out part of the training set."""
-    split = splits.calibration_split(train, "y", "id", "group_id", config.seed).cache()  # read by each of the steps below
-    fit, held = prepared(split.filter(~F.col("calibration")), config), split.filter("calibration")
-    if config.top_k:
-        chosen = fit_feature_selector(fit, "y", config.top_k)
-        fit, held, test = sliced(fit, chosen), sliced(held, chosen), sliced(test, chosen)
-    raw = positive(held.select("id", "y", "vec", "features"), name, fit, config)
-    scored = positive(test, name, fit, config)
-    if config.calibration != "none":
-        model = fit_calibrator(raw.select("y", "p"), config.calibration)
-        raw, scored = calibrated(raw, model, config.calibration), calibrated(scored, model, config.calibration)
-    swept = thresholds.sweep(raw.select(F.lit(0).alias("g"), F.col("y").cast("int").alias("y_true"), F.col("p").alias("proba_1")), ["g"])
-    best = thresholds.tune(swept, ["g"], config.threshold_metric, config.recall_floor).first()
-    threshold = best["threshold"] if best else 0.5
-    return scored.select("id", F.lit(name).alias("model"), F.col("y").cast("int").alias("y_true"), F.round("p", 9).alias("proba_1"), F.lit(threshold).alias("decision_threshold"), (F.col("p") >= threshold).cast("int").alias("pred_label"))
-
-
-def evaluate(vectors: DataFrame, config: TrainConfig | None = None) -> DataFrame:
-    """Metrics of each model and fold: folds of whole groups, tuned thresholds, one scored table.
-
-    The driver goes through models and folds; each step runs on Spark. The fold-tagged table is
-    kept in memory for all of them.
+
+def predictions(scored: DataFrame, bundle: Bundle, labels: list[int]) -> DataFrame:
+    """pred_label, confidence and a probability for each label (null: unknown to the model)."""
+    probs = {f"proba_{c}": F.get("prob", F.lit(bundle.classes.index(c))) if c in bundle.classes else F.lit(None).cast("double") for c in labels}
+    return scored.withColumnRenamed("pred", "pred_label").withColumns({**probs, "decision_threshold": F.lit(bundle.threshold).cast("double")}).drop("prob")
+
+
+def evaluate(table: DataFrame, columns: list[str], target: str, config: TrainConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold metrics, predictions with alert states, and the summary of each model.
+
+    table has id, group_id, source, subject_id, the time of the window and the features.
     """
-    config = config or TrainConfig(folds=3, trees=10, max_depth=4)
-    rows = splits.folds_group(_binary(vectors), config.folds, "group_id", "y", config.seed).cache()
-    out = None
+    rows = staged(with_folds(model_rows(table, columns, target), config))
+    folds = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # one row for each fold
+    labels = [int(r["y"]) for r in rows.select("y").distinct().orderBy("y").collect()]  # one row for each class
+    out, notes = None, []
     for name in config.models:
-        for f in range(config.folds):
-            one = predict_fold(rows.filter(F.col("fold") != f).drop("fold"), rows.filter(F.col("fold") == f).drop("fold"), name, config).withColumn("fold", F.lit(f))
+        for f in sorted(folds):
+            bundle = fit_best(rows.filter(F.col("fold") != f).select(*ROW), name, config)
+            scored = predictions(bundle.scored(rows.filter(F.col("fold") == f)), bundle, labels)
+            one = staged(scored.withColumns({"model": F.lit(name), "y_true": F.col("y").cast("int")}).drop("vec", "y"))
+            notes.append((name, f, sum(folds.values()) - folds[f], folds[f], json.dumps(bundle.notes), bundle.threshold))
             out = one if out is None else out.unionByName(one)
-    return metrics.score_metrics(out, ["model", "fold"])
-
-
-def train_final(vectors: DataFrame, path: str, name: str = "rf", config: TrainConfig | None = None) -> dict:
-    """Fit on all rows, tune on a split without groups, and save the pipeline with a manifest of one row."""
-    config = config or TrainConfig(trees=10, max_depth=4)
-    rows = _binary(vectors)
-    split = splits.calibration_split(rows, "y", "id", None, config.seed)
-    fit, held = split.filter(~F.col("calibration")), split.filter("calibration")
-    model = fit_model(prepared(fit, config), name, config)
-    raw = model.transform(held).select(F.lit(0).alias("g"), F.col("y").cast("int").alias("y_true"), vector_to_array("probability")[1].alias("proba_1"))
-    best = thresholds.tune(thresholds.sweep(raw, ["g"]), ["g"], config.threshold_metric, config.recall_floor).first()
-    width = len(rows.select("vec").first()["vec"])
-    manifest = {"model": name, "threshold": best["threshold"] if best else 0.5, "features": [f"v{i}" for i in range(width)], "classes": {"0": "non-stress", "1": "stress"}}
-    model.write().overwrite().save(f"{path}/model")
-    vectors.sparkSession.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    return manifest
-
-
-def score(path: str, rows: DataFrame) -> DataFrame:
-    """id, proba_1, pred_label and confidence from a saved bundle. rows: id, vec."""
-    prep.require_columns(rows, ["id", "vec"])
-    manifest = json.loads(rows.sparkSession.read.parquet(f"{path}/manifest").first()["manifest"])
-    out = PipelineModel.load(f"{path}/model").transform(with_vector(rows))
-    p = vector_to_array("probability")
-    label = (p[1] >= manifest["threshold"]).cast("int")
-    return out.select("id", F.round(p[1], 9).alias("proba_1"), label.alias("pred_label"), F.round(p[label], 9).alias("confidence"))
-
-
-def train_and_score(vectors: DataFrame) -> DataFrame:
-    """A bundle in the shared folder (or one of this run), loaded again to score all rows."""
-    import tempfile
-    import uuid
-
-    base = vectors.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sensorloom-")
-    path = f"{base.rstrip('/')}/bundle-{uuid.uuid4().hex}"
-    train_final(vectors, path)
-    return score(path, vectors.select("id", "vec"))
+    preds = decision.alert_state(out, ["model", "fold"])
+    keys = ["model", "fold"]
+    told = table.sparkSession.createDataFrame(notes, "model string, fold int, n_train long, n_test long, notes string, decision_threshold double")
+    kinds = "resampling string, calibration string, class_cap string, source_balance string, feature_selection string, n_selected_features int, threshold_tuning string, tuning_selection string"
+    told = told.select(*keys, "n_train", "n_test", F.from_json("notes", kinds).alias("n"), "decision_threshold").select(*keys, "n_train", "n_test", "n.*", "decision_threshold")
+    scores = told.join(metrics.score_metrics(out, keys).drop("n"), keys, "left").join(metrics.report_json(out, keys, labels), keys, "left")
+    return scores, preds, metrics.summarise_folds(scores)
+
+
+def train_final(table: DataFrame, columns: list[str], target: str, path: str, config: TrainConfig) -> DataFrame:
+    """Fit and save each model on all rows, tuned on a split without groups: model, training_accuracy, mean_confidence, path."""
+    rows = staged(model_rows(table, columns, target).select(*ROW))
+    saved = []
+    for name in config.models:
+        bundle = fit_best(rows, name, config, grouped=False)
+        if len(bundle.classes) < 2:
+            raise ValueError("final training needs two classes or more")
+        save_bundle(bundle, columns, target, f"{path}/{name}", table.sparkSession)
+        row = bundle.scored(rows).agg(F.avg((F.col("pred") == F.col("y")).cast("double")).alias("a"), F.avg("confidence").alias("c")).first()
+        saved.append((name, row["a"], row["c"], f"{path}/{name}"))
+    return table.sparkSession.createDataFrame(saved, "model string, training_accuracy double, mean_confidence double, path string")
+
+
+def save_bundle(bundle: Bundle, columns: list[str], target: str, path: str, spark: SparkSession) -> None:
+    """Models in folders of their own, and a manifest of one row."""
+    manifest = {k: getattr(bundle, k) for k in ("name", "classes", "medians", "selected", "scaler", "threshold", "score", "notes")} | {"features": columns, "target": target}
+    for i, m in enumerate(bundle.calibrators):
+        m.write().overwrite().save(f"{path}/calibrator-{i}")
+    manifest["calibrators"] = [type(m).__name__ for m in bundle.calibrators]
+    if isinstance(bundle.model, Forests):
+        for i, m in enumerate(bundle.model.models):
+            m.write().overwrite().save(f"{path}/model-{i}")
+        manifest["models"] = len(bundle.model.models)
+    elif isinstance(bundle.model, Bayes):
+        manifest["bayes"] = bundle.model.classes
+    else:
+        bundle.model.train.write.mode("overwrite").parquet(f"{path}/neighbours")
+        manifest["k"] = bundle.model.k
+    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[Bundle, list[str], str]:
+    """A saved bundle, its features and its target."""
+    held = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
+    bundle = Bundle(**{k: held[k] for k in ("name", "classes", "medians", "selected", "scaler", "threshold", "score", "notes")})
+    kinds = {"LogisticRegressionModel": LogisticRegressionModel, "IsotonicRegressionModel": IsotonicRegressionModel}
+    bundle.calibrators = [kinds[k].load(f"{path}/calibrator-{i}") for i, k in enumerate(held["calibrators"])]
+    if "models" in held:
+        kind = Boosted if bundle.name == "gbt" else Forests
+        bundle.model = kind([kind.loader.load(f"{path}/model-{i}") for i in range(held["models"])])
+    elif "bayes" in held:
+        bundle.model = Bayes(held["bayes"])
+    else:
+        bundle.model = Neighbours(spark.read.parquet(f"{path}/neighbours"), held["k"], len(bundle.classes))
+    return bundle, held["features"], held["target"]
+
+
+def score(path: str, table: DataFrame) -> DataFrame:
+    """The feature table with decisions of a saved bundle: labels, probabilities, confidence and alert states."""
+    bundle, columns, _ = load_bundle(table.sparkSession, path)
+    prep.require_columns(table, columns)
+    rows = table.withColumns({"id": F.col("id").cast("string"), "vec": F.array(*[F.col(c).cast("double") for c in columns])})
+    return decision.alert_state(predictions(bundle.scored(rows), bundle, bundle.classes).drop("vec"))
+
+
+def holdout(table: DataFrame, columns: list[str], target: str, name: str, config: TrainConfig) -> DataFrame:
+    """Predictions for the fifth of rows whose fold is 0, by a model of the rest: id, y_true, pred_label, confidence, proba_<class>."""
+    rows = staged(with_folds(model_rows(table, columns, target), config))
+    labels = [int(r["y"]) for r in rows.select("y").distinct().orderBy("y").collect()]  # one row for each class
+    bundle = fit_best(rows.filter("fold <> 0").select(*ROW), name, config)
+    out = predictions(bundle.scored(rows.filter("fold = 0")), bundle, labels)
+    return out.select("id", F.col("y").cast("int").alias("y_true"), "pred_label", *[F.round(c, 9).alias(c) for c in ["confidence", *[f"proba_{c}" for c in labels]]])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, no_nan
@@ -21,13 +21,13 @@ def normalize_acc(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def acc_magnitudes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds mag and dyn_mag, the length of the axes less their medians in the window."""
-    medians = df.groupBy(*keys).agg(*[F.percentile(a, F.lit(0.5)).alias(f"_m{a}") for a in AXES])
+    whole = Window.partitionBy(*keys)
     square = lambda cs: F.sqrt(sum((c * c for c in cs[1:]), cs[0] * cs[0]))
-    out = df.join(medians, keys)
+    out = df.withColumns({f"_m{a}": F.percentile(a, F.lit(0.5)).over(whole) for a in AXES})
     return out.withColumns({"mag": square([F.col(a) for a in AXES]), "dyn_mag": square([F.col(a) - F.col(f"_m{a}") for a in AXES])}).drop(*[f"_m{a}" for a in AXES])
 
 
-def acc_jerk(df: DataFrame, keys: list[str], order: list[str], fs: float = 1.0) -> DataFrame:
+def acc_jerk(df: DataFrame, keys: list[str], order: list[str], fs: Column | float = 1.0) -> DataFrame:
     """Adds jerk (change of mag times fs; null for the first) and crossed (its sign differs from the one before; 0 is positive)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn("jerk", (F.col("mag") - F.lag("mag").over(w)) * fs)
@@ -35,29 +35,35 @@ def acc_jerk(df: DataFrame, keys: list[str], order: list[str], fs: float = 1.0)
     return out.withColumn("crossed", F.when(before.isNotNull(), ((F.col("jerk") < 0) != (before < 0)).cast("double")))
 
 
-def acc_context(df: DataFrame, keys: list[str], order: list[str], fs: float = 1.0) -> DataFrame:
+def _moved(df: DataFrame, keys: list[str], order: list[str], fs: Column | float) -> DataFrame:
+    """Magnitudes, jerk, and the window's limits: _still, below which motion is rest, and _mid, the median of mag."""
+    whole = Window.partitionBy(*keys)
+    still = F.greatest(F.lit(0.03), F.percentile("dyn_mag", F.lit(0.25)).over(whole) + 0.5 * F.stddev_pop("dyn_mag").over(whole))
+    return acc_jerk(acc_magnitudes(df, keys), keys, order, fs).withColumns({"_still": still, "_mid": F.percentile("mag", F.lit(0.5)).over(whole)})
+
+
+def _context_columns() -> list[Column]:
+    return [
+        (F.stddev_pop("dyn_mag") + F.coalesce(F.avg(F.abs("jerk")), F.lit(0.0))).alias("acc_activity"),
+        (F.avg("z") / (F.avg("mag") + EPS)).alias("acc_posture_tilt"),
+        F.avg((F.col("dyn_mag") < F.col("_still")).cast("double")).alias("acc_stationary_ratio"),
+        F.avg((F.col("dyn_mag") > 0.15).cast("double")).alias("acc_active_ratio"),
+        F.avg(F.abs("x") + F.abs("y") + F.abs("z")).alias("acc_signal_magnitude_area"),
+        F.avg(F.abs(F.col("mag") - F.col("_mid"))).alias("acc_vector_magnitude_area"),
+        F.when(F.count("jerk") > 0, F.coalesce(F.avg("crossed"), F.lit(0.0))).alias("acc_jerk_zero_cross_rate"),
+    ]
+
+
+def acc_context(df: DataFrame, keys: list[str], order: list[str], fs: Column | float = 1.0) -> DataFrame:
     """Activity, tilt, stationary and active shares, magnitude areas and zero crossings of each window."""
-    moved = acc_jerk(acc_magnitudes(df, keys), keys, order, fs)
-    limits = moved.groupBy(*keys).agg(F.greatest(F.lit(0.03), F.percentile("dyn_mag", F.lit(0.25)) + 0.5 * F.stddev_pop("dyn_mag")).alias("_still"), F.percentile("mag", F.lit(0.5)).alias("_mid"))
-    return (
-        moved.join(limits, keys)
-        .groupBy(*keys)
-        .agg(
-            (F.stddev_pop("dyn_mag") + F.coalesce(F.avg(F.abs("jerk")), F.lit(0.0))).alias("acc_activity"),
-            (F.avg("z") / (F.avg("mag") + EPS)).alias("acc_posture_tilt"),
-            F.avg((F.col("dyn_mag") < F.col("_still")).cast("double")).alias("acc_stationary_ratio"),
-            F.avg((F.col("dyn_mag") > 0.15).cast("double")).alias("acc_active_ratio"),
-            F.avg(F.abs("x") + F.abs("y") + F.abs("z")).alias("acc_signal_magnitude_area"),
-            F.avg(F.abs(F.col("mag") - F.col("_mid"))).alias("acc_vector_magnitude_area"),
-            F.when(F.count("jerk") > 0, F.coalesce(F.avg("crossed"), F.lit(0.0))).alias("acc_jerk_zero_cross_rate"),
-        )
-    )
-
-
-def acc_features(df: DataFrame, keys: list[str], order: list[str], fs: float = 1.0) -> DataFrame:
-    """All motion features: eight statistics of six series, and the context."""
-    unit = normalize_acc(df, keys)
-    moved = acc_jerk(acc_magnitudes(unit, keys), keys, order, fs)
+    return _moved(df, keys, order, fs).groupBy(*keys).agg(*_context_columns())
+
+
+def acc_features(df: DataFrame, keys: list[str], order: list[str], fs: Column | float = 1.0) -> DataFrame:
+    """All motion features, eight statistics of six series and the context, in one aggregate.
+
+    Medians and limits are windows over the same keys, so rows are dealt and sorted once.
+    """
     series = {"acc_x": "x", "acc_y": "y", "acc_z": "z", "acc_mag": "mag", "acc_dyn_mag": "dyn_mag", "acc_jerk": "jerk"}
-    stats = moved.groupBy(*keys).agg(*[c for prefix, name in series.items() for c in stat_columns(F.col(name), prefix)])
-    return stats.join(acc_context(unit, keys, order, fs), keys)
+    moved = _moved(normalize_acc(df, keys), keys, order, fs)
+    return moved.groupBy(*keys).agg(*[c for prefix, name in series.items() for c in stat_columns(F.col(name), prefix)], *_context_columns())

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidate columns in order of preference; the first that a table has is read, even where it is null.
+from .prep import percentiles
+
+#: Fixed values, as are the limits of the rules below. Candidate columns in order of preference; the first that a table has is read, even where it is null.
 HR_DELTA = ("hr_mean_delta_base", "bvp_derived_hr_mean_delta_base", "hr_median_delta_base", "bvp_derived_hr_median_delta_base")
 HR_Z = ("hr_mean_z_personal", "bvp_derived_hr_mean_z_personal")
 EDA_DELTA = ("eda_mean_delta_base", "eda_median_delta_base")
@@ -13,7 +15,7 @@ EDA_Z = ("eda_mean_z_personal", "eda_median_z_personal")
 ACC_Z = ("acc_activity_z_personal", "acc_dyn_mag_mean_z_personal", "acc_mag_std_z_personal")
 ACC = ("acc_activity", "acc_dyn_mag_mean", "acc_mag_std")
 
-#: State, recommendation.
+#: State, recommendation.
 ACTIONS = {
     "physical_activity_delay": "delay_alert_keep_monitoring",
     "critical_alert": "stop_task_short_break_breathing_support",
@@ -45,9 +47,9 @@ def context_flags(df: DataFrame, batch: list[str] | None = None, acc_threshold:
     out = df
     if activity is not None and acc_threshold is None:
         keys = batch or []
-        limits = df.groupBy(*keys).agg(F.percentile(activity, F.lit(0.75)).alias("_limit"))
+        limits = percentiles(df.select(*keys, activity.alias("_activity")), keys, "_activity", 0.75).withColumnRenamed("q", "_limit")
         if keys:
-            out = df.join(limits, keys, "left")
+            out = df.join(F.broadcast(limits), keys, "left")  # one row for each part of the batch, such as a model and fold
         else:
             # One number for the batch, as a scalar subquery: no product of tables.
             out = df.withColumn("_limit", limits.scalar())

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stats import flag_peaks, stat_columns
 
@@ -22,27 +27,63 @@ def tonic_phasic(df: DataFrame, keys: list[str], value: str, order: list[str], w
     return tonic.withColumn("phasic", F.col(value) - F.col("tonic"))
 
 
-def eda_decompose(df: DataFrame, keys: list[str], value: str, order: list[str], width: int, fs: float = 1.0) -> DataFrame:
-    """The 23 tonic and phasic features of each window; windows of under four samples have none."""
-    parts = tonic_phasic(df, keys, value, order, width).withColumn("_up", F.greatest(F.col("phasic"), F.lit(0.0)))
+def tonic_phasic_by_window(df: DataFrame, keys: list[str], value: str, order: str, fs: str = "fs") -> DataFrame:
+    """Adds tonic and phasic, with the width of the median chosen for each window from its own samples and rate.
+
+    A frame of rows needs a fixed width, so here the samples of a window, which are bounded, go to the
+    rolling median as one array.
+    """
+    held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(fs).alias(fs), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_s"))
+
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for values, rate in zip(pdf["_v"], pdf[fs], strict=True):
+                values = np.asarray(values, dtype=float)
+                out.append(pd.Series(values).rolling(tonic_width(len(values), rate), min_periods=1, center=True).median().to_numpy())
+            yield pdf.assign(_t=out)
+
+    lists = held.select(*keys, fs, F.col("_s.o").alias("_o"), F.col("_s.v").alias("_v"))
+    schema = T.StructType([*lists.schema.fields, T.StructField("_t", T.ArrayType(T.DoubleType()))])
+    rows = lists.mapInPandas(level, schema).select(*keys, fs, F.inline(F.arrays_zip("_o", "_v", "_t")))
+    return rows.select(*keys, fs, F.col("_o").alias(order), F.col("_v").alias(value), F.col("_t").alias("tonic"), (F.col("_v") - F.col("_t")).alias("phasic"))
+
+
+def phasic_features(parts: DataFrame, keys: list[str], order: list[str], fs: Column | float = 1.0) -> DataFrame:
+    """The 23 tonic and phasic features of each window of rows with tonic and phasic; windows of under four samples have none."""
+    parts = parts.withColumns({"_up": F.greatest(F.col("phasic"), F.lit(0.0)), "_fs": F.lit(fs).cast("double")})
     peaks = flag_peaks(parts, keys, "_up", order, 0.25)
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = peaks.withColumn("_area", (F.col("_up") + F.lead("_up").over(w)) / 2 / fs)
-    place, n, top = F.struct(*order), F.count("*"), F.when(F.col("peak"), F.col("_up"))
+    rows = peaks.withColumn("_area", (F.col("_up") + F.lead("_up").over(w)) / 2 / F.col("_fs"))
+    place, n, top, rate = F.struct(*order), F.count("*"), F.when(F.col("peak"), F.col("_up")), F.max("_fs")
     return (
         rows.groupBy(*keys)
         .agg(
             n.alias("_n"),
             *stat_columns(F.col("tonic"), "eda_tonic"),
             *stat_columns(F.col("phasic"), "eda_phasic"),
-            F.try_divide(F.max_by("tonic", place) - F.min_by("tonic", place), (n - 1) / fs).alias("eda_tonic_slope"),
+            F.try_divide(F.max_by("tonic", place) - F.min_by("tonic", place), (n - 1) / rate).alias("eda_tonic_slope"),
             F.coalesce(F.sum("_area"), F.lit(0.0)).alias("eda_phasic_auc"),
             F.avg((F.col("phasic") > 0).cast("double")).alias("eda_phasic_positive_ratio"),
             F.count(top).alias("eda_scr_peak_count"),
-            (F.count(top) / (n / fs)).alias("eda_scr_peak_rate"),
+            (F.count(top) / (n / rate)).alias("eda_scr_peak_rate"),
             F.coalesce(F.avg(top), F.lit(0.0)).alias("eda_scr_amp_mean"),
             F.coalesce(F.max(top), F.lit(0.0)).alias("eda_scr_amp_max"),
         )
         .filter("_n >= 4")
         .drop("_n")
     )
+
+
+def eda_decompose(df: DataFrame, keys: list[str], value: str, order: list[str], width: int, fs: float = 1.0) -> DataFrame:
+    """The tonic and phasic features, with one width of the median for all windows."""
+    return phasic_features(tonic_phasic(df, keys, value, order, width), keys, order, fs)
+
+
+def level_features(df: DataFrame, keys: list[str], value: str, order: list[str], fs: Column | float = 1.0) -> DataFrame:
+    """Share of rises, mean absolute change, and peaks of the conductance itself, for each window."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = flag_peaks(df, keys, value, order, 0.25).withColumns({"_d": F.col(value) - F.lag(value).over(w), "_fs": F.lit(fs).cast("double")})
+    count = F.sum(F.col("peak").cast("long"))
+    rise = F.avg(F.when(F.col("_d").isNotNull(), (F.col("_d") > 0).cast("double")))
+    return rows.groupBy(*keys).agg(rise.alias("eda_rise_rate"), F.avg(F.abs("_d")).alias("eda_abs_diff_mean"), count.alias("eda_peak_count"), (count / (F.count("*") / F.max("_fs"))).alias("eda_peak_rate"))

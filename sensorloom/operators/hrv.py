@@ -33,29 +33,44 @@ def strongest_beats(place: np.ndarray, height: np.ndarray, gap: int) -> np.ndarr
     return np.asarray(kept, dtype=int)
 
 
-def beats(df: DataFrame, keys: list[str], value: str, order: str, fs: float) -> DataFrame:
+def beats(df: DataFrame, keys: list[str], value: str, order: str, fs: float | None = None) -> DataFrame:
     """Beat places of each window with at least 10 s of samples: one row each, place counted over the samples that are there.
 
-    Only candidates reach the scan in Python, which has to follow the beats one after another.
+    The rate is fs, or the column fs of the samples. Only candidates reach the scan in Python, which
+    has to follow the beats one after another.
     """
     present = df.filter(F.col(value).isNotNull())
-    numbered = present.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    found = beat_candidates(numbered, keys, value, [order])
-    long_enough = present.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= int(fs * 10))
-    gap = max(1, int(round(REFRACTORY * fs)))
+    present = present if fs is None else present.withColumn("fs", F.lit(float(fs)))
+    numbered = present.withColumns({"place": F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1, "n_samples": F.count("*").over(Window.partitionBy(*keys))})
+    found = beat_candidates(numbered, keys, value, [order]).filter(F.col("n_samples") >= F.floor(F.col("fs") * 10))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
+        gap = max(1, round(REFRACTORY * float(pdf["fs"].iloc[0])))
         return pdf.iloc[strongest_beats(pdf["place"].to_numpy(), pdf[value].to_numpy(), gap)]
 
-    rows = found.join(long_enough, keys).select(*keys, F.col("_n").alias("n_samples"), "place", value)
+    rows = found.select(*keys, "fs", "n_samples", "place", value)
     return rows.groupBy(*keys).applyInPandas(scan, rows.schema)
 
 
-def beat_intervals(found: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    """Seconds between neighbouring beats, the plausible ones."""
-    rr = (F.col("place") - F.lag("place").over(Window.partitionBy(*keys).orderBy("place"))) / fs
-    return found.withColumn("rr", rr).filter(F.col("rr").between(*RR_RANGE))
+def beat_intervals(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Seconds between neighbouring beats, the plausible ones, and how many beats the window has (n_beats)."""
+    whole = Window.partitionBy(*keys)
+    rr = (F.col("place") - F.lag("place").over(whole.orderBy("place"))) / F.col("fs")
+    return found.withColumns({"rr": rr, "n_beats": F.count("*").over(whole)}).filter(F.col("rr").between(*RR_RANGE))
+
+
+def pulse_features(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Heart rate from beats of the pulse, and how often they come; windows with under two plausible intervals have none."""
+    n, bpm = F.max("n_beats"), 60.0 / F.col("rr")
+    out = intervals.groupBy(*keys).agg(F.count("*").alias("_n"), *stat_columns(bpm, "bvp_derived_hr"), n.alias("bvp_peak_count"), (n / (F.max("n_samples") / F.max("fs"))).alias("bvp_peak_rate"))
+    return out.filter("_n >= 2").drop("_n")
+
+
+def hrv_features(df: DataFrame, keys: list[str], rr: str, order: list[str], prefix: str) -> DataFrame:
+    """The 18 features of beat intervals, time and frequency domain, named after prefix."""
+    time, power = hrv_time(df, keys, rr, order).drop("n_rr"), hrv_freq(df, keys, rr, order)
+    return time.join(power, keys, "left").withColumnsRenamed({c: f"{prefix}_{c}" for c in [*time.columns, *power.columns] if c not in keys})
 
 
 def hrv_time(df: DataFrame, keys: list[str], rr: str, order: list[str]) -> DataFrame:

@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names that are never model inputs, parts of names that rule a column out, and time parts that are let in on request.
+from .splits import draw_rank
+
+#: Names that are never model inputs, parts of names that rule a column out, and names of time columns that are let in on request.
 EXACT = ("source", "subject_id", "session_id", "group_id", "target3", "target_binary", "window_id", "fold", "model")
 PARTS = ("label", "target", "subject", "session", "source", "group", "utc", "recommendation", "alert", "window", "offset")
-TIME_PARTS = ("hour", "dayofweek", "month")
-BASELINE_SKIP = ("source", "subject_id", "session_id", "group_id", "target3", "target_binary", "window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts", "window_id")
+TIME_NAMES = ("hour", "dayofweek", "month")
+#: Names, and beginnings of names, that get no personal baseline.
+BASELINE_EXACT = ("window_start_ts", "window_end_ts", "window_start_sec", "window_end_sec", "window_id")
+BASELINE_PREFIXES = ("target", "label", "source", "subject", "session", "group", "window_start_utc", "window_end_utc")
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -24,12 +28,12 @@ def _numeric(df: DataFrame) -> list[str]:
 def feature_columns(df: DataFrame, include_time: bool = False) -> list[str]:
     """Numeric columns that may be model inputs, in table order."""
     keep = [c for c in _numeric(df) if c not in EXACT and not any(p in c.lower() for p in PARTS)]
-    return [c for c in keep if include_time or not any(p in c.lower() for p in TIME_PARTS)]
+    return [c for c in keep if include_time or c.lower() not in TIME_NAMES]
 
 
 def baseline_columns(df: DataFrame) -> list[str]:
     """Numeric columns that get a personal baseline: another rule, which keeps window_duration_sec and survey_offset_hours."""
-    return [c for c in _numeric(df) if c not in BASELINE_SKIP and "label" not in c.lower() and not c.endswith(("_delta_base", "_ratio_base", "_z_personal"))]
+    return [c for c in _numeric(df) if c.lower() not in BASELINE_EXACT and not c.lower().startswith(BASELINE_PREFIXES) and "label" not in c.lower()]
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -52,10 +56,46 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(sizes.withColumn("weight", total / F.col("_n")).drop("_n")), label)  # one row for each class
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """keys and q: the exact linear percentile of the values of each group, null if it has none.
+
+    A first pass brackets the percentile to within a few rows in ten thousand; a second counts the values
+    inside the bracket, and those below and above it as a whole. So no task holds or sorts the values
+    of a group.
+    """
+    near, v = 2e-4, F.col(value).cast("double")
+    spread = F.percentile_approx(v, F.array(F.lit(max(0.0, q - near)), F.lit(min(1.0, q + near))), 10_000)
+    limits = df.groupBy(*keys).agg(F.struct(F.count(v).alias("n"), spread.alias("b")).alias("_l"))
+    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    if keys:
+        rows = rows.join(limits.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys)).select(*keys, "_v", "_l")
+    else:
+        rows = rows.withColumn("_l", limits.scalar())
+    side = F.when(F.col("_v") < F.col("_l.b")[0], -1).when(F.col("_v") > F.col("_l.b")[1], 1).otherwise(0)
+    cells = rows.groupBy(*keys, side.alias("_s"), F.when(side == 0, F.col("_v")).alias("_x")).agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first("_l.n").alias("_n"))
+    cells = cells.withColumn("_v", F.when(F.col("_s") == 1, F.col("_low")).otherwise(F.col("_high")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_s", "_x").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.lit(q) * (F.col("_n") - 1)
+    at = lambda n: F.min(F.when(F.col("_u") > n, F.col("_v")))
+    part = F.max(place - F.floor(place))
+    found = cells.withColumn("_u", upto).groupBy(*keys).agg(((1 - part) * at(F.floor(place)) + part * at(F.ceil(place))).alias("q"))
+    if not keys:
+        return found
+    return df.select(*keys).distinct().join(found.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys), "left").select(*keys, "q")
+
+
+def _same(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return on
+
+
 def fit_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians in one pass; a column without values gets 0."""
-    row = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    return {c: 0.0 if row[c] is None else float(row[c]) for c in columns}
+    """Exact medians; a column without values gets 0."""
+    cells = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    found = {r["c"]: r["q"] for r in percentiles(cells, ["c"], "v", 0.5).collect()}  # one row for each column
+    return {c: 0.0 if found.get(c) is None else float(found[c]) for c in columns}
 
 
 def apply_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -125,18 +165,26 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 9) -> DataFrame:
-    """q_id and pred: the class with most inverse-distance weight among the k nearest (exact hits outvote all others); ties by the lower class.
-
-    train: id, vec, label. test: id, vec.
-    """
+def knn_votes(train: DataFrame, test: DataFrame, k: int = 9) -> DataFrame:
+    """q_id, label and w: the inverse-distance weight of each class among the k nearest; exact hits outvote all others. train: id, vec, label. test: id, vec."""
     near = nearest(test, train, k).join(train.select("id", "label"), "id")
     near = near.withColumn("_hit", F.max((F.col("d2") == 0).cast("int")).over(Window.partitionBy("q_id")))
     weight = F.when(F.col("_hit") == 1, (F.col("d2") == 0).cast("double")).otherwise(1.0 / F.sqrt("d2"))
-    votes = near.groupBy("q_id", "label").agg(F.sum(weight).alias("w"))
+    return near.groupBy("q_id", "label").agg(F.sum(weight).alias("w"))
+
+
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 9) -> DataFrame:
+    """q_id and pred: the class with most weight; ties by the lower class."""
+    votes = knn_votes(train, test, k)
     return votes.groupBy("q_id").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).cast("int").alias("pred"))
 
 
+def knn_probabilities(train: DataFrame, test: DataFrame, k: int, classes: int) -> DataFrame:
+    """q_id and prob: the share of each class 0, 1, ... in the weight."""
+    held = knn_votes(train, test, k).groupBy("q_id").agg(F.sum("w").alias("_all"), *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("w"))), F.lit(0.0)).alias(f"_w{c}") for c in range(classes)])
+    return held.select("q_id", F.array(*[F.col(f"_w{c}") / F.col("_all") for c in range(classes)]).alias("prob"))
+
+
 def smote(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """New rows (label, base_id, copy, neighbour_id, u, vec) that bring each class to the size of the largest. df: id, label, vec.
 
@@ -150,8 +198,7 @@ def smote(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     k, most = min(k, min(sizes.values()) - 1), max(sizes.values())
     need = df.sparkSession.createDataFrame([(c, most - n, n) for c, n in sizes.items() if n < most] or [(None, 0, 1)], "label int, need int, n int")
     small = df.join(F.broadcast(need), "label")
-    w = Window.partitionBy("label").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), "id")
-    ranked = small.withColumn("_r", F.row_number().over(w) - 1)
+    ranked = draw_rank(small, ["label"], "id", seed).withColumn("_r", F.col("_r") - 1)
     copies = F.floor((F.col("need") - F.col("_r") + F.col("n") - 1) / F.col("n")).cast("int")
     bases = ranked.withColumn("_m", copies).filter("_m > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     coin = lambda name: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{name}"), F.col("id").cast("string"), F.col("copy").cast("string"))), 1, 8), 16, 10).cast("double")
@@ -172,16 +219,21 @@ def gnb_fit(train: DataFrame, columns: list[str], label: str) -> DataFrame:
     return parts.select("label", "prior", "mean", F.transform("_v", lambda v: v + 1e-8 * F.col("_s")).alias("var"))
 
 
-def gnb_predict(model: DataFrame, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, pred and log_likelihood of the likeliest class (ties: the lower)."""
-    classes = [r.asDict() for r in model.orderBy("label").collect()]  # one row for each class
+def gnb_log_likelihoods(classes: list[dict], x: Column) -> list[tuple[int, Column]]:
+    """(label, log likelihood of the array x) of each class, in the order given."""
     terms = []
     for c in classes:
         constant = math.log(c["prior"]) - 0.5 * sum(math.log(2 * math.pi * v) for v in c["var"])
-        x = F.array(*[F.col(n).cast("double") for n in columns])
         away = F.aggregate(F.zip_with(F.zip_with(x, F.array(*[F.lit(m) for m in c["mean"]]), lambda a, b: (a - b) * (a - b)), F.array(*[F.lit(v) for v in c["var"]]), lambda d, v: d / v), F.lit(0.0), lambda s, v: s + v)
-        terms.append(F.struct((F.lit(constant) - 0.5 * away).alias("ll"), F.lit(-c["label"]).alias("l")))
-    best = df.withColumn("_b", F.array_max(F.array(*terms)))
+        terms.append((c["label"], F.lit(constant) - 0.5 * away))
+    return terms
+
+
+def gnb_predict(model: DataFrame, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, pred and log_likelihood of the likeliest class (ties: the lower)."""
+    classes = [r.asDict() for r in model.orderBy("label").collect()]  # one row for each class
+    terms = gnb_log_likelihoods(classes, F.array(*[F.col(n).cast("double") for n in columns]))
+    best = df.withColumn("_b", F.array_max(F.array(*[F.struct(t.alias("ll"), F.lit(-label).alias("l")) for label, t in terms])))
     return best.select(key, (-F.col("_b.l")).cast("int").alias("pred"), F.col("_b.ll").alias("log_likelihood"))
 
 

@@ -10,12 +10,24 @@ def draw(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
+def draw_rank(df: DataFrame, cells: list[str], key: str, seed: int) -> DataFrame:
+    """Adds _r, the place from 1 of each row of a cell in drawn order; cells should not be null.
+
+    Rows of a cell are ranked in 256 parts by the first digits of the draw, and parts are put after each
+    other by their counts, so that a class with most of the rows isn't sorted in one task.
+    """
+    rows = df.withColumns({"_draw": draw(seed, key)}).withColumn("_part", F.substring("_draw", 1, 2))
+    before = F.sum("_n").over(Window.partitionBy(*cells).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(*cells, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*cells, "_part").orderBy("_draw", key))
+    return rows.withColumn("_r", inside).join(counts, [*cells, "_part"]).withColumn("_r", F.col("_r") + F.col("_before")).select(*df.columns, "_r")
+
+
 def cap_per_group_class(df: DataFrame, cap: int | None, group: str, label: str, key: str, seed: int = 42) -> DataFrame:
     """At most `cap` drawn rows of each group and class; None or 0: all."""
     if not cap or cap <= 0:
         return df
-    w = Window.partitionBy(group, label).orderBy(draw(seed, key), key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
+    return draw_rank(df, [group, label], key, seed).filter(F.col("_r") <= cap).drop("_r")
 
 
 def balance_sources(df: DataFrame, mode: str, source: str, label: str, key: str, seed: int = 42) -> DataFrame:
@@ -30,8 +42,7 @@ def balance_sources(df: DataFrame, mode: str, source: str, label: str, key: str,
     else:
         limit = counts.groupBy(label).agg(F.when(F.count("*") > 1, F.min("_n")).alias("_cap"))
         ranked = df.join(F.broadcast(limit), label)  # one row for each class
-    w = Window.partitionBy(*cells).orderBy(draw(seed, key), key)
-    kept = ranked.withColumn("_r", F.row_number().over(w)).filter(F.col("_cap").isNull() | (F.col("_r") <= F.col("_cap")))
+    kept = draw_rank(ranked, cells, key, seed).filter(F.col("_cap").isNull() | (F.col("_r") <= F.col("_cap")))
     return kept.select(*df.columns)
 
 
@@ -65,27 +76,28 @@ def folds_stratified(df: DataFrame, k: int, label: str, key: str, seed: int = 42
     """Stratified folds of rows; k is at most the size of the smallest class, but two at least."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
     most = sizes.agg(F.least(F.lit(k), F.greatest(F.lit(2), F.min("n"))).alias("k")).scalar()
-    spot = F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key), key)) - 1
-    return df.withColumn("fold", F.pmod(spot, most).cast("int"))
+    return draw_rank(df, [label], key, seed).withColumn("fold", F.pmod(F.col("_r") - 1, most).cast("int")).drop("_r")
 
 
 def calibration_split(df: DataFrame, label: str, key: str, group: str | None = None, seed: int = 42) -> DataFrame:
     """Adds calibration (true for the held-out part of a training set), or false for all where none is possible.
 
-    With four groups or more: the first fold of four whose two sides hold all classes. Else (or
-    without groups) a third, quarter or fifth of the rows by class (under 60 rows, under 100, more).
-    Under 20 rows or with one class: none.
+    With four groups or more: the first fold, of five, four, three or two, whose two sides hold all
+    classes. Else (or without groups) a fifth of the rows by class, more if the smallest class has
+    under five. Under 20 rows or with one class: none.
     """
     stats = df.agg(F.count("*").alias("n"), F.count_distinct(label).alias("k"), *([F.count_distinct(group).alias("g")] if group else [])).first()
     if stats["n"] < 20 or stats["k"] < 2:
         return df.withColumn("calibration", F.lit(False))
     if group and stats["g"] >= 4:
-        folded = folds_group(df, 4, group, label, seed)
-        cells = folded.groupBy("fold", label).agg(F.count("*").alias("n")).collect()  # four folds by class
-        for f in range(4):
-            inside = {r[label] for r in cells if r["fold"] == f}
-            outside = {r[label] for r in cells if r["fold"] != f}
-            if len(inside) == stats["k"] == len(outside):
-                return folded.withColumn("calibration", F.col("fold") == f).drop("fold")
-    parts = 3 if stats["n"] < 60 else 4 if stats["n"] < 100 else 5
-    return folds_stratified(df, parts, label, key, seed).withColumn("calibration", F.col("fold") == 0).drop("fold")
+        for parts in (5, 4, 3, 2):
+            if stats["g"] < parts:
+                continue
+            folded = folds_group(df, parts, group, label, seed)
+            cells = folded.groupBy("fold", label).agg(F.count("*").alias("n")).collect()  # at most five folds by class
+            for f in range(parts):
+                inside = {r[label] for r in cells if r["fold"] == f}
+                outside = {r[label] for r in cells if r["fold"] != f}
+                if len(inside) == stats["k"] == len(outside):
+                    return folded.withColumn("calibration", F.col("fold") == f).drop("fold")
+    return folds_stratified(df, 5, label, key, seed).withColumn("calibration", F.col("fold") == 0).drop("fold")

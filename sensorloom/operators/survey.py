@@ -14,14 +14,16 @@ def survey_intervals(raw: DataFrame, offset_hours: float = 0.0) -> DataFrame:
     Rows without id, with a level outside 0, 1, 2, or with a date or time that can't be read are left
     out. An end before its start is of the next day. The local time is `offset_hours` ahead of UTC.
     """
-    rows = raw.select(
+    row = F.struct(
         normalize_subject_id(F.col("ID")).alias("subject_id"),
         F.unix_date(parse_date(F.col("date"))).alias("day"),
         parse_clock(F.col("Start time")).alias("start"),
         parse_clock(F.col("End time")).alias("end"),
         F.trim(F.col("Stress level").cast("string")).try_cast("double").try_cast("int").alias("nurse_label"),
     )
-    good = rows.filter((F.col("subject_id") != "") & F.col("nurse_label").isin(0, 1, 2) & F.col("day").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    # The test stands inside the array, so that the parsing isn't written out again for a filter below.
+    whole = lambda x: (x["subject_id"] != "") & x["nurse_label"].isin(0, 1, 2) & x["day"].isNotNull() & x["start"].isNotNull() & x["end"].isNotNull()
+    good = raw.select(F.inline(F.filter(F.array(row), whole)))
     base = F.col("day") * F.lit(86400.0) - F.lit(3600.0 * offset_hours)
     end = F.when(F.col("end") < F.col("start"), F.col("end") + 86400).otherwise(F.col("end"))
     return good.select("subject_id", (base + F.col("start")).alias("survey_start_ts"), (base + end).alias("survey_end_ts"), "nurse_label")
@@ -30,14 +32,16 @@ def survey_intervals(raw: DataFrame, offset_hours: float = 0.0) -> DataFrame:
 def scan_offsets(sessions: DataFrame, intervals: DataFrame, offsets: list[int] | None = None) -> DataFrame:
     """For each offset in hours: sessions whose start lies in a shifted interval of their subject (ends included), and their subjects.
 
-    intervals are those of offset 0; the offsets are a literal array, so there is one equi-join on
-    the subject and no product of tables.
+    intervals are those of offset 0. A start meets the intervals that some offset can bring it into, by
+    an equi-join on subject and day, and each pair gives the offsets that fit, out of a literal array.
     """
     offsets = list(range(-12, 15)) if offsets is None else offsets
-    starts = sessions.select("subject_id", "session_id", "start_ts")
-    hit = starts.join(intervals, "subject_id").withColumn("offset", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
-    shifted = F.col("start_ts") + F.col("offset") * 3600.0
-    inside = hit.filter((F.col("survey_start_ts") <= shifted) & (shifted <= F.col("survey_end_ts")))
+    low, high = 3600.0 * min(offsets), 3600.0 * max(offsets)
+    day = lambda c: F.floor(c / 86400.0)
+    starts = sessions.select("subject_id", "session_id", "start_ts", day(F.col("start_ts")).alias("_day"))
+    near = intervals.withColumn("_day", F.explode(F.sequence(day(F.col("survey_start_ts") - high), day(F.col("survey_end_ts") - low))))
+    fits = lambda o: (F.col("survey_start_ts") <= F.col("start_ts") + o * 3600.0) & (F.col("start_ts") + o * 3600.0 <= F.col("survey_end_ts"))
+    inside = starts.join(near, ["subject_id", "_day"]).select("subject_id", "session_id", F.explode(F.filter(F.array(*[F.lit(float(o)) for o in offsets]), fits)).alias("offset"))
     found = inside.groupBy("offset").agg(F.count_distinct("subject_id", "session_id").alias("m"), F.count_distinct("subject_id").alias("s"))
     every = sessions.sparkSession.createDataFrame([(float(o),) for o in offsets], "survey_offset_hours double")
     joined = every.join(F.broadcast(found), every["survey_offset_hours"] == found["offset"], "left")  # one row for each offset

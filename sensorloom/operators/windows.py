@@ -42,9 +42,33 @@ def assign_windows(readings: DataFrame, window_sec: float, step_sec: float) -> D
     )
 
 
-def assign_sampled_windows(readings: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
-    """As assign_windows, for aligned samples with fs: window k holds the indices from round(k step fs) up to round((k step + window) fs), halves to even."""
-    ends = readings.groupBy(SESSION).agg(F.max((F.col("sample_idx") + 1) / F.col("fs")).alias("duration"))
+def session_spans(aligned: DataFrame) -> DataFrame:
+    """session_start and duration of each session: the earliest start and the longest signal of aligned samples."""
+    return aligned.groupBy(SESSION).agg(F.min("start_ts").alias("session_start"), F.max((F.col("sample_idx") + 1) / F.col("fs")).alias("duration"))
+
+
+def session_windows(spans: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
+    """All windows that end within the duration of their session, with or without samples."""
+    last = F.floor((F.col("duration") + 1e-6 - window_sec) / step_sec).cast("int")
+    rows = spans.withColumn("window_id", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    start = F.col("window_id") * F.lit(float(step_sec))
+    return rows.select(
+        *SESSION,
+        "window_id",
+        start.alias("window_start_sec"),
+        (start + window_sec).alias("window_end_sec"),
+        F.lit(float(window_sec)).alias("window_duration_sec"),
+        (F.col("session_start") + start).alias("window_start_ts"),
+        (F.col("session_start") + start + window_sec).alias("window_end_ts"),
+    )
+
+
+def assign_sampled_windows(readings: DataFrame, window_sec: float, step_sec: float, spans: DataFrame | None = None) -> DataFrame:
+    """As assign_windows, for aligned samples with fs: window k holds the indices from round(k step fs) up to round((k step + window) fs), halves to even.
+
+    spans (duration of each session) decides how many windows there are; unset, the samples do.
+    """
+    ends = readings.groupBy(SESSION).agg(F.max((F.col("sample_idx") + 1) / F.col("fs")).alias("duration")) if spans is None else spans.select(*SESSION, "duration")
     t = F.col("sample_idx") / F.col("fs")
     first = F.greatest(F.lit(0), F.floor((t - window_sec) / step_sec).cast("int"))
     last = F.least(F.floor(t / step_sec) + 1, F.floor((F.col("duration") + 1e-6 - window_sec) / step_sec)).cast("int")
@@ -75,3 +99,10 @@ def ibi_grid(beats: DataFrame) -> DataFrame:
     forward = F.last("ibi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     back = F.first("ibi", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return grid.join(seconds, [*keys, "sec"], "left").select(*keys, "sec", F.coalesce(forward, back).alias("ibi"))
+
+
+def beat_readings(beats: DataFrame, source: str = "field") -> DataFrame:
+    """Beat intervals as readings of the signal ibi at 1 Hz. beats: subject_id, session_id, start_ts, rel_t, ibi."""
+    keys = ["subject_id", "session_id"]
+    starts = beats.groupBy(*keys).agg(F.min("start_ts").alias("start_ts"))
+    return ibi_grid(beats).join(starts, keys).select(F.lit(source).alias("source"), *keys, F.lit("ibi").alias("signal"), F.lit(1.0).alias("fs"), "start_ts", F.col("sec").cast("long").alias("sample_idx"), F.col("ibi").alias("value"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_seconds, iso_utc
+from ..operators.baseline import add_personal_baseline
+from ..operators.decision import alert_state
+from ..operators.windows import assign_windows
+from .scratch import shared_dir
 
 DAY = 86_400.0
+#: Features that window_rows has.
+FEATURES = ["hr_mean", "eda_mean", "acc_activity"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +60,83 @@ def survey_rows(spark: SparkSession, sf_dir: str, offset_hours: float = -4.0) ->
     )
 
 
+def window_rows(readings: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
+    """Windows of events with a few columns named as features: events are too sparse for real ones (see recordings).
+
+    The mean stands for heart rate, the deviation for conductance, the maximum for motion.
+    """
+    placed = assign_windows(readings, window_sec, step_sec)
+    keys = ["source", "subject_id", "session_id", "window_id", "window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts"]
+    return placed.groupBy(*keys).agg(
+        F.lit(float(window_sec)).alias("window_duration_sec"),
+        F.count("*").alias("n_samples"),
+        F.avg("value").alias("hr_mean"),
+        (F.stddev_pop("value") / 100).alias("eda_mean"),
+        F.max("value").alias("acc_activity"),
+    )
+
+
+def personal_rows(readings: DataFrame, window_sec: float, step_sec: float, minutes: float) -> DataFrame:
+    rows = window_rows(readings, window_sec, step_sec)
+    rows = rows.withColumn("protocol_label", F.when(F.col("source") == "lab", F.when(F.col("window_id") % 3 == 1, 1).otherwise(2)))
+    return add_personal_baseline(rows, FEATURES, minutes)
+
+
+def alert_rows(readings: DataFrame, window_sec: float, step_sec: float, minutes: float) -> DataFrame:
+    """Alert states of these windows, with label and confidence by the sample count in place of a model."""
+    rows = personal_rows(readings, window_sec, step_sec, minutes)
+    scored = rows.withColumns({"pred_label": (F.col("n_samples") % 3).cast("int"), "confidence": (F.col("n_samples") % 11) / 10.0})
+    return alert_state(scored, ["source"])
+
+
+#: Rate of the motion and pulse signals of recordings(), and the start of the first.
+RATE, EPOCH = 4.0, 1_600_000_000.0
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as sample instants: a supplier and line status is a session; even suppliers are lab subjects with one session."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey % 2 = 1 or l_linestatus = 'F'")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    n = F.row_number().over(Window.partitionBy("l_suppkey", "l_linestatus").orderBy(*order)) - 1
+    lab, name = F.col("l_suppkey") % 2 == 0, F.col("l_suppkey").cast("string")
+    start = EPOCH + F.col("l_suppkey") * 100_000.0 + F.when(F.col("l_linestatus") == "O", 40_000.0).otherwise(0.0)
+    return rows.select(
+        F.when(lab, "lab").otherwise("field").alias("source"),
+        name.alias("subject_id"),
+        F.when(lab, name).otherwise(F.concat(name, F.lit("_"), "l_linestatus")).alias("session_id"),
+        F.when(lab, 0.0).otherwise(start).alias("start_ts"),
+        n.cast("long").alias("n"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+    )
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals of the sessions of lineitem: motion and pulse at 4 Hz, the others at 1 Hz; the heart rate of field sessions starts 10 s late."""
+    fast = {"acc_x": F.col("quantity"), "acc_y": F.col("discount") * 100, "acc_z": F.col("tax") * 100, "bvp": F.col("price") / 1000}
+    slow = {"eda": F.col("quantity") / 10, "temp": 30 + F.col("tax") * 10, "hr": 60 + F.col("quantity"), "ibi": 0.4 + F.col("discount") * 10}
+    one = lambda name, fs, i, value: F.struct(F.lit(name).alias("signal"), F.lit(fs).alias("fs"), i.alias("sample_idx"), value.cast("double").alias("value"))
+    of_fast = [one(k, RATE, F.col("n"), v) for k, v in fast.items()]
+    of_slow = [one(k, 1.0, F.floor(F.col("n") / 4), v) for k, v in slow.items()]
+    late = F.when((F.col("s.signal") == "hr") & (F.col("source") == "field"), 10.0).otherwise(0.0)
+    rows = _samples(spark, sf_dir).withColumn("s", F.explode(F.when(F.col("n") % 4 == 0, F.array(*of_fast, *of_slow)).otherwise(F.array(*of_fast))))
+    return rows.select("source", "subject_id", "session_id", "s.signal", "s.fs", (F.col("start_ts") + late).alias("start_ts"), "s.sample_idx", "s.value")
+
+
+def recording_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protocol labels of the lab sessions, at 4 Hz: half a minute of each in turn."""
+    return _samples(spark, sf_dir).filter("source = 'lab'").select("subject_id", F.col("n").alias("sample_idx"), (F.floor(F.col("n") / 120) % 3 + 1).cast("int").alias("label"), F.lit(RATE).alias("fs"))
+
+
+def recording_survey(spark: SparkSession, sf_dir: str, offset_hours: float = -4.0) -> DataFrame:
+    """The first 40 s of each field session as survey rows of text, in a local time offset_hours from UTC."""
+    starts = _samples(spark, sf_dir).filter("source = 'field'").groupBy("subject_id", "session_id").agg(F.min("start_ts").alias("t"))
+    start, end = (iso_utc(F.col("t") + offset_hours * 3600.0 + x) for x in (0.0, 40.0))
+    return starts.select(F.col("subject_id").alias("ID"), F.substring(start, 1, 10).alias("date"), F.substring(start, 12, 8).alias("Start time"), F.substring(end, 12, 8).alias("End time"), (F.col("subject_id").cast("int") % 3).cast("string").alias("Stress level"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as predictions of two models over three folds."""
     score = F.round(F.col("l_discount") * 5 + F.col("l_quantity") / 100, 4)
@@ -69,3 +154,31 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as feature vectors: e0 to e3 with holes, and the whole vector."""
     cells = [F.when(F.col("vec_id") % 7 != i, F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(4)]
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label", (F.col("label") >= 5).cast("int").alias("target_binary"), (F.col("vec_id") % 20).cast("string").alias("group_id"), *cells)
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as a feature table of three classes (label % 3), with holes, two sources and 20 groups."""
+    cells = [F.when(F.col("vec_id") % 7 != i % 11, F.col("embedding")[i].cast("double")).alias(f"v{i:02d}") for i in range(64)]
+    group = (F.col("vec_id") % 20).cast("string")
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 2 == 0, "lab").otherwise("field").alias("source"),
+        group.alias("subject_id"),
+        group.alias("group_id"),
+        F.col("vec_id").cast("double").alias("window_start_ts"),
+        (F.col("label") % 3).cast("int").alias("target3"),
+        (F.col("label") % 3 > 0).cast("int").alias("target_binary"),
+        *cells,
+    )
+
+
+def event_files(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+    """events as a folder of files that arrive one after another, each with a part of the time: several micro-batches."""
+    rows = table(spark, sf_dir, "events")
+    sec = epoch_seconds(F.col("ts"))
+    ends = rows.agg(F.min(sec).alias("a"), F.max(sec).alias("b")).first()
+    part = F.least(F.lit(parts - 1), F.floor((sec - ends["a"]) / (ends["b"] - ends["a"] + 1e-6) * parts))
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    for i in range(parts):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path

@@ -15,10 +15,10 @@ from ..operators.decision import context_flags, state_columns, stress_like
 from ..operators.stats import stat_columns
 
 
-def stream_readings(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """events as a stream of readings with a timestamp."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
+def stream_readings(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A folder of event files as a stream of readings with a timestamp, in the order in which they were written."""
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     source = F.when(F.col("user_id") % 2 == 0, "lab").otherwise("field")
     return rows.select("event_id", source.alias("source"), F.col("user_id").cast("string").alias("subject_id"), F.col("event_type").alias("signal"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
