@@ -9,31 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import bpe, mixing, quality, simhash, substring
-from sensorloom.llm.common import scratch_dir, table
+from sensorloom.llm.common import delete, scratch_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels beside the documents."""
+    """Documents that the quality classifier accepts; it learns from the labels beside the documents.
+
+    Every row is judged by its own text (null: empty). Without labels every score is 0.5, and all stay.
+    """
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that with the smallest id, ids that are null last.
+
+    Texts without words are alike, so one of them stays. Rows that repeat an id are judged each.
+    """
     return simhash.one_of_each_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand in an earlier document, or earlier in the same."""
+    """Texts without passages that stand in an earlier document, or earlier in the same; ids that are null come first."""
     return substring.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, row by row; null is a source of its own, and texts without words are never taken."""
     return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the bytes that they decode to."""
+    """Token ids of each document, with digests of the ids and of the bytes that they decode to; null ids pass through."""
     encoded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -51,11 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Stage results go to a folder of this run in the shared folder."""
+    """All stages over documents. Each result is a folder of this run in the shared folder, and goes when the next is written."""
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         made.write.parquet(f"{folder}/{i}")
         docs = spark.read.schema(made.schema).parquet(f"{folder}/{i}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}")
     return docs

@@ -14,9 +14,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), a folder of our own. A cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sensorloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -24,6 +26,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def delete(spark: SparkSession, name: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and any executor can be lost.
 
@@ -35,7 +43,7 @@ def staged(df: DataFrame) -> DataFrame:
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(name)
@@ -46,10 +54,8 @@ def staged(df: DataFrame) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete a table of staged() that nothing reads any more."""
-    spark = table.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/staged-" in f}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, name)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -187,24 +187,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
         for batch in batches:
             for raws, at in pieces(encoded(batch.column(1))):
                 part = batch.slice(at, len(raws))
-                units, found = passages.runs(raws)
+                held = part.column(2).is_valid().to_pylist()
+                units, found = passages.runs([r if h else b"" for r, h in zip(raws, held, strict=True)])  # the rest stays as it is
                 found = found.among(listed(part.column(2)))
                 again = np.zeros(len(units.units), dtype=bool)
                 again[windows_of(found, units.start)] = True
                 again[places_of(part.column(3), "windows", units.start)] = False
                 gone = covered(again, window)
                 removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), units.start[:-1]) * (np.diff(units.start) > 0)
-                left, spans = [], []
+                left, spans, count = [], [], np.diff(units.start)
                 for i, raw in enumerate(raws):
                     cuts = spans_of(gone[units.start[i] : units.start[i + 1]]) if removed[i] else []
                     spans.append([{"start": a, "end": b} for a, b in cuts])
-                    if layout:
+                    if layout and held[i]:
                         left.append(cut_out(raw, cuts) if cuts else raw)
                         continue
                     words, ends = raw.split(), [0, *(x for c in cuts for x in c), None]
-                    left.append(b" ".join(words if not cuts else [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]))
+                    count[i] = len(words)
+                    left.append(raw if layout else b" ".join(words if not cuts else [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]))
                 place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()).cast(pa.string()), pa.array(spans, place), *part.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept", "removed", *(f.name for f in carried)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), pa.array(removed), pa.array(left, pa.binary()).cast(pa.string()), pa.array(spans, place), *part.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept", "removed", *(f.name for f in carried)])
 
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: int, end: int>>")
     done = rows.join(keyed, "place", "left").join(kept, ["doc", "copy"], "left").select("id", "text", "keys", "firsts", *[f"carry_{f.name}" for f in carried])

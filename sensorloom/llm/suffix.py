@@ -48,11 +48,15 @@ def _groups(sides: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def shared_windows(key: np.ndarray, runs: list[bytes], anchor: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For rows in order of their key: a flag for each window of each run that another row's run has too."""
-    length = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
-    count, reach = length - window + 1, window - gram
+    reach = window - gram
     flags = np.zeros((len(runs), reach + 1), dtype=bool)
-    if len(runs) < 2:
+    change = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    some = np.nonzero(~(change[:-1] & change[1:]))[0]  # a key with one row has no other to share with
+    if not len(some):
         return flags
+    runs, key, anchor = [runs[i] for i in some.tolist()], key[some], anchor[some]
+    length = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+    count = length - window + 1
     data = np.frombuffer(b"".join([bytes(window), *runs, bytes(window)]), dtype=np.uint8)
     at = window + np.cumsum(length) - length + anchor
     number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
@@ -71,8 +75,8 @@ def shared_windows(key: np.ndarray, runs: list[bytes], anchor: np.ndarray, windo
         order = np.argsort(both)
         equal = both[order[1:]] == both[order[:-1]]
         rows = rows[order]
-        flags[rows[1:][equal], anchor[rows[1:][equal]] - before] = True
-        flags[rows[:-1][equal], anchor[rows[:-1][equal]] - before] = True
+        for found in (rows[1:][equal], rows[:-1][equal]):
+            flags[some[found], anchor[found] - before] = True
     return flags
 
 
@@ -137,11 +141,14 @@ class IndexFamily:
     def _union(self, level: Level, new: Level) -> DataFrame:
         return level.rows.select(*_NAMES, F.lit(False).alias("fresh")).union(new.rows.select(*_NAMES, F.lit(True).alias("fresh")))
 
-    def add(self, batch: DataFrame) -> None:
-        """Index a batch, scan it against all levels and merge equal ones."""
+    def built(self, batch: DataFrame) -> Level:
+        """The suffix array of a batch, as a level of its own."""
         empty = F.lit(bytes(-(-(self.window - self.gram + 1) // 8)))
         stored = self._scanned(batch.select(*_NAMES[:-1], empty.alias("found"), F.lit(True).alias("fresh")), False)
-        new = Level(1, stored[0], stored)
+        return Level(1, stored[0], stored)
+
+    def add(self, new: Level) -> None:
+        """Scan a batch against all levels and merge equal ones."""
         for at in reversed(range(len(self.levels))):
             level = self.levels[at]
             merge = level.size == new.size
@@ -242,8 +249,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     open_ = refined(known, window, gram, CROWD)
     family = IndexFamily(window, gram)
     for b in range(batches):
-        family.add(open_.filter(F.col("batch") == b))
-    discard(known)
+        new = family.built(open_.filter(F.col("batch") == b))
+        if b == batches - 1:
+            discard(known)
+        family.add(new)
     alone = family.rows().filter("n = 1").select("doc", "copy", F.struct("start", (F.length("run") - (window - 1)).cast("int").alias("count"), "found").alias("run"))
     settled = alone.groupBy("doc", "copy").agg(F.collect_list("run").alias("alone"))
 
@@ -251,7 +260,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         for batch in batches:
             for raws, at in pieces(encoded(batch.column(1))):
                 part = batch.slice(at, len(raws))
-                units, found = passages.runs(raws)
+                held = part.column(2).is_valid().to_pylist()
+                units, found = passages.runs([r if h else b"" for r, h in zip(raws, held, strict=True)])  # the rest stays as it is
                 found = found.among(listed(part.column(2)))
                 twice = np.zeros(len(units.units), dtype=bool)
                 twice[windows_of(found, units.start)] = True
@@ -265,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                     spans.append([{"start": a, "end": b} for a, b in cuts])
                     left.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if cuts else raw)
                 place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(units.start)), pa.array(removed), pa.array(left, pa.binary()), pa.array(spans, place)], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(removed), pa.array(left, pa.binary()), pa.array(spans, place)], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
 
     done = rows.join(keyed, "place", "left").join(settled, ["doc", "copy"], "left").select("id", "text", "keys", "alone")
     return done.mapInArrow(clear, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start: int, end: int>>")
