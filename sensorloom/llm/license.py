@@ -11,37 +11,84 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-#: Sentences of well-known license notices, in normal form.
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_BY = "general public license as published by the free software foundation either version"
+_LATER = "of the license or at your option any later version"
+_HOPE = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+
+#: Sentences of well-known license texts and notices, in normal form.
 SENTENCES = {
-    "mit_release": "released under the mit license",
     "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as_is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache_release": "licensed under the apache license version 2 0",
-    "apache_the": "licensed under the apache license version 2 0 the license",
     "apache_use": "you may not use this file except in compliance with the license",
     "apache_copy": "you may obtain a copy of the license at",
-    "gpl3_work": "this work is licensed under the gnu general public license version 3",
-    "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "cc_by_nc4": "licensed under cc by nc 4 0",
-    "cc_by4": "licensed under cc by 4 0",
+    "gpl2_free": f"this program {_FREE} {_BY} 2 {_LATER}",
+    "gpl3_free": f"this program {_FREE} {_BY} 3 {_LATER}",
+    "lgpl21_free": f"this library {_FREE} lesser {_BY} 2 1 {_LATER}",
+    "lgpl3_free": f"this library {_FREE} lesser {_BY} 3 {_LATER}",
+    "agpl3_free": f"this program {_FREE} affero {_BY} 3 {_LATER}",
+    "program_hope": f"this program {_HOPE}",
+    "library_hope": f"this library {_HOPE}",
+    "mpl2_form": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl2_copy_safe": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "bsd_redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "cc0_waive": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
 }
 
+#: Fixed values: (license, kind, names in normal form). A sentence that ends in "released under the <name>" or the like says so.
+NAMES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("MIT", "permissive", ("mit license", "mit")),
+    ("Apache-2.0", "permissive", ("apache license version 2 0", "apache license version 2 0 the license", "apache license 2 0", "apache 2 0 license", "apache 2 0")),
+    ("GPL-2.0", "copyleft", ("gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gpl 2 0 only", "gpl 2 0 or later")),
+    ("GPL-3.0", "copyleft", ("gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gpl 3 0 only", "gpl 3 0 or later")),
+    ("LGPL-2.1", "copyleft", ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1", "lgpl 2 1 only", "lgpl 2 1 or later")),
+    ("LGPL-3.0", "copyleft", ("gnu lesser general public license version 3", "gnu lgpl version 3", "lgpl 3 0 only", "lgpl 3 0 or later")),
+    ("AGPL-3.0", "copyleft", ("gnu affero general public license version 3", "gnu agpl version 3", "agpl 3 0 only", "agpl 3 0 or later")),
+    ("MPL-2.0", "copyleft", ("mozilla public license 2 0", "mozilla public license version 2 0", "mpl 2 0")),
+    ("BSD-2-Clause", "permissive", ("bsd 2 clause license", "2 clause bsd license", "bsd 2 clause")),
+    ("BSD-3-Clause", "permissive", ("bsd 3 clause license", "3 clause bsd license", "bsd 3 clause")),
+    ("ISC", "permissive", ("isc license", "isc")),
+    ("CC0-1.0", "permissive", ("cc0 1 0 universal", "cc0 1 0")),
+    ("CC-BY-4.0", "permissive", ("creative commons attribution 4 0 international license", "cc by 4 0")),
+    ("CC-BY-SA-4.0", "copyleft", ("creative commons attribution sharealike 4 0 international license", "cc by sa 4 0")),
+    ("CC-BY-NC-4.0", "non-commercial", ("creative commons attribution noncommercial 4 0 international license", "cc by nc 4 0")),
+)
+#: What stands before a name.
+LEADS = ("released under", "licensed under", "distributed under", "available under", "published under", "spdx license identifier")
+ARTICLES = ("the", "a", "the terms of the")
+
+
+def name_id(name: str) -> str:
+    return f"name_{name.lower().replace('-', '_').replace('.', '_')}"
+
+
 #: (license, kind, identifiers in the order in which they must follow each other among the known sentences).
 RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("MIT", "permissive", ("mit_grant", "mit_notice", "as_is")),
-    ("MIT", "permissive", ("mit_release",)),
-    ("Apache-2.0", "permissive", ("apache_the", "apache_use", "apache_copy")),
-    ("Apache-2.0", "permissive", ("apache_release",)),
-    ("GPL-3.0", "copyleft", ("gpl_free", "gpl_hope")),
-    ("GPL-3.0", "copyleft", ("gpl3_work",)),
-    ("CC-BY-NC-4.0", "non-commercial", ("cc_by_nc4",)),
-    ("CC-BY-4.0", "permissive", ("cc_by4",)),
+    ("Apache-2.0", "permissive", ("name_apache_2_0", "apache_use", "apache_copy")),
+    ("GPL-2.0", "copyleft", ("gpl2_free", "program_hope")),
+    ("GPL-3.0", "copyleft", ("gpl3_free", "program_hope")),
+    ("LGPL-2.1", "copyleft", ("lgpl21_free", "library_hope")),
+    ("LGPL-3.0", "copyleft", ("lgpl3_free", "library_hope")),
+    ("AGPL-3.0", "copyleft", ("agpl3_free", "program_hope")),
+    ("MPL-2.0", "copyleft", ("mpl2_form", "mpl2_copy")),
+    ("MPL-2.0", "copyleft", ("mpl2_form", "mpl2_copy_safe")),
+    ("BSD-3-Clause", "permissive", ("bsd_redistribute", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", "permissive", ("bsd_redistribute", "bsd_source", "bsd_binary")),
+    ("ISC", "permissive", ("isc_grant",)),
+    ("Zlib", "permissive", ("zlib_as_is", "zlib_grant")),
+    ("Unlicense", "permissive", ("unlicense",)),
+    ("CC0-1.0", "permissive", ("cc0_waive",)),
+    *((name, kind, (name_id(name),)) for name, kind, _ in NAMES),
 )
 
 #: A sentence ends at a line feed, or at . ! ? ; : before white space or the end. A known sentence may
@@ -59,53 +106,80 @@ def marked_form(text: Column) -> Column:
     return F.concat(F.lit("|"), F.trim(text), F.lit("|"))
 
 
-def scan_licenses(docs: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
+def _longest(texts, gap: str) -> str:
+    """An alternation, the longest first, with `gap` between words."""
+    return "|".join(t.replace(" ", gap) for t in sorted(texts, key=lambda t: (-len(t), t)))
+
+
+def _clause(names, gap: str) -> str:
+    """A lead, perhaps an article, and a name; a not before them belongs to it."""
+    return f"(?:not{gap})?(?:{_longest(LEADS, gap)}){gap}(?:(?:{_longest(ARTICLES, gap)}){gap})?(?:{_longest([n for _, _, ns in names for n in ns], gap)})"
+
+
+def scan_licenses(docs: DataFrame, sentences=SENTENCES, names=NAMES, rules=RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (in text order), licenses (sorted) and kind of every row.
 
     A rule matches where its identifiers stand next to each other in the sequence of known sentences;
     unknown sentences between them don't count. A known sentence starts and ends where a sentence may,
-    and may be wrapped over lines (n_sentences counts every line and part by itself). kind is the strictest of the licenses found
-    (non-commercial, copyleft, permissive), or none. Null and empty texts have no sentences. Rows
-    that repeat are scanned each; columns other than doc_id and text are not read.
+    and may be wrapped over lines (n_sentences counts every line and part by itself). A sentence whose
+    end names a license ("This project is released under the MIT License.") counts as that name, unless
+    a "not" stands before the clause. A three-clause text also holds the rule of the two-clause one;
+    only the longer is given. kind is the strictest of the licenses found (non-commercial, copyleft,
+    permissive), or none. Null and empty texts have no sentences. Rows that repeat are scanned each;
+    columns other than doc_id and text are not read.
     """
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
-    # Only texts that hold the first two words of a known sentence are put in marked form.
-    first = "|".join(sorted({"[^a-z0-9]+".join(s.split()[:2]) for s in sentences.values()}))
+    named = F.create_map(*[F.lit(x) for k, _, ns in names for n in ns for x in (n, name_id(k))])
+    # Only texts that hold the first two words of a known sentence or lead are put in marked form.
+    first = "|".join(sorted({"[^a-z0-9]+".join(s.split()[:2]) for s in (*sentences.values(), *LEADS)}))
     text = whole_text(F.col("text"))
     likely = F.when(F.rlike(text, F.lit(f"(?i)(?<![a-z0-9])(?:{first})(?![a-z0-9])")), text).otherwise("")
-    one = "|".join(s.replace(" ", "[ ~]") for s in sorted(sentences.values(), key=len, reverse=True))
-    spans = F.regexp_extract_all(marked_form(likely), F.lit(f"(?<=[|~])(?:{one})(?=[|~])"), F.lit(0))
-    ids = F.transform(spans, lambda s: F.element_at(known, F.translate(s, "~", " ")))
+    gap = "[ ~]"
+    spans = F.regexp_extract_all(marked_form(likely), F.lit(f"(?<=[|~])(?:{_longest(sentences.values(), gap)})(?=[|~])|(?<=[|~ ]){_clause(names, gap)}(?=[|~])"), F.lit(0))
+    plain = F.transform(spans, lambda s: F.translate(s, "~", " "))
+    lead = F.lit(f"^(?:{_longest(LEADS, ' ')}) (?:(?:{_longest(ARTICLES, ' ')}) )?")
+    ids = F.transform(F.filter(plain, lambda s: ~s.startswith("not ")), lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(named, F.regexp_replace(s, lead, F.lit("")))))
     parts = F.filter(F.split(text, SENTENCE_END), lambda s: F.trim(s) != "")
     found = docs.select("doc_id", F.size(parts).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
+    # A text has few known sentences, most have none: one pass tells which rules can match at all.
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
     hit = lambda r: line.contains("|" + "|".join(r[2]) + "|")
-    licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(hit(r), F.lit(r[0])) for r in rules]))))
+    every = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(hit(r), F.lit(r[0])) for r in rules]))))
+    licenses = F.when(F.size("sentence_ids") == 0, F.array().cast("array<string>")).otherwise(F.when(F.array_contains(every, "BSD-3-Clause"), F.array_remove(every, "BSD-2-Clause")).otherwise(every))
     kind = F.lit("none")
     for level in ("permissive", "copyleft", "non-commercial"):
-        test = F.lit(False)
-        for r in rules:
-            if r[1] == level:
-                test = test | hit(r)
-        kind = F.when(test, F.lit(level)).otherwise(kind)
-    return found.select("doc_id", "n_sentences", "sentence_ids", licenses.alias("licenses"), kind.alias("kind"))
+        names_of = sorted({r[0] for r in rules if r[1] == level})
+        kind = F.when(F.arrays_overlap("licenses", F.array(*[F.lit(n) for n in names_of])), F.lit(level)).otherwise(kind)
+    return found.select("doc_id", "n_sentences", "sentence_ids", licenses.alias("licenses")).select("*", kind.alias("kind"))
 
 
-def oracle_sql(sentences=SENTENCES, rules=RULES) -> str:
+def oracle_sql(sentences=SENTENCES, names=NAMES, rules=RULES) -> str:
+    """The same in SQL without look-around: marks are doubled, so that each sentence takes its own."""
     known = " ".join(f"WHEN '{s}' THEN '{k}'" for k, s in sentences.items())
+    of_name = " ".join(f"WHEN '{n}' THEN '{name_id(k)}'" for k, _, ns in names for n in ns)
     hit = lambda r: f"contains(line, '|{'|'.join(r[2])}|')"
-    names = sorted({r[0] for r in rules})
-    found = ", ".join(f"CASE WHEN {' OR '.join(hit(r) for r in rules if r[0] == n)} THEN '{n}' END" for n in names)
-    kinds = " ".join(f"WHEN {' OR '.join(hit(r) for r in rules if r[1] == k)} THEN '{k}'" for k in ("non-commercial", "copyleft", "permissive"))
+    found = ", ".join(f"CASE WHEN {' OR '.join(hit(r) for r in rules if r[0] == n)} THEN '{n}' END" for n in sorted({r[0] for r in rules}))
+    kinds = " ".join(f"WHEN list_has_any(found, [{', '.join(repr(n) for n in sorted({r[0] for r in rules if r[1] == k}))}]) THEN '{k}'" for k in ("non-commercial", "copyleft", "permissive"))
+    gap, ws = "(?: |~~)", "[\\x20\\x09-\\x0D]"
+    marked = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ|~', 'abcdefghijklmnopqrstuvwxyz  ')"
+    for pattern, mark in ((f"[.!?]({ws}|$)", "|\\1"), ("\\n[\\x20\\x09\\x0B-\\x0D]*\\n", "|\\n"), (f"[;:]({ws}|$)", "~\\1"), ("\\n", "~"), ("[^a-z0-9|~]+", " "), ("[ ~]*\\|[ |~]*", "|"), (" ?~[ ~]*", "~"), ("~", "~~")):
+        marked = f"regexp_replace({marked}, '{pattern}', {chr(39) + mark + chr(39) if mark != '|' + chr(92) + 'n' else chr(39) + '|' + chr(39) + ' || chr(10)'}, 'g')"
+    marked = f"replace('|' || trim({marked}) || '|', '|', '||')"
+    lead = f"^(?:{_longest(LEADS, ' ')}) (?:(?:{_longest(ARTICLES, ' ')}) )?"
     return f"""
     WITH parts AS (
-      SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, '') || ' ', '[.!?;:]([\\x20\\x09-\\x0D])', chr(10) || '\\1', 'g'), chr(10)), lambda s: trim(s) <> '') AS parts
+      SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, '') || ' ', '[.!?;:]([\\x20\\x09-\\x0D])', chr(10) || '\\1', 'g'), chr(10)), lambda s: trim(s) <> '') AS parts, {marked} AS marked
       FROM documents),
-    ids AS (
+    spans AS (
       SELECT doc_id, len(parts)::BIGINT AS n_sentences,
-             list_filter(list_transform(parts, lambda s: CASE trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) {known} END), lambda x: x IS NOT NULL) AS ids
+             list_transform(regexp_extract_all(marked, '[|~](?:{_longest(sentences.values(), gap)})[|~]|[|~ ]{_clause(names, gap)}[|~]'), lambda s: trim(replace(translate(s, '|', ' '), '~', ' '))) AS spans
       FROM parts),
-    lines AS (SELECT doc_id, n_sentences, array_to_string(ids, '|') AS sentence_ids, '|' || array_to_string(ids, '|') || '|' AS line FROM ids)
-    SELECT doc_id, n_sentences, sentence_ids, array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ',') AS licenses,
-           CASE {kinds} ELSE 'none' END AS kind
-    FROM lines"""
+    ids AS (
+      SELECT doc_id, n_sentences,
+             list_transform(list_filter(list_transform(spans, lambda s: regexp_replace(s, ' +', ' ', 'g')), lambda s: NOT starts_with(s, 'not ')), lambda s: coalesce(CASE s {known} END, CASE regexp_replace(s, '{lead}', '') {of_name} END)) AS ids
+      FROM spans),
+    lines AS (SELECT doc_id, n_sentences, array_to_string(ids, '|') AS sentence_ids, '|' || array_to_string(ids, '|') || '|' AS line FROM ids),
+    every AS (SELECT *, list_filter([{found}], lambda x: x IS NOT NULL) AS every FROM lines),
+    held AS (SELECT *, CASE WHEN list_contains(every, 'BSD-3-Clause') THEN list_filter(every, lambda x: x <> 'BSD-2-Clause') ELSE every END AS found FROM every)
+    SELECT doc_id, n_sentences, sentence_ids, array_to_string(found, ',') AS licenses, CASE {kinds} ELSE 'none' END AS kind
+    FROM held"""
