@@ -17,14 +17,17 @@ from .common import whole_text
 MAX_RANK_BYTES = 64 << 20
 #: Texts above this many characters are cut before the pattern sees them.
 PIECE_CHARS = 65_536
-#: A space between two characters that aren't white space: a match never crosses its left edge, as
-#: matches with white space in them start with it and the only lookahead is for white space. Letters,
-#: digits and signs are taken with the space before them.
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where a match never crosses: before white space, since only matches that start with it hold any; and
+#: between a letter or digit and a sign after it. The pattern looks ahead for white space only, and never
+#: back. Signs are cut off before, never after them: an apostrophe belongs to what follows.
+_SAFE = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{{-~])|(?<=[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c-\u300f])")
+#: Rows, and bytes of text, in a batch that goes back to Spark.
+_ROWS, _BYTES = 512, 8 << 20
 
 
 def safe_pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
-    """Cut a long text where the pattern always cuts too; a run without such a place stays whole."""
+    """Cut a long text where the pattern always cuts too; a run of letters without such a place is one match and stays whole."""
     start = 0
     while len(text) - start > most:
         cut = _SAFE.search(text, start + most)
@@ -56,17 +59,22 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
         import tiktoken
 
         coder = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(shared.value), special_tokens={})
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):  # bounded output batches
-                batch = whole.slice(at, 512)
-                counts, ids, decoded = [], [], []
-                for text in batch.column(1).to_pylist():
-                    row: list[int] = []
-                    for piece in safe_pieces(text):
-                        row += coder.encode_ordinary(piece)
-                    counts.append(len(row))
-                    ids.append(np.array(row, dtype="<u4").tobytes())
-                    decoded.append(coder.decode_bytes(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "token_ids", "decoded"])
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_tokens", "token_ids", "decoded"])
+
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids: list[int] = []
+                for piece in safe_pieces(text):
+                    ids += coder.encode_ordinary(piece)
+                rows.append((doc_id, len(ids), np.array(ids, dtype="<u4").tobytes(), coder.decode_bytes(ids)))
+                size += len(text)
+                if len(rows) >= _ROWS or size >= _BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
+            yield packed(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, token_ids binary, decoded binary")
