@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Vectors are centred, turned onto their principal axes and rotated so that signs lose least (fitted
-on a bounded sample). The 64-bit code is cut into eight substrings. Codes within a Hamming radius r
+on a bounded sample). The code of 128 bits is cut into eight substrings. Codes within a Hamming radius r
 differ in at most r // 8 bits in some substring (and the first substrings or the rest may be probed
-one bit less), so probing the neighbours of each substring finds every code within r. These are
+one bit less), so probing the values near each substring finds every code within r. These are
 reranked on the original vectors.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -23,8 +23,7 @@ from .common import staged
 SAMPLE = 4096
 #: Rows of a block of the index, and of a block of queries.
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 1024
-BITS, PARTS = 64, 8
-WIDTH = BITS // PARTS
+BITS, PARTS = 128, 8
 
 
 @dataclass(frozen=True)
@@ -38,10 +37,19 @@ class Coder:
         return len(self.mean)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """One row of eight bytes for each vector."""
+        """One row of BITS // 8 bytes for each vector."""
         return np.packbits((x - self.mean) @ self.turn > 0, axis=1)
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes).view(np.uint64)
+
+
+def _parts(codes: np.ndarray) -> np.ndarray:
+    """The substrings of each code."""
+    return np.ascontiguousarray(codes).view(np.uint16)
+
+
 def usable(vector, dim: int | None = None) -> np.ndarray | None:
     """The vector in double precision; None if it is null, zero, of another length, or holds null or non-finite values."""
     if vector is None:
@@ -53,56 +61,61 @@ def usable(vector, dim: int | None = None) -> np.ndarray | None:
     return x if x.ndim == 1 and len(x) and (dim is None or len(x) == dim) and np.isfinite(x).all() and x.any() else None
 
 
+def _rotated(axes: np.ndarray, seen: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """The axes in a rotation in which the signs of the sample are near to its values."""
+    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((axes.shape[1], axes.shape[1])))[0]
+    for _ in range(rounds):
+        u, _, vt = np.linalg.svd(np.where(seen @ rotation > 0, 1.0, -1.0).T @ seen)
+        rotation = (u @ vt).T
+    return axes @ rotation
+
+
 def learn(sample: np.ndarray, k: int, recall: float, rounds: int = 30, seed: int = 3) -> Coder:
-    """Codes of 64 bits for vectors of any length, and the radius that holds a share `recall` of the sample's own neighbours.
+    """Codes for vectors of any length, and the radius that holds a share `recall` of the sample's own neighbours.
 
-    Neighbours in a sample lie further apart than those among all rows, so the radius is on the safe side.
+    With fewer axes than bits, several rotations of the axes stand side by side. Neighbours in a sample
+    lie further apart than those among all rows, so the radius is on the safe side.
     """
-    rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
     _, axes = np.linalg.eigh(np.cov((sample - mean).T).reshape(len(mean), len(mean)))
     axes = axes[:, ::-1][:, :BITS]
-    if axes.shape[1] < BITS:  # short vectors: several rotations of the same axes
-        axes = np.tile(axes, (1, -(-BITS // axes.shape[1])))[:, :BITS]
     seen = (sample - mean) @ axes
-    rotation = np.linalg.qr(rng.standard_normal((BITS, BITS)))[0]
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.where(seen @ rotation > 0, 1.0, -1.0).T @ seen)
-        rotation = (u @ vt).T
-    coder = Coder(mean, axes @ rotation, BITS)
-    code = coder.codes(sample).view(np.uint64).ravel()
-    asked = sample[:: max(1, len(sample) // 256)]
-    near = asked @ sample.T
+    turn = np.concatenate([_rotated(axes, seen, rounds, seed + i) for i in range(-(-BITS // axes.shape[1]))], axis=1)[:, :BITS]
+    coder = Coder(mean, turn, BITS)
+    code = _words(coder.codes(sample))
     own = np.arange(0, len(sample), max(1, len(sample) // 256))
+    near = sample[own] @ sample.T
     near[np.arange(len(own)), own] = -np.inf
     top = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    bits = np.bitwise_count(code[own][:, None] ^ code[top]).ravel()
-    return Coder(mean, coder.turn, int(np.quantile(bits, recall, method="higher")) if len(bits) else BITS)
-
-
-def _masks(most: int) -> np.ndarray:
-    every = np.arange(1 << WIDTH, dtype=np.uint8)
-    return every[np.bitwise_count(every) <= most] if most >= 0 else every[:0]
+    bits = np.bitwise_count(code[own][:, None] ^ code[top]).sum(axis=2, dtype=np.int64).ravel()
+    return Coder(mean, turn, int(np.quantile(bits, recall, method="higher")) if len(bits) else BITS)
 
 
 class BlockIndex:
-    """Substring tables of one block of codes: for each part, rows in order of their value and where each value begins."""
+    """Substring tables of one block of codes: for each part, the values there are, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes.view(np.uint64).ravel()
-        self.order = [np.argsort(codes[:, p], kind="stable") for p in range(PARTS)]
-        self.start = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, p], minlength=1 << WIDTH))]) for p in range(PARTS)]
+        self.codes = _words(codes)
+        self.tables = []
+        for part in _parts(codes).T:
+            order = np.argsort(part, kind="stable")
+            values, start = np.unique(part[order], return_index=True)
+            self.tables.append((values, np.append(start, len(order)), order))
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that have a substring near enough to that of the code."""
+        most, rest = divmod(radius, PARTS)
+        seen = np.zeros(len(self.codes), dtype=bool)
+        for p, ((values, start, order), own) in enumerate(zip(self.tables, _parts(code), strict=True)):
+            hit = np.bitwise_count(values ^ own) <= (most if p <= rest else most - 1)
+            inside = np.repeat(hit, np.diff(start))
+            seen[order[inside]] = True
+        return np.nonzero(seen)[0]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code differs from `code` in at most radius bits."""
-        most, rest = divmod(radius, PARTS)
-        seen = np.zeros(len(self.codes), dtype=bool)
-        for p in range(PARTS):
-            start = self.start[p]
-            for value in (code[p] ^ _masks(most if p <= rest else most - 1)).tolist():
-                seen[self.order[p][start[value] : start[value + 1]]] = True
-        rows = np.nonzero(seen)[0]
-        return rows[np.bitwise_count(self.codes[rows] ^ code.view(np.uint64)[0]) <= radius]
+        rows = self.probed(code, radius)
+        return rows[np.bitwise_count(self.codes[rows] ^ _words(code)).sum(axis=1, dtype=np.int64) <= radius]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -115,13 +128,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each query, by largest inner product.
 
     Queries are the rows whose vec_id divides by `every`; candidates are all rows with another
     vec_id. Vectors that are null, zero, of another length than most of the sample, or that hold
     null or non-finite values take no part, nor do rows without vec_id. Rows that repeat a vec_id
-    count each. A block of the index with too few codes within the radius for k rows widens the
+    count each; as queries they are answered together. A block of the index with too few codes within the radius for k rows widens the
     radius until it has k or all its rows. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -152,7 +165,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
         if not len(asked) or not len(held):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, x = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy())
-        tables = BlockIndex(np.frombuffer(b"".join(held["code"]), dtype=np.uint8).reshape(-1, PARTS))
+        tables = BlockIndex(np.frombuffer(b"".join(held["code"]), dtype=np.uint8).reshape(-1, BITS // 8))
         found = []
         for query, vector, code in zip(asked["query_id"], asked["vector"], asked["query_code"], strict=True):
             radius, others = coder.radius, int((ids != query).sum())
@@ -170,8 +183,5 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
 
     near = asked.groupBy("b", "q").cogroup(held.groupBy("b", "q")).applyInPandas(probe, "query_id long, vec_id long, score double")
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = pdf.sort_values(["score", "vec_id"], ascending=[False, True], kind="stable").head(k)
-        return top.assign(rank=np.arange(1, len(top) + 1, dtype=np.int32))[["query_id", "rank", "vec_id", "score"]]
-
-    return near.groupBy("query_id").applyInPandas(rank, out)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
