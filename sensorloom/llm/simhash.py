@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import staged, whole_text
 from .components import components
-from .jaccard import prefixes, similar_groups
+from .fingerprints import shingle_hashes, simhash_words
+from .jaccard import WORDS, prefixes, similar_groups
 
 #: Fingerprints that trees are learned from, and that a shard and a block of a crowded shard hold about.
 SAMPLE, SHARD, BLOCK = 8192, 8192, 16_384
-#: The multipliers of the splitmix64 finaliser and its increment.
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 @dataclass(frozen=True)
@@ -50,47 +49,12 @@ def _distance(a, b):
     return np.bitwise_count(a ^ b).astype(np.int16)
 
 
-def text_fingerprint(text: str | None, shingle_words: int, words: int) -> np.ndarray:
-    """`words` 64-bit words; a bit is set if it is set in over half of the shingles' hashes.
-
-    A-Z are lower-cased. Shingles are space-joined and count with repeats; fewer words make one
-    shingle, none the fingerprint zero. The first word takes XXH64 (seed 42) itself, the others mix it.
-    """
-    import xxhash
-
-    token = (text or "").encode("utf-8", "replace").lower().split()
-    if not token:
-        return np.zeros(words, dtype=np.uint64)
-    k = min(shingle_words, len(token))
-    joined, size = b" ".join(token), np.fromiter(map(len, token), dtype=np.int64, count=len(token)) + 1
-    end = np.cumsum(size) - 1
-    start = (end - size + 1)[: len(token) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(start, end[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    out = np.zeros(words, dtype=np.uint64)
-    for w in range(words):
-        h = hashes
-        if w:
-            h = hashes + np.uint64(w * _MIX[0] % (1 << 64))
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[2])
-            h = h ^ (h >> np.uint64(31))
-        total = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 32_640):  # 255 rows at most are added up in a byte
-            part = np.unpackbits(h[at : at + 32_640].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            whole = len(part) // 255 * 255
-            total += part[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-            total += part[whole:].sum(axis=0, dtype=np.int64)
-        out[w] = np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0]
-    return out
-
-
 def fingerprints(docs: DataFrame, shingle_words: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, node and f0, f1, ... of every row; equal fingerprints have equal nodes."""
+    """doc_id, node and f0, f1, ... of every row; equal fingerprints have equal nodes. Texts without words have the fingerprint zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = np.array([text_fingerprint(t, shingle_words, words) for t in pdf["text"]], dtype=np.uint64).reshape(-1, words).view(np.int64)
+            found = np.array([simhash_words(shingle_hashes(t, shingle_words), words) for t in pdf["text"]], dtype=np.uint64).reshape(-1, words).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")} | {f"f{w}": found[:, w] for w in range(words)})
 
     names = [f"f{w}" for w in range(words)]
@@ -234,6 +198,9 @@ def link_prints(nodes: DataFrame, words: int, most_bits: int, chunks: tuple[Chun
     return placed.groupBy("chunk", "leaf", "a", "b").applyInPandas(pairs, "u long, v long")
 
 
+#: Sixteen chunks of a wide fingerprint: of two that differ in at most 31 bits, one chunk differs in one at most.
+SIXTEENTHS = tuple(Chunk(w, s, 16) for w in range(WORDS) for s in (0, 16, 32, 48))
+NEAR_BITS = 2 * len(SIXTEENTHS) - 1
 #: Two halves for 64 bits and 3 differing ones: one half differs in at most one bit.
 HALVES = (Chunk(0, 0, 32), Chunk(0, 32, 32))
 
@@ -258,14 +225,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, words: int = 1, mos
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates (sets of five-word shingles, Jaccard of 0.8 or more).
 
-    Groups are the components of all pairs of rows at 0.8 or more, decided by the whole sets (see
-    jaccard); texts without words are alike. The row with the smallest id stays, nulls last; among
+    Groups are the components of all pairs of rows at 0.8 or more. Vantage-point trees over wide
+    fingerprints of the sets link what differs in at most NEAR_BITS bits, the whole sets decide on these
+    links, and jaccard finds the pairs that are further apart; texts without words are alike. The row with the smallest id stays, nulls last; among
     rows that repeat an id, one by the digest of the text. Every row is judged by its own text.
     """
     copy = F.unhex(F.md5(whole_text(F.col("text"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), whole_text(F.col("text")).alias("text"))
     rows = staged(prefixes(texts, 5))
-    found = rows.select("doc_id", "copy", "node").join(similar_groups(rows, texts, 5), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = rows.select("node", *[f"f{w}" for w in range(WORDS)]).dropDuplicates(["node"])
+    near = link_prints(nodes, WORDS, NEAR_BITS, SIXTEENTHS)
+    found = rows.select("doc_id", "copy", "node").join(similar_groups(rows, texts, 5, near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     cells = found.groupBy("root", "doc_id", "copy").agg(F.count("*").alias("n"))
     first = cells.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
