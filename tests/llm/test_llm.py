@@ -63,6 +63,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_edges(spark):
+    """Repeated urls, missing and repeated ids, columns whose names are used inside; and a list that can't be sent."""
+    rows = [(None, "http://net/x"), (1, "http://net/x"), (1, "http://net/x"), (1, "http://a.org/fr/" + "x" * 100_000)]
+    pages = spark.createDataFrame([(i, u, "h", "p", "k") for i, u in rows], "page_id long, url string, host string, path string, keys string")
+    got = url_filter.judge_urls(pages).collect()
+    assert Counter((r["page_id"], r["rule"]) for r in got) == Counter([(None, "net/"), (1, "net/"), (1, "net/"), (1, "org/fr/")])
+    with pytest.raises(ValueError, match="bits"):
+        url_filter._level(pages.select(F.col("url").alias("key")), 0, 10**9, 0.5)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("key like '%7'")
@@ -99,12 +109,35 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_vectors_and_queries(spark):
+    """Rows that repeat a vec_id count each; columns whose names are used inside."""
+    rows = [(0, [1.0, 0.0], 1, "a"), (0, [0.0, 1.0], 2, "b"), (1, [1.0, 0.0], 3, "c"), (1, [1.0, 0.0], 3, "c"), (2, [0.5, 0.5], 4, "d")]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, code string"), k=3).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 0.5)] and {r["query_id"] for r in got} == {0}
+
+
 def test_pigeonhole_finds_all_codes():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    index, bits = ann.BlockIndex(codes), codes.view(np.uint64).ravel()
-    for r in (0, 3, 8, 21, 28, 64):
-        assert index.within(codes[7], r).tolist() == np.nonzero(np.bitwise_count(bits ^ bits[7]) <= r)[0].tolist()
+    codes = rng.integers(0, 256, (500, 16), dtype=np.uint8)
+    index, bits = ann.BlockIndex(codes), codes.view(np.uint64)
+    for r in (0, 3, 8, 21, 28, 50, 64, 128):
+        assert index.within(codes[7], r).tolist() == np.nonzero(np.bitwise_count(bits ^ bits[7]).sum(axis=1) <= r)[0].tolist()
+
+
+def test_index_touches_and_reranks_a_part(spark, sf_dir):
+    """On clustered vectors probing leaves most rows alone; on the driver's, which point everywhere, codes still spare most of the reranking."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 20, axis=0) + 0.15 * rng.normal(size=(4000, 64))
+    coder = ann.learn(x, 19, 0.95)
+    codes = coder.codes(x)
+    index = ann.BlockIndex(codes)
+    assert np.mean([len(index.probed(codes[i], coder.radius)) for i in range(0, 4000, 50)]) < 0.15 * len(x)
+    y = np.stack(spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()["embedding"].to_numpy()).astype(float)
+    coder = ann.learn(y, 20, 0.95)
+    codes = coder.codes(y)
+    index = ann.BlockIndex(codes)
+    assert np.mean([len(index.within(c, coder.radius)) for c in codes]) < 0.35 * len(y)
 
 
 # 3 Byte-level BPE ----------------------------------------------------------------------------------
@@ -120,8 +153,9 @@ def test_encoding(spark):
     want = Counter((tuple(coder.encode_ordinary(t or "")), (t or "").encode()) for t in texts)
     assert Counter((tuple(np.frombuffer(r["token_ids"], "<u4").tolist()), bytes(r["decoded"])) for r in got) == want
     for most in (1, 7, 100):
-        for t in (LONG[:5000], "a  b\n c" * 50, "x" * 500):
+        for t in (LONG[:5000], "a  b\n c" * 50, "x" * 500, "word\n" * 300, "漢字。かな、「もじ」" * 60, "don't (\'s) x='s;y=['re]" * 40, "a\u2003\u2003b\x1c \xa0c\r\n\r\n d" * 40, "été,naïve 12,5€!? 's" * 40):
             assert "".join(bpe.safe_pieces(t, most)) == t
+            assert most > 1 or t[0] == "x" or len(list(bpe.safe_pieces(t, most))) > len(t) / 20
             assert [i for p in bpe.safe_pieces(t, most) for i in coder.encode_ordinary(p)] == coder.encode_ordinary(t)
     assert bpe.encode_documents(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
@@ -471,7 +505,7 @@ def test_mix_takes_each_row_by_itself(spark):
 
 
 def test_licenses(spark):
-    texts = [None, "", "Hello. RELEASED   under the *MIT* License!", "x\nLicensed under CC BY-NC 4.0.\nthis work is licensed under the GNU General Public License, version 3.", "Released under the MIT License, maybe", "You may not use this file except in compliance with the License.", *[". ".join(license.SENTENCES[k] for k in ks) for ks in (("apache_the", "apache_use", "apache_copy"), ("apache_use", "apache_the", "apache_copy"))]]
+    texts = [None, "", "Hello. RELEASED   under the *MIT* License!", "x\nLicensed under CC BY-NC 4.0.\nthis work is licensed under the GNU General Public License, version 3.", "Released under the MIT License, maybe", "You may not use this file except in compliance with the License.", *[". ".join(license.SENTENCES.get(k, k) for k in ks) for ks in (("licensed under the Apache License, Version 2.0", "apache_use", "apache_copy"), ("apache_use", "apache_copy", "mit_notice"))]]
     got = {r["doc_id"]: (r["licenses"], r["kind"]) for r in license.scan_licenses(frame(spark, texts)).collect()}
     assert got[0] == got[1] == ([], "none")
     assert got[2] == (["MIT"], "permissive") and got[3] == (["CC-BY-NC-4.0", "GPL-3.0"], "non-commercial")
@@ -518,11 +552,65 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
 
 
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+LGPL = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+def test_names_in_sentences(spark, tmp_path):
+    """Clauses at the end of a sentence, and the edges of the table; SQL gives the same."""
+    cases = {
+        "This project is released under the MIT License.": ["MIT"],
+        "The data set is available under CC BY-SA 4.0. Enjoy": ["CC-BY-SA-4.0"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0"],
+        "Code is licensed under the terms of the GNU Lesser General\nPublic License, version 2.1; docs are licensed under CC-BY-NC 4.0": ["CC-BY-NC-4.0", "LGPL-2.1"],
+        "It is not released under the MIT License.": [],
+        "Released under the MIT License by others.": [],
+        "x " * 30_000 + ". Released under the ISC license": ["ISC"],
+        "Distributed under the BSD 3-Clause License. Licensed under the MIT license! Released under the MIT license": ["BSD-3-Clause", "MIT"],
+    }
+    texts = [*cases, *cases, None, "", MIT, GPL, BSD3, MPL, ZLIB]
+    df = frame(spark, texts, [None if i % 4 == 0 else i // 2 for i in range(len(texts))])
+    got = license.scan_licenses(df)
+    told = Counter((r["doc_id"], tuple(r["licenses"])) for r in got.collect())
+    want = [*cases.values(), *cases.values(), [], [], ["MIT"], ["GPL-3.0"], ["BSD-3-Clause"], ["MPL-2.0"], ["Zlib"]]
+    assert told == Counter((None if i % 4 == 0 else i // 2, tuple(w)) for i, w in enumerate(want))
+    assert license.scan_licenses(df.limit(0)).count() == 0
+    df.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/d")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    rows = con.execute(license.oracle_sql()).fetchall()
+    mine = got.select("doc_id", "n_sentences", F.array_join("sentence_ids", "|"), F.array_join("licenses", ","), "kind").collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, mine))
+
+
 @pytest.mark.parametrize("lead", ["", "    ", " * ", "# "])
 def test_genuine_notices(spark, lead):
-    names = {"MIT": MIT, "BSD-2-Clause": BSD, "Apache-2.0": APACHE, "GPL-3.0": GPL}
+    names = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD3, "Apache-2.0": APACHE, "GPL-3.0": GPL, "GPL-2.0": GPL.replace("version 3", "version 2"), "LGPL-2.1": LGPL, "AGPL-3.0": AGPL, "MPL-2.0": MPL, "ISC": ISC, "CC0-1.0": CC0, "Zlib": ZLIB, "Unlicense": "This is free and unencumbered software released into the public domain."}
     texts = ["Copyright (c) 2020 A. Person\n\n" + "\n".join(lead + x for x in t.split("\n")) for t in names.values()]
-    texts += [t.replace("\n", "\r\n") for t in texts] + ["Released under\n\nthe MIT License.", "Not released under\nthe MIT License.", "Released under the MIT. License."]
+    texts += [t.replace("\n", "\r\n") for t in texts] + ["Released under\n\nthe MIT License.", "Not released under\nthe MIT License.", "Released under the. MIT License."]
     got = [r["licenses"] for r in license.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()]
     assert got == [[n] for n in names] * 2 + [[], [], []]
 
@@ -531,16 +619,49 @@ def test_genuine_notices(spark, lead):
 
 
 def test_pipeline(spark, sf_dir, docs):
+    """Every stage on what the one before kept, each against its brute-force version."""
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "near-duplicates", "repeated passages", "source mix", "byte-level BPE"]
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     start = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = corpus_pipeline.STAGES[0][1](spark, start, sf_dir)
-    kept = {r["doc_id"] for r in first.collect()}
-    assert first.columns == start.columns
+    kept = stages["quality classifier"](spark, start, sf_dir)
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    machine = quality.train(start, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert set(rows) == {i for i, t in docs.items() if machine.score(*quality.features(t)) >= 0.5} and kept.columns == start.columns
     good = [i for i, q in labels.items() if q == 1]
-    assert sum(i in kept for i in good) >= 0.97 * len(good)
+    assert sum(i in rows for i in good) >= 0.97 * len(good)
+    apart = stages["near-duplicates"](spark, kept, sf_dir)
+    ids = sorted(rows)
+    left = [ids[i] for i in brute_kept([rows[i]["text"] for i in ids], ids)]
+    assert sorted(r["doc_id"] for r in apart.collect()) == left and apart.columns == start.columns
+    cut = stages["repeated passages"](spark, apart, sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in cut.collect()}
+    for i, (_, gone, want) in zip(left, brute_words([rows[i]["text"] for i in left]), strict=True):
+        assert " ".join(WORD.findall(texts[i] or "")) == want and (gone or texts[i] == rows[i]["text"])
+    taken = Counter(r["doc_id"] for r in stages["source mix"](spark, cut, sf_dir).collect())
+    plan = mixing.mix(cut).toPandas()
+    assert taken == Counter({i: n for i, n in zip(plan["doc_id"], plan["copies"], strict=True) if n})
     out = corpus_pipeline.run(spark, sf_dir).collect()
-    assert out and {r["doc_id"] for r in out} <= kept
-    assert all(r["n_tokens"] * 4 == len(r["token_ids"]) for r in out)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "near-duplicates", "repeated passages", "source mix", "byte-level BPE"]
+    assert Counter(r["doc_id"] for r in out) == taken
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(f.read()), special_tokens={})
+    for r in out:
+        assert np.frombuffer(r["token_ids"], "<u4").tolist() == coder.encode_ordinary(texts[r["doc_id"]])
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeated rows and ids, a long text, further columns; then empty tables."""
+    import corpus_pipeline
+
+    _, df = edges(spark)
+    df = df.unionByName(df.filter("doc_id in (7, 9)")).select("doc_id", "text", "lang", "source", "n_chars", "key", "run")
+    df.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert {r["doc_id"] for r in got} <= {3, 4, 7, 8, 9, None} and any(r["doc_id"] == 7 for r in got)
+    df.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
