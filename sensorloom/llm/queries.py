@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, license, mixing, quality, rules, simhash, substring, suffix, url_filter
+from . import ann, bpe, language, license, mixing, prefixes, quality, repair, rules, simhash, substring, suffix, url_filter
 from .common import table
 
 
@@ -60,6 +60,19 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_min_plus_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.reports(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -76,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_license_rules": op9_license_rules,
         "op10_suffix_automata": op10_suffix_automata,
+        "op11_min_plus_repair": op11_min_plus_repair,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_language_hierarchy": op13_language_hierarchy,
         "pipeline": pipeline,
     }
 
@@ -85,4 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_bloom_cascade": url_filter.oracle_sql(),
         "op7_quality_rules": rules.oracle_sql(),
         "op9_license_rules": license.oracle_sql(),
+        "op11_min_plus_repair": repair.oracle_sql(),
+        "op12_prefix_trie": prefixes.oracle_sql(),
     }
