@@ -233,7 +233,7 @@ class Repair:
         self.rows = numbered(_faults(rows), "key", "turn", "role", "mark").withColumn("node", F.shiftright("pos", SEGMENT_BITS))
         shown = self.rows.filter(F.col("fault").isin(0, 3))
         again = shown.groupBy("mark").agg(F.min("pos").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        light = self.rows.select("key", "node", "pos", "turn", "side", "fault", F.when(F.col("fault") != 1, F.col("mark")).alias("mark"))
+        light = self.rows.select("key", "node", "pos", "turn", "side", "fault", F.when(F.col("fault") != 1, F.col("mark")).otherwise(F.unhex(F.hex("pos"))).alias("mark"))  # else a key of its own
         fault = F.when(F.col("pos") > F.col("earliest"), 2).otherwise(F.col("fault"))
         coded = light.join(again, "mark", "left").withColumn("fault", fault)
         code = F.when(F.col("side").isNotNull(), F.char(65 + 4 * F.col("side") + F.col("fault")))
