@@ -823,7 +823,7 @@ def calibrate(spark, d):
 
 @query()
 def feature_selector(spark, d):
-    return models.fit_feature_selector(models.with_vector(D.vectors(spark, d)), "target_binary", 16, PUBLISHED.selector_trees)
+    return models.fit_feature_selector(D.vectors(spark, d), "target_binary", 16, PUBLISHED.selector_trees)
 
 
 @query()

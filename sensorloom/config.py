@@ -38,7 +38,6 @@ class TrainConfig:
     forest_trees: int = 500
     extra_trees: int = 600
     balanced_trees: int = 600
-    balanced_draws: int = 6  # forests of the balanced ensemble, each on a draw of its own
     selector_trees: int = 300
     boosting_rounds: int = 250
     boosting_step: float = 0.05

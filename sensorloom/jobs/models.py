@@ -8,9 +8,11 @@ one runs on Spark.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import TrainConfig
 from ..operators import decision, metrics, prep, splits, thresholds
 from ..sources.scratch import staged
+from . import trees
 
 MODELS = ("rf", "balanced_rf", "extra_trees", "gbt", "gnb", "knn")
 #: Models that balance classes by themselves, and those that need scaled features.
@@ -33,42 +36,64 @@ def with_vector(df: DataFrame, column: str = "vec") -> DataFrame:
 # Models ------------------------------------------------------------------------------------------
 
 
-def forest(trees: int, depth: int, seed: int, extra: bool = False) -> RandomForestClassifier:
-    """Entropy, two rows a leaf, balanced weights. extra is the nearest built-in to extra trees: no bootstrap and few bins, from which the best split is taken, not a drawn one."""
-    model = RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, impurity="entropy", minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
-    return model.setBootstrap(False).setMaxBins(8) if extra else model
+def forest(count: int, depth: int, seed: int) -> RandomForestClassifier:
+    """Entropy, two rows a leaf, balanced weights."""
+    return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=count, maxDepth=depth, impurity="entropy", minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
 
 
-class Forests:
-    """One forest or several, whose probabilities are averaged."""
+class Forest:
+    """Bagged trees of the built-in kind."""
 
-    loader = RandomForestClassificationModel
+    def __init__(self, model: RandomForestClassificationModel):
+        self.model = model
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(with_vector(df))
+        return out.withColumn("prob", normalised(vector_to_array("probability"))).drop("features", "rawPrediction", "probability", "prediction")
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Forest:
+        return cls(RandomForestClassificationModel.load(path))
 
-    def __init__(self, models: list):
-        self.models = models
+
+class Grown:
+    """Extra trees or class-balanced trees."""
+
+    def __init__(self, model: trees.Trees):
+        self.model = model
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        out = with_vector(df)
-        for i, m in enumerate(self.models):
-            out = m.transform(out).withColumn(f"_p{i}", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
-        total = F.col("_p0")
-        for i in range(1, len(self.models)):
-            total = F.zip_with(total, F.col(f"_p{i}"), lambda a, b: a + b)
-        return out.withColumn("prob", normalised(total)).drop("features", *[f"_p{i}" for i in range(len(self.models))])
+        return trees.forest_probabilities(df, self.model)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.model.frame(spark).write.mode("overwrite").parquet(path)
 
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Grown:
+        return cls(trees.Trees.read(spark.read.parquet(path)))
 
-class Boosted(Forests):
-    """Boosted trees: one model for two classes, else one for each class against the rest."""
 
-    loader = GBTClassificationModel
+class Boosted:
+    """Trees that were boosted for all classes together."""
+
+    def __init__(self, model: trees.Boosting):
+        self.model = model
 
     def probabilities(self, df: DataFrame) -> DataFrame:
-        out = with_vector(df)
-        for i, m in enumerate(self.models):
-            out = m.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        each = [F.col(f"_p{i}") for i in range(len(self.models))]
-        prob = F.array(1 - each[0], each[0]) if len(each) == 1 else normalised(F.array(*each))
-        return out.withColumn("prob", prob).drop("features", *[f"_p{i}" for i in range(len(self.models))])
+        return trees.boosting_probabilities(df, self.model)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        start = spark.createDataFrame([(self.model.base.tolist(), self.model.step)], "base array<double>, step double")
+        start.write.mode("overwrite").parquet(f"{path}/start")
+        self.model.trees.frame(spark).write.mode("overwrite").parquet(f"{path}/trees")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Boosted:
+        start = spark.read.parquet(f"{path}/start").first()
+        return cls(trees.Boosting(np.array(start["base"]), start["step"], trees.Trees.read(spark.read.parquet(f"{path}/trees"))))
 
 
 class Bayes:
@@ -102,17 +127,14 @@ def normalised(weights: Column) -> Column:
 
 def fit_model(train: DataFrame, name: str, classes: int, config: TrainConfig):
     """A fitted model of the given name. train: id, y, vec without nulls."""
-    if name in ("rf", "extra_trees"):
-        trees = config.forest_trees if name == "rf" else config.extra_trees
-        return Forests([forest(trees, config.max_depth, config.seed, name == "extra_trees").fit(prep.balanced_weights(with_vector(train), "y"))])
+    if name == "rf":
+        return Forest(forest(config.forest_trees, config.max_depth, config.seed).fit(prep.balanced_weights(with_vector(train), "y")))
+    if name == "extra_trees":
+        return Grown(trees.extra_trees(train, config.extra_trees, classes, config.max_depth, seed=config.seed)[0])
     if name == "balanced_rf":
-        each = max(1, config.balanced_trees // config.balanced_draws)
-        draws = [splits.balance_sources(with_vector(train), "source", "y", "y", "id", config.seed + d).withColumn("weight", F.lit(1.0)) for d in range(config.balanced_draws)]
-        return Forests([forest(each, config.max_depth, config.seed + d).fit(rows) for d, rows in enumerate(draws)])
+        return Grown(trees.balanced_forest(train, config.balanced_trees, classes, config.max_depth, seed=config.seed))
     if name == "gbt":
-        gbt = GBTClassifier(labelCol="y", featuresCol="features", maxIter=config.boosting_rounds, stepSize=config.boosting_step, maxDepth=3, seed=config.seed)
-        rows = with_vector(train)
-        return Boosted([gbt.fit(rows)] if classes == 2 else [gbt.fit(rows.withColumn("y", (F.col("y") == c).cast("double"))) for c in range(classes)])
+        return Boosted(trees.boosting(train, config.boosting_rounds, config.boosting_step, classes))
     if name == "gnb":
         width = train.select(F.max(F.size("vec"))).first()[0]
         cols = [f"x{i}" for i in range(width)]
@@ -126,26 +148,75 @@ def fit_model(train: DataFrame, name: str, classes: int, config: TrainConfig):
 # Calibration ---------------------------------------------------------------------------------------
 
 
-def fit_calibrators(raw: DataFrame, classes: int, method: str) -> list:
-    """One model for each class against the rest (two classes: for the second), on held-out rows with y and prob.
+@dataclass(frozen=True)
+class Sigmoid:
+    """1 / (1 + exp(a * p + b))."""
+
+    a: float
+    b: float
+
+    def column(self, p: Column) -> Column:
+        return 1 / (1 + F.exp(F.least(F.greatest(self.a * p + self.b, F.lit(-700.0)), F.lit(700.0))))
+
 
-    Sigmoid is a logistic regression on the probability, without target smoothing.
+def fit_sigmoids(raw: DataFrame, places: list[int], most: int = 60) -> list[Sigmoid]:
+    """The least cross entropy against smoothed targets, (n+ + 1) / (n+ + 2) and 1 / (n- + 2), for each class against the rest.
+
+    Newton steps for all classes together: a pass sums loss, gradient and curvature at eight points
+    along each class's step, of which the best is the next.
     """
-    out = []
-    for c in range(classes) if classes > 2 else [1]:
-        rows = raw.select((F.col("y") == c).cast("double").alias("y"), array_to_vector(F.array(F.col("prob")[c])).alias("features"))
-        kind = LogisticRegression(labelCol="y", featuresCol="features", regParam=0.0) if method == "sigmoid" else IsotonicRegression(labelCol="y", featuresCol="features")
-        out.append(kind.fit(rows))
-    return out
+    counts = raw.agg(F.count("*").alias("n"), *[F.count_if(F.col("y") == c).alias(f"p{c}") for c in places]).first()
+    up = {c: counts[f"p{c}"] for c in places}
+    down = {c: counts["n"] - up[c] for c in places}
+    at = {c: np.array([0.0, math.log((down[c] + 1) / (up[c] + 1))]) for c in places}
+    move, least, done = {c: np.zeros(2) for c in places}, dict.fromkeys(places, math.inf), set()
+    for _ in range(most):
+        sums, points = [], {}
+        for c in [c for c in places if c not in done]:
+            target = F.when(F.col("y") == c, (up[c] + 1) / (up[c] + 2)).otherwise(1 / (down[c] + 2))
+            f = F.col("prob")[c]
+            for k in range(8 if move[c].any() else 1):
+                a, b = points[c, k] = at[c] + move[c] * 0.5**k
+                z = a * f + b
+                p = 1 / (1 + F.exp(z))
+                loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - (1 - target) * z
+                for name, v in (("l", loss), ("g0", (target - p) * f), ("g1", target - p), ("h0", p * (1 - p) * f * f), ("h1", p * (1 - p) * f), ("h2", p * (1 - p))):
+                    sums.append(F.sum(v).alias(f"{name}_{c}_{k}"))
+        if not sums:
+            break
+        row = raw.agg(*sums).first()
+        for c in [c for c in places if c not in done]:
+            tried = [k for d, k in points if d == c]
+            k = min(tried, key=lambda k: row[f"l_{c}_{k}"])
+            if row[f"l_{c}_{k}"] > least[c]:
+                done.add(c)
+                continue
+            least[c], at[c] = row[f"l_{c}_{k}"], np.array(points[c, k])
+            g, h = np.array([row[f"g0_{c}_{k}"], row[f"g1_{c}_{k}"]]), [row[f"h{i}_{c}_{k}"] for i in range(3)]
+            move[c] = -np.linalg.solve(np.array([[h[0], h[1]], [h[1], h[2]]]) + 1e-12 * np.eye(2), g)
+            if np.abs(move[c]).max() < 1e-10 * max(1.0, np.abs(at[c]).max()):
+                done.add(c)
+    return [Sigmoid(float(at[c][0]), float(at[c][1])) for c in places]
+
+
+def fit_calibrators(raw: DataFrame, classes: int, method: str) -> list:
+    """One calibrator for each class against the rest (two classes: for the second), on held-out rows with y and prob."""
+    places = list(range(classes)) if classes > 2 else [1]
+    if method == "sigmoid":
+        return fit_sigmoids(raw, places)
+    rows = [raw.select((F.col("y") == c).cast("double").alias("y"), array_to_vector(F.array(F.col("prob")[c])).alias("features")) for c in places]
+    return [IsotonicRegression(labelCol="y", featuresCol="features").fit(r) for r in rows]
 
 
 def calibrated(df: DataFrame, models: list) -> DataFrame:
     """Replaces prob by calibrated probabilities, which are shares again."""
     out, two = df, len(models) == 1
     for i, m in enumerate(models):
-        out = m.transform(out.withColumn("features", array_to_vector(F.array(F.col("prob")[1 if two else i]))))
-        p = vector_to_array("probability")[1] if isinstance(m, LogisticRegressionModel) else F.col("prediction")
-        out = out.withColumn(f"_c{i}", p).drop("features", "rawPrediction", "probability", "prediction")
+        p = F.col("prob")[1 if two else i]
+        if isinstance(m, Sigmoid):
+            out = out.withColumn(f"_c{i}", m.column(p))
+        else:
+            out = m.transform(out.withColumn("features", array_to_vector(F.array(p)))).withColumn(f"_c{i}", F.col("prediction")).drop("features", "prediction")
     prob = F.array(1 - F.col("_c0"), F.col("_c0")) if two else normalised(F.array(*[F.col(f"_c{i}") for i in range(len(models))]))
     return out.withColumn("prob", prob).select(*df.columns)
 
@@ -166,14 +237,20 @@ def vector_scaler(rows: DataFrame) -> list[tuple[float, float]]:
     return [(float(r["m"]), float(r["s"] or 0.0) or 1.0) for r in found]
 
 
-def fit_feature_selector(rows: DataFrame, label: str, k: int, trees: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
-    """idx and importance of the k features that count most in extra trees."""
-    train = prep.balanced_weights(rows.withColumn("y", F.col(label).cast("double")), "y")
-    found = forest(trees, depth, seed, extra=True).fit(train).featureImportances
-    table = rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(found.toArray())], "idx int, importance double")
+def fit_feature_selector(rows: DataFrame, label: str, k: int, count: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
+    """idx and importance of the k features that count most in extra trees. rows: id, vec and a label 0, 1, ..."""
+    train = rows.select("id", F.col(label).alias("y"), "vec")
+    classes = (train.agg(F.max("y")).first()[0] or 0) + 1
+    found = trees.extra_trees(train, count, int(classes), depth, seed=seed)[1]
+    table = rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(found)], "idx int, importance double")
     return prep.select_top_k(table, k)
 
 
+def smote_note(counts: list[int]) -> str:
+    """What oversampling does for classes of these sizes."""
+    return "skipped_minority_too_small" if min(counts) < 3 else f"smote_k{max(1, min(5, min(counts) - 1))}"
+
+
 def oversampled(train: DataFrame, seed: int) -> DataFrame:
     made = prep.smote(train.select("id", F.col("y").cast("int").alias("label"), "vec"), seed=seed)
     new = made.select(F.concat_ws("|", F.lit("made"), F.col("base_id").cast("string"), F.col("copy").cast("string")).alias("id"), F.col("label").cast("double").alias("y"), "vec")
@@ -225,6 +302,13 @@ class Bundle:
         return out.withColumns({"pred": F.get(label, F.col("_i")), "confidence": F.get("prob", F.col("_i"))}).drop("_i")
 
 
+def goal_note(goal: str, row, floor: float) -> str:
+    """Fixed form: the goal, its score, and what the threshold gives."""
+    short = goal.endswith("recall_floor") and row["recall"] < floor
+    value = row["recall"] if short else row["precision"] if goal == "recall_floor" else row["macro_f1"] if goal == "macro_f1" else row["balanced_accuracy"]
+    return f"{goal}{'_fallback_recall' if short else ''}:{value:.6f};precision:{row['precision']:.6f};recall:{row['recall']:.6f};balanced_accuracy:{row['balanced_accuracy']:.6f}"
+
+
 def _score(held: DataFrame, metric: str) -> float:
     """held: y_true, pred_label."""
     row = metrics.score_metrics(held.withColumn("g", F.lit(0)), ["g"]).first()
@@ -238,17 +322,25 @@ def fit_candidate(fit: DataFrame, held: DataFrame | None, name: str, classes: li
     train = splits.balance_sources(train, config.source_balance, "source", "y", "id", config.seed) if two else train
     train = staged(train.select(*ROW))
     out = Bundle(name, classes, vector_medians(train))
-    if k:
-        chosen = fit_feature_selector(with_vector(out.features(train)), "y", k, config.selector_trees, config.max_depth, config.seed)
-        out.selected = [r["idx"] for r in chosen.orderBy("idx").collect()]  # one row for each feature kept
+    width, selection = len(out.medians), f"all_{len(out.medians)}"
+    if k and 0 < k < width:
+        chosen = fit_feature_selector(out.features(train), "y", k, config.selector_trees, config.max_depth, config.seed)
+        kept = [r["idx"] for r in chosen.orderBy("idx").collect()]  # one row for each feature kept
+        out.selected = kept if len(kept) < width else None
+        selection = f"extratrees_top_{len(kept)}" if len(kept) < width else f"skipped_zero_importance_all_{width}"
     if name in SCALED:
         out.scaler = vector_scaler(out.features(train))
     ready = out.features(train)
-    resampling = "model_internal_balancing" if name in INTERNAL else "smote" if config.smote else "none"
-    ready = staged(oversampled(ready, config.seed) if resampling == "smote" else ready)
+    sizes = [r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()]  # one row for each class
+    # The notes of a run.
+    resampling = "model_internal_balancing" if name in INTERNAL else smote_note(sizes) if config.smote else "none"
+    ready = staged(oversampled(ready, config.seed) if resampling.startswith("smote") else ready)
     out.model = fit_model(ready, name, len(classes), config)
-    calibration, tuning = ("skipped_no_calibration_split" if held is None and config.calibration != "none" else "none"), "none"
+    calibration, tuning = ("skipped_no_calibration_split" if held is None and config.calibration != "none" else "none"), "skipped_no_calibration_split"
+    cells = [r["n"] for r in train.groupBy("source").agg(F.count("*").alias("n")).collect()] if two and config.source_balance != "none" else []  # one row for each source
+    balance = "none" if not cells else "none_single_source" if len(cells) < 2 else f"source_balanced_total_{min(cells)}" if config.source_balance == "source" else "source_balanced_per_class"
     if held is not None:
+        tuning = "none"
         raw = staged(out.model.probabilities(out.features(held)).select("id", "y", "prob"))
         if config.calibration != "none":
             out.calibrators = fit_calibrators(raw, len(classes), config.calibration)
@@ -261,7 +353,9 @@ def fit_candidate(fit: DataFrame, held: DataFrame | None, name: str, classes: li
             for goal in config.threshold_metric_grid or (config.threshold_metric,):
                 row = thresholds.tune(swept, ["g"], goal, config.recall_floor).first()
                 out.threshold = row["threshold"]
-                best = max(best, (judge(), out.threshold, goal), key=lambda x: x[0])
+                score = judge()
+                note = f"{goal_note(goal, row, config.recall_floor)};selection_{config.selection_metric}:{score:.6f}"
+                best = max(best, (score, out.threshold, note), key=lambda x: x[0])
             swept.unpersist()
             out.score, out.threshold, tuning = best
         else:
@@ -269,9 +363,9 @@ def fit_candidate(fit: DataFrame, held: DataFrame | None, name: str, classes: li
     out.notes = {
         "resampling": resampling,
         "calibration": calibration,
-        "class_cap": str(cap) if two and cap else "none",
-        "source_balance": config.source_balance if two else "none",
-        "feature_selection": f"top_{k}" if k else "none",
+        "class_cap": f"cap_{cap}_per_group_class" if two and cap else "none",
+        "source_balance": balance,
+        "feature_selection": selection,
         "n_selected_features": len(out.selected) if out.selected is not None else len(out.medians),
         "threshold_tuning": tuning,
         "tuning_selection": "none" if out.score is None else f"{config.selection_metric}:{out.score:.6f}",
@@ -368,18 +462,17 @@ def train_final(table: DataFrame, columns: list[str], target: str, path: str, co
 def save_bundle(bundle: Bundle, columns: list[str], target: str, path: str, spark: SparkSession) -> None:
     """Models in folders of their own, and a manifest of one row."""
     manifest = {k: getattr(bundle, k) for k in ("name", "classes", "medians", "selected", "scaler", "threshold", "score", "notes")} | {"features": columns, "target": target}
+    manifest["calibrators"] = [[m.a, m.b] if isinstance(m, Sigmoid) else None for m in bundle.calibrators]
     for i, m in enumerate(bundle.calibrators):
-        m.write().overwrite().save(f"{path}/calibrator-{i}")
-    manifest["calibrators"] = [type(m).__name__ for m in bundle.calibrators]
-    if isinstance(bundle.model, Forests):
-        for i, m in enumerate(bundle.model.models):
-            m.write().overwrite().save(f"{path}/model-{i}")
-        manifest["models"] = len(bundle.model.models)
-    elif isinstance(bundle.model, Bayes):
+        if not isinstance(m, Sigmoid):
+            m.write().overwrite().save(f"{path}/calibrator-{i}")
+    if isinstance(bundle.model, Bayes):
         manifest["bayes"] = bundle.model.classes
-    else:
+    elif isinstance(bundle.model, Neighbours):
         bundle.model.train.write.mode("overwrite").parquet(f"{path}/neighbours")
         manifest["k"] = bundle.model.k
+    else:
+        bundle.model.save(f"{path}/model", spark)
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
@@ -387,15 +480,14 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Bundle, list[str], str]
     """A saved bundle, its features and its target."""
     held = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
     bundle = Bundle(**{k: held[k] for k in ("name", "classes", "medians", "selected", "scaler", "threshold", "score", "notes")})
-    kinds = {"LogisticRegressionModel": LogisticRegressionModel, "IsotonicRegressionModel": IsotonicRegressionModel}
-    bundle.calibrators = [kinds[k].load(f"{path}/calibrator-{i}") for i, k in enumerate(held["calibrators"])]
-    if "models" in held:
-        kind = Boosted if bundle.name == "gbt" else Forests
-        bundle.model = kind([kind.loader.load(f"{path}/model-{i}") for i in range(held["models"])])
-    elif "bayes" in held:
+    bundle.calibrators = [Sigmoid(*c) if c else IsotonicRegressionModel.load(f"{path}/calibrator-{i}") for i, c in enumerate(held["calibrators"])]
+    if "bayes" in held:
         bundle.model = Bayes(held["bayes"])
-    else:
+    elif "k" in held:
         bundle.model = Neighbours(spark.read.parquet(f"{path}/neighbours"), held["k"], len(bundle.classes))
+    else:
+        kind = {"rf": Forest, "gbt": Boosted}.get(bundle.name, Grown)
+        bundle.model = kind.load(f"{path}/model", spark)
     return bundle, held["features"], held["target"]
 
 

@@ -36,9 +36,13 @@ def sweep(scored: DataFrame, keys: list[str], truth: str = "y_true", score: str
 
 
 def tune(swept: DataFrame, keys: list[str], goal: str = "balanced_accuracy", floor: float = 0.70) -> DataFrame:
-    """The best threshold for a goal: balanced_accuracy, macro_f1, or recall_floor (best precision where recall is
-    at least the floor; where it never is, the largest recall). The lowest of equal ones wins."""
-    if goal == "recall_floor":
+    """The best threshold for a goal: balanced_accuracy, macro_f1, balanced_accuracy_recall_floor (best balanced
+    accuracy where recall is at least the floor) or recall_floor (best precision there); where recall never reaches
+    the floor, the largest recall. The lowest of equal ones wins."""
+    if goal == "balanced_accuracy_recall_floor":
+        ok = F.col("recall") >= floor
+        score = F.struct(ok.alias("a"), F.when(ok, F.col("balanced_accuracy")).otherwise(F.col("recall")).alias("b"), (-F.col("threshold")).alias("c"))
+    elif goal == "recall_floor":
         ok = F.col("recall") >= floor
         score = F.struct(ok.alias("a"), F.when(ok, F.col("precision")).otherwise(F.col("recall")).alias("b"), (-F.col("threshold")).alias("c"))
     else:

@@ -24,3 +24,11 @@ def staged(df: DataFrame, *by: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of staged() that nothing reads any more."""
+    spark = table.sparkSession
+    for name in {f.split("/staged-")[0] + "/staged-" + f.split("/staged-")[1].split("/")[0] for f in table.inputFiles() if "/staged-" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ from sensorloom.operators import decision, metrics, prep
 from sensorloom.sources import reports
 
 COLS = ["a", "b", "c"]
-SMALL = TrainConfig(folds=3, forest_trees=8, extra_trees=8, balanced_trees=8, balanced_draws=2, selector_trees=4, boosting_rounds=3, max_depth=3, class_cap=40)
+SMALL = TrainConfig(folds=3, forest_trees=8, extra_trees=8, balanced_trees=8, selector_trees=4, boosting_rounds=3, max_depth=3, class_cap=40)
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +55,9 @@ def test_grid_keeps_the_best_candidate(table):
     config = TrainConfig(**{**SMALL.__dict__, "class_cap_grid": (None, 5), "top_k_grid": (1, 2)})
     bundle = models.fit_best(models.model_rows(table, COLS, "target_binary").select(*models.ROW), "gnb", config)
     assert len(bundle.selected) in (1, 2) and set(bundle.selected) <= {0, 1, 2} and bundle.score > 0.7
-    assert bundle.notes["feature_selection"] in ("top_1", "top_2")
+    assert bundle.notes["feature_selection"] in ("extratrees_top_1", "extratrees_top_2")
+    assert bundle.notes["class_cap"] in ("none", "cap_5_per_group_class") and bundle.notes["resampling"] == "smote_k5"
+    assert bundle.notes["threshold_tuning"].startswith("balanced_accuracy:") and ";selection_balanced_accuracy:" in bundle.notes["threshold_tuning"]
 
 
 def test_unknown_names_and_one_class(table, spark):
