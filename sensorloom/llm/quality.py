@@ -21,7 +21,7 @@ from .common import whole_text
 
 #: Hash buckets of words; the structure statistics have columns of their own behind them.
 BUCKETS = 1 << 14
-STRUCTURE = ("bias", "log_words", "word_chars", "symbols", "capitals", "digits", "ends", "same_lines", "same_words", "high_bytes", "line_words")
+STRUCTURE = ("bias", "log_words", "word_chars", "symbols", "capitals", "digits", "ends", "same_lines", "same_words", "high_bytes", "line_words", "n_chars")
 FACTORS = 8
 #: Most labelled rows that a fit takes, those with the smallest hash of their id.
 MAX_TRAIN = 4000
@@ -36,14 +36,22 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
+    def scores(self, index: list[np.ndarray], value: list[np.ndarray]) -> np.ndarray:
+        """The scores of several texts at once; each has a column at least."""
+        if not index:
+            return np.zeros(0)
+        cols, x = np.concatenate(index), np.concatenate(value)
+        starts = np.cumsum([0] + [len(i) for i in index[:-1]])
+        part = self.factors[cols] * x[:, None]
+        pairs = 0.5 * (np.add.reduceat(part, starts, axis=0) ** 2 - np.add.reduceat(part**2, starts, axis=0)).sum(axis=1)
+        return 1.0 / (1.0 + np.exp(-np.clip(self.bias + np.add.reduceat(self.linear[cols] * x, starts) + pairs, -30, 30)))
+
     def score(self, index: np.ndarray, value: np.ndarray) -> float:
-        part = self.factors[index] * value[:, None]
-        pairs = 0.5 * float((part.sum(axis=0) ** 2 - (part**2).sum(axis=0)).sum())
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.bias + float(self.linear[index] @ value) + pairs, -30, 30))))
+        return float(self.scores([index], [value])[0])
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of a whole text: words weigh 1 in norm together, structure statistics lie in about -1 to 2."""
+def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of a whole text and its recorded length: words weigh 1 in norm together, the others lie in about -1 to 2."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
     counts = Counter(words)
@@ -76,6 +84,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             1 - len(counts) / n,
             int(size[128:].sum()) / chars,
             np.log1p(n / max(1, len(lines))) / 4 - 1,
+            0.0 if n_chars is None or not n_chars >= 0 else np.log1p(n_chars) / 6 - 1,
         ]
     )
     return np.concatenate([index, BUCKETS + np.arange(len(share))]), np.concatenate([value, np.clip(share, -1, 2)])
@@ -119,11 +128,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def _with_length(docs: DataFrame) -> Column:
+    """The recorded length, null where the table has none."""
+    return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Machine:
     """Fit on at most max_train labelled documents that aren't held out, taken by the hash of their id.
 
-    Only their features reach the driver. Labels that are null, rows without a document, and ids
-    that are null are left out; an id with several labels counts by the largest.
+    Of rows that repeat an id the one whose text has the least hash is taken, map-side. Only the
+    features of the sample reach the driver. Labels that are null, rows without a document, and ids
+    that are null are left out; an id with several labels counts by the largest. Without rows every
+    score is 0.5.
     """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -135,35 +151,38 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [features(t) for t in pdf["text"]]
+            found = [features(t, n) for t, n in zip(pdf["text"], pdf["size"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "cols": [f[0] for f in found], "vals": [f[1] for f in found]})
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_train rows
-    rows = picked.mapInPandas(extract, "doc_id long, quality int, cols array<int>, vals array<double>").toPandas().sort_values("doc_id", kind="stable")
+    picked = docs.select("doc_id", "text", _with_length(docs).alias("size")).join(F.broadcast(chosen), "doc_id")  # at most max_train ids
+    least = F.min_by(F.struct("text", "size"), F.struct(F.xxhash64("text"), "size")).alias("d")
+    single = picked.groupBy("doc_id").agg(F.first("quality").alias("quality"), least).select("doc_id", "quality", "d.*")
+    rows = single.mapInPandas(extract, "doc_id long, quality int, cols array<int>, vals array<double>").toPandas().sort_values("doc_id", kind="stable")
     return fit([np.asarray(c, dtype=np.int64) for c in rows["cols"]], [np.asarray(v, dtype=np.float64) for v in rows["vals"]], rows["quality"].to_numpy(dtype=np.float64))
 
 
-def score_column(machine: Machine, spark) -> callable:
-    """A column function that scores whole texts; null and empty texts get the score of their structure alone."""
-    shared = spark.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))  # about 0.6 MB, whatever the input
+def score_column(machine: Machine, docs: DataFrame) -> Column:
+    """The score of whole texts of docs; null and empty texts get the score of their structure alone."""
+    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))  # about 0.6 MB, whatever the input
 
     @F.pandas_udf(T.DoubleType())
-    def score(text: pd.Series) -> pd.Series:
+    def score(text: pd.Series, size: pd.Series) -> pd.Series:
         bias, linear, factors = shared.value
-        model = Machine(bias, linear, factors)
-        return pd.Series([model.score(*features(t)) for t in text], dtype="float64")
+        model, out = Machine(bias, linear, factors), [np.zeros(0)]
+        for at in range(0, len(text), 128):
+            found = [features(t, n) for t, n in zip(text[at : at + 128], size[at : at + 128], strict=True)]
+            out.append(model.scores([f[0] for f in found], [f[1] for f in found]))
+        return pd.Series(np.concatenate(out), dtype="float64")
 
-    return score
+    return score(whole_text(F.col("text")), _with_length(docs))
 
 
 def classify(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; rows that repeat are scored each."""
-    score = score_column(machine, docs.sparkSession)
-    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(whole_text(F.col("text"))).alias("score"))
+    """doc_id, held_out, score and predicted of every row; rows that repeat are scored each, and an empty table gives none."""
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(machine, docs).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, machine: Machine) -> DataFrame:
     """The documents that the machine accepts, with all their columns."""
-    score = score_column(machine, docs.sparkSession)
-    return docs.filter(score(whole_text(F.col("text"))) >= 0.5)
+    return docs.filter(score_column(machine, docs) >= 0.5)
