@@ -101,8 +101,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """doc_id, size, source_size, target, copies and taken (copies times size) of every document.
 
     Null texts and texts without words have size 0 and are never taken. Null is a source of its own,
-    the last. Rows that repeat a doc_id are each counted and drawn by themselves (ties are equal
-    rows). Sources are few enough to list on the driver: one row each. The lengths of one source are
+    the last. The draw goes by a hash of id and text, so rows without an id are dealt like others. Rows
+    that repeat a doc_id are each counted and drawn by themselves (ties are equal rows). An empty table
+    gives no rows. Sources are few enough to list on the driver: one row each. The lengths of one source are
     fitted in one task: n different lengths need n * n / 2 words, so 10^13 words have under
     5 million. Other columns are not read.
     """
@@ -112,16 +113,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 def _drawn(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int, **keys: Column) -> DataFrame:
     """The draw of mix(), with further columns that tell rows apart (and settle ties)."""
     spark = docs.sparkSession
-    rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[c.alias(k) for k, c in keys.items()]))
+    rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), whole_text(F.col("text")), F.lit(seed)).alias("draw"), *[c.alias(k) for k, c in keys.items()]))
     totals = {r["source"]: r["words"] for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     targets = source_targets(totals, weights, share, most)
     plan = spark.createDataFrame(
         [(i, s, int(totals[s]), float(targets[s])) for i, s in enumerate(sorted(totals, key=lambda s: (s is None, s or "")))],
         "source_no int, source string, source_size long, target double",
     )
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = rows.alias("r").join(F.broadcast(plan.alias("p")), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
-        "doc_id", "size", "source_no", "source_size", "target", order.alias("draw"), F.pmod(order, F.lit(PARTS)).cast("int").alias("part"), *keys
+        "doc_id", "size", "source_no", "source_size", "target", "draw", F.pmod("draw", F.lit(PARTS)).cast("int").alias("part"), *keys
     )
     cells = rows.filter("size > 0").groupBy("source_no", "size", "part").agg(F.count("*").alias("n"), F.first("target").alias("target"))
     quotas = cells.groupBy("source_no", "size").agg(F.sum("n").alias("n"), F.first("target").alias("target")).groupBy("source_no").applyInPandas(_fit_source, "source_no int, size long, base long, extra long")

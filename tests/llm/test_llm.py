@@ -160,6 +160,21 @@ def test_encoding(spark):
     assert bpe.encode_documents(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_runs_are_encoded(spark):
+    """Runs of three million characters of one kind, alone and between words: decoded byte by byte, and equal to the library where it can do them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(f.read()), special_tokens={})
+    runs = [c * (3_000_000 // len(c)) for c in (" ", "\n", " \n\t\r", "\u3000", "a", "!")]
+    texts = [t for r in runs for t in (r, f"word{r}", f"{r}word", f"word{r}'s {r[:70_000]}")]
+    got = bpe.encode_documents(frame(spark, texts), path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("decoded", 256).alias("d"), F.length("token_ids").alias("n")).collect()
+    assert {r["doc_id"]: r["d"] for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert all(r["n"] == 4 * r["n_tokens"] > 0 for r in got)
+    for t in (" " * 200_000, "a" + " " * 200_000 + "b", " \n \t " * 50_000 + "x", "x y" + "\n" * 150_000 + " z", "\t" * 70_000 + "!!" + " " * 70_000 + "'s", "a" * 65_536 + " " * 65_536 + "b" + "\u3000" * 70_000):
+        ids = [i for p, one in bpe.matched_pieces(t) for i in (coder._encode_single_piece(p) if one else coder.encode_ordinary(p))]
+        assert ids == coder.encode_ordinary(t)
+
+
 # 4 Quality classifier ------------------------------------------------------------------------------
 
 
@@ -179,6 +194,35 @@ def test_sum_of_squares_equals_all_pairs():
     assert abs(machine.score(i, x) - 1 / (1 + np.exp(-z))) < 1e-12
 
 
+def test_classifier_as_a_whole(spark, sf_dir):
+    """Scores of all rows by all pairs of features, with the machine of the same rows fitted here."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in rows}
+    seen = {i: quality.features(r["text"], r["n_chars"]) for i, r in rows.items()}
+    order = sorted(marks)
+    machine = quality.fit([seen[i][0] for i in order], [seen[i][1] for i in order], np.array([marks[i] for i in order], dtype=float))
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, quality.train(docs, labels)).collect()}
+    assert set(got) == set(rows)
+    for i in list(rows)[:40]:
+        cols, x = seen[i]
+        gram = machine.factors[cols] @ machine.factors[cols].T * np.outer(x, x)
+        z = machine.bias + machine.linear[cols] @ x + (gram.sum() - np.trace(gram)) / 2
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Ids that repeat thousands of times give one row each; recorded lengths may be missing or absurd."""
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda index, value, label, **_: sizes.append(len(label)) or quality.Machine(0.0, np.zeros(quality.BUCKETS + 12), np.zeros((quality.BUCKETS + 12, 2))))
+    docs = spark.range(6000).select((F.col("id") % 6).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 2 == 0, -5).alias("n_chars"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    machine = quality.train(docs, labels, max_train=4)
+    assert 0 < sizes[0] <= 4
+    assert quality.classify(docs, machine).filter("score = 0.5").count() == 6000
+    assert quality.classify(docs.drop("n_chars"), machine).count() == 6000
+
+
 def test_classifier_edges(spark):
     _, df = edges(spark)
     labels = spark.createDataFrame([(4, 1), (7, 0), (None, 1), (5, None), (1000, 1), (4, 0)], "doc_id long, quality int")
@@ -489,6 +533,30 @@ def test_mix_of_the_driver_table(spark, sf_dir):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max() / 2 + 1
 
 
+def test_mix_as_a_whole(spark, sf_dir):
+    """Targets, counts by length and the seeded choice, written out over all rows; rows without id are dealt to many parts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    draw = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")), F.lit(42))
+    rows = [(r["doc_id"], r["source"], len(WORD.findall(r["text"] or "")), r["draw"]) for r in docs.select("doc_id", "source", "text", draw.alias("draw")).collect()]
+    assert len({r[3] % mixing.PARTS for r in rows if r[0] is None}) > 30
+    totals = Counter()
+    for _, source, size, _ in rows:
+        totals[source] += size
+    want = Counter()
+    for source, target in mixing.source_targets(dict(totals), (3, 1, 2), 1.5, 2).items():
+        mine = sorted((r for r in rows if r[1] == source), key=lambda r: (r[2], r[3] % mixing.PARTS, r[3]))
+        sizes = np.array(sorted({r[2] for r in mine if r[2]}))
+        counts = np.array([sum(r[2] == n for r in mine) for n in sizes])
+        base = round(target) // totals[source]
+        extra = dict(zip(sizes.tolist(), mixing.fit_counts(sizes, counts, round(target) - base * totals[source]).tolist(), strict=True))
+        nth = Counter()
+        for i, _, size, _ in mine:
+            nth[size] += 1
+            want[i, size, (base + (nth[size] <= extra[size])) * size if size else 0] += 1
+    got = mixing.mix(docs).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == want
+
+
 def test_mix_takes_each_row_by_itself(spark):
     """Rows without an id or that repeat one, of other texts and sources, and equal rows."""
     rng = np.random.default_rng(4)
@@ -629,7 +697,8 @@ def test_pipeline(spark, sf_dir, docs):
     kept = stages["quality classifier"](spark, start, sf_dir)
     rows = {r["doc_id"]: r for r in kept.collect()}
     machine = quality.train(start, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    assert set(rows) == {i for i, t in docs.items() if machine.score(*quality.features(t)) >= 0.5} and kept.columns == start.columns
+    lengths = {r["doc_id"]: r["n_chars"] for r in start.select("doc_id", "n_chars").collect()}
+    assert set(rows) == {i for i, t in docs.items() if machine.score(*quality.features(t, lengths[i])) >= 0.5} and kept.columns == start.columns
     good = [i for i, q in labels.items() if q == 1]
     assert sum(i in rows for i in good) >= 0.97 * len(good)
     apart = stages["near-duplicates"](spark, kept, sf_dir)
