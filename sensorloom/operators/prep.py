@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .neighbours import nearest
 from .splits import draw_rank
 
 #: Names that are never model inputs, parts of names that rule a column out, and names of time columns that are let in on request.
@@ -119,52 +118,6 @@ def select_top_k(importances: DataFrame, k: int) -> DataFrame:
     return importances.withColumn("_r", F.row_number().over(w)).filter(whole | (F.col("_r") <= k)).select("idx", "importance").orderBy("idx")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
-BLOCK = 4096
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    """q_id, rank, id, d2 of the k nearest rows of each query. Both: id, vec array<double>, and `same` where only rows of an equal value count.
-
-    Queries and rows are dealt to blocks of about BLOCK; each pair of blocks is one task's group,
-    measured by matrix products, and gives k rows for each query, of which the k best are kept.
-    A row isn't its own neighbour where `same` is set.
-    """
-    n_rows, n_queries = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(queries.count() / BLOCK))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    tag = [F.col(same).alias("_c")] if same else [F.lit(0).alias("_c")]
-    q = queries.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), *tag, part(n_queries).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("_b"))
-    r = rows.select("id", "vec", *tag, part(n_rows).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_q"))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q_id": [], "id": [], "d2": []})
-        x, y, ids = np.stack(a["q_vec"].to_numpy()), np.stack(b["vec"].to_numpy()), b["id"].to_numpy()
-        out = []
-        for at in range(0, len(x), 256):
-            rough = (x[at : at + 256] ** 2).sum(1)[:, None] - 2 * x[at : at + 256] @ y.T + (y**2).sum(1)
-            if same:
-                rough[a["q_id"].to_numpy()[at : at + 256][:, None] == ids[None, :]] = np.inf
-            for i, row in enumerate(rough):
-                m = min(k, int(np.isfinite(row).sum()))
-                if m == 0:
-                    continue
-                edge = np.partition(row, m - 1)[m - 1]
-                pick = np.nonzero(row <= edge + 1e-9 * max(1.0, abs(edge)))[0]
-                exact = ((y[pick] - x[at + i]) ** 2).sum(1)
-                best = np.lexsort((ids[pick], exact))[:k]
-                out.append(pd.DataFrame({"q_id": a["q_id"].iloc[at + i], "id": ids[pick][best], "d2": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "id": [], "d2": []})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = q.groupBy("_b", "_q", "_c").cogroup(r.groupBy("_b", "_q", "_c")).applyInPandas(near, f"q_id {kind}, id {kind}, d2 double")
-    w = Window.partitionBy("q_id").orderBy("d2", "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def knn_votes(train: DataFrame, test: DataFrame, k: int = 9) -> DataFrame:
     """q_id, label and w: the inverse-distance weight of each class among the k nearest; exact hits outvote all others. train: id, vec, label. test: id, vec."""
     near = nearest(test, train, k).join(train.select("id", "label"), "id")

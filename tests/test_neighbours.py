@@ -1,0 +1,87 @@
+"""Exact neighbours by metric partitioning against all pairs."""
+
+import numpy as np
+import pytest
+
+from sensorloom.operators import neighbours, prep
+
+ROW = "id long, vec array<double>, label int"
+
+
+def brute(x, ids, labels, asked, k, same):
+    out = {}
+    for q in asked:
+        ok = np.ones(len(ids), bool) if not same else (labels == labels[q]) & (ids != ids[q])
+        d = ((x[ok] - x[q]) ** 2).sum(1)
+        best = np.lexsort((ids[ok], d))[:k]
+        out[int(ids[q])] = [int(i) for i in ids[ok][best]]
+    return out
+
+
+def told(df):
+    got = df.toPandas().sort_values(["q_id", "rank"])
+    return {int(q): g["id"].tolist() for q, g in got.groupby("q_id")}
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    """Forty clusters, copies of rows, one cluster with a third of all rows."""
+    rng = np.random.default_rng(3)
+    centres = 10 * rng.normal(size=(40, 6))
+    home = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 40, 3000))
+    x = centres[home] + 0.3 * rng.normal(size=(3000, 6))
+    x[:60] = x[60:120]
+    return x, np.arange(3000), home % 3
+
+
+@pytest.mark.parametrize("same", [None, "label"])
+@pytest.mark.parametrize("block", [50, 400])
+def test_neighbours_equal_all_pairs(spark, clustered, monkeypatch, same, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    x, ids, labels = clustered
+    rows = spark.createDataFrame([(int(i), v.tolist(), int(c)) for i, v, c in zip(ids, x, labels, strict=True)], ROW).repartition(3)
+    asked = list(range(0, 3000, 37))
+    got = told(neighbours.nearest(rows.filter("id % 37 = 0"), rows, 7, same))
+    assert got == brute(x, ids, labels, asked, 7, same)
+
+
+def test_a_small_part_is_compared(spark, clustered, monkeypatch):
+    """Of all pairs of clustered rows under a fifth is compared (a ninth lies within the largest cluster); of rows without clusters the answer is right all the same."""
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    x, ids, labels = clustered
+    rows = spark.createDataFrame([(int(i), v.tolist(), int(c)) for i, v, c in zip(ids, x, labels, strict=True)], ROW)
+    compared = []
+    kept = neighbours._visits
+
+    def counted(queries, blocks, k, again):
+        out = kept(queries, blocks, k, again)
+        compared.append(sum(int(blocks.size[r["block"]]) for r in out.select("block").collect()))
+        return out
+
+    monkeypatch.setattr(neighbours, "_visits", counted)
+    neighbours.nearest(rows, rows, 5).count()
+    assert len(compared) == 2 and sum(compared) < 0.2 * 3000 * 3000
+    y = np.random.default_rng(0).normal(size=(400, 20))
+    flat = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(y)], ROW)
+    assert told(neighbours.nearest(flat, flat, 3)) == brute(y, np.arange(400), np.zeros(400), range(400), 3, None)
+
+
+def test_neighbour_edges(spark, monkeypatch):
+    """Equal rows beyond a block, fewer rows than k, classes that only one side has, no rows, no queries."""
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    rows = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(95)] + [(95 + i, [float(i), 0.0], 1) for i in range(5)], ROW)
+    got = told(neighbours.nearest(rows, rows, 3, "label"))
+    assert got[0] == [1, 2, 3] and got[50] == [0, 1, 2] and got[95] == [96, 97, 98] and len(got) == 100
+    assert told(neighbours.nearest(rows.filter("id = 99"), rows, 1000))[99][:5] == [99, 98, *range(3)]
+    assert len(told(neighbours.nearest(rows.filter("id = 99"), rows, 1000))[99]) == 100
+    other = spark.createDataFrame([(500, [0.0, 0.0], 7), (501, [0.0, 0.0], None)], ROW)
+    assert told(neighbours.nearest(other, rows, 3, "label")) == {}
+    assert told(neighbours.nearest(rows, rows.limit(0), 3)) == told(neighbours.nearest(rows.limit(0), rows, 3)) == {}
+
+
+def test_classes_by_vote_over_blocks(spark, clustered, monkeypatch):
+    x, ids, labels = clustered
+    rows = spark.createDataFrame([(int(i), v.tolist(), int(c)) for i, v, c in zip(ids, x, labels, strict=True)], ROW)
+    want = {r["q_id"]: r["pred"] for r in prep.knn_predict(rows.filter("id % 5 > 0"), rows.filter("id % 25 = 0"), 9).collect()}
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    assert {r["q_id"]: r["pred"] for r in prep.knn_predict(rows.filter("id % 5 > 0"), rows.filter("id % 25 = 0"), 9).collect()} == want
