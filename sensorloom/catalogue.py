@@ -879,8 +879,8 @@ def batch_window_stats(spark, d):
     return _weeks(streams.stream_window_stats(rows, WEEK))
 
 
-def _stream_scored(spark, d):
-    rows = streams.stream_readings(spark, D.event_files(spark, d)).filter("signal = 'view'")
+def _stream_scored(spark, d, delayed=False):
+    rows = streams.stream_readings(spark, D.event_files(spark, d, delayed=delayed)).filter("signal = 'view'")
     known = D.readings(spark, d).filter("signal = 'view'").groupBy("source", "subject_id").agg(F.percentile("value", F.lit(0.5)).alias("hr_mean_med"), F.stddev_samp("value").alias("hr_mean_scale"))
     personal = streams.stream_personalise(rows.withColumnRenamed("value", "hr_mean"), known, ["hr_mean"])
     return personal.withColumns({"window_start_ts": F.unix_micros("ts") / 1e6, "acc_activity": F.col("hr_mean"), "pred_label": (F.col("event_id") % 3).cast("int"), "confidence": (F.col("event_id") % 11) / 10.0})
@@ -895,14 +895,34 @@ def stream_personalise(spark, d):
     return tidy(out.select("event_id", "hr_mean_delta_base", "hr_mean_ratio_base")).join(tidy(out.select("event_id", "hr_mean_z_personal"), 4), "event_id")
 
 
-@query(
-    f"""WITH {READ}, v AS (SELECT *, (event_id % 3)::INT AS pred_label, (event_id % 11) / 10.0 AS confidence, value AS x FROM r WHERE signal = 'view'),
+ALERTS_SQL = f"""WITH {READ}, v AS (SELECT *, (event_id % 3)::INT AS pred_label, (event_id % 11) / 10.0 AS confidence, value AS x FROM r WHERE signal = 'view'),
     b AS (SELECT source, subject_id, quantile_cont(x, 0.5) AS m, stddev_samp(x) AS s FROM v GROUP BY ALL),
     f AS (SELECT v.*, coalesce(x - m >= 10, false) OR coalesce((x - m) / (s + 1e-8) >= 1, false) AS hr_high, coalesce(x >= 80, false) AS active, pred_label >= 2 OR (pred_label >= 1 AND confidence >= 0.65) AS stress FROM v JOIN b USING (source, subject_id)),
     g AS (SELECT *, sum((NOT stress)::INT) OVER (PARTITION BY source, subject_id ORDER BY ts_sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
     h AS (SELECT *, (sum(stress::INT) OVER (PARTITION BY source, subject_id, island ORDER BY ts_sec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INT AS streak FROM g)
     SELECT event_id, streak, CASE WHEN stress AND active AND hr_high THEN 'physical_activity_delay' WHEN pred_label >= 2 AND streak >= 3 AND confidence >= 0.7 THEN 'critical_alert'
       WHEN pred_label >= 2 AND confidence >= 0.55 THEN CASE WHEN streak >= 2 THEN 'persistent_stress' ELSE 'rising_stress' END WHEN pred_label >= 1 THEN 'monitor_more' WHEN confidence < 0.45 THEN 'low_confidence_normal' ELSE 'normal' END AS alert_state FROM h"""
-)
+
+
+@query(ALERTS_SQL)
 def stream_alerts(spark, d):
     return streams.run_to_table(streams.stream_alerts(_stream_scored(spark, d), 80.0), shared_dir(spark)).select("event_id", "streak", "alert_state")
+
+
+#: What the watermark has passed at the end of a stream of events, in milliseconds: half their span, and a second or less, before the last.
+PASSED = "(SELECT floor(max(epoch_us(ts)) / 1000) - (floor((max(epoch_us(ts)) - min(epoch_us(ts))) / 2e6) + 1) * 1000 FROM events)"
+
+
+@query(f"{ALERTS_SQL} WHERE ts_sec * 1000 <= {PASSED}")
+def stream_alerts_in_time(spark, d):
+    """Events that come out of order: streaks go by event time, up to the watermark."""
+    out = streams.stream_alerts_in_time(_stream_scored(spark, d, delayed=True), 80.0, late=D.half_span(spark, d))
+    return streams.run_to_table(out, shared_dir(spark)).select("event_id", "streak", "alert_state")
+
+
+@query(f"WITH {win(DAY3, DAY)} SELECT source, subject_id, session_id, window_id, {r('window_start_sec', 'window_start_sec', 4)}, count(*) AS n, {r('sum(value)', 'total', 4)} FROM w WHERE window_end_ts * 1000 <= {PASSED} GROUP BY ALL")
+def stream_session_windows(spark, d):
+    """Sliding windows from the start of each session, closed by the watermark, of events that come out of order."""
+    rows = streams.stream_readings(spark, D.event_files(spark, d, delayed=True)).withColumn("session_id", F.col("subject_id"))
+    placed_ = streams.run_to_table(streams.stream_session_windows(rows, DAY3, DAY, late=D.half_span(spark, d)), shared_dir(spark))
+    return tidy(placed_.groupBy(*KEYS, "window_start_sec").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)

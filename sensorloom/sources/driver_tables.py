@@ -172,13 +172,24 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_files(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
-    """events as a folder of files that arrive one after another, each with a part of the time: several micro-batches."""
+def event_files(spark: SparkSession, sf_dir: str, parts: int = 4, delayed: bool = False) -> str:
+    """events as a folder of files that arrive one after another, each with a part of the time: several micro-batches.
+
+    delayed: every third event comes a part later than it should.
+    """
     rows = table(spark, sf_dir, "events")
     sec = epoch_seconds(F.col("ts"))
     ends = rows.agg(F.min(sec).alias("a"), F.max(sec).alias("b")).first()
-    part = F.least(F.lit(parts - 1), F.floor((sec - ends["a"]) / (ends["b"] - ends["a"] + 1e-6) * parts))
+    part = F.floor((sec - ends["a"]) / (ends["b"] - ends["a"] + 1e-6) * parts)
+    part = F.least(F.lit(parts - 1), part + (F.col("event_id") % 3 == 0).cast("int") if delayed else part)
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     for i in range(parts):
         rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
     return path
+
+
+def half_span(spark: SparkSession, sf_dir: str) -> str:
+    """Half the time that events span, in whole seconds and one more, as an interval: no delayed event is later."""
+    sec = epoch_seconds(F.col("ts"))
+    row = table(spark, sf_dir, "events").agg((F.max(sec) - F.min(sec)).alias("s")).first()
+    return f"{int(row['s'] / 2) + 1} seconds"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.columns import EPS
 from ..operators.decision import context_flags, state_columns, stress_like
@@ -77,6 +80,166 @@ def stream_alerts(scored: DataFrame, acc_threshold: float, binary: bool = False,
     return state_columns(kept, binary)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _milliseconds(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+class _InTime(StatefulProcessor):
+    """Rows of a key held back until the watermark has passed them, then given on in the order of their time.
+
+    Subclasses say what happens to released rows. Rows are tuples of `fields`, of which `at` is the
+    time in microseconds. One timer for each key waits for its earliest row.
+    """
+
+    def __init__(self, fields: StructType, at: str, idle: int | None):
+        self.fields, self.names, self.place, self.idle = fields, fields.fieldNames(), fields.fieldNames().index(at), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.carried = handle.getValueState("carried", self.carry)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in pdf[self.names].astype(object).where(pdf[self.names].notna(), None).itertuples(index=False, name=None)]
+        yield from self._step(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _step(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        held = sorted([*self.waiting.get(), *new], key=lambda r: r[self.place])
+        due = [tuple(r) for r in held if r[self.place] <= watermark * 1000]
+        later = [tuple(r) for r in held[len(due) :]]
+        carried = self.carried.get() if self.carried.exists() else None
+        if not held and self.idle and (carried is None or watermark * 1000 > carried[0] + self.idle * 1000):
+            self.carried.clear()
+            return
+        out, carried, kept = self.released(due, later, carried, watermark)
+        self.waiting.put([*kept, *later]) if kept or later else self.waiting.clear()
+        if carried is not None:
+            self.carried.update(carried)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        ahead = self.next_time(later, carried, watermark)
+        if ahead is None and self.idle and carried is not None:
+            ahead = carried[0] // 1000 + self.idle + 1
+        if ahead is not None:
+            self.handle.registerTimer(max(ahead, watermark + 1))
+        if out is not None and len(out):
+            yield out
+
+    def idled(self, before: int | None, at: int) -> bool:
+        return self.idle is not None and before is not None and at - before > self.idle * 1000
+
+    def next_time(self, later: list[tuple], carried, watermark: int) -> int | None:
+        return -(-later[0][self.place] // 1000) if later else None
+
+    def close(self) -> None:
+        pass
+
+
+class _Streaks(_InTime):
+    """How many rows in a row have the flag. carried: time of the last row given on, streak."""
+
+    carry = StructType([StructField("last", LongType()), StructField("run", LongType())])
+
+    def released(self, due, later, carried, watermark):
+        last, run = carried or (None, 0)
+        flag, rows = self.names.index("stress_like"), []
+        for r in due:
+            run = (0 if self.idled(last, r[self.place]) else run) + 1 if r[flag] else 0
+            last = r[self.place]
+            rows.append((*r, run))
+        out = pd.DataFrame(rows, columns=[*self.names, "streak"]).astype({"streak": "int32"}) if rows else None
+        return out, None if last is None else (last, run), []
+
+
+def stream_alerts_in_time(scored: DataFrame, acc_threshold: float, binary: bool = False, time: str = "ts", late: str = "10 minutes", idle: str | None = None) -> DataFrame:
+    """As stream_alerts, with streaks in the order of event time, however rows arrive.
+
+    A row waits in a list state until the watermark, `late` behind the newest row of all, has passed it;
+    a row behind the watermark of the batch before is dropped. An event-time timer releases what
+    waits. A person without rows for longer than `idle`, in event time, starts anew.
+    """
+    scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = scored.withWatermark(time, late)
+    flagged = context_flags(rows, acc_threshold=acc_threshold).withColumn("stress_like", stress_like(binary)).withColumn("at_us", F.unix_micros(time))
+    fields = StructType([f for f in flagged.schema.fields if f.name != time])
+    kept = flagged.groupBy("source", "subject_id").transformWithStateInPandas(_Streaks(fields, "at_us", _milliseconds(idle) if idle else None), StructType([*fields.fields, StructField("streak", IntegerType())]), "append", "eventTime")
+    return state_columns(kept.withColumn(time, F.timestamp_micros("at_us")).drop("at_us"), binary)
+
+
+class _SessionWindows(_InTime):
+    """Rows with the closed windows that hold them, from the session's first row on. carried: last time, start, first window that isn't closed."""
+
+    carry = StructType([StructField("last", LongType()), StructField("start", LongType()), StructField("window", LongType())])
+
+    def __init__(self, fields: StructType, at: str, idle: int | None, width: float, step: float):
+        super().__init__(fields, at, idle)
+        self.width, self.step = width, step
+
+    def end(self, start: int, k: int) -> float:
+        return start / 1e6 + k * self.step + self.width
+
+    def released(self, due, later, carried, watermark):
+        last, start, first = carried or (None, None, 0)
+        runs: list[list[tuple]] = [[]]
+        times = []
+        for r in due:
+            if self.idled(times[-1] if times else None, r[self.place]):
+                runs.append([])
+            runs[-1].append(r)
+            times.append(r[self.place])
+        rows, kept = [], []
+        for i, run in enumerate(runs):
+            if i or start is None or (run and not kept and self.idled(last, run[0][self.place])):
+                if not run:
+                    continue
+                start, first, last = run[0][self.place], 0, run[0][self.place]
+            for r in run if i + 1 < len(runs) else [*run, *later]:
+                if self.idled(last, r[self.place]):
+                    break
+                last = max(last, r[self.place])
+            after = first
+            while self.end(start, after) <= min(watermark / 1000, last / 1e6 + 1e-6):
+                after += 1
+            kept = []
+            for r in run:
+                t = (r[self.place] - start) / 1e6
+                low, high = max(0, math.floor((t - self.width) / self.step) + 1), math.floor(t / self.step)
+                rows += [(*r, k, k * self.step, k * self.step + self.width, start / 1e6 + k * self.step, self.end(start, k)) for k in range(max(low, first), min(high, after - 1) + 1)]
+                if high >= after:
+                    kept.append(r)
+            first = after
+        names = ["window_id", "window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts"]
+        out = pd.DataFrame(rows, columns=[*self.names, *names]).astype({"window_id": "int32"}) if rows else None
+        return out, None if start is None else (last, start, first), kept
+
+    def next_time(self, later, carried, watermark):
+        ends = [math.ceil(self.end(carried[1], carried[2]) * 1000)] if carried and self.end(carried[1], carried[2]) <= carried[0] / 1e6 + 1e-6 else []
+        return min([*ends, *([-(-later[0][self.place] // 1000)] if later else [])], default=None)
+
+
+def stream_session_windows(stream: DataFrame, window_sec: float, step_sec: float, time: str = "ts", late: str = "10 minutes", idle: str | None = None) -> DataFrame:
+    """assign_windows on a stream: readings with the windows of their session that hold them, once these are closed.
+
+    The state of a session holds its start, from which windows count, and the readings of windows that
+    aren't closed yet. A window closes when the watermark has passed its end and the session has a
+    reading at its end or later; readings behind the watermark of the batch before are dropped. A session
+    without readings for longer than `idle`, in event time, starts anew, and its open windows are lost.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = stream.withWatermark(time, late).withColumn("at_us", F.unix_micros(time))
+    fields = StructType([f for f in rows.schema.fields if f.name != time])
+    named = [StructField("window_id", IntegerType()), *[StructField(n, DoubleType()) for n in ("window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts")]]
+    held = _SessionWindows(fields, "at_us", _milliseconds(idle) if idle else None, float(window_sec), float(step_sec))
+    out = rows.groupBy("source", "subject_id", "session_id").transformWithStateInPandas(held, StructType([*fields.fields, *named]), "append", "eventTime")
+    return out.withColumn(time, F.timestamp_micros("at_us")).drop("at_us")
+
+
 def run_to_table(stream: DataFrame, base: str) -> DataFrame:
     """Run a stream over all that is there now into Parquet below `base`, and read that."""
     spark = stream.sparkSession
