@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -159,6 +161,9 @@ class Sigmoid:
         return 1 / (1 + F.exp(F.least(F.greatest(self.a * p + self.b, F.lit(-700.0)), F.lit(700.0))))
 
 
+_SUMS = ["loss", "g0", "g1", "h0", "h1", "h2"]
+
+
 def fit_sigmoids(raw: DataFrame, places: list[int], most: int = 60) -> list[Sigmoid]:
     """The least cross entropy against smoothed targets, (n+ + 1) / (n+ + 2) and 1 / (n- + 2), for each class against the rest.
 
@@ -169,33 +174,33 @@ def fit_sigmoids(raw: DataFrame, places: list[int], most: int = 60) -> list[Sigm
     up = {c: counts[f"p{c}"] for c in places}
     down = {c: counts["n"] - up[c] for c in places}
     at = {c: np.array([0.0, math.log((down[c] + 1) / (up[c] + 1))]) for c in places}
-    move, least, done = {c: np.zeros(2) for c in places}, dict.fromkeys(places, math.inf), set()
+    move, least, open_ = {c: np.zeros(2) for c in places}, dict.fromkeys(places, math.inf), list(places)
     for _ in range(most):
-        sums, points = [], {}
-        for c in [c for c in places if c not in done]:
-            target = F.when(F.col("y") == c, (up[c] + 1) / (up[c] + 2)).otherwise(1 / (down[c] + 2))
-            f = F.col("prob")[c]
-            for k in range(8 if move[c].any() else 1):
-                a, b = points[c, k] = at[c] + move[c] * 0.5**k
-                z = a * f + b
-                p = 1 / (1 + F.exp(z))
-                loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - (1 - target) * z
-                for name, v in (("l", loss), ("g0", (target - p) * f), ("g1", target - p), ("h0", p * (1 - p) * f * f), ("h1", p * (1 - p) * f), ("h2", p * (1 - p))):
-                    sums.append(F.sum(v).alias(f"{name}_{c}_{k}"))
-        if not sums:
+        points = [(c, k, *(at[c] + move[c] * 0.5**k)) for c in open_ for k in range(8 if move[c].any() else 1)]
+
+        def run(batches: Iterator[pd.DataFrame], points=points) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                y, prob, out = pdf["y"].to_numpy(), np.array(pdf["prob"].tolist()), []
+                for c, k, a, b in points:
+                    f = prob[:, c]
+                    z, target = a * f + b, np.where(y == c, (up[c] + 1) / (up[c] + 2), 1 / (down[c] + 2))
+                    loss, p = np.logaddexp(0, z) - (1 - target) * z, 1 / (1 + np.exp(np.clip(z, -700, 700)))
+                    out.append((c, k, loss.sum(), (f * (target - p)).sum(), (target - p).sum(), (f * f * p * (1 - p)).sum(), (f * p * (1 - p)).sum(), (p * (1 - p)).sum()))
+                yield pd.DataFrame(out, columns=["c", "k", *_SUMS])
+
+        if not points:
             break
-        row = raw.agg(*sums).first()
-        for c in [c for c in places if c not in done]:
-            tried = [k for d, k in points if d == c]
-            k = min(tried, key=lambda k: row[f"l_{c}_{k}"])
-            if row[f"l_{c}_{k}"] > least[c]:
-                done.add(c)
+        sums = raw.select("y", "prob").mapInPandas(run, "c int, k int, " + ", ".join(f"{n} double" for n in _SUMS)).groupBy("c", "k").agg(*[F.sum(n).alias(n) for n in _SUMS]).collect()  # eight rows for each class at most
+        for c in list(open_):
+            best = min((r for r in sums if r["c"] == c), key=lambda r: (r["loss"], r["k"]))
+            if best["loss"] > least[c]:
+                open_.remove(c)
                 continue
-            least[c], at[c] = row[f"l_{c}_{k}"], np.array(points[c, k])
-            g, h = np.array([row[f"g0_{c}_{k}"], row[f"g1_{c}_{k}"]]), [row[f"h{i}_{c}_{k}"] for i in range(3)]
-            move[c] = -np.linalg.solve(np.array([[h[0], h[1]], [h[1], h[2]]]) + 1e-12 * np.eye(2), g)
+            at[c] = next(np.array([a, b]) for d, k, a, b in points if (d, k) == (c, best["k"]))
+            least[c] = best["loss"]
+            move[c] = -np.linalg.solve(np.array([[best["h0"], best["h1"]], [best["h1"], best["h2"]]]) + 1e-12 * np.eye(2), np.array([best["g0"], best["g1"]]))
             if np.abs(move[c]).max() < 1e-10 * max(1.0, np.abs(at[c]).max()):
-                done.add(c)
+                open_.remove(c)
     return [Sigmoid(float(at[c][0]), float(at[c][1])) for c in places]
 
 
