@@ -684,6 +684,33 @@ def folds_loso(spark, d):
     return splits.folds_loso(_grouped(spark, d), "group_id").select("group_id", "fold").distinct()
 
 
+@query(
+    f"""WITH RECURSIVE {GROUPED}, k AS (SELECT list(DISTINCT label ORDER BY label) AS ks FROM gr), n AS (SELECT group_id, label, count(*) AS n FROM gr GROUP BY ALL),
+    g AS (SELECT group_id, list_transform(any_value(ks), lambda c: coalesce(list_sum(list_transform(list_filter(list({{'l': label, 'n': n}}), lambda x: x.l = c), lambda x: x.n)), 0)::DOUBLE) AS v FROM n, k GROUP BY group_id),
+    o AS (SELECT v, row_number() OVER (ORDER BY round(list_aggregate(v, 'stddev_pop'), 9) DESC, v, group_id) AS rn FROM g),
+    t AS (SELECT list(total ORDER BY label) AS tot FROM (SELECT label, count(*)::DOUBLE AS total FROM gr GROUP BY ALL)),
+    walk AS (
+      SELECT 0::BIGINT AS rn, list_transform(range(5 * len(tot)), lambda i: 0.0::DOUBLE) AS held, -1::BIGINT AS fold FROM t
+      UNION ALL
+      SELECT rn, best.held, best.f FROM (
+        SELECT rn, arg_min({{'held': held, 'f': f}}, {{'score': round(list_avg(list_transform(range(len(tot)), lambda c: list_aggregate(list_transform(range(5), lambda h: held[h * len(tot) + c + 1] / tot[c + 1]), 'stddev_pop'))), 9), 'size': size, 'f': f}}) AS best
+        FROM (SELECT o.rn, f, tot, list_sum(w.held[f * len(tot) + 1:(f + 1) * len(tot)]) AS size,
+                list_transform(range(len(w.held)), lambda i: w.held[i + 1] + CASE WHEN i // len(tot) = f THEN o.v[i % len(tot) + 1] ELSE 0 END) AS held
+              FROM walk w JOIN o ON o.rn = w.rn + 1, t, (SELECT unnest(range(5)) AS f)) GROUP BY rn)),
+    done AS (SELECT fold::INT AS fold, v FROM walk JOIN o USING (rn))
+    SELECT fold, count(*) AS n_groups, sum(list_sum(v))::BIGINT AS n_rows, sum(list_sum(list_transform(range(len(v)), lambda i: v[i + 1] * v[i + 1] * (i + 1))))::BIGINT AS mixed FROM done GROUP BY ALL"""
+)
+def folds_balanced(spark, d):
+    """Groups, rows and a number of their shapes in each fold: equal groups may change places."""
+    rows = splits.folds_balanced(_grouped(spark, d), 5, "group_id", "label").select("group_id", "label", "fold")
+    classes = [x["label"] for x in rows.select("label").distinct().orderBy("label").collect()]  # one row for each class
+    shape = F.array(*[F.count_if(F.col("label") == c).cast("double") for c in classes])
+    groups = rows.groupBy("group_id", "fold").agg(shape.alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    squares = F.aggregate(F.transform("v", lambda x, i: x * x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return groups.groupBy("fold").agg(F.count("*").alias("n_groups"), F.sum(total).cast("long").alias("n_rows"), F.sum(squares).cast("long").alias("mixed"))
+
+
 @query(
     """WITH v AS (SELECT vec_id, (vec_id % 20)::VARCHAR AS group_id, (label >= 5)::INT AS y FROM embeddings), c AS (SELECT group_id, y, count(*) AS n FROM v GROUP BY ALL),
     g AS (SELECT group_id, sum(n) AS n, arg_max(y, n * 10 - y) AS main FROM c GROUP BY ALL)

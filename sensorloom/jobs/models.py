@@ -416,7 +416,7 @@ def with_folds(rows: DataFrame, config: TrainConfig) -> DataFrame:
         return splits.folds_loso(rows, "group_id")
     if config.cv == "rows":
         return splits.folds_stratified(rows, config.folds, "y", "id", config.seed)
-    return splits.folds_group(rows, config.folds, "group_id", "y", config.seed)
+    return splits.folds_balanced(rows, config.folds, "group_id", "y", config.seed)
 
 
 def predictions(scored: DataFrame, bundle: Bundle, labels: list[int]) -> DataFrame:

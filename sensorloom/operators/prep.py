@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import staged
 from .neighbours import nearest
 from .splits import draw_rank
 
@@ -55,32 +56,64 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(sizes.withColumn("weight", total / F.col("_n")).drop("_n")), label)  # one row for each class
 
 
+#: Values inside a bracket that are ranked together in the end.
+RANKED = 10_000
+_STEPS = 500
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """keys and q: the exact linear percentile of the values of each group, null if it has none.
 
-    A first pass brackets the percentile to within a few rows in ten thousand; a second counts the values
-    inside the bracket, and those below and above it as a whole. So no task holds or sorts the values
-    of a group.
+    A first pass brackets the percentile to within a few rows in ten thousand. As long as a bracket
+    holds more than RANKED values and still narrows, a further pass counts what is below and inside
+    and takes percentiles of the inside, which leaves under a hundredth. In the end the values inside
+    are counted, and those below and above as a whole. So no task holds or sorts the values of a group.
     """
     near, v = 2e-4, F.col(value).cast("double")
     spread = F.percentile_approx(v, F.array(F.lit(max(0.0, q - near)), F.lit(min(1.0, q + near))), 10_000)
-    limits = df.groupBy(*keys).agg(F.struct(F.count(v).alias("n"), spread.alias("b")).alias("_l"))
-    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-    if keys:
-        rows = rows.join(limits.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys)).select(*keys, "_v", "_l")
-    else:
-        rows = rows.withColumn("_l", limits.scalar())
+    limits = staged(df.groupBy(*keys).agg(F.struct(F.count(v).alias("n"), spread.alias("b")).alias("_l")))
+    values = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    place = F.lit(q) * (F.col("_l.n") - 1)
+    if (limits.agg(F.max("_l.n")).first()[0] or 0) * 2.5 * near > RANKED:
+        limits = _narrowed(values, limits, keys, place)
+    rows = _bracketed(values, limits, keys)
     side = F.when(F.col("_v") < F.col("_l.b")[0], -1).when(F.col("_v") > F.col("_l.b")[1], 1).otherwise(0)
-    cells = rows.groupBy(*keys, side.alias("_s"), F.when(side == 0, F.col("_v")).alias("_x")).agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first("_l.n").alias("_n"))
+    cells = rows.groupBy(*keys, side.alias("_s"), F.when(side == 0, F.col("_v")).alias("_x")).agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first("_l").alias("_l"))
     cells = cells.withColumn("_v", F.when(F.col("_s") == 1, F.col("_low")).otherwise(F.col("_high")))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_s", "_x").rowsBetween(Window.unboundedPreceding, 0))
-    place = F.lit(q) * (F.col("_n") - 1)
     at = lambda n: F.min(F.when(F.col("_u") > n, F.col("_v")))
     part = F.max(place - F.floor(place))
     found = cells.withColumn("_u", upto).groupBy(*keys).agg(((1 - part) * at(F.floor(place)) + part * at(F.ceil(place))).alias("q"))
     if not keys:
         return found
-    return df.select(*keys).distinct().join(found.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys), "left").select(*keys, "q")
+    return limits.select(*keys).join(found.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys), "left").select(*keys, "q")
+
+
+def _bracketed(values: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    if keys:
+        return values.join(limits.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys)).select(*keys, "_v", "_l")
+    return values.withColumn("_l", limits.select("_l").scalar())
+
+
+def _narrowed(values: DataFrame, limits: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """limits with brackets that hold RANKED values at most, or equal values that can't be parted."""
+    before = None
+    shares = [i / _STEPS for i in range(_STEPS + 1)]
+    while True:
+        rows = _bracketed(values, limits, keys)
+        low, high = F.col("_l.b")[0], F.col("_l.b")[1]
+        inside = (F.col("_v") >= low) & (F.col("_v") <= high)
+        found = staged(rows.groupBy(*keys).agg(F.first("_l").alias("_l"), F.count_if(F.col("_v") < low).alias("below"), F.count_if(inside).alias("m"), F.percentile_approx(F.when(inside, F.col("_v")), shares, 10_000).alias("e")))
+        held = found.agg(F.max("m").alias("most"), F.sum("m").alias("all")).first()
+        if held["most"] is None or held["most"] <= RANKED or held["all"] == before:
+            return limits
+        before = held["all"]
+        step = F.floor((place - F.col("below")) / F.greatest(F.col("m") - 1, F.lit(1)) * _STEPS).cast("int")
+        bracket = F.array(F.get("e", F.greatest(step - 2, F.lit(0))), F.get("e", F.least(step + 3, F.lit(_STEPS))))
+        narrow = F.when(F.col("m") > RANKED, bracket).otherwise(F.col("_l.b"))
+        fresh = found.select(*keys, F.struct(F.col("_l.n").alias("n"), narrow.alias("b")).alias("_l"))
+        empty = limits.filter("_l.n = 0") if keys else None  # groups without values
+        limits = staged(fresh.unionByName(empty) if empty is not None else fresh)
 
 
 def _same(keys: list[str]) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 
 def draw(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
@@ -53,10 +58,67 @@ def limit_entities(df: DataFrame, key: str, n: int, numeric: bool = True) -> Dat
     return df.join(first, key, "left_semi")
 
 
+def sorted_place(df: DataFrame, key: str) -> DataFrame:
+    """key and place: 0, 1, 2, ... in sorted order (nulls first) of a table with one row for each key.
+
+    Range partitions are numbered one after another by their counts, one row each on the driver.
+    """
+    laid = staged(df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = laid.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row for each partition
+    starts = list(zip((r["p"] for r in sizes), accumulate((r["n"] for r in sizes), initial=0), strict=False))
+    known = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.withColumn("_p", part).join(F.broadcast(known), "_p").select(key, (F.col("_start") + inside).alias("place"))
+
+
 def folds_loso(df: DataFrame, group: str) -> DataFrame:
-    """One fold for each group: its place in sorted order. Only the groups are ranked."""
-    groups = df.select(group).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(group)) - 1).cast("int"))
-    return df.join(groups, group)
+    """One fold for each group: its place in sorted order. Only the groups are sorted, by range."""
+    groups = sorted_place(df.select(group).distinct().filter(F.col(group).isNotNull()), group)
+    return df.join(groups.select(group, F.col("place").cast("int").alias("fold")), group)
+
+
+def spread_folds(shapes: list[tuple[int, ...]], sizes: list[int], k: int) -> list[list[int]]:
+    """How many of the equal groups of each shape (rows by class) go to each of k folds.
+
+    Shapes with the most uneven counts come first. Each group goes to the fold with which the classes'
+    shares spread least over folds; of equal ones to that with the fewest rows, then the first.
+    """
+    if not shapes:
+        return []
+    counts = np.array(shapes, dtype=float)
+    total = np.maximum((counts * np.array(sizes)[:, None]).sum(axis=0), 1)
+    held, out = np.zeros((k, counts.shape[1])), [[0] * k for _ in shapes]
+    order = sorted(range(len(shapes)), key=lambda i: (-round(float(counts[i].std()), 9), shapes[i]))
+    for i in order:
+        for _ in range(sizes[i]):
+            tried = np.repeat(held[None], k, axis=0)
+            tried[np.arange(k), np.arange(k)] += counts[i]
+            score = np.round((tried / total).std(axis=1).mean(axis=1), 9)
+            f = min(range(k), key=lambda f: (score[f], held[f].sum(), f))
+            held[f] += counts[i]
+            out[i][f] += 1
+    return out
+
+
+def folds_balanced(df: DataFrame, k: int, group: str, label: str, seed: int = 42) -> DataFrame:
+    """Folds of whole groups whose classes' shares spread as little as a greedy assignment finds; k is at most the number of groups.
+
+    Groups with the same rows by class are alike, so the choice needs one row for each different
+    shape, and the groups of a shape are dealt by draw, in parts. Rows with a null group or label get none.
+    """
+    counts = df.filter(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"))
+    classes = [r[label] for r in counts.select(label).distinct().orderBy(label).collect()]  # one row for each class
+    shape = F.concat_ws(",", *[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).cast("string") for c in classes])
+    groups = staged(counts.groupBy(group).agg(shape.alias("_shape")))
+    shapes = groups.groupBy("_shape").agg(F.count("*").alias("m")).orderBy("_shape").collect()  # one row for each shape
+    k = max(1, min(k, sum(r["m"] for r in shapes)))
+    dealt = spread_folds([tuple(int(n) for n in r["_shape"].split(",")) for r in shapes], [r["m"] for r in shapes], k)
+    ends = [(r["_shape"], list(accumulate(d))) for r, d in zip(shapes, dealt, strict=True)]
+    known = df.sparkSession.createDataFrame(ends, "_shape string, _ends array<int>")
+    placed = draw_rank(groups, ["_shape"], group, seed).join(known, "_shape")
+    fold = F.size(F.filter("_ends", lambda e: e < F.col("_r")))
+    return df.join(placed.select(group, fold.cast("int").alias("fold")), group)
 
 
 def folds_group(df: DataFrame, k: int, group: str, label: str, seed: int = 42) -> DataFrame:
