@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from contextlib import suppress
+from itertools import batched, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,10 @@ from ..schema import READINGS, SURVEY_RAW
 FILES = {"ACC": ("acc_x", "acc_y", "acc_z"), "EDA": ("eda",), "TEMP": ("temp",), "BVP": ("bvp",), "HR": ("hr",)}
 
 
+#: Rows that a reader gives on at once.
+CHUNK = 65_536
+
+
 def session_index(paths: DataFrame, column: str = "path") -> DataFrame:
     """Adds subject_id, session_name and start_ts from paths like <subject>/<name>_<epoch>.zip; others are left out."""
     pattern = r"([^/]+)/([^/]+)_(\d+)\.zip$"
@@ -24,27 +31,30 @@ def session_index(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.filter(F.col(column).rlike(pattern)).withColumns({"subject_id": normalize_subject_id(part(1)), "session_name": part(2), "start_ts": part(3).cast("double")})
 
 
-def parse_csv(data: bytes, names: tuple[str, ...]) -> Iterator[tuple[str, float, float, int, float | None]]:
-    """(signal, rate, start, index, value) of one file: a line of starts, a line of rates, then samples; what is no number is missing."""
-    rows = [line.split(",") for line in data.decode("utf-8", "replace").splitlines() if line.strip()]
-    if len(rows) < 3:
-        return
+def number(text: str) -> float | None:
+    try:
+        x = float(text)
+    except ValueError:
+        return None
+    return x if x == x and abs(x) != float("inf") else None
 
-    def number(text: str) -> float | None:
-        try:
-            x = float(text)
-        except ValueError:
-            return None
-        return x if x == x and abs(x) != float("inf") else None
 
-    start, rate = number(rows[0][0]), number(rows[1][0])
+def samples(lines: Iterable[str], names: tuple[str, ...]) -> Iterator[tuple[str, float, float, int, float | None]]:
+    """(signal, rate, start, index, value) from the lines of one file, one after another: starts, rates, then samples; what is no number is missing."""
+    rows = (line.split(",") for line in lines if line.strip())
+    head = list(islice(rows, 2))
+    start, rate = (number(r[0]) for r in head) if len(head) == 2 else (None, None)
     if start is None or not rate or rate <= 0:
         return
-    for i, row in enumerate(rows[2:]):
+    for i, row in enumerate(rows):
         for name, cell in zip(names, [*row, *[""] * len(names)], strict=False):
             yield name, rate, start, i, number(cell)
 
 
+def parse_csv(data: bytes, names: tuple[str, ...]) -> Iterator[tuple[str, float, float, int, float | None]]:
+    return samples(io.TextIOWrapper(io.BytesIO(data), "utf-8", "replace"), names)
+
+
 def parse_beats(data: bytes) -> Iterator[tuple[float, float, float]]:
     """(start, seconds since then, interval) of the beat file: a line of start, then pairs."""
     lines = [line.split(",") for line in data.decode("utf-8", "replace").splitlines() if line.strip()]
@@ -59,12 +69,22 @@ def parse_beats(data: bytes) -> Iterator[tuple[float, float, float]]:
             continue
 
 
+#: What a damaged, encrypted or unknown archive raises.
+DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError)
+
+
 def _files(content: bytes) -> dict[str, bytes]:
+    """The files of an archive that can be read."""
+    out = {}
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return {n.rsplit("/", 1)[-1].removesuffix(".csv").upper(): z.read(n) for n in z.namelist() if n.lower().endswith(".csv")}
-    except zipfile.BadZipFile:
-        return {}
+            for n in z.namelist():
+                if n.lower().endswith(".csv"):
+                    with suppress(*DAMAGE):
+                        out[n.rsplit("/", 1)[-1].removesuffix(".csv").upper()] = z.read(n)
+    except DAMAGE:
+        return out
+    return out
 
 
 def _archives(spark: SparkSession, glob: str) -> DataFrame:
@@ -75,7 +95,8 @@ def _archives(spark: SparkSession, glob: str) -> DataFrame:
 def read_sessions(spark: SparkSession, glob: str, source: str = "field") -> DataFrame:
     """Samples of all session archives in long form. One archive is parsed at a time, in the task that holds it.
 
-    A file that is absent, empty or no CSV gives no rows, a broken archive none at all.
+    A file that is absent, empty, damaged or no CSV gives no rows, a broken archive none at all. Archives
+    too large for a task's memory are read by archives.py.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +104,7 @@ def read_sessions(spark: SparkSession, glob: str, source: str = "field") -> Data
             for subject, session, content in pdf.itertuples(index=False):
                 held = _files(content)
                 for name, signals in FILES.items():
-                    if name in held and (rows := list(parse_csv(held[name], signals))):
+                    for rows in batched(parse_csv(held.get(name, b""), signals), CHUNK, strict=False):
                         out = pd.DataFrame(rows, columns=["signal", "fs", "start_ts", "sample_idx", "value"])
                         yield out.assign(source=source, subject_id=subject, session_id=session)
 
