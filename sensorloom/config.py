@@ -43,3 +43,4 @@ class TrainConfig:
     boosting_step: float = 0.05
     max_depth: int = 10  # of forests; the published ones are bounded by leaves of two rows only
     neighbours: int = 9
+    parallel: int = 4  # models and folds that are evaluated side by side

@@ -9,20 +9,24 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TrainConfig
 from ..operators import decision, metrics, prep, splits, thresholds
-from ..sources.scratch import staged
+from ..sources.scratch import shared_dir, staged
 from . import trees
 
 MODELS = ("rf", "balanced_rf", "extra_trees", "gbt", "gnb", "knn")
@@ -425,25 +429,43 @@ def predictions(scored: DataFrame, bundle: Bundle, labels: list[int]) -> DataFra
     return scored.withColumnRenamed("pred", "pred_label").withColumns({**probs, "decision_threshold": F.lit(bundle.threshold).cast("double")}).drop("prob")
 
 
-def evaluate(table: DataFrame, columns: list[str], target: str, config: TrainConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def evaluate(table: DataFrame, columns: list[str], target: str, config: TrainConfig, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fold metrics, predictions with alert states, and the summary of each model.
 
-    table has id, group_id, source, subject_id, the time of the window and the features.
+    table has id, group_id, source, subject_id, the time of the window and the features. Models and folds
+    run side by side, config.parallel at a time, each in a pool of its own where the scheduler is fair. Each
+    writes its predictions and then its notes below `folder` (else below one of this run); what a folder
+    holds already isn't made again, so a run that was lost goes on from there.
     """
+    spark = table.sparkSession
+    folder = folder or f"{shared_dir(spark)}/evaluation-{uuid.uuid4().hex}"
     rows = staged(with_folds(model_rows(table, columns, target), config))
     folds = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # one row for each fold
     labels = [int(r["y"]) for r in rows.select("y").distinct().orderBy("y").collect()]  # one row for each class
-    out, notes = None, []
-    for name in config.models:
-        for f in sorted(folds):
+    told_kinds = "model string, fold int, n_train long, n_test long, notes string, decision_threshold double"
+
+    def one(name: str, f: int) -> tuple[DataFrame, DataFrame]:
+        place = f"{folder}/{name}-{f}"
+        if not _exists(spark, f"{place}/notes/_SUCCESS"):
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{f}")
             bundle = fit_best(rows.filter(F.col("fold") != f).select(*ROW), name, config)
             scored = predictions(bundle.scored(rows.filter(F.col("fold") == f)), bundle, labels)
-            one = staged(scored.withColumns({"model": F.lit(name), "y_true": F.col("y").cast("int")}).drop("vec", "y"))
-            notes.append((name, f, sum(folds.values()) - folds[f], folds[f], json.dumps(bundle.notes), bundle.threshold))
-            out = one if out is None else out.unionByName(one)
+            scored.withColumns({"model": F.lit(name), "y_true": F.col("y").cast("int")}).drop("vec", "y").write.mode("overwrite").parquet(f"{place}/rows")
+            note = (name, f, sum(folds.values()) - folds[f], folds[f], json.dumps(bundle.notes), bundle.threshold)
+            spark.createDataFrame([note], told_kinds).coalesce(1).write.mode("overwrite").parquet(f"{place}/notes")
+        return spark.read.parquet(f"{place}/rows"), spark.read.schema(told_kinds).parquet(f"{place}/notes")
+
+    work = [(name, f) for name in config.models for f in sorted(folds)]
+    with ThreadPoolExecutor(max(1, config.parallel)) as pool:
+        made = list(pool.map(inheritable_thread_target(lambda w: one(*w)), work))
+    out, told = (reduce(DataFrame.unionByName, part) for part in zip(*made, strict=True))
     preds = decision.alert_state(out, ["model", "fold"])
     keys = ["model", "fold"]
-    told = table.sparkSession.createDataFrame(notes, "model string, fold int, n_train long, n_test long, notes string, decision_threshold double")
     kinds = "resampling string, calibration string, class_cap string, source_balance string, feature_selection string, n_selected_features int, threshold_tuning string, tuning_selection string"
     told = told.select(*keys, "n_train", "n_test", F.from_json("notes", kinds).alias("n"), "decision_threshold").select(*keys, "n_train", "n_test", "n.*", "decision_threshold")
     scores = told.join(metrics.score_metrics(out, keys).drop("n"), keys, "left").join(metrics.report_json(out, keys, labels), keys, "left")

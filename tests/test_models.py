@@ -107,6 +107,28 @@ def test_evaluation_writes_its_report(table, tmp_path, cv, folds):
         assert preds.sparkSession.read.json(f"{tmp_path}/report/summary").count() == 1
 
 
+def test_evaluation_goes_on_where_it_was_lost(table, tmp_path, monkeypatch):
+    """Side by side or one by one, the metrics are the same; what is written isn't made again."""
+    config = TrainConfig(**{**SMALL.__dict__, "models": ("gnb", "knn"), "calibration": "none"})
+    whole = {(r["model"], r["fold"]): (r["accuracy"], r["resampling"]) for r in models.evaluate(table, COLS, "target3", config)[0].collect()}
+    kept, calls = models.fit_best, []
+
+    def lost(train, name, *args, **kinds):
+        calls.append(name)
+        if name == "knn":
+            raise RuntimeError("lost")
+        return kept(train, name, *args, **kinds)
+
+    monkeypatch.setattr(models, "fit_best", lost)
+    one_by_one = TrainConfig(**{**config.__dict__, "parallel": 1})
+    with pytest.raises(RuntimeError, match="lost"):
+        models.evaluate(table, COLS, "target3", one_by_one, f"{tmp_path}/run")
+    assert calls.count("gnb") == 3
+    monkeypatch.setattr(models, "fit_best", lambda train, name, *a, **k: calls.append(f"again {name}") or kept(train, name, *a, **k))
+    got = {(r["model"], r["fold"]): (r["accuracy"], r["resampling"]) for r in models.evaluate(table, COLS, "target3", one_by_one, f"{tmp_path}/run")[0].collect()}
+    assert got == whole and len(got) == 6 and calls.count("again knn") == 3 and "again gnb" not in calls
+
+
 @pytest.mark.parametrize("name", ["balanced_rf", "gbt", "gnb", "knn"])
 def test_saved_bundles_score_alike(table, tmp_path, name):
     config = TrainConfig(**{**SMALL.__dict__, "models": (name,), "top_k": 2})
