@@ -462,7 +462,7 @@ def evaluate(table: DataFrame, columns: list[str], target: str, config: TrainCon
 
     work = [(name, f) for name in config.models for f in sorted(folds)]
     with ThreadPoolExecutor(max(1, config.parallel)) as pool:
-        made = list(pool.map(inheritable_thread_target(lambda w: one(*w)), work))
+        made = list(pool.map(inheritable_thread_target(spark)(lambda w: one(*w)), work))
     out, told = (reduce(DataFrame.unionByName, part) for part in zip(*made, strict=True))
     preds = decision.alert_state(out, ["model", "fold"])
     keys = ["model", "fold"]
