@@ -3,8 +3,9 @@
 Batches of candidate runs (see passages) get sparse suffix arrays: for each anchor key, its runs in
 the order of the bytes that follow the anchor, and of those before it. A new batch is merge-scanned
 against each existing level, which finds the strings that both have, and levels of equal size merge,
-so there are about log2(batches) levels and a run is rewritten as often at most. A level is a table
-in the shared folder, one row for each different run, with one bit for each of its windows.
+so there are about log2(batches) levels. A level is a table in the shared folder, one row for each
+different run, with one bit for each of its windows; a scan writes the level anew with the bits that
+it found, so a run is written once for each later batch, of which there are four in all.
 
 Neighbours in both orders tell how many bytes a run shares with any other on either side, so for a
 given distance of window and anchor, equal windows are runs in one group of both orders: groups are
