@@ -871,9 +871,9 @@ def evaluate_predictions(spark, d):
 
 @query()
 def train_and_score(spark, d):
-    """A saved bundle, loaded again to score all rows, up to alert states."""
+    """A saved pipeline, loaded again to score all rows, up to alert states."""
     rows = D.feature_rows(spark, d)
-    path = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pipelines-{uuid.uuid4().hex}"
     models.train_final(rows, prep.feature_columns(rows), "target_binary", path, TrainConfig(models=("rf",)))
     return models.score(f"{path}/rf", rows).select("id", "pred_label", "proba_0", "proba_1", "confidence", "alert_state")
 

@@ -17,17 +17,19 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import IsotonicRegression
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TrainConfig
 from ..operators import decision, metrics, prep, splits, thresholds
 from ..sources.scratch import shared_dir, staged
 from . import trees
+from .stages import Alerts, Bayes, Boosted, Calibrated, Decided, Forest, Grown, Imputed, Neighbours, OneClass, Scaled, Selected, Sigmoid, Stage, Told, Vectors, with_vector
 
 MODELS = ("rf", "balanced_rf", "extra_trees", "gbt", "gnb", "knn")
 #: Models that balance classes by themselves, and those that need scaled features.
@@ -35,10 +37,6 @@ INTERNAL, SCALED = ("balanced_rf",), ("knn",)
 ROW = ["id", "y", "vec", "group_id", "source"]
 
 
-def with_vector(df: DataFrame, column: str = "vec") -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(column)))
-
-
 # Models ------------------------------------------------------------------------------------------
 
 
@@ -47,90 +45,6 @@ def forest(count: int, depth: int, seed: int) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="weight", numTrees=count, maxDepth=depth, impurity="entropy", minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
 
 
-class Forest:
-    """Bagged trees of the built-in kind."""
-
-    def __init__(self, model: RandomForestClassificationModel):
-        self.model = model
-
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(with_vector(df))
-        return out.withColumn("prob", normalised(vector_to_array("probability"))).drop("features", "rawPrediction", "probability", "prediction")
-
-    def save(self, path: str, spark: SparkSession) -> None:
-        self.model.write().overwrite().save(path)
-
-    @classmethod
-    def load(cls, path: str, spark: SparkSession) -> Forest:
-        return cls(RandomForestClassificationModel.load(path))
-
-
-class Grown:
-    """Extra trees or class-balanced trees."""
-
-    def __init__(self, model: trees.Trees):
-        self.model = model
-
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        return trees.forest_probabilities(df, self.model)
-
-    def save(self, path: str, spark: SparkSession) -> None:
-        self.model.frame(spark).write.mode("overwrite").parquet(path)
-
-    @classmethod
-    def load(cls, path: str, spark: SparkSession) -> Grown:
-        return cls(trees.Trees.read(spark.read.parquet(path)))
-
-
-class Boosted:
-    """Trees that were boosted for all classes together."""
-
-    def __init__(self, model: trees.Boosting):
-        self.model = model
-
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        return trees.boosting_probabilities(df, self.model)
-
-    def save(self, path: str, spark: SparkSession) -> None:
-        start = spark.createDataFrame([(self.model.base.tolist(), self.model.step)], "base array<double>, step double")
-        start.write.mode("overwrite").parquet(f"{path}/start")
-        self.model.trees.frame(spark).write.mode("overwrite").parquet(f"{path}/trees")
-
-    @classmethod
-    def load(cls, path: str, spark: SparkSession) -> Boosted:
-        start = spark.read.parquet(f"{path}/start").first()
-        return cls(trees.Boosting(np.array(start["base"]), start["step"], trees.Trees.read(spark.read.parquet(f"{path}/trees"))))
-
-
-class Bayes:
-    """Gaussian naive Bayes, from one row for each class."""
-
-    def __init__(self, classes: list[dict]):
-        self.classes = classes
-
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        terms = F.array(*[t for _, t in prep.gnb_log_likelihoods(self.classes, F.col("vec"))])
-        out = df.withColumn("_l", terms)
-        return out.withColumn("prob", normalised(F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))).drop("_l")
-
-
-class Neighbours:
-    """k nearest training rows, weighted by inverse distance."""
-
-    def __init__(self, train: DataFrame, k: int, classes: int):
-        self.train, self.k, self.classes = train, k, classes
-
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        found = prep.knn_probabilities(self.train, df.select("id", "vec"), self.k, self.classes)
-        return df.join(found.select(F.col("q_id").alias("id"), "prob"), "id")
-
-
-def normalised(weights: Column) -> Column:
-    """Weights as shares; equal ones where all are 0."""
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(weights, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(weights)))
-
-
 def fit_model(train: DataFrame, name: str, classes: int, config: TrainConfig):
     """A fitted model of the given name. train: id, y, vec without nulls."""
     if name == "rf":
@@ -145,26 +59,15 @@ def fit_model(train: DataFrame, name: str, classes: int, config: TrainConfig):
         width = train.select(F.max(F.size("vec"))).first()[0]
         cols = [f"x{i}" for i in range(width)]
         wide = train.select("y", *[F.col("vec")[i].alias(c) for i, c in enumerate(cols)])
-        return Bayes([r.asDict() for r in prep.gnb_fit(wide, cols, "y").orderBy("label").collect()])  # one row for each class
+        return Bayes(classes=[r.asDict() for r in prep.gnb_fit(wide, cols, "y").orderBy("label").collect()])  # one row for each class
     if name == "knn":
-        return Neighbours(staged(train.select("id", "vec", F.col("y").cast("int").alias("label"))), config.neighbours, classes)
+        return Neighbours(staged(train.select("id", "vec", F.col("y").cast("int").alias("label"))), k=config.neighbours, classes=classes)
     raise ValueError(f"unknown model: {name} (known: {', '.join(MODELS)})")
 
 
 # Calibration ---------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Sigmoid:
-    """1 / (1 + exp(a * p + b))."""
-
-    a: float
-    b: float
-
-    def column(self, p: Column) -> Column:
-        return 1 / (1 + F.exp(F.least(F.greatest(self.a * p + self.b, F.lit(-700.0)), F.lit(700.0))))
-
-
 _SUMS = ["loss", "g0", "g1", "h0", "h1", "h2"]
 
 
@@ -217,19 +120,6 @@ def fit_calibrators(raw: DataFrame, classes: int, method: str) -> list:
     return [IsotonicRegression(labelCol="y", featuresCol="features").fit(r) for r in rows]
 
 
-def calibrated(df: DataFrame, models: list) -> DataFrame:
-    """Replaces prob by calibrated probabilities, which are shares again."""
-    out, two = df, len(models) == 1
-    for i, m in enumerate(models):
-        p = F.col("prob")[1 if two else i]
-        if isinstance(m, Sigmoid):
-            out = out.withColumn(f"_c{i}", m.column(p))
-        else:
-            out = m.transform(out.withColumn("features", array_to_vector(F.array(p)))).withColumn(f"_c{i}", F.col("prediction")).drop("features", "prediction")
-    prob = F.array(1 - F.col("_c0"), F.col("_c0")) if two else normalised(F.array(*[F.col(f"_c{i}") for i in range(len(models))]))
-    return out.withColumn("prob", prob).select(*df.columns)
-
-
 # Preparing a training set --------------------------------------------------------------------------
 
 
@@ -284,31 +174,34 @@ class Bundle:
     score: float | None = None
     notes: dict = field(default_factory=dict)
 
-    def features(self, rows: DataFrame) -> DataFrame:
-        vec = F.zip_with("vec", F.array(*[F.lit(m) for m in self.medians]), lambda x, m: F.coalesce(x, m))
-        out = rows.withColumn("vec", vec)
+    def preparation(self) -> list[Stage]:
+        out = [Imputed(medians=self.medians)]
         if self.selected is not None:
-            out = out.withColumn("vec", F.transform(F.array(*[F.lit(i) for i in self.selected]), lambda i: F.get("vec", i)))
+            out.append(Selected(places=self.selected))
         if self.scaler is not None:
-            limits = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in self.scaler])
-            out = out.withColumn("vec", F.zip_with("vec", limits, lambda x, l: (x - l["m"]) / l["s"]))  # noqa: E741
+            out.append(Scaled(means=[m for m, _ in self.scaler], deviations=[s for _, s in self.scaler]))
         return out
 
-    def scored(self, rows: DataFrame) -> DataFrame:
-        """rows (id, vec, ...) with prob, pred (the class), and confidence, the probability of the class decided on."""
+    def decision(self) -> Decided:
+        return Decided(self.classes, self.threshold)
+
+    def stages(self) -> list[Stage]:
+        """From vec to prob, pred (the class), and confidence, the probability of the class decided on."""
         if len(self.classes) == 1:  # one class in training: that is the prediction
-            out = rows.withColumn("prob", F.array(F.lit(1.0)))
-        else:
-            out = self.model.probabilities(self.features(rows))
-            if self.calibrators:
-                out = calibrated(out, self.calibrators)
-        return self.decided(out)
+            return [OneClass(), self.decision()]
+        return [*self.preparation(), self.model, *([Calibrated(self.calibrators)] if self.calibrators else []), self.decision()]
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        return PipelineModel(self.preparation()).transform(rows)
 
-    def decided(self, df: DataFrame) -> DataFrame:
-        place = F.when(F.col("prob")[1] >= self.threshold, 1).otherwise(0) if self.threshold is not None else F.array_position("prob", F.array_max("prob")).cast("int") - 1
-        out = df.withColumn("_i", place)
-        label = F.array(*[F.lit(c) for c in self.classes])
-        return out.withColumns({"pred": F.get(label, F.col("_i")), "confidence": F.get("prob", F.col("_i"))}).drop("_i")
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (id, vec, ...) with prob, pred and confidence. vec is what the model read."""
+        return PipelineModel(self.stages()).transform(rows)
+
+    def pipeline(self, columns: list[str], target: str) -> PipelineModel:
+        """All of it, from a feature table with id to alert states."""
+        ends = [Told(self.classes, self.classes, self.threshold), Alerts(notes=self.notes)]
+        return PipelineModel([Vectors(columns=columns, target=target), *self.stages(), *ends])
 
 
 def goal_note(goal: str, row, floor: float) -> str:
@@ -350,12 +243,12 @@ def fit_candidate(fit: DataFrame, held: DataFrame | None, name: str, classes: li
     balance = "none" if not cells else "none_single_source" if len(cells) < 2 else f"source_balanced_total_{min(cells)}" if config.source_balance == "source" else "source_balanced_per_class"
     if held is not None:
         tuning = "none"
-        raw = staged(out.model.probabilities(out.features(held)).select("id", "y", "prob"))
+        raw = staged(out.model.transform(out.features(held)).select("id", "y", "prob"))
         if config.calibration != "none":
             out.calibrators = fit_calibrators(raw, len(classes), config.calibration)
-            raw, calibration = staged(calibrated(raw, out.calibrators)), f"{config.calibration}_holdout"
+            raw, calibration = staged(Calibrated(out.calibrators).transform(raw)), f"{config.calibration}_holdout"
         truth = F.get(F.array(*[F.lit(c) for c in classes]), F.col("y").cast("int")).alias("y_true")
-        judge = lambda: _score(out.decided(raw).select(truth, F.col("pred").alias("pred_label")), config.selection_metric)
+        judge = lambda: _score(out.decision().transform(raw).select(truth, F.col("pred").alias("pred_label")), config.selection_metric)
         if two and config.tune_threshold:
             swept = thresholds.sweep(raw.select(F.lit(0).alias("g"), F.col("y").cast("int").alias("y_true"), F.col("prob")[1].alias("proba_1")), ["g"]).persist()
             best = (float("-inf"), None, "none")
@@ -425,8 +318,7 @@ def with_folds(rows: DataFrame, config: TrainConfig) -> DataFrame:
 
 def predictions(scored: DataFrame, bundle: Bundle, labels: list[int]) -> DataFrame:
     """pred_label, confidence and a probability for each label (null: unknown to the model)."""
-    probs = {f"proba_{c}": F.get("prob", F.lit(bundle.classes.index(c))) if c in bundle.classes else F.lit(None).cast("double") for c in labels}
-    return scored.withColumnRenamed("pred", "pred_label").withColumns({**probs, "decision_threshold": F.lit(bundle.threshold).cast("double")}).drop("prob")
+    return Told(bundle.classes, labels, bundle.threshold).transform(scored)
 
 
 def _exists(spark: SparkSession, name: str) -> bool:
@@ -473,57 +365,22 @@ def evaluate(table: DataFrame, columns: list[str], target: str, config: TrainCon
 
 
 def train_final(table: DataFrame, columns: list[str], target: str, path: str, config: TrainConfig) -> DataFrame:
-    """Fit and save each model on all rows, tuned on a split without groups: model, training_accuracy, mean_confidence, path."""
+    """Fit each model on all rows, tuned on a split without groups, and save it as a pipeline: model, training_accuracy, mean_confidence, path."""
     rows = staged(model_rows(table, columns, target).select(*ROW))
     saved = []
     for name in config.models:
         bundle = fit_best(rows, name, config, grouped=False)
         if len(bundle.classes) < 2:
             raise ValueError("final training needs two classes or more")
-        save_bundle(bundle, columns, target, f"{path}/{name}", table.sparkSession)
+        bundle.pipeline(columns, target).write().overwrite().save(f"{path}/{name}")
         row = bundle.scored(rows).agg(F.avg((F.col("pred") == F.col("y")).cast("double")).alias("a"), F.avg("confidence").alias("c")).first()
         saved.append((name, row["a"], row["c"], f"{path}/{name}"))
     return table.sparkSession.createDataFrame(saved, "model string, training_accuracy double, mean_confidence double, path string")
 
 
-def save_bundle(bundle: Bundle, columns: list[str], target: str, path: str, spark: SparkSession) -> None:
-    """Models in folders of their own, and a manifest of one row."""
-    manifest = {k: getattr(bundle, k) for k in ("name", "classes", "medians", "selected", "scaler", "threshold", "score", "notes")} | {"features": columns, "target": target}
-    manifest["calibrators"] = [[m.a, m.b] if isinstance(m, Sigmoid) else None for m in bundle.calibrators]
-    for i, m in enumerate(bundle.calibrators):
-        if not isinstance(m, Sigmoid):
-            m.write().overwrite().save(f"{path}/calibrator-{i}")
-    if isinstance(bundle.model, Bayes):
-        manifest["bayes"] = bundle.model.classes
-    elif isinstance(bundle.model, Neighbours):
-        bundle.model.train.write.mode("overwrite").parquet(f"{path}/neighbours")
-        manifest["k"] = bundle.model.k
-    else:
-        bundle.model.save(f"{path}/model", spark)
-    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-
-
-def load_bundle(spark: SparkSession, path: str) -> tuple[Bundle, list[str], str]:
-    """A saved bundle, its features and its target."""
-    held = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
-    bundle = Bundle(**{k: held[k] for k in ("name", "classes", "medians", "selected", "scaler", "threshold", "score", "notes")})
-    bundle.calibrators = [Sigmoid(*c) if c else IsotonicRegressionModel.load(f"{path}/calibrator-{i}") for i, c in enumerate(held["calibrators"])]
-    if "bayes" in held:
-        bundle.model = Bayes(held["bayes"])
-    elif "k" in held:
-        bundle.model = Neighbours(spark.read.parquet(f"{path}/neighbours"), held["k"], len(bundle.classes))
-    else:
-        kind = {"rf": Forest, "gbt": Boosted}.get(bundle.name, Grown)
-        bundle.model = kind.load(f"{path}/model", spark)
-    return bundle, held["features"], held["target"]
-
-
 def score(path: str, table: DataFrame) -> DataFrame:
-    """The feature table with decisions of a saved bundle: labels, probabilities, confidence and alert states."""
-    bundle, columns, _ = load_bundle(table.sparkSession, path)
-    prep.require_columns(table, columns)
-    rows = table.withColumns({"id": F.col("id").cast("string"), "vec": F.array(*[F.col(c).cast("double") for c in columns])})
-    return decision.alert_state(predictions(bundle.scored(rows), bundle, bundle.classes).drop("vec"))
+    """The feature table with decisions of a saved pipeline: labels, probabilities, confidence and alert states."""
+    return PipelineModel.load(path).transform(table)
 
 
 def holdout(table: DataFrame, columns: list[str], target: str, name: str, config: TrainConfig) -> DataFrame:

@@ -4,10 +4,11 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sensorloom.config import TrainConfig
-from sensorloom.jobs import audit, models
+from sensorloom.jobs import audit, models, stages
 from sensorloom.operators import decision, metrics, prep
 from sensorloom.sources import reports
 
@@ -75,12 +76,12 @@ def test_naive_bayes_and_neighbours_give_probabilities(spark):
     x, y = rng.normal(size=(60, 2)), np.arange(60) % 3
     x[:, 0] += y
     df = spark.createDataFrame([(str(i), float(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(y, x, strict=True))], "id string, y double, vec array<double>")
-    got = models.fit_model(df, "gnb", 3, SMALL).probabilities(df).toPandas().set_index("id")["prob"]
+    got = models.fit_model(df, "gnb", 3, SMALL).transform(df).toPandas().set_index("id")["prob"]
     eps = 1e-8 * x.var(0).max()
     like = np.stack([np.exp(-0.5 * ((x - x[y == c].mean(0)) ** 2 / (x[y == c].var(0) + eps) + np.log(2 * np.pi * (x[y == c].var(0) + eps))).sum(1)) / 3 for c in range(3)], axis=1)
     assert np.allclose(np.stack([got[str(i)] for i in range(60)]), like / like.sum(1, keepdims=True))
     asked = df.withColumn("vec", F.transform("vec", lambda v: v + 0.01))
-    got = models.fit_model(df, "knn", 3, SMALL).probabilities(asked).toPandas().set_index("id")["prob"]
+    got = models.fit_model(df, "knn", 3, SMALL).transform(asked).toPandas().set_index("id")["prob"]
     for i in range(60):
         d = np.sqrt(((x - x[i] - 0.01) ** 2).sum(1))
         near = np.argsort(d, kind="stable")[:9]
@@ -129,14 +130,16 @@ def test_evaluation_goes_on_where_it_was_lost(table, tmp_path, monkeypatch):
     assert got == whole and len(got) == 6 and calls.count("again knn") == 3 and "again gnb" not in calls
 
 
-@pytest.mark.parametrize("name", ["balanced_rf", "gbt", "gnb", "knn"])
-def test_saved_bundles_score_alike(table, tmp_path, name):
+@pytest.mark.parametrize("name", models.MODELS)
+def test_saved_pipelines_score_alike(table, tmp_path, name):
     config = TrainConfig(**{**SMALL.__dict__, "models": (name,), "top_k": 2})
     saved = models.train_final(table, COLS, "target3", f"{tmp_path}/b", config)
     row = saved.first()
     assert row["training_accuracy"] > 0.75 and 0 < row["mean_confidence"] <= 1
-    bundle, columns, target = models.load_bundle(table.sparkSession, row["path"])
-    assert (columns, target, bundle.classes) == (COLS, "target3", [0, 1, 2])
+    loaded = PipelineModel.load(row["path"])
+    first, told = loaded.stages[0], next(s for s in loaded.stages if isinstance(s, stages.Told))
+    assert (first.getOrDefault("columns"), first.getOrDefault("target"), told.getOrDefault("classes")) == (COLS, "target3", [0, 1, 2])
+    assert loaded.stages[-1].getOrDefault("notes")["feature_selection"] == "extratrees_top_2"
     got = models.score(row["path"], table).toPandas()
     assert len(got) == 180 and abs((got["pred_label"] == got["target3"]).mean() - row["training_accuracy"]) < 1e-12
     assert got["alert_state"].notna().all()
@@ -145,6 +148,37 @@ def test_saved_bundles_score_alike(table, tmp_path, name):
     assert metrics.pick_best(table.sparkSession.createDataFrame([], "model string, weighted_f1 double"), saved).first()["model"] == name
 
 
+@pytest.mark.parametrize(("name", "target", "method"), [("rf", "target_binary", "isotonic"), ("knn", "target3", "isotonic"), ("gbt", "target_binary", "sigmoid"), ("gnb", "target_binary", "none")])
+def test_a_pipeline_is_the_same_before_and_after_saving(table, tmp_path, name, target, method):
+    """Every stage, its parts and its params, and a pipeline that was saved twice."""
+    config = TrainConfig(**{**SMALL.__dict__, "calibration": method})
+    bundle = models.fit_best(models.model_rows(table, COLS, target).select(*models.ROW), name, config, grouped=False)
+    made = bundle.pipeline(COLS, target)
+    made.write().overwrite().save(f"{tmp_path}/one")
+    once = PipelineModel.load(f"{tmp_path}/one")
+    once.write().overwrite().save(f"{tmp_path}/two")
+    twice = PipelineModel.load(f"{tmp_path}/two")
+    assert [s.uid for s in made.stages] == [s.uid for s in once.stages] == [s.uid for s in twice.stages]
+    assert [type(s) for s in made.stages] == [type(s) for s in twice.stages]
+    told = [{p.name: v for p, v in s.extractParamMap().items()} for s in made.stages]
+    assert told == [{p.name: v for p, v in s.extractParamMap().items()} for s in twice.stages]
+    want, *others = [m.transform(table).orderBy("id").select("id", "pred_label", "confidence", "proba_0", "proba_1", "decision_threshold", "alert_state").collect() for m in (made, once, twice)]
+    assert others == [want, want] and len(want) == 180
+    assert (want[0]["decision_threshold"] is None) == (bundle.threshold is None)
+
+
+def test_stages_by_hand(spark):
+    df = spark.createDataFrame([(1, [1.0, None, 5.0], [0.3, 0.7]), (2, [None, 2.0, 3.0], [0.5, 0.5])], "id int, vec array<double>, prob array<double>").orderBy("id")
+    vec = PipelineModel([stages.Imputed(medians=[9.0, 8.0, 7.0]), stages.Selected(places=[2, 1]), stages.Scaled(means=[3.0, 2.0], deviations=[2.0, 3.0])])
+    assert [r["vec"] for r in vec.transform(df).collect()] == [[1.0, 2.0], [0.0, 0.0]]
+    assert [(r["pred"], r["confidence"]) for r in stages.Decided([4, 6]).transform(df).collect()] == [(6, 0.7), (4, 0.5)]
+    assert [(r["pred"], r["confidence"]) for r in stages.Decided([4, 6], 0.8).transform(df).collect()] == [(4, 0.3), (4, 0.5)]
+    out = PipelineModel([stages.Decided([4, 6]), stages.Told([4, 6], [4, 5, 6])]).transform(df).collect()
+    assert [(r["proba_4"], r["proba_5"], r["proba_6"], r["decision_threshold"]) for r in out] == [(0.3, None, 0.7, None), (0.5, None, 0.5, None)]
+    only = PipelineModel([stages.OneClass(), stages.Decided([7])]).transform(df).collect()
+    assert [(r["pred"], r["confidence"]) for r in only] == [(7, 1.0), (7, 1.0)]
+
+
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.75])
 def test_percentiles_are_exact(spark, q):
     """Groups of many sizes, with ties in the large one, and one without values."""
