@@ -740,36 +740,38 @@ def class_weights(spark, d):
     return tidy(prep.balanced_weights(D.vectors(spark, d), "label").select("id", "weight"))
 
 
-CELLS = ", ".join(f"CASE WHEN vec_id % 7 <> {i} THEN embedding[{i + 1}]::DOUBLE END AS e{i}" for i in range(4))
-VEC = f"v AS (SELECT vec_id AS id, label, vec_id % 5 = 0 AS test, {CELLS} FROM embeddings), imp AS (SELECT id, label, test, {', '.join(f'coalesce(e{i}, (SELECT quantile_cont(e{i}, 0.5) FROM v WHERE NOT test)) AS e{i}' for i in range(4))} FROM v)"
-E4 = [f"e{i}" for i in range(4)]
+CELLS = ", ".join(f"CASE WHEN vec_id % 7 <> {i % 11} THEN embedding[{i + 1}]::DOUBLE END AS e{i}" for i in range(64))
+EACH = [f"e{i}" for i in range(64)]
+VEC = f"""v AS (SELECT vec_id AS id, label, vec_id % 5 = 0 AS test, {CELLS} FROM embeddings),
+med AS (SELECT {', '.join(f'quantile_cont({e}, 0.5) AS m_{e}' for e in EACH)} FROM v WHERE NOT test),
+imp AS (SELECT id, label, test, {', '.join(f'coalesce({e}, m_{e}) AS {e}' for e in EACH)} FROM v, med)"""
 
 
 def _imputed(spark, d):
     rows = D.vectors(spark, d)
-    return prep.apply_medians(rows, prep.fit_medians(rows.filter("id % 5 <> 0"), E4))
+    return prep.apply_medians(rows, prep.fit_medians(rows.filter("id % 5 <> 0"), EACH))
 
 
-@query(f"WITH {VEC} SELECT id, {', '.join(r(e, e) for e in E4)} FROM imp")
+@query(f"WITH {VEC} SELECT id, {', '.join(r(e, e) for e in EACH)} FROM imp")
 def median_impute(spark, d):
-    return tidy(_imputed(spark, d).select("id", *E4))
+    return tidy(_imputed(spark, d).select("id", *EACH))
 
 
-@query(f"WITH {VEC}, m AS (SELECT {', '.join(f'avg({e}) AS m{e}, stddev_pop({e}) AS s{e}' for e in E4)} FROM imp WHERE NOT test) SELECT id, {', '.join(r(f'({e} - m{e}) / s{e}', e) for e in E4)} FROM imp, m")
+@query(f"WITH {VEC}, m AS (SELECT {', '.join(f'avg({e}) AS m{e}, stddev_pop({e}) AS s{e}' for e in EACH)} FROM imp WHERE NOT test) SELECT id, {', '.join(r(f'({e} - m{e}) / s{e}', e) for e in EACH)} FROM imp, m")
 def standard_scale(spark, d):
     rows = _imputed(spark, d)
-    return tidy(prep.apply_scaler(rows, prep.fit_scaler(rows.filter("id % 5 <> 0"), E4)).select("id", *E4))
+    return tidy(prep.apply_scaler(rows, prep.fit_scaler(rows.filter("id % 5 <> 0"), EACH)).select("id", *EACH))
 
 
 @query(
-    f"""WITH {VEC}, eps AS (SELECT 1e-8 * greatest({', '.join(f'var_pop({e})' for e in E4)}) AS x FROM imp WHERE NOT test),
-    c AS (SELECT label, count(*) / (SELECT count(*) FROM imp WHERE NOT test) AS prior, {', '.join(f'avg({e}) AS m{e}, var_pop({e}) + (SELECT x FROM eps) AS v{e}' for e in E4)} FROM imp WHERE NOT test GROUP BY label),
-    l AS (SELECT id, c.label, ln(prior) {' '.join(f'- 0.5 * ln(2 * pi() * v{e}) - 0.5 * ({e} - m{e}) * ({e} - m{e}) / v{e}' for e in E4)} AS ll FROM imp, c WHERE test)
+    f"""WITH {VEC}, eps AS (SELECT 1e-8 * greatest({', '.join(f'var_pop({e})' for e in EACH)}) AS x FROM imp WHERE NOT test),
+    c AS (SELECT label, count(*) / (SELECT count(*) FROM imp WHERE NOT test) AS prior, {', '.join(f'avg({e}) AS m{e}, var_pop({e}) + (SELECT x FROM eps) AS v{e}' for e in EACH)} FROM imp WHERE NOT test GROUP BY label),
+    l AS (SELECT id, c.label, ln(prior) {' '.join(f'- 0.5 * ln(2 * pi() * v{e}) - 0.5 * ({e} - m{e}) * ({e} - m{e}) / v{e}' for e in EACH)} AS ll FROM imp, c WHERE test)
     SELECT id, label::INT AS pred, {r('ll', 'log_likelihood', 5)} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ll DESC, label) AS q FROM l) WHERE q = 1"""
 )
 def gnb(spark, d):
     rows = _imputed(spark, d)
-    return tidy(prep.gnb_predict(prep.gnb_fit(rows.filter("id % 5 <> 0"), E4, "label"), rows.filter("id % 5 = 0"), "id", E4), 5)
+    return tidy(prep.gnb_predict(prep.gnb_fit(rows.filter("id % 5 <> 0"), EACH, "label"), rows.filter("id % 5 = 0"), "id", EACH), 5)
 
 
 DIST = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
@@ -794,12 +796,12 @@ def knn(spark, d):
     m AS (SELECT label, vec_id, unnest(range((need - q + n - 1) // n))::INT AS copy FROM b WHERE (need - q + n - 1) // n > 0),
     u AS (SELECT *, (fmod(('0x' || substr(md5('42n|' || vec_id || '|' || copy), 1, 8))::BIGINT::DOUBLE, (SELECT k FROM kk)) + 1)::INT AS pick, ('0x' || substr(md5('42u|' || vec_id || '|' || copy), 1, 8))::BIGINT / 4294967296.0 AS u FROM m),
     n AS (SELECT a.vec_id AS base_id, b.vec_id AS neighbour_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS q FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.label IN (SELECT label FROM s))
-    SELECT u.label::INT AS label, base_id, copy, neighbour_id, {r('u', 'u')}, {r('a.embedding[1] + u * (b.embedding[1]::DOUBLE - a.embedding[1]::DOUBLE)', 'x0')}
+    SELECT u.label::INT AS label, base_id, copy, neighbour_id, {r('u', 'u')}, {', '.join(r(f'a.embedding[{i}] + u * (b.embedding[{i}]::DOUBLE - a.embedding[{i}]::DOUBLE)', f'x{i - 1}') for i in range(1, 65))}
     FROM u JOIN n ON u.vec_id = n.base_id AND u.pick = n.q JOIN embeddings a ON a.vec_id = base_id JOIN embeddings b ON b.vec_id = neighbour_id"""
 )
 def smote(spark, d):
     made = prep.smote(D.vectors(spark, d).select("id", "label", "vec"))
-    return tidy(made.select("label", "base_id", "copy", "neighbour_id", "u", F.col("vec")[0].alias("x0")))
+    return tidy(made.select("label", "base_id", "copy", "neighbour_id", "u", *[F.col("vec")[i].alias(f"x{i}") for i in range(64)]))
 
 
 @query(f"WITH e AS (SELECT unnest(range(64))::INT AS idx, unnest(embedding)::DOUBLE AS v FROM embeddings), i AS (SELECT idx, stddev_pop(v) AS importance FROM e GROUP BY ALL) SELECT idx, {r('importance', 'importance', 8)} FROM (SELECT *, row_number() OVER (ORDER BY importance DESC, idx) AS q FROM i) WHERE q <= 10")

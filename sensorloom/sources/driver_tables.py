@@ -151,8 +151,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as feature vectors: e0 to e3 with holes, and the whole vector."""
-    cells = [F.when(F.col("vec_id") % 7 != i, F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(4)]
+    """embeddings as feature vectors: e0 to e63 with holes, and the whole vector."""
+    cells = [F.when(F.col("vec_id") % 7 != i % 11, F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(64)]
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label", (F.col("label") >= 5).cast("int").alias("target_binary"), (F.col("vec_id") % 20).cast("string").alias("group_id"), *cells)
 
 
