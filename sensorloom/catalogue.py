@@ -898,7 +898,7 @@ def _weeks(out):
 @query(f"WITH {WEEKS} {WEEK_SQL} HAVING start + 604800 <= (SELECT max(ts_sec) FROM r) - 86400")
 def stream_window_stats(spark, d):
     """The windows that the watermark has closed at the end of the input; open ones stay in the state."""
-    stream = streams.stream_readings(spark, D.event_files(spark, d))
+    stream = streams.stream_readings(spark, *D.event_files(spark, d))
     return _weeks(streams.run_to_table(streams.stream_window_stats(stream, WEEK, None, "1 day"), shared_dir(spark)))
 
 
@@ -909,7 +909,7 @@ def batch_window_stats(spark, d):
 
 
 def _stream_scored(spark, d, delayed=False):
-    rows = streams.stream_readings(spark, D.event_files(spark, d, delayed=delayed)).filter("signal = 'view'")
+    rows = streams.stream_readings(spark, *D.event_files(spark, d, delayed=delayed)).filter("signal = 'view'")
     known = D.readings(spark, d).filter("signal = 'view'").groupBy("source", "subject_id").agg(F.percentile("value", F.lit(0.5)).alias("hr_mean_med"), F.stddev_samp("value").alias("hr_mean_scale"))
     personal = streams.stream_personalise(rows.withColumnRenamed("value", "hr_mean"), known, ["hr_mean"])
     return personal.withColumns({"window_start_ts": F.unix_micros("ts") / 1e6, "acc_activity": F.col("hr_mean"), "pred_label": (F.col("event_id") % 3).cast("int"), "confidence": (F.col("event_id") % 11) / 10.0})
@@ -952,6 +952,6 @@ def stream_alerts_in_time(spark, d):
 @query(f"WITH {win(DAY3, DAY)} SELECT source, subject_id, session_id, window_id, {r('window_start_sec', 'window_start_sec', 4)}, count(*) AS n, {r('sum(value)', 'total', 4)} FROM w WHERE window_end_ts * 1000 <= {PASSED} GROUP BY ALL")
 def stream_session_windows(spark, d):
     """Sliding windows from the start of each session, closed by the watermark, of events that come out of order."""
-    rows = streams.stream_readings(spark, D.event_files(spark, d, delayed=True)).withColumn("session_id", F.col("subject_id"))
+    rows = streams.stream_readings(spark, *D.event_files(spark, d, delayed=True)).withColumn("session_id", F.col("subject_id"))
     placed_ = streams.run_to_table(streams.stream_session_windows(rows, DAY3, DAY, late=D.half_span(spark, d)), shared_dir(spark))
     return tidy(placed_.groupBy(*KEYS, "window_start_sec").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)

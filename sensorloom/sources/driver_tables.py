@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -172,20 +173,21 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_files(spark: SparkSession, sf_dir: str, parts: int = 4, delayed: bool = False) -> str:
-    """events as a folder of files that arrive one after another, each with a part of the time: several micro-batches.
+def event_files(spark: SparkSession, sf_dir: str, parts: int = 4, delayed: bool = False, rows_per_file: int = 4_000_000) -> tuple[str, int]:
+    """events as a folder of files that arrive one after another, and how many arrive together: several micro-batches.
 
-    delayed: every third event comes a part later than it should.
+    Each part of the time is written as so many files, of rows_per_file rows at most on average, so that
+    no task writes or reads a part alone. delayed: every third event comes a part later than it should.
     """
     rows = table(spark, sf_dir, "events")
     sec = epoch_seconds(F.col("ts"))
-    ends = rows.agg(F.min(sec).alias("a"), F.max(sec).alias("b")).first()
+    ends = rows.agg(F.min(sec).alias("a"), F.max(sec).alias("b"), F.count("*").alias("n")).first()
     part = F.floor((sec - ends["a"]) / (ends["b"] - ends["a"] + 1e-6) * parts)
     part = F.least(F.lit(parts - 1), part + (F.col("event_id") % 3 == 0).cast("int") if delayed else part)
-    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    path, files = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}", max(1, math.ceil(ends["n"] / parts / rows_per_file))
     for i in range(parts):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        rows.filter(part == i).repartition(files, "event_id").write.mode("append").parquet(path)
+    return path, files
 
 
 def half_span(spark: SparkSession, sf_dir: str) -> str:

@@ -1,12 +1,21 @@
 """Streams whose rows come out of order, against batch results over what the watermark has passed."""
 
+import os
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sensorloom import catalogue
 from sensorloom.operators import decision, windows
+from sensorloom.sources import driver_tables
 from sensorloom.streaming import streams
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from oracle import check
+
 ROW = "event_id long, source string, subject_id string, session_id string, signal string, ts timestamp, value double, pred_label int, confidence double"
 
 
@@ -82,3 +91,18 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
         stream = files(spark, f"{tmp_path}/in{idle}", parts)
         got = streams.run_to_table(streams.stream_session_windows(stream, 10.0, 10.0, late="1 seconds", idle=idle), f"{tmp_path}/out{idle}").collect()
         assert {(r["event_id"], r["window_start_ts"]) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["stream_window_stats", "stream_alerts", "stream_alerts_in_time"])
+def test_parts_of_several_files(spark, sf_dir, name, monkeypatch):
+    """Each part of the time arrives as several files at once; the result is that of one file."""
+    kept, told = driver_tables.event_files, []
+
+    def many(*args, **kinds):
+        told.append(kept(*args, **kinds, rows_per_file=60))
+        return told[-1]
+
+    monkeypatch.setattr(driver_tables, "event_files", many)
+    check(spark, sf_dir, catalogue.QUERIES[name], catalogue.SQL[name])
+    path, together = told[0]
+    assert together > 2 and len(spark.read.parquet(path).inputFiles()) == 4 * together
