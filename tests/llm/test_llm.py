@@ -645,6 +645,9 @@ including commercial applications, and to alter it and redistribute it
 freely, subject to the following restrictions:"""
 
 
+BSD3_OWNED = BSD3.replace("the copyright holder nor", "Example, Inc. nor")
+
+
 def test_names_in_sentences(spark, tmp_path):
     """Clauses at the end of a sentence, and the edges of the table; SQL gives the same."""
     cases = {
@@ -656,12 +659,31 @@ def test_names_in_sentences(spark, tmp_path):
         "Released under the MIT License by others.": [],
         "x " * 30_000 + ". Released under the ISC license": ["ISC"],
         "Distributed under the BSD 3-Clause License. Licensed under the MIT license! Released under the MIT license": ["BSD-3-Clause", "MIT"],
+        "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0"],
+        "/* SPDX-License-Identifier: GPL-2.0+ WITH Linux-syscall-note */": ["GPL-2.0"],
+        "# SPDX-License-Identifier: MIT OR Apache-2.0\nimport os": ["Apache-2.0", "MIT"],
+        "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR BSL-1.0) AND MIT": ["BSL-1.0", "GPL-2.0", "MIT"],
+        "SPDX-License-Identifier: MIT-0-like": [],
+        "This is licensed under MIT license (see LICENSE.txt)": ["MIT"],
+        "Dual licensed under either the MIT License or the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        "The MIT License (MIT)\n\nCopyright (c) 2020 A. Person": ["MIT"],
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": ["GPL-3.0"],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": ["GPL-2.0"],
+        "It is no longer licensed under the MIT License.": [],
+        "The code was never released under the GNU GPL v3. It isn't licensed under the ISC license": [],
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": ["BSL-1.0"],
+        "Licensed under the EUPL, Version 1.2 or later": ["EUPL-1.2"],
+        "Released under the GNU General Public License, version 3 or later.": ["GPL-3.0"],
+        "Licensed under the EUPL-1.2-or-later": ["EUPL-1.2"],
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": ["EPL-2.0"],
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.": ["GPL-2.0"],
+        "            The Artistic License 2.0\n\n     Copyright (c) 2000-2006": ["Artistic-2.0"],
     }
-    texts = [*cases, *cases, None, "", MIT, GPL, BSD3, MPL, ZLIB]
+    texts = [*cases, *cases, None, "", MIT, GPL, BSD3, MPL, ZLIB, BSD3_OWNED]
     df = frame(spark, texts, [None if i % 4 == 0 else i // 2 for i in range(len(texts))])
     got = license.scan_licenses(df)
     told = Counter((r["doc_id"], tuple(r["licenses"])) for r in got.collect())
-    want = [*cases.values(), *cases.values(), [], [], ["MIT"], ["GPL-3.0"], ["BSD-3-Clause"], ["MPL-2.0"], ["Zlib"]]
+    want = [*cases.values(), *cases.values(), [], [], ["MIT"], ["GPL-3.0"], ["BSD-3-Clause"], ["MPL-2.0"], ["Zlib"], ["BSD-3-Clause"]]
     assert told == Counter((None if i % 4 == 0 else i // 2, tuple(w)) for i, w in enumerate(want))
     assert license.scan_licenses(df.limit(0)).count() == 0
     df.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/d")
