@@ -63,8 +63,8 @@ def text_statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     """Counts of each whole text that the rules read, one row for each row.
 
     Null texts count as empty: all counts are 0. Rows that repeat are judged each. Lines are cut at
-    line feeds, and only lines with a word are counted. Columns other than doc_id and text are not
-    read.
+    line feeds, and only lines with a word are counted. An empty table gives no rows. Columns other
+    than doc_id and text are not read.
     """
     text = F.col("text")
     stop = sorted({v for words in STOP_WORDS.values() for w in words.split() for v in (w, w.capitalize(), w.upper())})

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, words: int = 1, mos
     component_id is the smallest doc_id that links of at most most_bits bits reach. Null and empty
     texts have the fingerprint zero and link like any other. Rows that repeat fall into one
     component. Null ids take part in links but are never the smallest; a component with no other id
-    has a null one. Columns other than doc_id and text are not read.
+    has a null one. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     names = [f"f{w}" for w in range(words)]
     rows = staged(fingerprints(docs, shingle_words, words))
@@ -228,7 +228,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Groups are the components of all pairs of rows at 0.8 or more. Vantage-point trees over wide
     fingerprints of the sets link what differs in at most NEAR_BITS bits, the whole sets decide on these
     links, and jaccard finds the pairs that are further apart; texts without words are alike. The row with the smallest id stays, nulls last; among
-    rows that repeat an id, one by the digest of the text. Every row is judged by its own text.
+    rows that repeat an id, one by the digest of the text. Every row is judged by its own text. All
+    columns come along, and an empty table stays empty.
     """
     copy = F.unhex(F.md5(whole_text(F.col("text"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), whole_text(F.col("text")).alias("text"))

@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, layo
     row is judged by itself, whatever its id: rows that share one, or have none, and differ in their
     texts come in the order of a hash of these. Rows equal in id and text count as one document and
     get equal results. With layout, kept is the text itself without the spans, white space and all.
-    Columns named in carry come along unchanged; others are not read.
+    Columns named in carry come along unchanged; others are not read. An empty table gives no rows.
     """
     passages = Passages(word_units, window, gram)
     rows = filed(docs, carry)

@@ -220,7 +220,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     A byte goes if a string of `window` bytes covers it that also starts anywhere else, in the same
     or another row. Null texts count as empty. Every row is judged by itself, whatever its id: rows
     that repeat count each, so both lose what they share; rows without an id and rows that repeat an
-    id with other texts are documents of their own. Columns other than doc_id and text are not read.
+    id with other texts are documents of their own. An empty table gives no rows. Columns other than
+    doc_id and text are not read.
     """
     passages = Passages(byte_units, window, gram)
     rows = filed(docs)

@@ -119,7 +119,8 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS) -> Da
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins
     (ties: the longer host). Where none fits, a host under a listed one is blocked and all others
     are allowed. Null URLs and those without :// have an empty host and path, which no rule fits.
-    Rows that repeat are judged each; columns other than page_id and url are not read.
+    Rows that repeat are judged each, and an empty table gives no rows; columns other than page_id and
+    url are not read.
     """
     spark = pages.sparkSession
     rules = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1], r[2]))
