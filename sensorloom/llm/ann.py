@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,13 @@ from .common import staged
 
 #: Vectors that codes and radius are learned from.
 SAMPLE = 4096
-#: Rows of a block of the index, and of a block of queries.
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 1024
+#: Rows of a block of the index and bytes of its vectors, at most, and queries that a task streams past it.
+INDEX_BLOCK, INDEX_BYTES, QUERY_BLOCK = 65_536, 1 << 27, 16_384
+#: Tasks of the search, at most; they take several blocks in turn.
+TASKS = 20_000
 BITS, PARTS = 128, 8
+#: Values of a substring.
+VALUES = 1 << (BITS // PARTS)
 
 
 @dataclass(frozen=True)
@@ -91,25 +96,37 @@ def learn(sample: np.ndarray, k: int, recall: float, rounds: int = 30, seed: int
     return Coder(mean, turn, int(np.quantile(bits, recall, method="higher")) if len(bits) else BITS)
 
 
+@lru_cache(maxsize=32)
+def _flips(most: int) -> np.ndarray:
+    """The substrings with at most `most` bits set: what a probe turns over."""
+    values = np.arange(VALUES, dtype=np.uint16)
+    return values[np.bitwise_count(values).astype(np.int64) <= most]
+
+
 class BlockIndex:
-    """Substring tables of one block of codes: for each part, the values there are, and the rows of each."""
+    """Substring tables of one block of codes: for each part, where the rows of each value start among the rows in order of value.
+
+    A probe looks up the values near its own, so the number of lookups depends on the radius, not on the rows.
+    """
 
     def __init__(self, codes: np.ndarray):
         self.codes = _words(codes)
+        self.lookups = 0
         self.tables = []
         for part in _parts(codes).T:
-            order = np.argsort(part, kind="stable")
-            values, start = np.unique(part[order], return_index=True)
-            self.tables.append((values, np.append(start, len(order)), order))
+            start = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=VALUES))])
+            self.tables.append((start, np.argsort(part, kind="stable")))
 
     def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows that have a substring near enough to that of the code."""
         most, rest = divmod(radius, PARTS)
         seen = np.zeros(len(self.codes), dtype=bool)
-        for p, ((values, start, order), own) in enumerate(zip(self.tables, _parts(code), strict=True)):
-            hit = np.bitwise_count(values ^ own) <= (most if p <= rest else most - 1)
-            inside = np.repeat(hit, np.diff(start))
-            seen[order[inside]] = True
+        for p, ((start, order), own) in enumerate(zip(self.tables, _parts(code), strict=True)):
+            values = (_flips(most if p <= rest else most - 1) ^ own).astype(np.int64)
+            self.lookups += len(values)
+            first, size = start[values], start[values + 1] - start[values]
+            before = np.cumsum(size) - size
+            seen[order[np.repeat(first - before, size) + np.arange(size.sum())]] = True
         return np.nonzero(seen)[0]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
@@ -154,20 +171,25 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
                 x = np.stack([v for _, v in found])
                 yield pd.DataFrame({"vec_id": [i for i, _ in found], "embedding": list(x), "code": [c.tobytes() for c in coder.codes(x)]})
 
-    index = staged(rows.mapInPandas(encode, "vec_id long, embedding array<double>, code binary"))
-    asked = index.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("code").alias("query_code"))
-    blocks, parts = max(1, -(-index.count() // INDEX_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    # Rows are dealt to blocks of bounded size; each block of queries meets each block of the index.
-    held = index.withColumn("b", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id", "vector"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def probe(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, x = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy())
-        tables = BlockIndex(np.frombuffer(b"".join(held["code"]), dtype=np.uint8).reshape(-1, BITS // 8))
+    # Rows and queries are dealt by their place in the written index, so rows that repeat are spread, too.
+    index = staged(rows.mapInPandas(encode, "vec_id long, embedding array<double>, code binary").withColumn("place", F.monotonically_increasing_id()))
+    queries = index.filter(F.col("vec_id") % every == 0)
+    n_rows, n_queries = index.count(), queries.count()
+    blocks = max(1, -(-n_rows // max(1, min(INDEX_BLOCK, INDEX_BYTES // (8 * dim)))))
+    parts = max(1, -(-n_queries // QUERY_BLOCK), -(-spark.sparkContext.defaultParallelism // blocks))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("place", F.lit(salt)), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = index.withColumn("b", dealt(blocks, 1)).withColumn("q", every_one(parts)).withColumn("asks", F.lit(False))
+    asked = queries.withColumn("q", dealt(parts, 2)).withColumn("b", every_one(blocks)).withColumn("asks", F.lit(True))
+    columns = ["b", "q", "asks", "vec_id", "embedding", "code"]
+    tasks = min(TASKS, blocks * parts)
+    met = held.select(*columns).union(asked.select(*columns))
+    met = met.repartitionById(tasks, F.pmod(F.col("b").cast("long") * parts + F.col("q"), F.lit(tasks)).cast("int")).sortWithinPartitions("b", "q", "asks")
+
+    def answers(block: tuple, asked: pd.DataFrame) -> pd.DataFrame:
+        ids, x, tables = block
         found = []
-        for query, vector, code in zip(asked["query_id"], asked["vector"], asked["query_code"], strict=True):
+        for query, vector, code in zip(asked["vec_id"], asked["embedding"], asked["code"], strict=True):
             radius, others = coder.radius, int((ids != query).sum())
             while True:
                 near = tables.within(np.frombuffer(code, dtype=np.uint8), radius)
@@ -181,7 +203,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
             found.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][top], "score": scores[top]}))
         return pd.concat(found)
 
-    near = asked.groupBy("b", "q").cogroup(held.groupBy("b", "q")).applyInPandas(probe, "query_id long, vec_id long, score double")
-
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a block come before its queries: its tables are built once, then the queries stream past."""
+        place, rows, block = None, [], None
+        for pdf in batches:
+            for (b, q, asks), part in pdf.groupby(["b", "q", "asks"]):
+                if (b, q) != place:
+                    place, rows, block = (b, q), [], None
+                if not asks:
+                    rows.append((part["vec_id"].to_numpy(), np.stack(part["embedding"].to_numpy()), b"".join(part["code"])))
+                    continue
+                if block is None and rows:
+                    ids, x, codes = zip(*rows, strict=True)
+                    rows = []
+                    block = np.concatenate(ids), np.concatenate(x), BlockIndex(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(-1, BITS // 8))
+                if block is not None:
+                    yield answers(block, part)
+
+    near = met.mapInPandas(probe, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

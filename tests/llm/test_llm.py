@@ -100,6 +100,18 @@ def test_recall(spark, sf_dir):
     assert set(got["query_id"]) == {i for i in ids if i % 20 == 0} and hit / total >= 0.9
 
 
+def test_blocks_and_parts(spark, sf_dir, monkeypatch):
+    """Many small blocks, parts of queries and tasks that take several of them: a block widens the radius for itself, so each holds no less than one block of all."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    whole = ann.search(rows).toPandas()
+    for name, value in (("INDEX_BLOCK", 70), ("QUERY_BLOCK", 4), ("TASKS", 5)):
+        monkeypatch.setattr(ann, name, value)
+    got = ann.search(rows).toPandas()
+    assert len(got) == len(whole) and not got.duplicated(["query_id", "rank"]).any()
+    a, b = (t.sort_values(["query_id", "rank"])["score"].to_numpy() for t in (got, whole))
+    assert (a >= b - 1e-12).all()
+
+
 def test_vectors_that_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, None]), (7, [1.0]), (20, [-1.0, 0.5]), (None, [1.0, 1.0]), (40, [0.0, 0.0])]
@@ -124,6 +136,16 @@ def test_pigeonhole_finds_all_codes():
         assert index.within(codes[7], r).tolist() == np.nonzero(np.bitwise_count(bits ^ bits[7]).sum(axis=1) <= r)[0].tolist()
 
 
+def test_probing_looks_values_up():
+    """The number of lookups follows from the radius: the values within 2 or 1 bits of eight substrings, at any number of rows."""
+    rng = np.random.default_rng(1)
+    for rows in (0, 1, 500, 20_000):
+        codes = rng.integers(0, 256, (rows, 16), dtype=np.uint8)
+        index = ann.BlockIndex(codes)
+        index.probed(rng.integers(0, 256, 16, dtype=np.uint8), 2 * ann.PARTS + 3)
+        assert index.lookups == 4 * (1 + 16 + 120) + 4 * (1 + 16)
+
+
 def test_index_touches_and_reranks_a_part(spark, sf_dir):
     """On clustered vectors probing leaves most rows alone; on the driver's, which point everywhere, codes still spare most of the reranking."""
     rng = np.random.default_rng(6)
