@@ -4,8 +4,9 @@ Batches of candidate runs (see passages) get sparse suffix arrays: for each anch
 the order of the bytes that follow the anchor, and of those before it. A new batch is merge-scanned
 against each existing level, which finds the strings that both have, and levels of equal size merge,
 so there are about log2(batches) levels. A level is a table in the shared folder, one row for each
-different run, with one bit for each of its windows; a scan writes the level anew with the bits that
-it found, so a run is written once for each later batch, of which there are four in all.
+different run, with one bit for each of its windows. Only merges write a level. A scan against a
+larger level writes what it found, as bits of runs that stand once, beside the levels: so a run is
+written once with its batch and once for each merge, log2(batches) times at most.
 
 Neighbours in both orders tell how many bytes a run shares with any other on either side, so for a
 given distance of window and anchor, equal windows are runs in one group of both orders: groups are
@@ -14,7 +15,9 @@ numbered, never compared in pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,95 +84,121 @@ def shared_windows(key: np.ndarray, runs: list[bytes], anchor: np.ndarray, windo
     return flags
 
 
-class Level:
-    """A table of runs, and the stored table that it is a part of."""
+def _whole_keys(settle: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows that come in order of their key go through settle, about _ROWS at once, and never a part of a key."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < _ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column("key").to_numpy()
+            cut = int(np.nonzero(key != key[-1])[0][-1]) + 1 if key[0] != key[-1] else 0  # the last key may go on
+            if cut:
+                yield from settle(table.slice(0, cut)).combine_chunks().to_batches()
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held).combine_chunks()).combine_chunks().to_batches()
+
+    return scan
+
 
-    def __init__(self, size: int, rows: DataFrame, stored: list):
-        self.size, self.rows, self.stored = size, rows, stored
-        stored[1] += 1
+@dataclass(frozen=True)
+class Level:
+    """So many batches as one stored table of runs."""
 
-    def drop(self) -> None:
-        self.stored[1] -= 1
-        if not self.stored[1]:
-            discard(self.stored[0])
+    size: int
+    rows: DataFrame
 
 
 class IndexFamily:
-    """The levels of the family, the newest last. Batches have the columns of a level, without found."""
+    """The levels of the family, the newest last, and what scans against larger levels found. Batches have the columns of a level, without found."""
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram, self.levels = window, gram, []
-
-    def _scanned(self, rows: DataFrame, merge: bool) -> list:
-        """Flag windows that several runs of a key have. With merge, equal runs become one row."""
+        self.window, self.gram = window, gram
+        self.levels: list[Level] = []
+        self.findings: list[DataFrame] = []
+        #: Batches in each level written so far.
+        self.written: list[int] = []
+
+    def _level(self, size: int, rows: DataFrame) -> Level:
+        """Flag windows that several runs of a key have, make one row of equal runs, and write the level."""
         window, gram = self.window, self.gram
 
-        def settle(table: pa.Table) -> pa.RecordBatch:
+        def settle(table: pa.Table) -> pa.Table:
             key = table.column("key").to_numpy()
             runs, anchor = table.column("run").to_pylist(), table.column("anchor").to_numpy().astype(np.int64)
             flags = np.packbits(shared_windows(key, runs, anchor, window, gram), axis=1)
             flags |= np.frombuffer(b"".join(table.column("found").to_pylist()), dtype=np.uint8).reshape(flags.shape)
             table = table.set_column(table.schema.get_field_index("found"), "found", pa.array([f.tobytes() for f in flags], pa.binary()))
-            if merge:
-                first, n = {}, table.column("n").to_numpy().copy()
-                for i, name in enumerate(zip(key.tolist(), anchor.tolist(), runs, strict=True)):
-                    j = first.setdefault(name, i)
-                    if i != j:
-                        n[j] = 2
-                if len(first) < len(runs):
-                    table = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n, pa.int32())).take(pa.array(list(first.values())))
-            return table.combine_chunks()
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            for batch in batches:
-                held.append(batch)
-                if sum(b.num_rows for b in held) < _ROWS:
-                    continue
-                table = pa.Table.from_batches(held).combine_chunks()
-                key = table.column("key").to_numpy()
-                cut = int(np.nonzero(key != key[-1])[0][-1]) + 1 if key[0] != key[-1] else 0  # the last key may go on
-                if cut:
-                    yield from settle(table.slice(0, cut)).to_batches()
-                held = table.slice(cut).to_batches()
-            if held:
-                yield from settle(pa.Table.from_batches(held).combine_chunks()).to_batches()
-
-        names = [*_NAMES, "fresh"]
-        keyed = rows.select(*names).repartition("key").sortWithinPartitions("key")
-        return [staged(keyed.mapInArrow(scan, f"{_LEVEL}, fresh boolean")), 0]
-
-    def _union(self, level: Level, new: Level) -> DataFrame:
-        return level.rows.select(*_NAMES, F.lit(False).alias("fresh")).union(new.rows.select(*_NAMES, F.lit(True).alias("fresh")))
+            first, n = {}, table.column("n").to_numpy().copy()
+            for i, name in enumerate(zip(key.tolist(), anchor.tolist(), runs, strict=True)):
+                j = first.setdefault(name, i)
+                if i != j:
+                    n[j] = 2
+            if len(first) < len(runs):
+                table = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n, pa.int32())).take(pa.array(list(first.values())))
+            return table
+
+        self.written.append(size)
+        return Level(size, staged(rows.select(*_NAMES).repartition("key").sortWithinPartitions("key").mapInArrow(_whole_keys(settle), _LEVEL)))
+
+    def _found(self, level: Level, new: Level) -> DataFrame:
+        """doc, copy, start, count and found of the runs of either that stand once and have windows that the other has, too."""
+        window, gram = self.window, self.gram
+
+        def settle(table: pa.Table) -> pa.Table:
+            key, fresh = table.column("key").to_numpy(), table.column("fresh").to_numpy().astype(np.int64)
+            start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0][: len(key)]
+            count = np.diff(np.append(start, len(key)))
+            of_new = np.add.reduceat(np.append(fresh, 0), start) if len(start) else count
+            table = table.filter(pa.array(np.repeat((of_new > 0) & (of_new < count), count)))  # keys that both have
+            runs, anchor = table.column("run").to_pylist(), table.column("anchor").to_numpy().astype(np.int64)
+            flags = np.packbits(shared_windows(table.column("key").to_numpy(), runs, anchor, window, gram), axis=1)
+            if len(runs):
+                flags &= ~np.frombuffer(b"".join(table.column("found").to_pylist()), dtype=np.uint8).reshape(flags.shape)
+            some = np.nonzero(flags.any(axis=1) & (table.column("n").to_numpy() == 1))[0]
+            table = table.take(pa.array(some))
+            length = np.array([len(runs[i]) for i in some], dtype=np.int32)
+            return pa.table(
+                {
+                    **{c: table.column(c) for c in ("doc", "copy", "start")},
+                    "count": pa.array(length - np.int32(window - 1), pa.int32()),
+                    "found": pa.array([flags[i].tobytes() for i in some], pa.binary()),
+                }
+            )
+
+        rows = level.rows.select(*_NAMES, F.lit(False).alias("fresh")).union(new.rows.select(*_NAMES, F.lit(True).alias("fresh")))
+        return staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_whole_keys(settle), "doc long, copy long, start int, count int, found binary"))
 
     def built(self, batch: DataFrame) -> Level:
         """The suffix array of a batch, as a level of its own."""
         empty = F.lit(bytes(-(-(self.window - self.gram + 1) // 8)))
-        stored = self._scanned(batch.select(*_NAMES[:-1], empty.alias("found"), F.lit(True).alias("fresh")), False)
-        return Level(1, stored[0], stored)
+        return self._level(1, batch.select(*_NAMES[:-1], empty.alias("found")))
 
     def add(self, new: Level) -> None:
-        """Scan a batch against all levels and merge equal ones."""
-        for at in reversed(range(len(self.levels))):
-            level = self.levels[at]
-            merge = level.size == new.size
-            stored = self._scanned(self._union(level, new), merge)
-            level.drop()
-            new.drop()
-            if merge:
-                self.levels.pop(at)
-                new = Level(2 * level.size, stored[0], stored)
-            else:  # both go on, with what was found
-                self.levels[at] = Level(level.size, stored[0].filter("not fresh"), stored)
-                new = Level(new.size, stored[0].filter("fresh"), stored)
+        """Scan a batch against the larger levels, then merge it with that of its size, and so on."""
+        kept, size = len(self.levels), new.size
+        while kept and self.levels[kept - 1].size == size:
+            kept, size = kept - 1, 2 * size
+        self.findings += [self._found(level, new) for level in self.levels[:kept]]
+        while len(self.levels) > kept:
+            level = self.levels.pop()
+            merged = self._level(level.size + new.size, level.rows.select(*_NAMES).union(new.rows.select(*_NAMES)))
+            discard(level.rows)
+            discard(new.rows)
+            new = merged
         self.levels.append(new)
 
-    def rows(self) -> DataFrame:
-        """The runs of all levels."""
-        out = self.levels[0].rows.select(*_NAMES)
-        for level in self.levels[1:]:
-            out = out.union(level.rows.select(*_NAMES))
-        return out
+    def alone(self) -> DataFrame:
+        """doc, copy, run and later: start, count and found of each run that stands once (run), and of what larger scans found of it (later)."""
+        kind = "struct<start: int, count: int, found: binary>"
+        run = F.struct("start", (F.length("run") - (self.window - 1)).cast("int").alias("count"), "found").cast(kind)
+        parts = [level.rows.filter("n = 1").select("doc", "copy", run.alias("run"), F.lit(None).cast(kind).alias("later")) for level in self.levels]
+        parts += [found.select("doc", "copy", F.lit(None).cast(kind).alias("run"), F.struct("start", "count", "found").cast(kind).alias("later")) for found in self.findings]
+        return reduce(DataFrame.union, parts)
 
 
 def _collapsed(runs: DataFrame) -> DataFrame:
@@ -255,8 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         if b == batches - 1:
             discard(known)
         family.add(new)
-    alone = family.rows().filter("n = 1").select("doc", "copy", F.struct("start", (F.length("run") - (window - 1)).cast("int").alias("count"), "found").alias("run"))
-    settled = alone.groupBy("doc", "copy").agg(F.collect_list("run").alias("alone"))
+    settled = family.alone().groupBy("doc", "copy").agg(F.collect_list("run").alias("alone"), F.collect_list("later").alias("later"))
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +295,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                 found = found.among(listed(part.column(2)))
                 twice = np.zeros(len(units.units), dtype=bool)
                 twice[windows_of(found, units.start)] = True
-                twice[_alone(part.column(3), units.start)] = False
+                twice[_windows(part.column(3), units.start, False)] = False
+                twice[_windows(part.column(4), units.start, True)] = True
                 gone = covered(twice, window)
                 removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), units.start[:-1]) * (np.diff(units.start) > 0)
                 left, spans = [], []
@@ -279,12 +308,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
                 place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(removed), pa.array(left, pa.binary()), pa.array(spans, place)], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
 
-    done = rows.join(keyed, "place", "left").join(settled, ["doc", "copy"], "left").select("id", "text", "keys", "alone")
+    done = rows.join(keyed, "place", "left").join(settled, ["doc", "copy"], "left").select("id", "text", "keys", "alone", "later")
     return done.mapInArrow(clear, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start: int, end: int>>")
 
 
-def _alone(column: pa.Array, start: np.ndarray) -> np.ndarray:
-    """For lists of (start, count, found) of each text: the windows without a flag, counted over all texts."""
+def _windows(column: pa.Array, start: np.ndarray, flagged: bool) -> np.ndarray:
+    """For lists of (start, count, found) of each text: the windows with a flag, or those without, counted over all texts."""
     held = column.flatten()
     if not len(held):
         return np.zeros(0, dtype=np.int64)
@@ -292,4 +321,4 @@ def _alone(column: pa.Array, start: np.ndarray) -> np.ndarray:
     first, count = (held.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "count"))
     at = windows_of(Runs(text, text, first, count, text), start)
     flags = np.unpackbits(np.frombuffer(b"".join(held.field("found").to_pylist()), dtype=np.uint8).reshape(len(held), -1), axis=1)
-    return at[flags[np.arange(flags.shape[1]) < count[:, None]] == 0]
+    return at[flags[np.arange(flags.shape[1]) < count[:, None]] == flagged]

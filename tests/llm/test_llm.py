@@ -423,6 +423,25 @@ def test_bytes_that_repeat(spark, monkeypatch, most, rows, batches):
         assert sum(s["end"] - s["start"] for s in got[i]["removed"]) == gone
 
 
+def test_only_merges_write_levels(spark, monkeypatch):
+    """Seven batches: each is written once and then by the merges it takes part in; scans of larger levels write findings only."""
+    made = []
+
+    class Noted(suffix.IndexFamily):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(suffix, "IndexFamily", Noted)
+    texts = mixed_texts()
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(frame(spark, texts), batches=7).collect()}
+    for i, (n, gone, kept) in enumerate(brute_bytes(texts)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], bytes(got[i]["kept"])) == (n, gone, kept), i
+    assert [level.size for level in made[0].levels] == [4, 2, 1]
+    assert sorted(made[0].written) == [1] * 7 + [2] * 3 + [4]
+    assert len(made[0].findings) == 5 and sum(f.count() for f in made[0].findings) > 0
+
+
 @pytest.mark.parametrize("most", [2000, 1])
 def test_words_that_repeat(spark, monkeypatch, most):
     monkeypatch.setattr(substring, "SHARD_RUNS", most)
