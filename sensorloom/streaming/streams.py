@@ -26,6 +26,14 @@ def stream_readings(spark: SparkSession, path: str, files_per_batch: int = 1) ->
     return rows.select("event_id", source.alias("source"), F.col("user_id").cast("string").alias("subject_id"), F.col("event_type").alias("signal"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
+def signal_only(stream: DataFrame, signal: str, time: str = "ts") -> DataFrame:
+    """The rows of one signal, for a stream that has its watermark already, which goes on following the rows of all signals.
+
+    The test reads the time too: a filter that doesn't would be moved below the watermark.
+    """
+    return stream.filter(F.col("signal") == F.when(F.col(time).isNotNull(), signal))
+
+
 def stream_window_stats(stream: DataFrame, window: str = "60 seconds", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
     """The eight statistics of each subject and signal in windows aligned to the epoch; rows later than the watermark are dropped.
 
@@ -157,15 +165,16 @@ class _Streaks(_InTime):
         return out, None if last is None else (last, run), []
 
 
-def stream_alerts_in_time(scored: DataFrame, acc_threshold: float, binary: bool = False, time: str = "ts", late: str = "10 minutes", idle: str | None = None) -> DataFrame:
+def stream_alerts_in_time(scored: DataFrame, acc_threshold: float, binary: bool = False, time: str = "ts", late: str | None = "10 minutes", idle: str | None = None) -> DataFrame:
     """As stream_alerts, with streaks in the order of event time, however rows arrive.
 
     A row waits in a list state until the watermark, `late` behind the newest row of all, has passed it;
     a row behind the watermark of the batch before is dropped. An event-time timer releases what
-    waits. A person without rows for longer than `idle`, in event time, starts anew.
+    waits. A person without rows for longer than `idle`, in event time, starts anew. `late` None: the
+    stream has its watermark already, from before rows were left out (see signal_only).
     """
     scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = scored.withWatermark(time, late)
+    rows = scored.withWatermark(time, late) if late else scored
     flagged = context_flags(rows, acc_threshold=acc_threshold).withColumn("stress_like", stress_like(binary)).withColumn("at_us", F.unix_micros(time))
     fields = StructType([f for f in flagged.schema.fields if f.name != time])
     kept = flagged.groupBy("source", "subject_id").transformWithStateInPandas(_Streaks(fields, "at_us", _milliseconds(idle) if idle else None), StructType([*fields.fields, StructField("streak", IntegerType())]), "append", "eventTime")
