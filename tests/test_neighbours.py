@@ -85,3 +85,12 @@ def test_classes_by_vote_over_blocks(spark, clustered, monkeypatch):
     want = {r["q_id"]: r["pred"] for r in prep.knn_predict(rows.filter("id % 5 > 0"), rows.filter("id % 25 = 0"), 9).collect()}
     monkeypatch.setattr(neighbours, "BLOCK", 100)
     assert {r["q_id"]: r["pred"] for r in prep.knn_predict(rows.filter("id % 5 > 0"), rows.filter("id % 25 = 0"), 9).collect()} == want
+
+
+def test_ids_as_text_and_blocks_that_nobody_meets(spark, clustered, monkeypatch):
+    """In the second round most blocks have rows and no queries; their empty answer must fit ids of any type."""
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    x, ids, labels = clustered
+    rows = spark.createDataFrame([(f"{i:04d}", v.tolist(), int(c)) for i, v, c in zip(ids, x, labels, strict=True)], ROW.replace("id long", "id string"))
+    got = {q: [int(i) for i in found] for q, found in told(neighbours.nearest(rows.filter("cast(id as int) % 37 = 0"), rows, 7, "label")).items()}
+    assert got == brute(x, ids, labels, list(range(0, 3000, 37)), 7, "label")
