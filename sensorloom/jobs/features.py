@@ -35,13 +35,16 @@ def motion_features(placed: DataFrame) -> DataFrame:
     return acc.acc_features(rows, KEYS, ["sample_idx"], F.col("fs"))
 
 
-def families(placed: DataFrame) -> list[DataFrame]:
+def families(placed: DataFrame, series_only: bool = False) -> list[DataFrame]:
     """Each family of features, one row for each window that has enough samples for it.
 
     placed has the columns of readings and KEYS. It is dealt by KEYS once for each family, with that
-    family's signals only; all sorts, aggregates and joins of a window stay in its partition.
+    family's signals only; all sorts, aggregates and joins of a window stay in its partition. series_only:
+    just the statistics of the plain signals.
     """
     placed = placed.repartition(*KEYS)
+    if series_only:
+        return [series_features(placed)]
     one = lambda name: placed.filter(F.col("signal") == name).withColumn("value", no_nan(F.col("value"))).filter(F.col("value").isNotNull())
     conductance, order = one("eda"), ["sample_idx"]
     intervals = hrv.beat_intervals(hrv.beats(one("bvp"), KEYS, "value", "sample_idx"), KEYS)
@@ -56,29 +59,23 @@ def families(placed: DataFrame) -> list[DataFrame]:
     ]
 
 
-def add_features(table: DataFrame, placed: DataFrame) -> DataFrame:
-    """The table of windows with all base features, null where a window has too little of a signal.
+def add_features(table: DataFrame, placed: DataFrame, series_only: bool = False) -> DataFrame:
+    """The table of windows with all base features (or those of the plain signals), null where a window has too little of a signal.
 
     Windows and their samples are written once, samples in a folder for each signal, and each family
     reads its own.
     """
     table = staged(table)
+    placed = placed.filter(F.col("signal").isin(*SERIES)) if series_only else placed
     held = staged(placed.join(table.select(*KEYS), KEYS, "left_semi"), "signal")
-    for family in families(held):
+    for family in families(held, series_only):
         table = table.join(family, KEYS, "left")
     keys = [c for c in table.columns if c not in base_features()]
-    return table.select(*keys, *[F.col(c).cast("double").alias(c) for c in base_features()])
+    return table.select(*keys, *[F.col(c).cast("double").alias(c) for c in base_features() if not series_only or c in table.columns])
 
 
-def field_table(readings: DataFrame, survey: DataFrame, config: WindowConfig = WindowConfig(), keep_unlabelled: bool = False) -> DataFrame:
-    """Windows of device sessions, labelled by the survey interval that covers most of them.
-
-    readings: all signals of the sessions, beats as the signal ibi (see beat_readings); survey: the sheet
-    as text. Without a set offset the one that a scan finds best is used. Labels come before features,
-    so samples of windows without a label are dropped before they are dealt.
-    """
-    aligned = windows.align_signals(readings)
-    spans = windows.session_spans(aligned)
+def field_windows(spans: DataFrame, survey: DataFrame, config: WindowConfig = WindowConfig(), keep_unlabelled: bool = False) -> DataFrame:
+    """Windows of device sessions, labelled by the survey interval that covers most of them, without features. spans: as of windows.late_spans."""
     offset = config.survey_offset_hours
     if offset is None:
         sessions = spans.select("subject_id", "session_id", F.col("session_start").alias("start_ts"))
@@ -87,12 +84,23 @@ def field_table(readings: DataFrame, survey: DataFrame, config: WindowConfig = W
     held = windows.session_windows(spans, config.window_sec, config.step_sec)
     held = map_field_labels(label_by_overlap(held, survey_intervals(survey, offset), config.min_overlap, bucket_sec=config.window_sec))
     held = labelled_only(held, keep_unlabelled)
-    held = held.withColumns({"group_id": group_id(F.col("source"), F.col("subject_id")), "window_start_utc": iso_utc(F.col("window_start_ts")), "window_end_utc": iso_utc(F.col("window_end_ts")), "survey_offset_hours": F.lit(offset)})
-    placed = windows.assign_sampled_windows(aligned, config.window_sec, config.step_sec, spans)
-    return add_features(held, placed)
+    return held.withColumns({"group_id": group_id(F.col("source"), F.col("subject_id")), "window_start_utc": iso_utc(F.col("window_start_ts")), "window_end_utc": iso_utc(F.col("window_end_ts")), "survey_offset_hours": F.lit(offset)})
+
+
+def field_table(readings: DataFrame, survey: DataFrame, config: WindowConfig = WindowConfig(), keep_unlabelled: bool = False, series_only: bool = False) -> DataFrame:
+    """field_windows with all features, or only those of the plain signals.
+
+    readings: all signals of the sessions, beats as the signal ibi (see beat_readings); survey: the sheet
+    as text. Without a set offset the one that a scan finds best is used. Labels come before features,
+    so samples of windows without a label are dropped before they are dealt.
+    """
+    spans = staged(windows.late_spans(readings))
+    held = field_windows(spans, survey, config, keep_unlabelled)
+    placed = windows.assign_sampled_windows(windows.align_signals(readings, spans), config.window_sec, config.step_sec, spans)
+    return add_features(held, placed, series_only)
 
 
-def lab_table(readings: DataFrame, labels: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:
+def lab_table(readings: DataFrame, labels: DataFrame, config: WindowConfig = WindowConfig(), series_only: bool = False) -> DataFrame:
     """Windows of lab recordings whose samples are mostly of one protocol label. labels: subject_id, sample_idx, label, fs."""
     source, subject = F.lit("lab").alias("source"), F.col("subject_id").alias("session_id")
     samples = labels.select(source, "subject_id", subject, "fs", F.lit(0.0).alias("start_ts"), F.col("sample_idx").cast("long").alias("sample_idx"), F.col("label").cast("int").alias("label"))
@@ -103,7 +111,7 @@ def lab_table(readings: DataFrame, labels: DataFrame, config: WindowConfig = Win
     held = windows.session_windows(spans, config.window_sec, config.step_sec).withColumns({"window_start_ts": none, "window_end_ts": none}).join(named, KEYS)
     held = held.withColumn("group_id", group_id(F.col("source"), F.col("subject_id")))
     placed = windows.assign_sampled_windows(readings, config.window_sec, config.step_sec, spans)
-    return add_features(held, placed)
+    return add_features(held, placed, series_only)
 
 
 def extract(*tables: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:

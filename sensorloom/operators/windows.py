@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 SESSION = ["source", "subject_id", "session_id"]
 
 
-def align_signals(readings: DataFrame) -> DataFrame:
+def align_signals(readings: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Shift the samples of late signals: sample_idx counts from the earliest start of the session.
 
     readings: source, subject_id, session_id, signal, fs, start_ts, sample_idx, value. The starts are
-    one row for each signal, so the join side is small next to the samples.
+    one row for each session, so the join side is small next to the samples; spans may give them.
     """
-    starts = readings.groupBy(SESSION).agg(F.min("start_ts").alias("session_start"))
+    starts = readings.groupBy(SESSION).agg(F.min("start_ts").alias("session_start")) if spans is None else spans.select(*SESSION, "session_start")
     joined = readings.join(starts, SESSION)
     return joined.withColumn("sample_idx", F.col("sample_idx") + F.bround((F.col("start_ts") - F.col("session_start")) * F.col("fs")).cast("long"))
 
@@ -47,6 +47,15 @@ def session_spans(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy(SESSION).agg(F.min("start_ts").alias("session_start"), F.max((F.col("sample_idx") + 1) / F.col("fs")).alias("duration"))
 
 
+def late_spans(readings: DataFrame) -> DataFrame:
+    """session_spans(align_signals(readings)) from one aggregate, without a join of samples: all samples of a start and a rate are shifted alike."""
+    last = readings.groupBy(*SESSION, "start_ts", "fs").agg(F.max("sample_idx").alias("_last"))
+    found = last.groupBy(SESSION).agg(F.min("start_ts").alias("session_start"), F.collect_set(F.struct("start_ts", "fs", "_last")).alias("_s"))
+    shift = lambda s: F.bround((s["start_ts"] - F.col("session_start")) * s["fs"]).cast("long")
+    ends = F.transform("_s", lambda s: (s["_last"] + shift(s) + 1) / s["fs"])
+    return found.select(*SESSION, "session_start", F.array_max(ends).alias("duration"))
+
+
 def session_windows(spans: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
     """All windows that end within the duration of their session, with or without samples."""
     last = F.floor((F.col("duration") + 1e-6 - window_sec) / step_sec).cast("int")

@@ -1,6 +1,8 @@
 """The feature table from session archives, against the definitions written out in numpy."""
 
 import io
+import os
+import sys
 import zipfile
 
 import numpy as np
@@ -8,12 +10,17 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorloom import catalogue
 from sensorloom.config import WindowConfig
 from sensorloom.jobs import features
 from sensorloom.operators import prep, windows
 from sensorloom.schema import base_features
 from sensorloom.sources import sessions
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from oracle import check
+
 START, SECONDS = 1_586_400_000.0, 130
 RATES = {"ACC": 32.0, "BVP": 64.0, "EDA": 4.0, "TEMP": 4.0, "HR": 1.0}
 
@@ -173,3 +180,24 @@ def test_lab_recordings_and_the_whole_table(spark, field, tmp_path):
     assert first["baseline_quality_n"] == 2 and first["target3"] is None
     half = (both.filter("source = 'field'").agg(F.max("temp_mean") - F.min("temp_mean")).first()[0]) / 2
     assert abs(first["temp_mean_delta_base"]) == pytest.approx(half)
+
+
+def test_spans_without_aligned_samples(spark):
+    """Signals that start late, also by a part of a sample, at several rates."""
+    rows = [("lab", "a", f"s{k % 3}", name, fs, 100.0 + k + late, i, 0.0) for k in range(6) for name, fs, late in (("x", 4.0, 0.0), ("y", 1.0, 10.0), ("z", 32.0, 0.51)) for i in range(7 + k)]
+    readings = spark.createDataFrame(rows, "source string, subject_id string, session_id string, signal string, fs double, start_ts double, sample_idx long, value double")
+    want = windows.session_spans(windows.align_signals(readings)).collect()
+    for got in (windows.late_spans(readings), windows.session_spans(windows.align_signals(readings, windows.late_spans(readings)))):
+        assert sorted(got.collect(), key=str) == sorted(want, key=str)
+
+
+def test_queries_compute_what_they_return(spark, sf_dir, monkeypatch):
+    """The audit of labels needs no features, and the plain series no other family."""
+
+    def none(*args):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(features, "motion_features", none)
+    check(spark, sf_dir, catalogue.QUERIES["extract_series"], catalogue.SQL["extract_series"])
+    monkeypatch.setattr(features, "add_features", none)
+    check(spark, sf_dir, catalogue.QUERIES["label_checks"], catalogue.SQL["label_checks"])
