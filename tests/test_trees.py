@@ -220,3 +220,14 @@ def test_notes_say_what_was_done():
     assert models.goal_note("macro_f1", row, 0.7).startswith("macro_f1:0.650000;precision:0.500000;recall:0.600000")
     assert models.goal_note("balanced_accuracy_recall_floor", row, 0.7).startswith("balanced_accuracy_recall_floor_fallback_recall:0.600000;")
     assert TrainConfig().balanced_trees == 600
+
+
+def test_boosting_of_few_rows_takes_one_task(spark, sample, monkeypatch):
+    """Rows of one partition grow the trees that dealt rows grow, without dealing their sums."""
+    x, y = sample
+    with monkeypatch.context() as m:
+        m.setattr(trees, "PART_ROWS", 150)
+        want = trees.boosting(rows(spark, x, y), 3, 0.3, 3)
+    monkeypatch.setattr(trees, "_splits", None)
+    got = trees.boosting(rows(spark, x, y), 3, 0.3, 3)
+    assert (got.trees.feature == want.trees.feature).all() and np.allclose(got.trees.value, want.trees.value)
