@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import math
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.columns import EPS
 from ..operators.decision import context_flags, state_columns, stress_like
 from ..operators.stats import stat_columns
 
+#: Buckets that the keys of a stream with state are dealt to.
+BUCKETS = 256
+
 
 def stream_readings(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A folder of event files as a stream of readings with a timestamp, in the order in which they were written."""
@@ -95,49 +100,82 @@ def _milliseconds(text: str) -> int:
     return int(pd.Timedelta(text).total_seconds() * 1000)
 
 
+def _packed(rows: list[tuple], names: list[str]) -> bytes | None:
+    """Rows as an Arrow stream."""
+    if not rows:
+        return None
+    table = pa.table({n: pa.array(list(c)) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes | None) -> list[tuple]:
+    return list(zip(*[c.to_pylist() for c in pa.ipc.open_stream(bytes(data)).read_all().columns], strict=True)) if data else []
+
+
+def _in_buckets(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """rows with state_key, the values of keys in one text, and state_bucket, which holds many keys: a call of the state for each key costs more than its rows."""
+    return rows.withColumns({"state_key": F.to_json(F.struct(*keys)), "state_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
+
+
 class _InTime(StatefulProcessor):
-    """Rows of a key held back until the watermark has passed them, then given on in the order of their time.
+    """Rows of a bucket of keys, held back until the watermark has passed them, then given on for each key in the order of their time.
 
-    Subclasses say what happens to released rows. Rows are tuples of `fields`, of which `at` is the
-    time in microseconds. One timer for each key waits for its earliest row.
+    Subclasses say what happens to released rows. Rows are tuples of `fields`, of which `state_key` is the key
+    and `at` the time in microseconds. A bucket's state is read and written as a whole, once for each batch
+    that brings rows or passes its timer, which waits for its earliest row.
     """
 
     def __init__(self, fields: StructType, at: str, idle: int | None):
-        self.fields, self.names, self.place, self.idle = fields, fields.fieldNames(), fields.fieldNames().index(at), idle
+        self.fields, self.names, self.idle = fields, fields.fieldNames(), idle
+        self.place, self.key = self.names.index(at), self.names.index("state_key")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.carried = handle.getValueState("carried", self.carry)
+        self.state = handle.getValueState("bucket", StructType([StructField("waiting", BinaryType()), StructField("carried", BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [r for pdf in rows for r in pdf[self.names].astype(object).where(pdf[self.names].notna(), None).itertuples(index=False, name=None)]
-        yield from self._step(key, new, timerValues.getCurrentWatermarkInMs())
+        yield from self._step(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _step(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        held = sorted([*self.waiting.get(), *new], key=lambda r: r[self.place])
-        due = [tuple(r) for r in held if r[self.place] <= watermark * 1000]
-        later = [tuple(r) for r in held[len(due) :]]
-        carried = self.carried.get() if self.carried.exists() else None
-        if not held and self.idle and (carried is None or watermark * 1000 > carried[0] + self.idle * 1000):
-            self.carried.clear()
-            return
-        out, carried, kept = self.released(due, later, carried, watermark)
-        self.waiting.put([*kept, *later]) if kept or later else self.waiting.clear()
-        if carried is not None:
-            self.carried.update(carried)
+        yield from self._step([], timerValues.getCurrentWatermarkInMs())
+
+    def _step(self, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        waiting, carried = self.state.get() if self.state.exists() else (None, None)
+        before = {key: tuple(kept) for key, *kept in _unpacked(carried)}
+        held: dict[str, list[tuple]] = {key: [] for key in before}
+        for r in sorted([*_unpacked(waiting), *new], key=lambda r: r[self.place]):
+            held.setdefault(r[self.key], []).append(r)
+        out, still, now, times = [], [], [], []
+        for key, rows in held.items():
+            known = before.get(key)
+            if not rows and self.idle and watermark * 1000 > known[0] + self.idle * 1000:
+                continue
+            cut = bisect_right(rows, watermark * 1000, key=lambda r: r[self.place])
+            due, later = rows[:cut], rows[cut:]
+            made, known, kept = self.released(due, later, known, watermark)
+            out += made
+            still += [*kept, *later]
+            if known is not None:
+                now.append((key, *known))
+            ahead = self.next_time(later, known, watermark)
+            if ahead is None and self.idle and known is not None:
+                ahead = known[0] // 1000 + self.idle + 1
+            if ahead is not None:
+                times.append(ahead)
+        if still or now:
+            self.state.update((_packed(still, self.names), _packed(now, ["state_key", *self.carry])))
+        else:
+            self.state.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        ahead = self.next_time(later, carried, watermark)
-        if ahead is None and self.idle and carried is not None:
-            ahead = carried[0] // 1000 + self.idle + 1
-        if ahead is not None:
-            self.handle.registerTimer(max(ahead, watermark + 1))
-        if out is not None and len(out):
-            yield out
+        if times:
+            self.handle.registerTimer(max(min(times), watermark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[*self.names, *self.more]).astype(self.kinds).drop(columns="state_key")
 
     def idled(self, before: int | None, at: int) -> bool:
         return self.idle is not None and before is not None and at - before > self.idle * 1000
@@ -152,7 +190,7 @@ class _InTime(StatefulProcessor):
 class _Streaks(_InTime):
     """How many rows in a row have the flag. carried: time of the last row given on, streak."""
 
-    carry = StructType([StructField("last", LongType()), StructField("run", LongType())])
+    carry, more, kinds = ["last", "run"], ["streak"], {"streak": "int32"}
 
     def released(self, due, later, carried, watermark):
         last, run = carried or (None, 0)
@@ -161,30 +199,32 @@ class _Streaks(_InTime):
             run = (0 if self.idled(last, r[self.place]) else run) + 1 if r[flag] else 0
             last = r[self.place]
             rows.append((*r, run))
-        out = pd.DataFrame(rows, columns=[*self.names, "streak"]).astype({"streak": "int32"}) if rows else None
-        return out, None if last is None else (last, run), []
+        return rows, None if last is None else (last, run), []
 
 
-def stream_alerts_in_time(scored: DataFrame, acc_threshold: float, binary: bool = False, time: str = "ts", late: str | None = "10 minutes", idle: str | None = None) -> DataFrame:
+def stream_alerts_in_time(scored: DataFrame, acc_threshold: float, binary: bool = False, time: str = "ts", late: str | None = "10 minutes", idle: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """As stream_alerts, with streaks in the order of event time, however rows arrive.
 
     A row waits in a list state until the watermark, `late` behind the newest row of all, has passed it;
     a row behind the watermark of the batch before is dropped. An event-time timer releases what
     waits. A person without rows for longer than `idle`, in event time, starts anew. `late` None: the
-    stream has its watermark already, from before rows were left out (see signal_only).
+    stream has its watermark already, from before rows were left out (see signal_only). `buckets`: so many
+    that a task can hold the waiting rows of one.
     """
     scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = scored.withWatermark(time, late) if late else scored
     flagged = context_flags(rows, acc_threshold=acc_threshold).withColumn("stress_like", stress_like(binary)).withColumn("at_us", F.unix_micros(time))
-    fields = StructType([f for f in flagged.schema.fields if f.name != time])
-    kept = flagged.groupBy("source", "subject_id").transformWithStateInPandas(_Streaks(fields, "at_us", _milliseconds(idle) if idle else None), StructType([*fields.fields, StructField("streak", IntegerType())]), "append", "eventTime")
+    given = [f for f in flagged.schema.fields if f.name != time]
+    dealt = _in_buckets(flagged, ["source", "subject_id"], buckets)
+    held = _Streaks(StructType([*given, dealt.schema["state_key"]]), "at_us", _milliseconds(idle) if idle else None)
+    kept = dealt.groupBy("state_bucket").transformWithStateInPandas(held, StructType([*given, StructField("streak", IntegerType())]), "append", "eventTime")
     return state_columns(kept.withColumn(time, F.timestamp_micros("at_us")).drop("at_us"), binary)
 
 
 class _SessionWindows(_InTime):
     """Rows with the closed windows that hold them, from the session's first row on. carried: last time, start, first window that isn't closed."""
 
-    carry = StructType([StructField("last", LongType()), StructField("start", LongType()), StructField("window", LongType())])
+    carry, more, kinds = ["last", "start", "window"], ["window_id", "window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts"], {"window_id": "int32"}
 
     def __init__(self, fields: StructType, at: str, idle: int | None, width: float, step: float):
         super().__init__(fields, at, idle)
@@ -223,29 +263,29 @@ class _SessionWindows(_InTime):
                 if high >= after:
                     kept.append(r)
             first = after
-        names = ["window_id", "window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts"]
-        out = pd.DataFrame(rows, columns=[*self.names, *names]).astype({"window_id": "int32"}) if rows else None
-        return out, None if start is None else (last, start, first), kept
+        return rows, None if start is None else (last, start, first), kept
 
     def next_time(self, later, carried, watermark):
         ends = [math.ceil(self.end(carried[1], carried[2]) * 1000)] if carried and self.end(carried[1], carried[2]) <= carried[0] / 1e6 + 1e-6 else []
         return min([*ends, *([-(-later[0][self.place] // 1000)] if later else [])], default=None)
 
 
-def stream_session_windows(stream: DataFrame, window_sec: float, step_sec: float, time: str = "ts", late: str = "10 minutes", idle: str | None = None) -> DataFrame:
+def stream_session_windows(stream: DataFrame, window_sec: float, step_sec: float, time: str = "ts", late: str = "10 minutes", idle: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """assign_windows on a stream: readings with the windows of their session that hold them, once these are closed.
 
     The state of a session holds its start, from which windows count, and the readings of windows that
     aren't closed yet. A window closes when the watermark has passed its end and the session has a
     reading at its end or later; readings behind the watermark of the batch before are dropped. A session
     without readings for longer than `idle`, in event time, starts anew, and its open windows are lost.
+    `buckets`: so many that a task can hold the waiting readings of one.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = stream.withWatermark(time, late).withColumn("at_us", F.unix_micros(time))
-    fields = StructType([f for f in rows.schema.fields if f.name != time])
+    given = [f for f in rows.schema.fields if f.name != time]
+    dealt = _in_buckets(rows, ["source", "subject_id", "session_id"], buckets)
     named = [StructField("window_id", IntegerType()), *[StructField(n, DoubleType()) for n in ("window_start_sec", "window_end_sec", "window_start_ts", "window_end_ts")]]
-    held = _SessionWindows(fields, "at_us", _milliseconds(idle) if idle else None, float(window_sec), float(step_sec))
-    out = rows.groupBy("source", "subject_id", "session_id").transformWithStateInPandas(held, StructType([*fields.fields, *named]), "append", "eventTime")
+    held = _SessionWindows(StructType([*given, dealt.schema["state_key"]]), "at_us", _milliseconds(idle) if idle else None, float(window_sec), float(step_sec))
+    out = dealt.groupBy("state_bucket").transformWithStateInPandas(held, StructType([*given, *named]), "append", "eventTime")
     return out.withColumn(time, F.timestamp_micros("at_us")).drop("at_us")
 
 
