@@ -7,6 +7,7 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,35 +62,49 @@ def stream_personalise(stream: DataFrame, baseline: DataFrame, features: list[st
     return joined.select(*stream.columns, *out)
 
 
-def stream_alerts(scored: DataFrame, acc_threshold: float, binary: bool = False, idle: str | None = None) -> DataFrame:
+def runs(codes: np.ndarray, flags: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many flags in a row end at each row. Rows of a key lie together, in order; start: each key's run before its first row."""
+    n, first = np.arange(len(codes)), np.r_[True, codes[1:] != codes[:-1]]
+    base = np.where(flags, n - 1 - np.where(first, start[codes], 0), n)
+    return n - base[np.maximum.accumulate(np.where(first | ~flags, n, 0))]
+
+
+def stream_alerts(scored: DataFrame, acc_threshold: float, binary: bool = False, idle: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Alert states of a stream of predictions; the streak of each person is kept from batch to batch.
 
     scored: source, subject_id, window_start_ts, pred_label, confidence and personal features. Within a
     batch rows go in time order; a row that is older than one seen before goes on from the streak as it
     is. Motion is held against a fixed threshold, as a stream has no whole batch. `idle` (such as
-    '7 days') drops the streak of a person who sends nothing for so long in processing time.
+    '7 days') drops the streak of a person who sends nothing for so long in processing time. `buckets`: so
+    many that a task can hold a batch's rows of one.
     """
     flagged = context_flags(scored, acc_threshold=acc_threshold).withColumn("stress_like", stress_like(binary))
+    names = flagged.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in flagged.schema.fields)}, streak int"
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    wait = _milliseconds(idle) if idle else None
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs() if wait else 0
+        known = {k: (run, seen) for k, run, seen in zip(*state.get, strict=True) if not wait or now - seen < wait} if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True)
+            codes, people = pd.factorize(rows["state_key"])
+            rows = rows.assign(state_key=codes).sort_values(["state_key", "window_start_ts"], kind="stable")
+            codes = rows["state_key"].to_numpy()
+            streak = runs(codes, rows["stress_like"].eq(True).to_numpy(dtype=bool), np.array([known.get(p, (0, 0))[0] for p in people], dtype=np.int64))
+            last = np.flatnonzero(np.r_[codes[1:] != codes[:-1], True])
+            known |= {people[codes[i]]: (int(streak[i]), now) for i in last}
+            yield rows[names].assign(streak=streak.astype("int32"))
+        if not known:
             state.remove()
             return
-        run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("window_start_ts", kind="stable")
-        streak = []
-        for flag in rows["stress_like"]:
-            run = run + 1 if flag else 0
-            streak.append(run)
-        state.update((run,))
+        state.update((list(known), [run for run, _ in known.values()], [seen for _, seen in known.values()]))
         if wait:
-            state.setTimeoutDuration(wait)
-        yield rows.assign(streak=pd.array(streak, dtype="int32"))
+            state.setTimeoutDuration(max(1, min(seen for _, seen in known.values()) + wait - now))
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
-    kept = flagged.groupBy("source", "subject_id").applyInPandasWithState(count, schema, "streak int", "append", timeout)
+    dealt = _in_buckets(flagged, ["source", "subject_id"], buckets)
+    kept = dealt.groupBy("state_bucket").applyInPandasWithState(count, schema, "people array<string>, runs array<int>, seen array<long>", "append", timeout)
     return state_columns(kept, binary)
 
 

@@ -118,15 +118,15 @@ def test_watermark_follows_all_signals(spark, tmp_path):
     assert got == {0: 1, 1: 2}
 
 
-@pytest.mark.parametrize("job", ["streaks", "windows"])
+@pytest.mark.parametrize("job", ["streaks", "windows", "alerts"])
 def test_state_by_buckets(spark, tmp_path, job):
     """Many sessions share a bucket: the state holds a row for each bucket, not one for each session, and the results don't depend on buckets."""
     rows = [[(60 * t + s, f"s{s}", f"e{s % 2}", 1000 + 10 * t + s / 100, s, (t + s) % 3) for t in range(a, b) for s in range(60)] for a, b in ((0, 6), (6, 12))]
     stream = files(spark, f"{tmp_path}/in", rows)
-    made = {"streaks": lambda n: streams.stream_alerts_in_time(scored(stream), 1.0, late="10 seconds", buckets=n), "windows": lambda n: streams.stream_session_windows(stream, 20.0, 10.0, late="10 seconds", buckets=n)}[job]
+    made = {"streaks": lambda n: streams.stream_alerts_in_time(scored(stream), 1.0, late="10 seconds", buckets=n), "windows": lambda n: streams.stream_session_windows(stream, 20.0, 10.0, late="10 seconds", buckets=n), "alerts": lambda n: streams.stream_alerts(scored(stream), 1.0, buckets=n)}[job]
     run = made(4).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     assert 0 < max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) <= 4
-    key = ["event_id", "streak" if job == "streaks" else "window_id"]
+    key = ["event_id", "window_id" if job == "windows" else "streak"]
     few, many = (streams.run_to_table(made(n), f"{tmp_path}/out").select(*key).toPandas().sort_values(key, ignore_index=True) for n in (4, 1000))
     assert len(few) > 300 and few.equals(many)
