@@ -10,14 +10,14 @@ from ..functions.columns import no_nan
 
 def stat_columns(value: Column, prefix: str) -> list[Column]:
     """The eight basic statistics: population deviation, linear percentiles; null where nothing is there."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one map of values for all three
     return [
         F.avg(value).alias(f"{prefix}_mean"),
         F.stddev_pop(value).alias(f"{prefix}_std"),
-        F.percentile(value, F.lit(0.5)).alias(f"{prefix}_median"),
+        q[1].alias(f"{prefix}_median"),
         F.min(value).alias(f"{prefix}_min"),
         F.max(value).alias(f"{prefix}_max"),
-        (q[1] - q[0]).alias(f"{prefix}_iqr"),
+        (q[2] - q[0]).alias(f"{prefix}_iqr"),
         (F.max(value) - F.min(value)).alias(f"{prefix}_range"),
         F.avg(value * value).alias(f"{prefix}_energy"),
     ]

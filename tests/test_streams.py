@@ -130,3 +130,19 @@ def test_state_by_buckets(spark, tmp_path, job):
     key = ["event_id", "window_id" if job == "windows" else "streak"]
     few, many = (streams.run_to_table(made(n), f"{tmp_path}/out").select(*key).toPandas().sort_values(key, ignore_index=True) for n in (4, 1000))
     assert len(few) > 300 and few.equals(many)
+
+
+def test_a_part_of_many_events_is_dealt_to_files(spark, tmp_path):
+    """1.2 million events: each of the four parts is written and read by two tasks, and no event is lost."""
+    rows = spark.range(1_200_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    path, together = driver_tables.event_files(spark, str(tmp_path))
+    there = spark.read.parquet(path)
+    assert together == 2 and len(there.inputFiles()) == 8 and there.select("event_id").distinct().count() == 1_200_000
+
+
+def test_one_map_of_values_for_all_percentiles(spark):
+    """The state of a window holds its values once for the median and both quartiles."""
+    got = spark.createDataFrame([("a", float(v)) for v in (1, 2, 4, 9)], "k string, v double").groupBy("k").agg(*streams.stat_columns(F.col("v"), "v"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("partial_percentile(") == 1
+    assert got.select("v_median", "v_iqr").first() == (3.0, 3.5)
