@@ -94,3 +94,40 @@ def test_ids_as_text_and_blocks_that_nobody_meets(spark, clustered, monkeypatch)
     rows = spark.createDataFrame([(f"{i:04d}", v.tolist(), int(c)) for i, v, c in zip(ids, x, labels, strict=True)], ROW.replace("id long", "id string"))
     got = {q: [int(i) for i in found] for q, found in told(neighbours.nearest(rows.filter("cast(id as int) % 37 = 0"), rows, 7, "label")).items()}
     assert got == brute(x, ids, labels, list(range(0, 3000, 37)), 7, "label")
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e12, 1e40])
+@pytest.mark.parametrize("own", [False, True])
+def test_single_precision_loses_no_neighbour(monkeypatch, scale, own):
+    """Copies, ties, rows far from the origin, values beyond single precision; each query's edge holds for rows at exactly that distance too."""
+    monkeypatch.setattr(neighbours, "_ROWS", 64)
+    rng = np.random.default_rng(5)
+    y = scale * (1000 + np.round(rng.normal(size=(700, 9)), 2))
+    y[:90], y[90:120] = y[100], scale * 1000
+    x, place = y[::7], rng.permutation(700)
+    names = (np.arange(0, 700, 7), np.arange(700)) if own else None
+    for edge in (np.full(100, np.inf), None):
+        want = []
+        for n, v in enumerate(x):
+            d = ((y - v) ** 2).sum(1)
+            best = [i for i in np.lexsort((place, d)) if not own or i != 7 * n][:5]
+            want += [(n, i, d[i]) for i in best]
+        edge = np.array([d for _, _, d in want[4::5]]) if edge is None else edge
+        assert list(zip(*(c.tolist() for c in neighbours.closest(x, y, 5, place, edge, names)), strict=True)) == want
+
+
+def test_a_query_that_leaves_all_open_is_sent_to_few_blocks(spark, monkeypatch):
+    """Rows without clusters: blocks grow with the table, so what is sent grows as the queries do; rows of blocks go out once for so many queries."""
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    y = np.random.default_rng(0).normal(size=(1000, 20))
+    flat = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(y)], ROW)
+    sent, kept = [], neighbours._visits
+
+    def counted(*args, **more):
+        out = kept(*args, **more)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_visits", counted)
+    assert told(neighbours.nearest(flat.filter("id % 10 = 0"), flat, 3)) == brute(y, np.arange(1000), np.zeros(1000), range(0, 1000, 10), 3, None)
+    assert sum(sent) < 2.5 * neighbours.SHARES * 100
