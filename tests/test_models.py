@@ -8,9 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sensorloom.config import TrainConfig
-from sensorloom.jobs import audit, models, stages
+from sensorloom.jobs import audit, models, stages, trees
 from sensorloom.operators import decision, metrics, prep
 from sensorloom.sources import reports
+from sensorloom.sources.scratch import shared_dir
 
 COLS = ["a", "b", "c"]
 SMALL = TrainConfig(folds=3, forest_trees=8, extra_trees=8, balanced_trees=8, selector_trees=4, boosting_rounds=3, max_depth=3, class_cap=40)
@@ -203,3 +204,24 @@ def test_audits(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.5), (2, 0.2), (None, 0.1)], "nurse_label int, label_overlap_ratio double")
     assert audit.label_audit(df).first().asDict() == {"labelled": 3, "mean_overlap": pytest.approx(1.6 / 3), "below_least": 1}
     assert audit.forbidden_columns(["acc_mean", "nurse_label", "window_start_ts"]) == ["nurse_label", "window_start_ts"]
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_forest_gives_the_shares_of_the_built_in_one(spark, classes):
+    """Trees of many nodes and trees of one; rows at a threshold go the same way."""
+    rng = np.random.default_rng(6)
+    x, y = np.round(rng.normal(size=(400, 5)), 1), rng.integers(0, classes, 400)
+    df = stages.with_vector(spark.createDataFrame([(str(i), float(c), [float(v) for v in r], 1.0 + i % 3) for i, (c, r) in enumerate(zip(y, x, strict=True))], "id string, y double, vec array<double>, weight double"))
+    for depth in (0, 6):
+        model = models.forest(7, depth, 1).fit(df)
+        grown = trees.saved_forest(spark, *_saved(model, spark), classes)
+        assert len(grown.roots) == 7 and (depth > 0 or (grown.feature == -1).all())
+        got = np.stack(stages.Forest(model).transform(df.select("id", "vec")).toPandas().set_index("id").loc[[str(i) for i in range(400)], "prob"])
+        want = np.stack([p.toArray() for p in model.transform(df).toPandas().set_index("id").loc[[str(i) for i in range(400)], "probability"]])
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+def _saved(model, spark):
+    path = f"{shared_dir(spark)}/forest-of-test-{id(model)}"
+    model.write().overwrite().save(path)
+    return (path,)
