@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WindowConfig
-from ..functions.columns import group_id, iso_utc, no_nan
-from ..operators import acc, eda, hrv, prep, windows
+from ..functions.columns import group_id, iso_utc
+from ..operators import acc, eda, hrv, prep, stats, windows
 from ..operators.baseline import add_personal_baseline
-from ..operators.stats import stat_columns
 from ..operators.survey import best_offset, label_by_overlap, labelled_only, map_field_labels, map_lab_labels, scan_offsets, survey_intervals
-from ..schema import STATS, base_features
+from ..schema import base_features, stat_names
 from ..sources.scratch import staged
 
 KEYS = ["source", "subject_id", "session_id", "window_id"]
@@ -19,59 +18,54 @@ KEYS = ["source", "subject_id", "session_id", "window_id"]
 SERIES = ("eda", "temp", "bvp", "hr", "ibi")
 
 
-def series_features(placed: DataFrame) -> DataFrame:
-    """Statistics and slope of each plain signal, one row for each window: one aggregate by signal, one that lays signals side by side."""
-    rows = placed.filter(F.col("signal").isin(*SERIES)).withColumn("_v", no_nan(F.col("value"))).filter(F.col("_v").isNotNull())
-    n = F.count("*")
-    slope = F.when(n >= 2, (F.max_by("_v", "sample_idx") - F.min_by("_v", "sample_idx")) / ((n - 1) / F.max("fs")))
-    long = rows.groupBy(*KEYS, "signal").agg(*stat_columns(F.col("_v"), "v"), slope.alias("v_slope"))
-    return long.groupBy(*KEYS).agg(*[F.max(F.when(F.col("signal") == s, F.col(f"v_{x}"))).alias(f"{s}_{x}") for s in SERIES for x in (*STATS, "slope")])
+#: All signals that features are made of.
+SIGNALS = (*SERIES, "acc_x", "acc_y", "acc_z")
 
 
-def motion_features(placed: DataFrame) -> DataFrame:
-    axes = placed.filter(F.col("signal").isin("acc_x", "acc_y", "acc_z"))
-    axis = lambda a: F.max(F.when(F.col("signal") == f"acc_{a}", F.col("value"))).alias(a)
-    rows = axes.groupBy(*KEYS, "sample_idx").agg(F.max("fs").alias("fs"), *[axis(a) for a in acc.AXES])
-    return acc.acc_features(rows, KEYS, ["sample_idx"], F.col("fs"))
+def series_features(signals: tuple[str, ...] = SERIES) -> dict[str, tuple[Column, list[str]]]:
+    """Statistics and slope of each plain signal: the column that holds them as an array, and their names."""
+    return {f"_{s}": (stats.plain(s, f"{s}_fs"), [*stat_names(s), f"{s}_slope"]) for s in signals}
 
 
-def families(placed: DataFrame, series_only: bool = False) -> list[DataFrame]:
-    """Each family of features, one row for each window that has enough samples for it.
+def motion_features() -> dict[str, tuple[Column, list[str]]]:
+    axes = [f"acc_{a}" for a in acc.AXES]
+    names = [n for p in acc.SERIES for n in stat_names(p)] + [f"acc_{n}" for n in acc.CONTEXT]
+    return {"_motion": (acc.motion(*axes, F.greatest(*[F.col(f"{a}_fs") for a in axes])), names)}
 
-    placed has the columns of readings and KEYS. It is dealt by KEYS once for each family, with that
-    family's signals only; all sorts, aggregates and joins of a window stay in its partition. series_only:
-    just the statistics of the plain signals.
+
+def _beats(prefix: str) -> list[str]:
+    return [*stat_names(f"{prefix}_rr_ms"), *(f"{prefix}_{n}" for n in hrv.VARIABILITY)]
+
+
+def families(pieces: DataFrame, series_only: bool = False) -> DataFrame:
+    """All families of features side by side, one row for each window that has samples.
+
+    pieces: as of windows.cut_windows. They are dealt by KEYS once, and those of a window, whose samples are
+    bounded, become an array for each signal; each family computes its own from these, in Arrow batches.
+    series_only: just the statistics of the plain signals.
     """
-    placed = placed.repartition(*KEYS)
-    if series_only:
-        return [series_features(placed)]
-    one = lambda name: placed.filter(F.col("signal") == name).withColumn("value", no_nan(F.col("value"))).filter(F.col("value").isNotNull())
-    conductance, order = one("eda"), ["sample_idx"]
-    intervals = hrv.beat_intervals(hrv.beats(one("bvp"), KEYS, "value", "sample_idx"), KEYS)
-    return [
-        motion_features(placed),
-        series_features(placed),
-        eda.level_features(conductance, KEYS, "value", order, F.col("fs")),
-        eda.phasic_features(eda.tonic_phasic_by_window(conductance, KEYS, "value", "sample_idx"), KEYS, order, F.col("fs")),
-        hrv.pulse_features(intervals, KEYS),
-        hrv.hrv_features(intervals, KEYS, "rr", ["place"], "bvp_hrv"),
-        hrv.hrv_features(one("ibi"), KEYS, "value", order, "ibi_hrv"),
-    ]
-
-
-def add_features(table: DataFrame, placed: DataFrame, series_only: bool = False) -> DataFrame:
+    rows, found = windows.window_lists(pieces, KEYS, SERIES if series_only else SIGNALS), series_features()
+    if not series_only:
+        found |= motion_features()
+        found["_conductance"] = eda.conductance("eda", "eda_fs"), [*eda.LEVEL, *stat_names("eda_tonic"), *stat_names("eda_phasic"), *eda.PARTS]
+        found["_pulse"] = hrv.pulse("bvp", "bvp_fs"), [*stat_names("bvp_derived_hr"), "bvp_peak_count", "bvp_peak_rate", *_beats("bvp_hrv")]
+        found["_intervals"] = hrv.intervals("ibi"), _beats("ibi_hrv")
+    rows = rows.select(*KEYS, *[c.alias(k) for k, (c, _) in found.items()])
+    cells = {name: F.get(k, F.lit(j)).alias(name) for k, (_, names) in found.items() for j, name in enumerate(names)}
+    return rows.select(*KEYS, *[cells[n] for n in base_features() if n in cells])
+
+
+def add_features(table: DataFrame, held: DataFrame, spans: DataFrame, config: WindowConfig, align: bool = False, series_only: bool = False) -> DataFrame:
     """The table of windows with all base features (or those of the plain signals), null where a window has too little of a signal.
 
-    Windows and their samples are written once, samples in a folder for each signal, and each family
-    reads its own.
+    held: blocks of samples. The table of windows is written once; blocks are cut into windows, and pieces
+    of windows that aren't in it are dropped before their samples are dealt.
     """
     table = staged(table)
-    placed = placed.filter(F.col("signal").isin(*SERIES)) if series_only else placed
-    held = staged(placed.join(table.select(*KEYS), KEYS, "left_semi"), "signal")
-    for family in families(held, series_only):
-        table = table.join(family, KEYS, "left")
+    pieces = windows.cut_windows(held.filter(F.col("signal").isin(*(SERIES if series_only else SIGNALS))), config.window_sec, config.step_sec, spans, align)
+    table = table.join(families(pieces.join(table.select(*KEYS), KEYS, "left_semi"), series_only), KEYS, "left")
     keys = [c for c in table.columns if c not in base_features()]
-    return table.select(*keys, *[F.col(c).cast("double").alias(c) for c in base_features() if not series_only or c in table.columns])
+    return table.select(*keys, *[c for c in base_features() if c in table.columns])
 
 
 def field_windows(spans: DataFrame, survey: DataFrame, config: WindowConfig = WindowConfig(), keep_unlabelled: bool = False) -> DataFrame:
@@ -90,28 +84,35 @@ def field_windows(spans: DataFrame, survey: DataFrame, config: WindowConfig = Wi
 def field_table(readings: DataFrame, survey: DataFrame, config: WindowConfig = WindowConfig(), keep_unlabelled: bool = False, series_only: bool = False) -> DataFrame:
     """field_windows with all features, or only those of the plain signals.
 
-    readings: all signals of the sessions, beats as the signal ibi (see beat_readings); survey: the sheet
-    as text. Without a set offset the one that a scan finds best is used. Labels come before features,
-    so samples of windows without a label are dropped before they are dealt.
+    readings: all signals of the sessions, beats as the signal ibi (see beat_readings), or windows.blocks of
+    them, which should be staged, as they are read twice; survey: the sheet as text. Without a set offset the
+    one that a scan finds best is used. Labels come before features, so samples of windows without a label
+    are dropped before they are dealt.
     """
-    spans = staged(windows.late_spans(readings))
-    held = field_windows(spans, survey, config, keep_unlabelled)
-    placed = windows.assign_sampled_windows(windows.align_signals(readings, spans), config.window_sec, config.step_sec, spans)
-    return add_features(held, placed, series_only)
+    held = _blocks(readings)
+    spans = staged(windows.block_spans(held))
+    return add_features(field_windows(spans, survey, config, keep_unlabelled), held, spans, config, True, series_only)
+
+
+def _blocks(readings: DataFrame) -> DataFrame:
+    return readings if "values" in readings.columns else staged(windows.blocks(readings))
 
 
 def lab_table(readings: DataFrame, labels: DataFrame, config: WindowConfig = WindowConfig(), series_only: bool = False) -> DataFrame:
-    """Windows of lab recordings whose samples are mostly of one protocol label. labels: subject_id, sample_idx, label, fs."""
+    """Windows of lab recordings whose samples are mostly of one protocol label. readings: as field_table has them; labels: subject_id, sample_idx, label, fs, or blocks with values and n."""
     source, subject = F.lit("lab").alias("source"), F.col("subject_id").alias("session_id")
-    samples = labels.select(source, "subject_id", subject, "fs", F.lit(0.0).alias("start_ts"), F.col("sample_idx").cast("long").alias("sample_idx"), F.col("label").cast("int").alias("label"))
-    spans = windows.session_spans(samples)
-    pure = windows.mode_and_purity(windows.assign_sampled_windows(samples, config.window_sec, config.step_sec, spans), KEYS, "label", "sample_idx")
+    values = [F.col(c) for c in ("values", "n")] if "values" in labels.columns else [F.col("label").cast("int").alias("value")]
+    samples = labels.select(source, "subject_id", subject, F.lit("label").alias("signal"), "fs", F.lit(0.0).alias("start_ts"), F.col("sample_idx").cast("long").alias("sample_idx"), *values)
+    marks = _blocks(samples)
+    spans = staged(windows.block_spans(marks))
+    seen = windows.cut_windows(marks, config.window_sec, config.step_sec, spans).select(*KEYS, "i", F.posexplode("v").alias("_j", "label"))
+    seen = seen.select(*KEYS, (F.col("i") + F.col("_j")).alias("sample_idx"), F.col("label").cast("int").alias("label"))
+    pure = windows.mode_and_purity(seen, KEYS, "label", "sample_idx")
     named = map_lab_labels(pure, config.min_label_purity).withColumnsRenamed({"label": "protocol_label", "purity": "label_purity"})
     none = F.lit(None).cast("double")
-    held = windows.session_windows(spans, config.window_sec, config.step_sec).withColumns({"window_start_ts": none, "window_end_ts": none}).join(named, KEYS)
-    held = held.withColumn("group_id", group_id(F.col("source"), F.col("subject_id")))
-    placed = windows.assign_sampled_windows(readings, config.window_sec, config.step_sec, spans)
-    return add_features(held, placed, series_only)
+    found = windows.session_windows(spans, config.window_sec, config.step_sec).withColumns({"window_start_ts": none, "window_end_ts": none}).join(named, KEYS)
+    found = found.withColumn("group_id", group_id(F.col("source"), F.col("subject_id")))
+    return add_features(found, _blocks(readings), spans, config, False, series_only)
 
 
 def extract(*tables: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import samples as S
 from ..functions.columns import EPS, no_nan
 from .stats import stat_columns
 
 AXES = ("x", "y", "z")
+#: What motion() gives, in this order, after the eight statistics of these.
+SERIES = ("acc_x", "acc_y", "acc_z", "acc_mag", "acc_dyn_mag", "acc_jerk")
+CONTEXT = ("activity", "posture_tilt", "stationary_ratio", "active_ratio", "signal_magnitude_area", "vector_magnitude_area", "jerk_zero_cross_rate")
 
 
 def normalize_acc(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,3 +76,39 @@ def acc_features(df: DataFrame, keys: list[str], order: list[str], fs: Column |
     series = {"acc_x": "x", "acc_y": "y", "acc_z": "z", "acc_mag": "mag", "acc_dyn_mag": "dyn_mag", "acc_jerk": "jerk"}
     moved = _moved(normalize_acc(df, keys), keys, order, fs)
     return moved.groupBy(*keys).agg(*[c for prefix, name in series.items() for c in stat_columns(F.col(name), prefix)], *_context_columns())
+
+
+def _length(p: np.ndarray) -> np.ndarray:
+    return np.sqrt(p[:, :, 0] * p[:, :, 0] + p[:, :, 1] * p[:, :, 1] + p[:, :, 2] * p[:, :, 2])
+
+
+def _motion(p: np.ndarray, fs: np.ndarray) -> np.ndarray:
+    """acc_features of windows of one size: p[window, sample, axis]."""
+    p = p / np.where(np.abs(p).max(axis=(1, 2)) > 8.0, 64.0, 1.0)[:, None, None]
+    middle = np.stack([S.quantile(np.sort(p[:, :, i], axis=1), 0.5) for i in range(3)], axis=1)
+    mag, moved = _length(p), _length(p - middle[:, None, :])
+    jerk = np.diff(mag, axis=1) * fs[:, None]
+    found = [S.stats(x) for x in (p[:, :, 0], p[:, :, 1], p[:, :, 2], mag, moved, jerk)]
+    std, still = found[4][:, 1], S.quantile(np.sort(moved, axis=1), 0.25)
+    crossed = S.mean((jerk[:, 1:] < 0) != (jerk[:, :-1] < 0), 0.0) if jerk.shape[1] else np.full(len(p), np.nan)
+    context = [
+        std + S.mean(np.abs(jerk), 0.0),
+        found[2][:, 0] / (found[3][:, 0] + EPS),
+        S.mean(moved < np.maximum(0.03, still + 0.5 * std)[:, None]),
+        S.mean(moved > 0.15),
+        S.mean(np.abs(p).sum(axis=2)),
+        S.mean(np.abs(mag - found[3][:, 2:3])),
+        crossed,
+    ]
+    return np.concatenate([*found, np.stack(context, axis=1)], axis=1)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def motion(x: pa.Array, y: pa.Array, z: pa.Array, fs: pa.Array) -> pa.Array:
+    """acc_features of windows from the samples of their axes; those that lack an axis don't count."""
+    axes = [S.present(a) for a in (x, y, z)]
+    span = max(place.max(initial=0) for _, _, place in axes) + 1
+    keys = [np.repeat(np.arange(len(n)), n) * span + place for _, n, place in axes]
+    whole = reduce(partial(np.intersect1d, assume_unique=True), keys)
+    p = np.stack([v[np.searchsorted(key, whole)] for key, (v, _, _) in zip(keys, axes, strict=True)], axis=1)
+    return S.column(S.by_size(p, np.bincount(whole // span, minlength=len(x)), 8 * len(SERIES) + len(CONTEXT), _motion, S.numbers(fs)))

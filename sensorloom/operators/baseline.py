@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS
+from ..functions import arrays as A
+from ..functions.columns import EPS, let
 
 PERSON = ["source", "subject_id"]
 TIME = ["window_start_ts", "window_start_sec"]
@@ -35,25 +36,37 @@ def baseline_rows(windows: DataFrame, minutes: float = 10.0, lab: str = "lab") -
     return ranked.filter("_rank <= _most").drop("_rank", "_most", "_any")
 
 
+def _person_stats(rows: DataFrame, features: list[str]) -> DataFrame:
+    """_stats, a struct of median and scale for each feature in turn, and baseline_quality_n. The baseline rows of a person, which are few, come as one array each."""
+    cells = F.array(*[F.col(f).cast("double") for f in features])
+    people = rows.groupBy(*PERSON).agg(F.collect_list(cells).alias("_rows"), F.count("*").cast("int").alias("baseline_quality_n"))
+
+    def one(j: Column) -> Column:
+        return let(F.sort_array(A.present(F.transform("_rows", lambda r: F.get(r, j)))), scaled)
+
+    def scaled(q: Column) -> Column:
+        n = F.size(q)
+        scale = F.coalesce(F.nullif(A.quantile(q, 0.75) - A.quantile(q, 0.25), F.lit(0.0)), F.nullif(A.deviation(q) * F.sqrt(F.try_divide(n, n - 1)), F.lit(0.0)), F.lit(1.0))
+        return F.struct(A.quantile(q, 0.5).alias("med"), scale.alias("scale"))
+
+    places = F.sequence(F.lit(0), F.lit(len(features) - 1)) if features else F.array().cast("array<int>")
+    return people.select(*PERSON, F.transform(places, one).alias("_stats"), "baseline_quality_n")
+
+
 def baseline_stats(rows: DataFrame, features: list[str]) -> DataFrame:
     """Median, scale and count of the baseline rows, wide: <feature>_med and <feature>_scale, baseline_quality_n.
 
     The scale is the interquartile range, else the sample deviation, else 1; 0 counts as missing.
     """
-    out = []
-    for f in features:
-        q = F.percentile(f, F.array(F.lit(0.25), F.lit(0.75)))
-        out += [F.percentile(f, F.lit(0.5)).alias(f"{f}_med"), F.coalesce(F.nullif(q[1] - q[0], F.lit(0.0)), F.nullif(F.stddev_samp(f), F.lit(0.0)), F.lit(1.0)).alias(f"{f}_scale")]
-    return rows.groupBy(*PERSON).agg(*out, F.count("*").cast("int").alias("baseline_quality_n"))
+    cells = [F.col("_stats")[j][x].alias(f"{f}_{x}") for j, f in enumerate(features) for x in ("med", "scale")]
+    return _person_stats(rows, features).select(*PERSON, *cells, "baseline_quality_n")
 
 
 def add_personal_baseline(windows: DataFrame, features: list[str], minutes: float = 10.0, lab: str = "lab") -> DataFrame:
     """Adds delta_base, ratio_base and z_personal of each feature, and baseline_quality_n: one aggregate, one join, one projection."""
-    stats = baseline_stats(baseline_rows(windows, minutes, lab), features)
+    stats = _person_stats(baseline_rows(windows, minutes, lab), features)
     out = []
-    for f in features:
-        x, med, scale = F.col(f), F.col(f"{f}_med"), F.col(f"{f}_scale")
+    for j, f in enumerate(features):
+        x, med, scale = F.col(f), F.col("_stats")[j]["med"], F.col("_stats")[j]["scale"]
         out += [(x - med).alias(f"{f}_delta_base"), F.try_divide(x + EPS, med + EPS).alias(f"{f}_ratio_base"), ((x - med) / (scale + EPS)).alias(f"{f}_z_personal")]
     return _beside(windows, stats, "left").select(*windows.columns, *out, "baseline_quality_n")
-
-

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import samples as S
 from .stats import flag_peaks, stat_columns
 
+#: What conductance() gives, in this order: of the level, then, after the eight statistics of the tonic and the phasic part, of the parts.
+LEVEL = ("eda_rise_rate", "eda_abs_diff_mean", "eda_peak_count", "eda_peak_rate")
+PARTS = ("eda_tonic_slope", "eda_phasic_auc", "eda_phasic_positive_ratio", "eda_scr_peak_count", "eda_scr_peak_rate", "eda_scr_amp_mean", "eda_scr_amp_max")
+
 
 def tonic_width(n: float, fs: float) -> int:
     """Samples of the rolling median for a window of n samples."""
@@ -27,28 +31,6 @@ def tonic_phasic(df: DataFrame, keys: list[str], value: str, order: list[str], w
     return tonic.withColumn("phasic", F.col(value) - F.col("tonic"))
 
 
-def tonic_phasic_by_window(df: DataFrame, keys: list[str], value: str, order: str, fs: str = "fs") -> DataFrame:
-    """Adds tonic and phasic, with the width of the median chosen for each window from its own samples and rate.
-
-    A frame of rows needs a fixed width, so here the samples of a window, which are bounded, go to the
-    rolling median as one array.
-    """
-    held = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(fs).alias(fs), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_s"))
-
-    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for values, rate in zip(pdf["_v"], pdf[fs], strict=True):
-                values = np.asarray(values, dtype=float)
-                out.append(pd.Series(values).rolling(tonic_width(len(values), rate), min_periods=1, center=True).median().to_numpy())
-            yield pdf.assign(_t=out)
-
-    lists = held.select(*keys, fs, F.col("_s.o").alias("_o"), F.col("_s.v").alias("_v"))
-    schema = T.StructType([*lists.schema.fields, T.StructField("_t", T.ArrayType(T.DoubleType()))])
-    rows = lists.mapInPandas(level, schema).select(*keys, fs, F.inline(F.arrays_zip("_o", "_v", "_t")))
-    return rows.select(*keys, fs, F.col("_o").alias(order), F.col("_v").alias(value), F.col("_t").alias("tonic"), (F.col("_v") - F.col("_t")).alias("phasic"))
-
-
 def phasic_features(parts: DataFrame, keys: list[str], order: list[str], fs: Column | float = 1.0) -> DataFrame:
     """The 23 tonic and phasic features of each window of rows with tonic and phasic; windows of under four samples have none."""
     parts = parts.withColumns({"_up": F.greatest(F.col("phasic"), F.lit(0.0)), "_fs": F.lit(fs).cast("double")})
@@ -87,3 +69,33 @@ def level_features(df: DataFrame, keys: list[str], value: str, order: list[str],
     count = F.sum(F.col("peak").cast("long"))
     rise = F.avg(F.when(F.col("_d").isNotNull(), (F.col("_d") > 0).cast("double")))
     return rows.groupBy(*keys).agg(rise.alias("eda_rise_rate"), F.avg(F.abs("_d")).alias("eda_abs_diff_mean"), count.alias("eda_peak_count"), (count / (F.count("*") / F.max("_fs"))).alias("eda_peak_rate"))
+
+
+def _tonic(x: np.ndarray, fs: np.ndarray) -> np.ndarray:
+    """The rolling median of each row, with the width chosen from its size and rate; a frame of rows needs a fixed width."""
+    out, width = np.empty(x.shape), np.array([tonic_width(x.shape[1], rate) for rate in fs])
+    for w in np.unique(width):
+        out[width == w] = pd.DataFrame(x[width == w].T).rolling(int(w), min_periods=1, center=True).median().to_numpy().T
+    return out
+
+
+def _conductance(x: np.ndarray, fs: np.ndarray) -> np.ndarray:
+    """level_features and phasic_features of windows of one size; the latter need four samples."""
+    n, step, count = x.shape[1], np.diff(x, axis=1), S.peaks(x, 0.25).sum(axis=1)
+    level = np.stack([S.mean(step > 0), S.mean(np.abs(step)), count, count / (n / fs)], axis=1)
+    if n < 4:
+        return np.concatenate([level, np.full((len(x), 16 + len(PARTS)), np.nan)], axis=1)
+    tonic = _tonic(x, fs)
+    phasic = x - tonic
+    up = np.maximum(phasic, 0.0)
+    top = S.peaks(up, 0.25)
+    high, count = np.where(top, up, 0.0), top.sum(axis=1)
+    area = S.total((up[:, :-1] + up[:, 1:]) / 2 / fs[:, None])
+    parts = [(tonic[:, -1] - tonic[:, 0]) / ((n - 1) / fs), area, S.mean(phasic > 0), count, count / (n / fs), S.total(high) / np.maximum(count, 1), high.max(axis=1)]
+    return np.concatenate([level, S.stats(tonic), S.stats(phasic), np.stack(parts, axis=1)], axis=1)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def conductance(values: pa.Array, fs: pa.Array) -> pa.Array:
+    """level_features and phasic_features of windows from their samples."""
+    return S.column(S.by_size(*S.present(values)[:2], len(LEVEL) + 16 + len(PARTS), _conductance, S.numbers(fs)))

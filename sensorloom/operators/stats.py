@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import samples as S
 from ..functions.columns import no_nan
 
 
@@ -68,3 +72,14 @@ def trapezoid(df: DataFrame, keys: list[str], value: str, order: list[str], dx:
     present, w = _steps(df, keys, value, order)
     part = (F.col("_v") + F.lead("_v").over(w)) / 2 * dx
     return present.withColumn("_a", part).groupBy(*keys).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
+
+
+def _plain(x: np.ndarray, fs: np.ndarray) -> np.ndarray:
+    rise = (x[:, -1] - x[:, 0]) / ((x.shape[1] - 1) / fs) if x.shape[1] > 1 else np.full(len(x), np.nan)
+    return np.concatenate([S.stats(x), rise[:, None]], axis=1)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def plain(values: pa.Array, fs: pa.Array) -> pa.Array:
+    """The eight statistics and the slope of windows from their samples."""
+    return S.column(S.by_size(*S.present(values)[:2], 9, _plain, S.numbers(fs)))

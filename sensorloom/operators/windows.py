@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import laid
+from ..functions.columns import no_nan
+
 SESSION = ["source", "subject_id", "session_id"]
 
 
@@ -56,6 +59,50 @@ def late_spans(readings: DataFrame) -> DataFrame:
     return found.select(*SESSION, "session_start", F.array_max(ends).alias("duration"))
 
 
+def blocks(readings: DataFrame, sec: float = 60.0) -> DataFrame:
+    """Readings with the samples of so many seconds of a signal in one row: n values from sample_idx on, null where one is missing.
+
+    Joins and shuffles behind it move blocks, not samples. Readings that are blocks already stay as they are.
+    """
+    if "values" in readings.columns:
+        return readings
+    size = F.greatest(F.lit(1.0), F.round(F.col("fs") * sec))
+    pieces = F.array_sort(F.collect_list(F.struct(F.col("sample_idx").alias("i"), F.array(no_nan(F.col("value"))).alias("v"))))
+    held = readings.groupBy(*SESSION, "signal", "fs", "start_ts", F.floor(F.col("sample_idx") / size).alias("_b")).agg(F.min("sample_idx").alias("sample_idx"), pieces.alias("_s"))
+    rows = held.select(*SESSION, "signal", "fs", "start_ts", "sample_idx", laid(F.col("_s"), F.col("sample_idx")).alias("values"))
+    return rows.withColumn("n", F.size("values"))
+
+
+def block_spans(held: DataFrame) -> DataFrame:
+    """late_spans of blocks; no values are read."""
+    return late_spans(held.select(*SESSION, "start_ts", "fs", (F.col("sample_idx") + F.col("n") - 1).alias("sample_idx")))
+
+
+def cut_windows(held: DataFrame, window_sec: float, step_sec: float, spans: DataFrame, align: bool = False) -> DataFrame:
+    """The pieces of blocks that lie in each window of their session: window_id, i (places from the window's first) and v.
+
+    Windows are those of assign_sampled_windows, or, with align, of align_signals before it.
+    """
+    start, fs = F.col("session_start"), F.col("fs")
+    shift = F.bround((F.col("start_ts") - start) * fs).cast("long") if align else F.lit(0)
+    rows = held.join(spans.select(*SESSION, "session_start", "duration"), SESSION).withColumn("_i", F.col("sample_idx") + shift)
+    first = F.greatest(F.lit(0), F.floor((F.col("_i") / fs - window_sec) / step_sec).cast("int"))
+    last = F.least(F.floor((F.col("_i") + F.col("n") - 1) / fs / step_sec) + 1, F.floor((F.col("duration") + 1e-6 - window_sec) / step_sec)).cast("int")
+    rows = rows.withColumn("window_id", F.explode(F.when(first <= last, F.sequence(first, last))))
+    low = F.bround(F.col("window_id") * F.lit(float(step_sec)) * fs).cast("long")
+    high = F.bround((F.col("window_id") * F.lit(float(step_sec)) + window_sec) * fs).cast("long")
+    rows = rows.withColumns({"_low": low, "_a": F.greatest("_i", low), "_z": F.least(F.col("_i") + F.col("n"), high)}).filter("_a < _z")
+    v = F.slice("values", (F.col("_a") - F.col("_i") + 1).cast("int"), (F.col("_z") - F.col("_a")).cast("int"))
+    return rows.select(*SESSION, "signal", "fs", "window_id", (F.col("_a") - F.col("_low")).alias("i"), v.alias("v"))
+
+
+def window_lists(pieces: DataFrame, keys: list[str], signals: tuple[str, ...]) -> DataFrame:
+    """One row for each window, from cut_windows: the pieces of each signal in order as an array of (i, v), and its rate as <signal>_fs."""
+    of = lambda s: F.col("signal") == s
+    lists = [F.sort_array(F.collect_list(F.when(of(s), F.struct("i", "v")))).alias(s) for s in signals]
+    return pieces.groupBy(*keys).agg(*lists, *[F.max(F.when(of(s), F.col("fs"))).alias(f"{s}_fs") for s in signals])
+
+
 def session_windows(spans: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
     """All windows that end within the duration of their session, with or without samples."""
     last = F.floor((F.col("duration") + 1e-6 - window_sec) / step_sec).cast("int")

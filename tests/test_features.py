@@ -201,3 +201,71 @@ def test_queries_compute_what_they_return(spark, sf_dir, monkeypatch):
     check(spark, sf_dir, catalogue.QUERIES["extract_series"], catalogue.SQL["extract_series"])
     monkeypatch.setattr(features, "add_features", none)
     check(spark, sf_dir, catalogue.QUERIES["label_checks"], catalogue.SQL["label_checks"])
+
+
+def _samples(pieces):
+    """(window, signal, rate, place in the window, value) of the samples that are there."""
+    return sorted((r["session_id"], r["window_id"], r["signal"], r["fs"], r["i"] + j, v) for r in pieces.collect() for j, v in enumerate(r["v"]) if v is not None)
+
+
+def test_blocks_are_cut_as_their_samples_are(spark):
+    """Gaps at both ends of blocks, missing and repeated samples, late signals, windows that overlap, and a rate that doesn't divide the window."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for session, signal, fs, late in (("a", "x", 4.0, 0.0), ("a", "y", 1.0, 10.0), ("a", "z", 0.3, 0.0), ("b", "x", 7.0, 0.51), ("b", "y", 7.0, 0.0)):
+        for i in range(int(95 * fs)):
+            if rng.random() > 0.3 and not 40 < i / fs < 55:
+                rows.append(("field", session, session, signal, fs, 100.0 + late, i, None if rng.random() < 0.1 else float(rng.integers(9))))
+    rows += [("field", "a", "a", "x", 4.0, 100.0, i, 99.0) for i in (4, 8) if any(r[1] == "a" and r[3] == "x" and r[6] == i for r in rows)]
+    readings = spark.createDataFrame(rows, "source string, subject_id string, session_id string, signal string, fs double, start_ts double, sample_idx long, value double")
+    spans = windows.late_spans(readings).localCheckpoint()
+    aligned = windows.assign_sampled_windows(windows.align_signals(readings, spans), 20.0, 15.0, spans).filter("value is not null")
+    low = F.bround(F.col("window_id") * 15.0 * F.col("fs")).cast("long")
+    want = aligned.groupBy("session_id", "window_id", "signal", "fs", (F.col("sample_idx") - low).alias("i")).agg(F.max("value").alias("v"))
+    want = sorted((r["session_id"], r["window_id"], r["signal"], r["fs"], r["i"], r["v"]) for r in want.collect())
+    for sec in (60.0, 7.0):
+        held = windows.blocks(readings, sec)
+        assert _samples(windows.cut_windows(held, 20.0, 15.0, spans, align=True)) == want
+        assert sorted(windows.block_spans(held).collect(), key=str) == sorted(spans.collect(), key=str)
+        lists = windows.window_lists(windows.cut_windows(held, 20.0, 15.0, spans, align=True), features.KEYS, ("x", "y", "z"))
+        got = [(r["session_id"], r["window_id"], s, r[f"{s}_fs"], p["i"] + j, v) for r in lists.collect() for s in ("x", "y", "z") for p in r[s] for j, v in enumerate(p["v"]) if v is not None]
+        assert sorted(got) == want
+
+
+def test_recordings_in_blocks(spark, sf_dir):
+    """The same samples as in long form."""
+    from sensorloom.sources import driver_tables as D
+
+    names = ["source", "subject_id", "session_id", "signal", "fs", "start_ts"]
+    long = D.recordings(spark, sf_dir).select(*names, "sample_idx", "value")
+    held = D.recording_blocks(spark, sf_dir)
+    laid = held.select(*names, "sample_idx", F.posexplode("values").alias("_j", "value")).select(*names, (F.col("sample_idx") + F.col("_j")).alias("sample_idx"), "value")
+    assert long.exceptAll(laid).count() == 0 and laid.exceptAll(long).count() == 0
+    labels = D.block_labels(held).select("subject_id", "sample_idx", F.posexplode("values").alias("_j", "label"))
+    labels = labels.select("subject_id", (F.col("sample_idx") + F.col("_j")).alias("sample_idx"), F.col("label").cast("int").alias("label"))
+    want = D.recording_labels(spark, sf_dir).select("subject_id", "sample_idx", "label")
+    assert want.exceptAll(labels).count() == 0 and labels.exceptAll(want).count() == 0
+
+
+def test_windows_are_dealt_once_and_not_one_call_each(spark, field):
+    """All families share one exchange of pieces of windows; no family calls Python for each window."""
+    held = windows.blocks(field).localCheckpoint()
+    rows = features.families(windows.cut_windows(held, 60.0, 60.0, windows.block_spans(held).localCheckpoint(), True))
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("ArrowEvalPython") == 1 and "Window [" not in plan
+    assert rows.count() == 2 and set(rows.columns) == {*features.KEYS, *base_features()}
+
+
+def test_features_of_a_window_do_not_depend_on_its_batch(spark):
+    """Windows of different sizes and without some signals, alone and together."""
+    from sensorloom.operators import acc, eda, hrv, stats
+
+    rng = np.random.default_rng(8)
+    made = lambda n: [(3 * k, [None if x < 0.1 else float(x) for x in rng.random(min(3, n - 3 * k))]) for k in range(-(-n // 3))]
+    rows = [(i, *(made(n) if (i + k) % 5 else None for k in range(3)), made(n), 2.0) for i, n in enumerate((0, 1, 2, 3, 40, 40, 90, 7, 90, 41))]
+    piece = "array<struct<i: bigint, v: array<double>>>"
+    df = spark.createDataFrame(rows, f"id int, x {piece}, y {piece}, z {piece}, v {piece}, fs double")
+    found = [acc.motion("x", "y", "z", "fs"), eda.conductance("v", "fs"), hrv.pulse("v", "fs"), hrv.intervals("v"), stats.plain("v", "fs")]
+    together = sorted(df.coalesce(1).select("id", *found).collect())
+    assert [tuple(r) for r in together] == sorted(tuple(r) for i in range(len(rows)) for r in df.filter(F.col("id") == i).coalesce(1).select("id", *found).collect())
+    assert all(x is None for x in together[0][1]) and together[0][5][0] is None and together[4][5][0] is not None
