@@ -67,7 +67,7 @@ def blocks(readings: DataFrame, sec: float = 60.0) -> DataFrame:
     if "values" in readings.columns:
         return readings
     size = F.greatest(F.lit(1.0), F.round(F.col("fs") * sec))
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("sample_idx").alias("i"), F.array(no_nan(F.col("value"))).alias("v"))))
+    pieces = F.sort_array(F.collect_list(F.struct(F.col("sample_idx").alias("i"), F.array(no_nan(F.col("value"))).alias("v"))))
     held = readings.groupBy(*SESSION, "signal", "fs", "start_ts", F.floor(F.col("sample_idx") / size).alias("_b")).agg(F.min("sample_idx").alias("sample_idx"), pieces.alias("_s"))
     rows = held.select(*SESSION, "signal", "fs", "start_ts", "sample_idx", laid(F.col("_s"), F.col("sample_idx")).alias("values"))
     return rows.withColumn("n", F.size("values"))
